@@ -74,80 +74,96 @@ def recommend(opportunities: DataFrame, limit: int = RECOMMENDATION_LIMIT) -> Da
     )
 
 
-def _check(stage: int, rank: Column, outcome: Column, message: Column) -> Column:
+def _check(stage: int, outcome: Column, message: Column, rank=None, action=None) -> Column:
+    zero = F.lit(0)
     return F.struct(
         F.lit(stage).alias("stage"),
-        rank.cast("int").alias("priority_rank"),
+        (zero if rank is None else rank).cast("int").alias("priority_rank"),
+        (zero if action is None else action).cast("int").alias("action"),
         outcome.alias("outcome"),
         message.alias("message"),
     )
 
 
-def checks(gate: DataFrame, recommendations: DataFrame, savings_note: str = "ESTIMATED SAVINGS") -> DataFrame:
-    """Critic checks, one row each; ``(stage, priority_rank, action)`` is report order.
-
-    Per dataset: quality gate and the labelling of savings.  Per recommendation:
-    evidence.  Per action: stated assumptions, no destructive wording.
-    """
-    zero = F.lit(0)
-    gate_check = F.when(
-        F.col("usable"), _check(1, zero, F.lit(PASSED), F.lit("Data quality gate: PASSED"))
-    ).otherwise(
-        _check(
-            1, zero, F.lit(FAILED), F.lit("Data quality gate: FAILED — pipeline should not have proceeded")
-        )
+def _gate_check() -> Column:
+    usable = F.col("usable")
+    return _check(
+        1,
+        F.when(usable, PASSED).otherwise(FAILED),
+        F.when(usable, "Data quality gate: PASSED").otherwise(
+            "Data quality gate: FAILED — pipeline should not have proceeded"
+        ),
     )
+
+
+def _label_check(savings_note: str) -> Column:
     if "ESTIMATED" in savings_note.upper():
         outcome, message = PASSED, "Savings clearly labelled as ESTIMATED (not realized)"
     else:
         outcome, message = UNSUPPORTED, "Savings estimates should be clearly labelled as ESTIMATED"
-    label_check = _check(5, zero, F.lit(outcome), F.lit(message))
-    per_dataset = gate.select("dataset_id", F.inline(F.array(gate_check, label_check))).withColumn(
-        "action", F.lit(0)
-    )
+    return _check(5, F.lit(outcome), F.lit(message))
 
-    rank = F.col("priority_rank")
-    has_evidence = F.coalesce(F.size("evidence") > 0, F.lit(False))
-    evidence_check = _check(
+
+def _evidence_check() -> Column:
+    title = F.col("title")
+    present = F.coalesce(F.size("evidence") > 0, F.lit(False))
+    return _check(
         2,
-        rank,
-        F.when(has_evidence, PASSED).otherwise(MISSING),
-        F.when(
-            has_evidence, F.concat(F.lit("Evidence present for: "), F.substring("title", 1, 50))
-        ).otherwise(F.concat(F.lit("Recommendation '"), F.col("title"), F.lit("' has no supporting evidence"))),
-    )
-    per_recommendation = recommendations.select("dataset_id", evidence_check.alias("c")).select(
-        "dataset_id", "c.*", F.lit(0).alias("action")
+        F.when(present, PASSED).otherwise(MISSING),
+        F.when(present, F.concat(F.lit("Evidence present for: "), F.substring(title, 1, 50))).otherwise(
+            F.concat(F.lit("Recommendation '"), title, F.lit("' has no supporting evidence"))
+        ),
+        F.col("priority_rank"),
     )
 
-    kind, wording = F.col("a.action_type"), F.col("a.description")
-    stated = F.coalesce(F.size("a.assumptions") > 0, F.lit(False))
+
+def _action_checks(action: Column, at: Column) -> Column:
+    rank, kind, wording = F.col("priority_rank"), action["action_type"], action["description"]
+    stated = F.coalesce(F.size(action["assumptions"]) > 0, F.lit(False))
     destructive = F.lower(wording).rlike("|".join(DESTRUCTIVE))
-    assumption_check = _check(
-        3,
-        rank,
-        F.when(stated, PASSED).otherwise(MISSING),
-        F.concat(
-            F.when(stated, "Assumptions disclosed for action: ").otherwise("No assumptions for action: "), kind
-        ),
-    )
-    safety_check = _check(
-        4,
-        rank,
-        F.when(destructive, FAILED).otherwise(PASSED),
-        F.when(
-            destructive,
+    return F.array(
+        _check(
+            3,
+            F.when(stated, PASSED).otherwise(MISSING),
             F.concat(
-                F.lit("Recommendation contains potentially destructive action: "),
-                F.substring(wording, 1, 100),
+                F.when(stated, "Assumptions disclosed for action: ").otherwise("No assumptions for action: "),
+                kind,
             ),
-        ).otherwise(F.concat(F.lit("Safety check: no destructive action in '"), kind, F.lit("'"))),
+            rank,
+            at,
+        ),
+        _check(
+            4,
+            F.when(destructive, FAILED).otherwise(PASSED),
+            F.when(
+                destructive,
+                F.concat(
+                    F.lit("Recommendation contains potentially destructive action: "),
+                    F.substring(wording, 1, 100),
+                ),
+            ).otherwise(F.concat(F.lit("Safety check: no destructive action in '"), kind, F.lit("'"))),
+            rank,
+            at,
+        ),
+    )
+
+
+def checks(gate: DataFrame, recommendations: DataFrame, savings_note: str = "ESTIMATED SAVINGS") -> DataFrame:
+    """Critic checks, one row each; ``(stage, priority_rank, action)`` is report order.
+
+    Per dataset: quality gate and the labelling of savings.  Per recommendation:
+    evidence.  Per action: stated assumptions, no destructive wording.
+    """
+    per_dataset = gate.select(
+        "dataset_id",
+        F.lit(None).cast("string").alias("recommendation_id"),
+        F.inline(F.array(_gate_check(), _label_check(savings_note))),
     )
-    actions = recommendations.select(
-        "dataset_id", "priority_rank", F.posexplode("actions").alias("action", "a")
+    per_action = F.flatten(F.transform("actions", _action_checks))
+    per_recommendation = recommendations.select(
+        "dataset_id", "recommendation_id", F.inline(F.concat(F.array(_evidence_check()), per_action))
     )
-    per_action = actions.select("dataset_id", "action", F.inline(F.array(assumption_check, safety_check)))
-    return per_dataset.unionByName(per_recommendation).unionByName(per_action)
+    return per_dataset.unionByName(per_recommendation)
 
 
 def _messages(outcome: str) -> Column:
@@ -159,56 +175,44 @@ def _messages(outcome: str) -> Column:
     return F.transform(found, lambda item: item["message"])
 
 
-def decide(check_rows: DataFrame, recommendations: DataFrame) -> DataFrame:
+def decide(check_rows: DataFrame) -> DataFrame:
     """REJECT on a failed check, APPROVE with recommendations, else INVESTIGATE.
 
     Checks are bounded by the recommendation limit, so a dataset's list is short.
+    Every recommendation has one evidence check, which is how they are counted.
     """
+    advised = F.col("stage") == 2
     outcomes = check_rows.groupBy("dataset_id").agg(
         F.count_if(F.col("outcome") == PASSED).alias("checks_passed"),
         F.count_if(F.col("outcome") == FAILED).alias("checks_failed"),
         F.count_if(F.col("outcome") == MISSING).alias("missing_evidence"),
         F.count_if(F.col("outcome") == UNSUPPORTED).alias("unsupported_claims"),
+        F.count_if(advised).alias("recommendation_count"),
+        F.min_by("recommendation_id", F.when(advised, F.col("priority_rank"))).alias("recommendation_id"),
         _messages(PASSED).alias("_passed"),
         _messages(FAILED).alias("_failed"),
     )
-    advised = recommendations.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("recommendation_count"),
-        F.min_by("recommendation_id", "priority_rank").alias("recommendation_id"),
-    )
     failed, count = F.col("checks_failed"), F.col("recommendation_count")
     trust = F.greatest(
         F.lit(CONFIDENCE_FLOOR),
         1 - failed * FAILED_PENALTY - F.col("missing_evidence") * MISSING_PENALTY,
     )
-    first_failed = F.array_join(F.slice("_failed", 1, 2), "; ")
-    return (
-        outcomes.join(advised, "dataset_id", "left")
-        .withColumn("recommendation_count", F.coalesce(count, F.lit(0).cast("bigint")))
-        .withColumns(
-            {
-                "decision": F.when(failed > 0, "REJECT").when(count > 0, "APPROVE").otherwise("INVESTIGATE"),
-                "confidence": F.round(trust, 3),
-                "rationale": F.when(
-                    failed > 0,
-                    F.concat(F.lit("Critic rejected: "), F.array_join(F.slice("_failed", 1, 3), "; ")),
-                )
-                .when(
-                    count > 0,
-                    F.concat(
-                        count.cast("string"),
-                        F.lit(" recommendations passed critic validation with confidence "),
-                        F.format_string("%.2f", trust),
-                    ),
-                )
-                .otherwise("No actionable recommendations found. Further investigation recommended."),
-                "evidence_summary": F.concat(
-                    F.slice("_passed", 1, 5),
-                    F.when(
-                        failed > 0, F.array(F.concat(F.lit("WARNINGS: "), first_failed))
-                    ).otherwise(F.array().cast("array<string>")),
-                ),
-            }
-        )
-        .drop("_passed", "_failed")
-    )
+    rejected = F.concat(F.lit("Critic rejected: "), F.array_join(F.slice("_failed", 1, 3), "; "))
+    approved = F.concat(
+        count.cast("string"),
+        F.lit(" recommendations passed critic validation with confidence "),
+        F.format_string("%.2f", trust),
+    )
+    nothing = "No actionable recommendations found. Further investigation recommended."
+    warned = F.array(F.concat(F.lit("WARNINGS: "), F.array_join(F.slice("_failed", 1, 2), "; ")))
+    return outcomes.withColumns(
+        {
+            "decision": F.when(failed > 0, "REJECT").when(count > 0, "APPROVE").otherwise("INVESTIGATE"),
+            "confidence": F.round(trust, 3),
+            "rationale": F.when(failed > 0, rejected).when(count > 0, approved).otherwise(nothing),
+            "evidence_summary": F.concat(
+                F.slice("_passed", 1, 5),
+                F.when(failed > 0, warned).otherwise(F.array().cast("array<string>")),
+            ),
+        }
+    ).drop("_passed", "_failed")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from .filters import labelled, metered
-from .spend import concentration, cost_drivers
+from .spend import cost_drivers, with_concentration
 
 # Rule thresholds, savings factors and confidences.
 GROWTH_PCT, GROWTH_CAP, GROWTH_DIVISOR, GROWTH_CONFIDENCE = 20.0, 0.3, 200, 0.7
@@ -108,7 +108,8 @@ def cost_concentration(
     drivers: DataFrame, threshold: float = CONCENTRATION_THRESHOLD
 ) -> DataFrame:
     """The top driver of datasets whose concentration reaches the threshold."""
-    scored = drivers.where(F.col("rank") == 1).join(concentration(drivers), "dataset_id")
+    # A dataset has at most ``top_n`` drivers, so the window holds a handful of rows.
+    scored = with_concentration(drivers).where(F.col("rank") == 1)
     score, total = F.col("concentration_score"), F.col("total_cost")
     dimension, value = F.col("dimension"), F.col("value")
     return _opportunities(

@@ -235,17 +235,24 @@ def _amount_at(age: int):
     return F.sum(F.when(F.col("age") == age, F.col("cost")).otherwise(0.0))
 
 
+def _squared_share():
+    share = F.col("cost") / F.col("total_cost")
+    return F.when(F.col("total_cost") > 0, share * share).otherwise(0.0)
+
+
 def concentration(drivers: DataFrame) -> DataFrame:
     """Sum of squared shares over the pooled drivers.
 
     The dimensions overlap, so the score can exceed 1; ``hhi_by_dimension``
     gives a proper index.
     """
-    share = F.col("cost") / F.col("total_cost")
-    return drivers.groupBy("dataset_id").agg(
-        F.coalesce(F.sum(F.when(F.col("total_cost") > 0, share * share)), F.lit(0.0)).alias(
-            "concentration_score"
-        )
+    return drivers.groupBy("dataset_id").agg(F.sum(_squared_share()).alias("concentration_score"))
+
+
+def with_concentration(drivers: DataFrame) -> DataFrame:
+    """The drivers with the concentration of their dataset beside them."""
+    return drivers.withColumn(
+        "concentration_score", F.sum(_squared_share()).over(Window.partitionBy("dataset_id"))
     )
 
 
@@ -273,10 +280,10 @@ def attribution_report(
     """One row per dataset: total, drivers, concentration, month change, evidence lines."""
     if drivers is None:
         drivers = cost_drivers(billing, top_n)
-    score = concentration(drivers)
     entry = F.struct("rank", "dimension", "value", "cost", "share_pct", "change_pct")
     listed = drivers.groupBy("dataset_id").agg(
         F.max("total_cost").alias("total_cost"),
+        F.sum(_squared_share()).alias("concentration_score"),
         F.array_sort(F.collect_list(entry)).alias("top_drivers"),
     )
     change = month_over_month(billing).select(
@@ -296,7 +303,6 @@ def attribution_report(
         F.concat(F.lit("Cost concentration (HHI): "), text.fixed("concentration_score", 3)),
     )
     return (
-        listed.join(score, "dataset_id")
-        .join(change, "dataset_id", "left")
+        listed.join(change, "dataset_id", "left")
         .withColumn("evidence", evidence)
     )

@@ -14,7 +14,7 @@ from ..operators.panel import daily_rollup
 
 @dataclass(frozen=True)
 class DecisionRun:
-    """Result tables of one run, all lazy; ``close`` frees the cached rollup."""
+    """Result tables of one run, all lazy; ``close`` frees what the run keeps."""
 
     rollup: DataFrame
     quality: DataFrame
@@ -31,7 +31,13 @@ class DecisionRun:
     decisions: DataFrame
 
     def close(self) -> None:
-        self.rollup.unpersist()
+        for table in (self.rollup, self.quality, self.drivers, self.anomalies, self.opportunities):
+            table.unpersist()
+
+
+def _keep(table: DataFrame) -> DataFrame:
+    """Keep a table that several stages read; a lost part is rebuilt from its lineage."""
+    return table.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def decision_run(
@@ -51,22 +57,22 @@ def decision_run(
     ``driver_changes=False`` leaves the cost growth rule without input and
     ``anomaly_limit=100`` feeds the spike rule from the capped report.
     """
-    report = quality.quality_report(billing)
+    report = _keep(quality.quality_report(billing))
     gate = decision.quality_gate(report)
     dims = list(dict.fromkeys([*spend.SUMMARY_DIMENSIONS, entity_type]))
-    rollup = daily_rollup(billing, dims).persist(StorageLevel.MEMORY_AND_DISK)
+    rollup = _keep(daily_rollup(billing, dims))
     usable = decision.usable_only(rollup, gate)
 
-    drivers = spend.cost_drivers(usable, top_n, with_change=driver_changes)
+    drivers = _keep(spend.cost_drivers(usable, top_n, with_change=driver_changes))
     attribution = spend.attribution_report(usable, top_n, drivers=drivers)
-    anomalies = anomaly.run_detection(usable, entity_type)
+    anomalies = _keep(anomaly.run_detection(usable, entity_type))
     fed = anomalies if anomaly_limit is None else anomaly.ranked(anomalies, anomaly_limit)
     found = opportunity.all_rules(usable, drivers, fed)
-    top = opportunity.ranked(found)
+    top = _keep(opportunity.ranked(found))
     recommendations = decision.recommend(top)
     savings = scenario.implementation_savings(recommendations, top)
     checks = decision.checks(gate.where("usable"), recommendations)
-    verdicts = decision.decide(checks, recommendations)
+    verdicts = decision.decide(checks)
     totals = scenario.total_savings(savings)
     decisions = (
         gate.select("dataset_id", "overall_status", F.when(F.col("usable"), "succeeded").otherwise("failed").alias("run_status"))

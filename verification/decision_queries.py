@@ -173,7 +173,7 @@ def _damaged(spark, sf_dir):
         F.when(rank % 4 != 1, F.col("evidence")).otherwise(F.array().cast("array<string>")).alias("evidence"),
     )
     gate = damaged.select("dataset_id").distinct().withColumn("usable", F.lit(True))
-    return decision.checks(gate, damaged), damaged
+    return decision.checks(gate, damaged)
 
 
 @query(
@@ -181,8 +181,7 @@ def _damaged(spark, sf_dir):
     sql("SELECT dataset_id, stage, rank::BIGINT AS priority_rank, outcome, message FROM checked", "checked"),
 )
 def critic_checks(spark, sf_dir):
-    checks, _ = _damaged(spark, sf_dir)
-    return checks.select(
+    return _damaged(spark, sf_dir).select(
         "dataset_id", "stage", F.col("priority_rank").cast("bigint").alias("priority_rank"), "outcome", "message"
     )
 
@@ -231,7 +230,7 @@ def _decided(rows):
     ),
 )
 def critic_decision(spark, sf_dir):
-    return _decided(decision.decide(*_damaged(spark, sf_dir)))
+    return _decided(decision.decide(_damaged(spark, sf_dir)))
 
 
 define(
