@@ -1,3 +1,3 @@
-from . import scores, series, text
+from . import scores, series, tables, text
 
-__all__ = ["scores", "series", "text"]
+__all__ = ["scores", "series", "tables", "text"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..functions import series as S
+from ..functions.tables import renewed
 from .panel import TOTAL, daily_series, date_range, with_length, with_rolling
 
 ROLLING, ROBUST, EWMA, SEASONAL = "rolling_zscore", "robust_zscore", "ewma", "seasonal"
@@ -191,7 +192,7 @@ def seasonal_baseline(panel: DataFrame, threshold: float = 3.0) -> DataFrame:
 def drop_found(secondary: DataFrame, primary: DataFrame) -> DataFrame:
     """Detections whose series and day the primary detector has not found already."""
     keys = [*S.SERIES, "day"]
-    return secondary.join(primary.select(*keys), keys, "left_anti")
+    return secondary.join(renewed(primary.select(*keys)), keys, "left_anti")
 
 
 def combine(primary: DataFrame, secondary: DataFrame) -> DataFrame:
@@ -268,7 +269,7 @@ def report(billing: DataFrame, anomalies: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     return (
         date_range(billing)
-        .join(counters(anomalies), "dataset_id", "left")
+        .join(renewed(counters(anomalies)), "dataset_id", "left")
         .withColumns(
             {c: F.coalesce(c, zero) for c in ("total_anomalies", "critical_count", "high_count")}
         )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions.tables import renewed
 
 RECOMMENDATION_LIMIT = 10
 
@@ -40,11 +41,18 @@ def quality_gate(quality: DataFrame) -> DataFrame:
 
 def usable_only(rows: DataFrame, gate: DataFrame) -> DataFrame:
     """Rows of datasets that passed the gate."""
-    return rows.join(gate.where("usable").select("dataset_id"), "dataset_id", "left_semi")
+    return rows.join(renewed(gate.where("usable").select("dataset_id")), "dataset_id", "left_semi")
 
 
-def recommend(opportunities: DataFrame, limit: int = RECOMMENDATION_LIMIT) -> DataFrame:
-    """One investigation per top opportunity (``rank`` from ``opportunity.ranked``)."""
+def recommend(
+    opportunities: DataFrame, limit: int = RECOMMENDATION_LIMIT, *, with_facts: bool = False
+) -> DataFrame:
+    """One investigation per top opportunity (``rank`` from ``opportunity.ranked``).
+
+    ``with_facts`` carries the figures a savings estimate needs along, which spares the
+    join back to the opportunities.
+    """
+    facts = ["entity", "confidence", "potential_savings_estimate"] if with_facts else []
     entity = F.col("entity")
     action = F.struct(
         F.lit("investigate").alias("action_type"),
@@ -71,6 +79,7 @@ def recommend(opportunities: DataFrame, limit: int = RECOMMENDATION_LIMIT) -> Da
         F.lit("low").alias("risk_level"),
         "evidence",
         F.lit("pending").alias("status"),
+        *facts,
     )
 
 

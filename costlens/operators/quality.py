@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..functions.tables import renewed
 from ..schema import DATE_FIELDS, DUPLICATE_KEYS, NUMERIC_FIELDS, missing_required
 
 #: A numeric field with more missing values than this share is an issue.
@@ -237,7 +238,7 @@ def _assessed(billing: DataFrame) -> DataFrame:
             F.flatten(F.collect_list("currencies")).alias("currencies"),
         )
     )
-    joined = row_checks(billing).join(fields, "dataset_id")
+    joined = row_checks(billing).join(renewed(fields), "dataset_id")
     ordered = F.array_sort(
         F.concat("field_findings", _row_findings(billing.columns)),
         lambda a, b: F.when(a["seq"] < b["seq"], -1)

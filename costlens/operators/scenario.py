@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.tables import renewed
 
 USAGE, PRICE = "usage_reduction", "price_change"
 IMPLEMENT, BUDGET = "recommendation_implementation", "budget_reduction"
@@ -135,30 +136,33 @@ def implementation_savings(recommendations: DataFrame, opportunities: DataFrame)
     Inner join on the opportunity: a recommendation without one is skipped.
     Both sides hold at most a report's worth of rows per dataset.
     """
-    found = opportunities.select(
+    facts = opportunities.select(
+        "opportunity_id", "entity", "evidence", "confidence", "potential_savings_estimate"
+    )
+    advised = recommendations.select("dataset_id", "recommendation_id", "opportunity_id", "priority_rank")
+    return savings_from_facts(advised.join(renewed(facts), "opportunity_id"))
+
+
+def savings_from_facts(recommendations: DataFrame) -> DataFrame:
+    """The same for recommendations that carry the facts of their opportunity."""
+    sure = F.col("_sure")
+    rows = recommendations.select(
+        "dataset_id",
+        "recommendation_id",
         "opportunity_id",
+        "priority_rank",
         "entity",
-        F.col("evidence").alias("_evidence"),
-        F.col("confidence").alias("_confidence"),
-        F.col("potential_savings_estimate").alias("_potential"),
-    )
-    sure = F.col("_confidence")
-    rows = (
-        recommendations.select("dataset_id", "recommendation_id", "opportunity_id", "priority_rank")
-        .join(found, "opportunity_id")
-        .withColumns(
-            {
-                "scenario_type": F.lit(IMPLEMENT),
-                "time_horizon_days": F.lit(DEFAULT_HORIZON),
-                "current_cost": F.col("_potential") / F.greatest(F.lit(MIN_CONFIDENCE), sure),
-                "pct": F.least(F.lit(float(MAX_PCT)), sure * PCT_PER_CONFIDENCE),
-            }
-        )
-    )
-    estimated = _estimate(
-        rows, sure * CONFIDENCE_DISCOUNT, F.concat(F.col("_evidence"), F.array(F.lit(ESTIMATED)))
+        "evidence",
+        F.col("confidence").alias("_sure"),
+        F.lit(IMPLEMENT).alias("scenario_type"),
+        F.lit(DEFAULT_HORIZON).alias("time_horizon_days"),
+        (
+            F.col("potential_savings_estimate") / F.greatest(F.lit(MIN_CONFIDENCE), F.col("confidence"))
+        ).alias("current_cost"),
+        F.least(F.lit(float(MAX_PCT)), F.col("confidence") * PCT_PER_CONFIDENCE).alias("pct"),
     )
-    return estimated.drop("_evidence", "_confidence", "_potential")
+    stated = F.concat(F.col("evidence"), F.array(F.lit(ESTIMATED)))
+    return _estimate(rows, sure * CONFIDENCE_DISCOUNT, stated).drop("evidence", "_sure")
 
 
 def total_savings(estimates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scores import change_pct
+from ..functions.tables import renewed
 from ..schema import BREAKDOWN_DIMENSIONS, SUMMARY_DIMENSIONS
 from .filters import labelled
 
@@ -173,7 +174,11 @@ def spend_summary(billing: DataFrame, whole: DataFrame | None = None, limit: int
     change = month_over_month(billing if whole is None else whole).select(
         "dataset_id", F.col("change_pct").alias("mom_change_pct")
     )
-    return spend_totals(billing).join(change, "dataset_id", "left").join(maps, "dataset_id", "left")
+    return (
+        spend_totals(billing)
+        .join(renewed(change), "dataset_id", "left")
+        .join(renewed(maps), "dataset_id", "left")
+    )
 
 
 def cost_drivers(
@@ -208,7 +213,7 @@ def cost_drivers(
         )
     )
     if with_change:
-        top = top.join(driver_changes(billing, dimensions), ["dataset_id", "dimension", "value"], "left")
+        top = top.join(renewed(driver_changes(billing, dimensions)), ["dataset_id", "dimension", "value"], "left")
     else:
         top = top.withColumn("change_pct", F.lit(None).cast("double"))
     return top.select(
@@ -218,7 +223,7 @@ def cost_drivers(
 
 def driver_changes(billing: DataFrame, dimensions: Sequence[str] = SUMMARY_DIMENSIONS) -> DataFrame:
     """Percent change of each value between the two latest months of its dataset."""
-    months = latest_months(billing).select("dataset_id", "month", "age")
+    months = renewed(latest_months(billing).select("dataset_id", "month", "age"))
     recent = cost_by_dimension(billing, dimensions, by_month=True).join(months, ["dataset_id", "month"])
     pair = recent.groupBy("dataset_id", "dimension", "value").agg(
         _amount_at(1).alias("current"), _amount_at(2).alias("prior")
@@ -303,6 +308,6 @@ def attribution_report(
         F.concat(F.lit("Cost concentration (HHI): "), text.fixed("concentration_score", 3)),
     )
     return (
-        listed.join(change, "dataset_id", "left")
+        listed.join(renewed(change), "dataset_id", "left")
         .withColumn("evidence", evidence)
     )

@@ -2,98 +2,131 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import renewed
 from ..operators import anomaly, decision, opportunity, quality, scenario, spend
 from ..operators.panel import daily_rollup
+from ..session import drop_table, scratch_table
 
 
-@dataclass(frozen=True)
 class DecisionRun:
-    """Result tables of one run, all lazy; ``close`` frees what the run keeps."""
-
-    rollup: DataFrame
-    quality: DataFrame
-    gate: DataFrame
-    drivers: DataFrame
-    attribution: DataFrame
-    anomalies: DataFrame
-    anomaly_report: DataFrame
-    opportunities: DataFrame
-    opportunity_totals: DataFrame
-    recommendations: DataFrame
-    savings: DataFrame
-    checks: DataFrame
-    decisions: DataFrame
+    """Result tables of one run over all datasets of a canonical table.
+
+    A table is built when it is first asked for.  The charges are read for the
+    quality report and once for the daily rollup; all later stages work on the rollup.
+    The tables that several stages share are written to the shared folder as they
+    are reached, so each is computed once, a lost executor costs no earlier stage,
+    and the plans of later stages stay short; ``close`` deletes them.  All other
+    tables are lazy.  Datasets that fail the quality gate stop there.
+    """
+
+    def __init__(
+        self,
+        billing: DataFrame,
+        *,
+        entity_type: str = "service",
+        top_n: int = 10,
+        driver_changes: bool = True,
+        anomaly_limit: int | None = None,
+    ) -> None:
+        self.billing = billing
+        self.entity_type = entity_type
+        self.top_n = top_n
+        self.driver_changes = driver_changes
+        self.anomaly_limit = anomaly_limit
+        self._written: list[str] = []
+
+    def _keep(self, table: DataFrame, name: str) -> DataFrame:
+        path = scratch_table(table.sparkSession, name)
+        table.write.parquet(path)
+        self._written.append(path)
+        return table.sparkSession.read.schema(table.schema).parquet(path)
 
     def close(self) -> None:
-        for table in (self.rollup, self.quality, self.drivers, self.anomalies, self.opportunities):
-            table.unpersist()
+        while self._written:
+            drop_table(self.billing.sparkSession, self._written.pop())
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        return self._keep(quality.quality_report(self.billing), "quality")
+
+    @cached_property
+    def gate(self) -> DataFrame:
+        return decision.quality_gate(self.quality)
+
+    @cached_property
+    def usable(self) -> DataFrame:
+        """Daily rollup of the datasets that passed the gate."""
+        dims = dict.fromkeys([*spend.SUMMARY_DIMENSIONS, self.entity_type])
+        rollup = daily_rollup(self.billing, list(dims))
+        return self._keep(decision.usable_only(rollup, self.gate), "rollup")
+
+    @cached_property
+    def drivers(self) -> DataFrame:
+        found = spend.cost_drivers(self.usable, self.top_n, with_change=self.driver_changes)
+        return self._keep(found, "drivers")
+
+    @cached_property
+    def attribution(self) -> DataFrame:
+        return spend.attribution_report(self.usable, self.top_n, drivers=self.drivers)
 
+    @cached_property
+    def anomalies(self) -> DataFrame:
+        return self._keep(anomaly.run_detection(self.usable, self.entity_type), "anomalies")
 
-def _keep(table: DataFrame) -> DataFrame:
-    """Keep a table that several stages read; a lost part is rebuilt from its lineage."""
-    return table.persist(StorageLevel.MEMORY_AND_DISK)
+    @cached_property
+    def anomaly_report(self) -> DataFrame:
+        return anomaly.report(self.usable, self.anomalies)
 
+    @cached_property
+    def _opportunities(self) -> DataFrame:
+        fed = self.anomalies
+        if self.anomaly_limit is not None:
+            fed = anomaly.ranked(fed, self.anomaly_limit)
+        return opportunity.all_rules(self.usable, self.drivers, fed)
 
-def decision_run(
-    billing: DataFrame,
-    *,
-    entity_type: str = "service",
-    top_n: int = 10,
-    driver_changes: bool = True,
-    anomaly_limit: int | None = None,
-) -> DecisionRun:
-    """Compose every stage for all datasets of a canonical table.
+    @cached_property
+    def opportunities(self) -> DataFrame:
+        return self._keep(opportunity.ranked(self._opportunities), "opportunities")
 
-    The charges are read for the quality report and once for the daily rollup; all later
-    stages work on the rollup, which is kept in memory or on disk and rebuilt from
-    its lineage if an executor is lost.  Datasets that fail the gate stop there.
+    @cached_property
+    def opportunity_totals(self) -> DataFrame:
+        return opportunity.totals(self._opportunities)
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        return decision.recommend(self.opportunities, with_facts=True)
+
+    @cached_property
+    def savings(self) -> DataFrame:
+        return scenario.savings_from_facts(self.recommendations)
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return decision.checks(self.gate.where("usable"), self.recommendations)
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        """One row per dataset; a dataset that failed the gate has no decision."""
+        status = F.when(F.col("usable"), "succeeded").otherwise("failed")
+        return (
+            self.gate.select("dataset_id", "overall_status", status.alias("run_status"))
+            .join(renewed(decision.decide(self.checks)), "dataset_id", "left")
+            .join(renewed(scenario.total_savings(self.savings)), "dataset_id", "left")
+        )
+
+
+def decision_run(billing: DataFrame, **options) -> DecisionRun:
+    """Quality, drivers, anomalies, opportunities, recommendations, savings, decision.
 
     ``driver_changes=False`` leaves the cost growth rule without input and
     ``anomaly_limit=100`` feeds the spike rule from the capped report.
     """
-    report = _keep(quality.quality_report(billing))
-    gate = decision.quality_gate(report)
-    dims = list(dict.fromkeys([*spend.SUMMARY_DIMENSIONS, entity_type]))
-    rollup = _keep(daily_rollup(billing, dims))
-    usable = decision.usable_only(rollup, gate)
-
-    drivers = _keep(spend.cost_drivers(usable, top_n, with_change=driver_changes))
-    attribution = spend.attribution_report(usable, top_n, drivers=drivers)
-    anomalies = _keep(anomaly.run_detection(usable, entity_type))
-    fed = anomalies if anomaly_limit is None else anomaly.ranked(anomalies, anomaly_limit)
-    found = opportunity.all_rules(usable, drivers, fed)
-    top = _keep(opportunity.ranked(found))
-    recommendations = decision.recommend(top)
-    savings = scenario.implementation_savings(recommendations, top)
-    checks = decision.checks(gate.where("usable"), recommendations)
-    verdicts = decision.decide(checks)
-    totals = scenario.total_savings(savings)
-    decisions = (
-        gate.select("dataset_id", "overall_status", F.when(F.col("usable"), "succeeded").otherwise("failed").alias("run_status"))
-        .join(verdicts, "dataset_id", "left")
-        .join(totals, "dataset_id", "left")
-    )
-    return DecisionRun(
-        rollup=rollup,
-        quality=report,
-        gate=gate,
-        drivers=drivers,
-        attribution=attribution,
-        anomalies=anomalies,
-        anomaly_report=anomaly.report(usable, anomalies),
-        opportunities=top,
-        opportunity_totals=opportunity.totals(found),
-        recommendations=recommendations,
-        savings=savings,
-        checks=checks,
-        decisions=decisions,
-    )
+    return DecisionRun(billing, **options)
 
 
 # Confidence a stage reports.
@@ -144,7 +177,7 @@ def stage_summary(run: DecisionRun) -> DataFrame:
     zero = F.lit(0)
     parts = [
         _long(
-            run.quality.join(run.gate.select("dataset_id", "usable", "confidence"), "dataset_id"),
+            run.quality.join(renewed(run.gate.select("dataset_id", "usable", "confidence")), "dataset_id"),
             "data_quality",
             col("confidence"),
             usable=col("usable").cast("int"),
@@ -171,20 +204,20 @@ def stage_summary(run: DecisionRun) -> DataFrame:
             high_count=col("high_count"),
         ),
         _long(
-            ready.join(run.opportunity_totals, "dataset_id", "left"),
+            ready.join(renewed(run.opportunity_totals), "dataset_id", "left"),
             "opportunity",
             flat("opportunity"),
             total_opportunities=F.coalesce(col("total_opportunities"), zero),
             estimated_savings=F.coalesce(col("total_potential_savings"), F.lit(0.0)),
         ),
         _long(
-            ready.join(advised, "dataset_id", "left"),
+            ready.join(renewed(advised), "dataset_id", "left"),
             "optimization",
             flat("optimization"),
             recommendation_count=F.coalesce(col("n"), zero),
         ),
         _long(
-            ready.join(scenario.total_savings(run.savings), "dataset_id", "left"),
+            ready.join(renewed(scenario.total_savings(run.savings)), "dataset_id", "left"),
             "savings",
             flat("savings"),
             savings_count=F.coalesce(col("savings_count"), zero),

@@ -51,3 +51,11 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_table(spark: SparkSession, label: str) -> str:
     """Unused path below the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table written by ``scratch_table``'s caller."""
+    if not path.startswith(shared_folder(spark) + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
