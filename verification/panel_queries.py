@@ -38,6 +38,19 @@ def r(names, digits=2):
     return [F.round(n, digits).alias(n) for n in names.split()]
 
 
+# A mean of a few amounts can lie on a decimal tie, where the last digit hangs on
+# the order of addition; both sides nudge means off it before rounding.
+NUDGE = 0.000003
+
+
+def means(names):
+    return [F.round(F.col(n) + NUDGE, 4).alias(n) for n in names.split()]
+
+
+def means_sql(**columns):
+    return ", ".join(f"round({value} + {NUDGE:f}, 4) AS {name}" for name, value in columns.items())
+
+
 @query(
     "A09",
     sql(
@@ -81,7 +94,7 @@ def daily_rollup(spark, sf_dir):
 @query(
     "W01",
     sql(
-        f"""SELECT {K}, day, CASE WHEN c >= 7 THEN round(m + 0.000003, 4) END AS rolling_mean,
+        f"""SELECT {K}, day, CASE WHEN c >= 7 THEN round(m + {NUDGE:f}, 4) END AS rolling_mean,
               CASE WHEN c >= 7 AND s > 0 THEN round(s, 3) END AS rolling_std
             FROM (SELECT *, count(cost) OVER f AS c, avg(cost) OVER f AS m, stddev_samp(cost) OVER f AS s FROM panel
                   WINDOW f AS ({W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))""",
@@ -89,9 +102,8 @@ def daily_rollup(spark, sf_dir):
     ),
 )
 def rolling_stats(spark, sf_dir):
-    # A mean of eight amounts can lie on a decimal tie; both sides nudge it off.
     return panel.with_rolling(service_panel(spark, sf_dir)).select(
-        *KEYS, "day", F.round(F.col("rolling_mean") + 0.000003, 4).alias("rolling_mean"), *r("rolling_std", 3)
+        *KEYS, "day", *means("rolling_mean"), *r("rolling_std", 3)
     )
 
 
