@@ -41,18 +41,16 @@ def _responses(y: np.ndarray, params: np.ndarray, season: bool) -> tuple[np.ndar
 
 
 def _fit_states(errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Initial state with the least squared error, and that error, per parameter row."""
-    rows = errors.shape[1]
-    parts = errors.shape[2] - 1
-    states = np.empty((rows, parts))
-    sse = np.empty(rows)
-    for row in range(rows):
-        response = errors[:, row, :]
-        fit = np.linalg.lstsq(response[:, 1:], -response[:, 0], rcond=None)[0]
-        states[row] = fit
-        rest = response[:, 0] + response[:, 1:] @ fit
-        sse[row] = rest @ rest
-    return states, sse
+    """Initial state with the least squared error, and that error, per parameter row.
+
+    The level and the weekly parts can trade a constant, so the smallest solution is taken.
+    """
+    response = errors.transpose(1, 0, 2)
+    products = response.transpose(0, 2, 1) @ response
+    inverse = np.linalg.pinv(products[:, 1:, 1:], rcond=1e-11, hermitian=True)
+    states = -(inverse @ products[:, 1:, :1])[:, :, 0]
+    rest = response[:, :, 0] + (response[:, :, 1:] @ states[:, :, None])[:, :, 0]
+    return states, (rest * rest).sum(axis=1)
 
 
 def _grid(center: np.ndarray, reach: float, season: bool) -> np.ndarray:

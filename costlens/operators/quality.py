@@ -48,7 +48,50 @@ def value_counts(billing: DataFrame) -> DataFrame:
     )
 
 
-def _profile(billing: DataFrame) -> DataFrame:
+def _profile(billing: DataFrame, distinct: str = "exact") -> DataFrame:
+    if distinct == "exact":
+        return _exact_profile(billing)
+    if distinct == "none":
+        return _counted_profile(billing)
+    raise ValueError(f"distinct is 'exact' or 'none', not {distinct!r}")
+
+
+def _counted_profile(billing: DataFrame) -> DataFrame:
+    """Null and negative counts only: plain sums, so nothing is exploded or shuffled
+    but one row per dataset and currency of each task."""
+    names = [f.name for f in _fields(billing)]
+    currency = F.col("currency") if "currency" in names else F.lit(None).cast("string")
+    counted = {f"present_{i}": F.count(f"`{n}`") for i, n in enumerate(names)}
+    counted |= {
+        f"negative_{i}": F.count_if(F.col(n) < 0) for i, n in enumerate(names) if n in NUMERIC_FIELDS
+    }
+    per_currency = billing.groupBy("dataset_id", currency.alias("_currency")).agg(
+        F.count(F.lit(1)).alias("row_count"), *[c.alias(n) for n, c in counted.items()]
+    )
+    wide = per_currency.groupBy("dataset_id").agg(
+        F.array_sort(F.collect_list("_currency")).alias("_currencies"),
+        *[F.sum(c).alias(c) for c in ("row_count", *counted)],
+    )
+    rows, zero = F.col("row_count"), F.lit(0).cast("bigint")
+    cells = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(n).alias("field_name"),
+            (rows - F.col(f"present_{i}")).alias("null_count"),
+            (F.col(f"negative_{i}") if n in NUMERIC_FIELDS else zero).alias("invalid_count"),
+            (F.col("_currencies") if n == "currency" else F.array().cast("array<string>")).alias("currencies"),
+        )
+        for i, n in enumerate(names)
+    ]
+    return wide.select("dataset_id", "row_count", F.inline(F.array(*cells))).withColumns(
+        {
+            "null_rate": F.col("null_count") / F.col("row_count"),
+            "unique_count": F.lit(None).cast("bigint"),
+        }
+    )
+
+
+def _exact_profile(billing: DataFrame) -> DataFrame:
     names = [f.name for f in _fields(billing)]
     absent = F.coalesce("word", F.col("number").cast("string"), F.col("moment").cast("string")).isNull()
     checked = F.col("position").isin([i for i, n in enumerate(names) if n in NUMERIC_FIELDS])
@@ -221,15 +264,14 @@ def _row_findings(columns: list[str]):
     )
 
 
-def _assessed(billing: DataFrame) -> DataFrame:
+def _assessed(billing: DataFrame, distinct: str = "exact") -> DataFrame:
     """One row per dataset with counts, field metrics and the ordered findings.
 
-    The charges are read twice: once for the value counts, once for the
-    row keys.  Everything after that has at most one row per dataset and field.
+    The charges are read twice: once for the fields, once for the row keys.  Everything after that has at most one row per dataset and field.
     """
     metric = F.struct("position", "field_name", "null_rate", "unique_count", "invalid_count")
     fields = (
-        _profile(billing)
+        _profile(billing, distinct)
         .withColumn("found", _field_findings())
         .groupBy("dataset_id")
         .agg(
@@ -252,12 +294,12 @@ def _assessed(billing: DataFrame) -> DataFrame:
 
 def findings(billing: DataFrame) -> DataFrame:
     """Issues and warnings, one row each, numbered in report order by ``seq``."""
-    return _assessed(billing).select("dataset_id", F.inline("found"))
+    return _assessed(billing, "none").select("dataset_id", F.inline("found"))
 
 
 def row_consistency(billing: DataFrame) -> DataFrame:
     """Duplicates, currency consistency and date order of each dataset."""
-    return _assessed(billing).select(
+    return _assessed(billing, "none").select(
         "dataset_id",
         "total_rows",
         "duplicate_rows",
@@ -273,14 +315,18 @@ def status_of(issues, warnings):
     return F.when(issues > 0, "FAIL").when(warnings > 0, "WARN").otherwise("PASS")
 
 
-def quality_report(billing: DataFrame) -> DataFrame:
-    """One row per dataset with status, counts, null rates, metrics, issues, warnings."""
+def quality_report(billing: DataFrame, distinct: str = "exact") -> DataFrame:
+    """One row per dataset with status, counts, null rates, metrics, issues, warnings.
+
+    Distinct values are the costly part and decide nothing; ``distinct="none"`` leaves
+    them NULL, and ``approximate_distinct`` estimates them without a shuffle.
+    """
 
     def messages(level: str):
         kept = F.filter("found", lambda item: item["level"] == level)
         return F.transform(kept, lambda item: item["message"])
 
-    assessed = _assessed(billing).withColumns(
+    assessed = _assessed(billing, distinct).withColumns(
         {"issues": messages("issue"), "warnings": messages("warning")}
     )
     return assessed.select(

@@ -32,12 +32,14 @@ class DecisionRun:
         top_n: int = 10,
         driver_changes: bool = True,
         anomaly_limit: int | None = None,
+        distinct: str = "none",
     ) -> None:
         self.billing = billing
         self.entity_type = entity_type
         self.top_n = top_n
         self.driver_changes = driver_changes
         self.anomaly_limit = anomaly_limit
+        self.distinct = distinct
         self._written: list[str] = []
 
     def _keep(self, table: DataFrame, name: str) -> DataFrame:
@@ -52,7 +54,7 @@ class DecisionRun:
 
     @cached_property
     def quality(self) -> DataFrame:
-        return self._keep(quality.quality_report(self.billing), "quality")
+        return self._keep(quality.quality_report(self.billing, self.distinct), "quality")
 
     @cached_property
     def gate(self) -> DataFrame:
@@ -124,7 +126,8 @@ def decision_run(billing: DataFrame, **options) -> DecisionRun:
     """Quality, drivers, anomalies, opportunities, recommendations, savings, decision.
 
     ``driver_changes=False`` leaves the cost growth rule without input and
-    ``anomaly_limit=100`` feeds the spike rule from the capped report.
+    ``anomaly_limit=100`` feeds the spike rule from the capped report.  The gate looks
+    at no distinct counts, so they are left out unless ``distinct="exact"`` is set.
     """
     return DecisionRun(billing, **options)
 
