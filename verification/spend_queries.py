@@ -63,12 +63,12 @@ def period_filter(spark, sf_dir):
 @query(
     "P02",
     sql(
-        """SELECT 'service' AS kind, count(*) AS row_count, round(sum(billed_cost), 2) AS billed_cost
+        """SELECT 'service' AS kind, count(*) AS row_count, round(coalesce(sum(billed_cost), 0), 2) AS billed_cost
            FROM charges WHERE CAST(service AS VARCHAR) = 'Brand#7'
-           UNION ALL SELECT 'account', count(*), round(sum(billed_cost), 2) FROM charges WHERE account = '42'
+           UNION ALL SELECT 'account', count(*), round(coalesce(sum(billed_cost), 0), 2) FROM charges WHERE account = '42'
            UNION ALL SELECT 'quote', count(*), round(coalesce(sum(billed_cost), 0), 2) FROM charges
              WHERE service = 'x'' OR ''1''=''1'
-           UNION ALL SELECT 'total', count(*), round(sum(billed_cost), 2) FROM charges""",
+           UNION ALL SELECT 'total', count(*), round(coalesce(sum(billed_cost), 0), 2) FROM charges""",
         "charges",
     ),
 )
