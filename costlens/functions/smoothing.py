@@ -10,6 +10,15 @@ import numpy as np
 
 PERIOD = 7
 
+# Share of a series to train on, least training rows, rows a weekly pattern needs.
+TRAIN_SHARE, MIN_TRAIN, SEASON_MIN_TRAIN = 0.8, 7, 21
+
+
+def training_rows(n: int) -> tuple[int, bool]:
+    """Rows to train on, and whether they carry a weekly pattern."""
+    split = max(MIN_TRAIN, int(n * TRAIN_SHARE))
+    return split, split >= SEASON_MIN_TRAIN
+
 
 def _responses(y: np.ndarray, params: np.ndarray, season: bool) -> tuple[np.ndarray, np.ndarray]:
     """One-step errors as a linear function of the initial state.

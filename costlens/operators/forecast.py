@@ -27,7 +27,7 @@ NAIVE, AVERAGE, SMOOTHING, BOOSTED = "naive", "moving_average", "exp_smoothing",
 HORIZON = 30
 AVERAGE_WINDOW = 7
 MIN_ROWS = 5
-SMOOTHING_MIN_ROWS, SMOOTHING_MIN_TRAIN, SEASON_MIN_TRAIN = 10, 7, 21
+SMOOTHING_MIN_ROWS = 10
 BOOSTED_MIN_ROWS, BOOSTED_MIN_CLEAN = 28, 10
 HOLDOUT_SHARE, TRAIN_SHARE = 0.8, 0.6
 
@@ -153,10 +153,6 @@ def moving_average_holdout(panel: DataFrame, window: int = AVERAGE_WINDOW) -> Da
 # --- exponential smoothing -------------------------------------------------
 
 
-def smoothing_split(n: int) -> int:
-    return max(SMOOTHING_MIN_TRAIN, int(n * HOLDOUT_SHARE))
-
-
 _SMOOTHING_SCHEMA = (
     "dataset_id string, entity_type string, entity_value string, method string, "
     "kind string, step int, day date, actual double, yhat double, alpha double, beta double, gamma double"
@@ -182,8 +178,7 @@ def holt_winters(
         rows = rows.sort_values("day")
         y = rows["cost"].to_numpy(float)
         days = rows["day"].to_numpy()
-        split = smoothing_split(len(y))
-        season = split >= SEASON_MIN_TRAIN
+        split, season = smoothing.training_rows(len(y))
 
         def ahead(values: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
             if fixed is None:
@@ -223,8 +218,12 @@ def holt_winters(
             out[key] = rows[key].iloc[0]
         return out[[c.split()[0] for c in _SMOOTHING_SCHEMA.split(", ")]]
 
+    # Fitting costs time, not space: the series keep all partitions, where adaptive
+    # execution would pack such small data into one or two tasks.
+    tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = panel.where(F.col("cost").isNotNull()).repartition(tasks, *_KEYS)
     long_enough = (
-        with_length(panel.where(F.col("cost").isNotNull()))
+        with_length(spread)
         .where(F.col("n") >= SMOOTHING_MIN_ROWS)
         .select(*_KEYS, "day", "cost")
     )
