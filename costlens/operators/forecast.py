@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
@@ -21,6 +22,9 @@ from ..session import shared_folder
 from .filters import for_entity
 from .panel import TOTAL, TOTAL_VALUE, daily_series, with_length
 
+# The fit travels with the task, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(smoothing)
+
 NAIVE, AVERAGE, SMOOTHING, BOOSTED = "naive", "moving_average", "exp_smoothing", "boosted_trees"
 
 # Horizon, window, lengths at which a method becomes available, split shares.
