@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, secrets
+from . import balltree, collisions, jaccard, langid, mixing, secrets, substrings
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,18 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten highest integer inner products of every hundredth vector."""
+    return balltree.top_k(table(spark, sf_dir, "embeddings"), divisor=100, k=10)
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learns from the documents that are not held out."""
@@ -29,6 +41,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that an earlier 100-byte string repeats."""
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all sources by weights 1, 2, 3."""
@@ -40,3 +58,9 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors found for every fiftieth vector."""
+    return collisions.nearest(table(spark, sf_dir, "embeddings"), divisor=50, k=5)
