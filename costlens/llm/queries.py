@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, collisions, jaccard, langid, mixing, secrets, substrings
-from .common import table
+from costlens.session import drop_table, scratch_table
+
+from . import balltree, collisions, jaccard, langid, mixing, packing, secrets, substrings, tokenfiles
+from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,12 @@ def op1_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings"), divisor=100, k=10)
 
 
+@query
+def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens, along the curve."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
@@ -41,6 +49,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in the flat token files written of all documents."""
+    folder = scratch_table(spark, "tokens")
+    written = tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder)
+    counted = tokenfiles.count_tokens(spark, folder).join(written, ["file", "ordinal"])
+    counts = stored(counted.select("doc_id", "n_tokens"), "counts")
+    drop_table(spark, folder)
+    return counts
+
+
 @query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that an earlier 100-byte string repeats."""
