@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from costlens.session import drop_table, scratch_table
 
-from . import balltree, collisions, jaccard, langid, mixing, packing, secrets, substrings, tokenfiles
+from . import balltree, collisions, html, jaccard, langid, mixing, packing, secrets, substrings, tokenfiles
 from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,12 @@ def op1_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(table(spark, sf_dir, "embeddings"), divisor=100, k=10)
 
 
+@query
+def op2_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens, along the curve."""
