@@ -11,11 +11,12 @@ from costlens.session import drop_table, scratch_table
 
 from . import balltree, collisions, html, jaccard, langid, mixing, packing, secrets, substrings, tokenfiles
 from .common import stored, table
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def query(function: Query) -> Query:

@@ -2,8 +2,8 @@
 
 The patterns give the base spans.  The battery looks at every other long run of token characters:
 the smallest encoding alphabet that holds it is inferred, and the run is tested for
-uniform use of that alphabet (chi-squared), for runs about the middle symbol, and for serial
-correlation.  The three p-values are combined (Fisher).  Under the hypothesis "random" small
+uniform use of that alphabet and of its digits, capitals and small letters (chi-squared), for runs
+about the middle symbol, and for serial correlation.  The p-values are combined (Fisher).  Under the hypothesis "random" small
 values speak for ordinary text; Benjamini-Hochberg, within strata of length, decides which runs
 are ordinary, and what it can't reject is reported as ``random``.
 
@@ -57,6 +57,11 @@ ENCODINGS = (
 )
 _SETS = [(frozenset(e), {c: i for i, c in enumerate(e)}) for e in ENCODINGS]
 
+
+def _sort(c: str) -> int:
+    return 0 if c in DIGITS else 1 if c in UPPER else 2 if c in LOWER else 3
+
+
 _IS_HEX, _IS_TOKEN = np.zeros(256, bool), np.zeros(256, bool)
 _IS_HEX[list(b"0123456789abcdef")] = True
 _IS_TOKEN[list((DIGITS + LOWER + UPPER + "+/_-").encode())] = True
@@ -85,9 +90,15 @@ def randomness(token: str) -> float | None:
     x = np.fromiter((place[c] for c in token), float, len(token))
     n, k = len(x), len(place)
     cells = max(2, min(k, n // 4))
-    cell = (x * cells // k).astype(int)
-    expected = n * np.bincount(np.arange(k) * cells // k, minlength=cells) / k
-    uniform = chi2_tail(float(((np.bincount(cell, minlength=cells) - expected) ** 2 / expected).sum()), cells - 1)
+    cell = np.arange(k) * cells // k
+    sorts = np.unique([_sort(c) for c in place], return_inverse=True)[1]
+
+    def chi2(of: np.ndarray) -> float:
+        """Do the symbols fall into the classes ``of`` the alphabet as it is divided?"""
+        expected = n * np.bincount(of) / k
+        seen = np.bincount(of[x.astype(int)], minlength=len(expected))
+        return chi2_tail(float(((seen - expected) ** 2 / expected).sum()), len(expected) - 1)
+
     high = x >= k / 2
     a, b = int(high.sum()), int(n - high.sum())
     if not a or not b:
@@ -99,8 +110,8 @@ def randomness(token: str) -> float | None:
     centred = x - x.mean()
     spread = float((centred**2).sum())
     serial = 2 * _normal_tail(abs(float((centred[1:] * centred[:-1]).sum()) / spread) * math.sqrt(n)) if spread else 0.0
-    fisher = -2 * sum(math.log(max(min(p, 1.0), 1e-20)) for p in (uniform, runs, serial))
-    return max(chi2_tail(fisher, 6), 1e-20)
+    fisher = -2 * sum(math.log(max(min(p, 1.0), 1e-20)) for p in (chi2(cell), chi2(sorts), runs, serial))
+    return max(chi2_tail(fisher, 8), 1e-20)
 
 
 def stratum(length: int) -> int:
