@@ -16,7 +16,7 @@ from verification.check import compare, duck
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_agrees(spark, name):
-    assert compare(spark, duck(SMALL), QUERIES[name], ORACLES[name], SMALL)[0] == "ok"
+    assert compare(spark, duck(SMALL), QUERIES[name], ORACLES[name], SMALL)[0].startswith("ok")
 
 
 def test_all_ten_are_registered():
