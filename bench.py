@@ -27,9 +27,8 @@ def finish(frame) -> None:
 
 
 def whole_run(billing) -> None:
-    run = decision_run(billing)
-    finish(run.decisions)
-    run.close()
+    with decision_run(billing) as run:
+        finish(run.decisions)
 
 
 def opportunities(billing) -> None:

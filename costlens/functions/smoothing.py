@@ -1,7 +1,7 @@
-"""Additive Holt-Winters on one series, for use inside a grouped task.
+"""Additive Holt-Winters on a batch of series, for use inside a task.
 
-Spark has no built-in for fitting a recursion, so this is the one place where a
-series becomes a NumPy array.  A series has at most one value per calendar day.
+Spark has no built-in for fitting a recursion, so this is the one place where
+series become NumPy arrays.  A series has at most one value per calendar day.
 """
 
 from __future__ import annotations
@@ -20,46 +20,55 @@ def training_rows(n: int) -> tuple[int, bool]:
     return split, split >= SEASON_MIN_TRAIN
 
 
-def _responses(y: np.ndarray, params: np.ndarray, season: bool) -> tuple[np.ndarray, np.ndarray]:
-    """One-step errors as a linear function of the initial state.
+def _responses(
+    y: np.ndarray, lengths: np.ndarray, params: np.ndarray, season: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """One-step errors as a linear function of the initial state, summed up as products.
 
-    Column 0 of the result is the error of a zero initial state, column
-    ``j`` the response to a unit change of state part ``j``.  All parameter rows are
-    run at once.  Returns the errors (steps, rows, columns) and the final states.
+    ``y`` (series, steps), ``params`` (series, rows, 3).  Column 0 is the error of a zero
+    initial state, column ``j`` the response to a unit change of state part ``j``; returned
+    are the sums of products of these columns over the steps of each series, and the final states, both
+    (series * rows, ...).  All series and parameter rows go through the days together, and
+    nothing is kept per day; a series that has ended stands still.
     """
-    alpha, beta, gamma = (params[:, i, None] for i in range(3))
+    series, rows = params.shape[:2]
+    alpha, beta, gamma = (np.ascontiguousarray(params[..., i]).reshape(-1, 1) for i in range(3))
     parts = 2 + (PERIOD if season else 0)
     columns = 1 + parts
-    state = np.zeros((parts, len(params), columns))
+    state = np.zeros((parts, series * rows, columns))
     for part in range(parts):
         state[part, :, 1 + part] = 1.0
     level, trend, seasonal = state[0], state[1], list(state[2:])
-    errors = np.empty((len(y), len(params), columns))
-    target = np.zeros(columns)
-    for t, value in enumerate(y):
-        target[0] = value
+    products = np.zeros((series * rows, columns, columns))
+    shortest = int(lengths.min())
+    for t in range(int(lengths.max())):
         phase = t % PERIOD
-        error = target - level - trend
+        error = -(level + trend)
+        if season:
+            error -= seasonal[phase]
+        error[:, 0] += np.repeat(y[:, t], rows)
+        if t >= shortest:
+            on = np.repeat(t < lengths, rows)[:, None]
+            error *= on
+            level, trend = level + (trend + alpha * error) * on, trend + beta * error
+        else:
+            level, trend = level + trend + alpha * error, trend + beta * error
         if season:
-            error = error - seasonal[phase]
             seasonal[phase] = seasonal[phase] + gamma * error
-        errors[t] = error
-        level = level + trend + alpha * error
-        trend = trend + beta * error
-    return errors, np.stack([level, trend, *seasonal])
+        products += error[:, :, None] * error[:, None, :]
+    return products, np.stack([level, trend, *seasonal])
 
 
-def _fit_states(errors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _fit_states(products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Initial state with the least squared error, and that error, per parameter row.
 
     The level and the weekly parts can trade a constant, so the smallest solution is taken.
     """
-    response = errors.transpose(1, 0, 2)
-    products = response.transpose(0, 2, 1) @ response
     inverse = np.linalg.pinv(products[:, 1:, 1:], rcond=1e-11, hermitian=True)
     states = -(inverse @ products[:, 1:, :1])[:, :, 0]
-    rest = response[:, :, 0] + (response[:, :, 1:] @ states[:, :, None])[:, :, 0]
-    return states, (rest * rest).sum(axis=1)
+    whole = np.concatenate([np.ones((len(states), 1)), states], 1)
+    error = (whole[:, None, :] @ products @ whole[:, :, None])[:, 0, 0]
+    return states, np.maximum(error, 0.0)
 
 
 def _grid(center: np.ndarray, reach: float, season: bool) -> np.ndarray:
@@ -68,7 +77,7 @@ def _grid(center: np.ndarray, reach: float, season: bool) -> np.ndarray:
     axes = [np.clip(center[i] + steps, 1e-4, 0.9999) for i in range(3)]
     if not season:
         axes[2] = np.array([0.0])
-    return _admissible(np.unique(np.stack(np.meshgrid(*axes), -1).reshape(-1, 3), axis=0))
+    return _admissible(np.stack(np.meshgrid(*axes), -1).reshape(-1, 3))
 
 
 def _admissible(params: np.ndarray) -> np.ndarray:
@@ -84,36 +93,63 @@ START_SEASON = (0.0, 0.1, 0.3)
 REACHES = (0.1, 0.05, 0.02, 0.01, 0.005)
 
 
-def fit(y: np.ndarray, season: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Least-squares parameters, initial state, final state and error.
+def _padded(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(y) for y in series])
+    out = np.zeros((len(series), lengths.max()))
+    for row, y in zip(out, series):
+        row[: len(y)] = y
+    return out, lengths
+
+
+def fit_many(series: list[np.ndarray], season: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least-squares parameters, initial states, final states and errors of several series.
 
     For given smoothing parameters the best initial state is a linear least squares
     problem, so only the parameters are searched: a coarse grid, then
-    shrinking neighbourhoods of the best point.
+    shrinking neighbourhoods of the best point.  A series without a finite error has NaN everywhere.
     """
-    scale = float(np.max(np.abs(y))) or 1.0
-    scaled = y / scale
+    y, lengths = _padded(series)
+    scale = np.abs(y).max(axis=1)
+    scale[scale == 0] = 1.0
+    scaled = y / scale[:, None]
     start = np.stack(
         np.meshgrid(START_LEVEL, START_TREND, START_SEASON if season else (0.0,)), -1
     ).reshape(-1, 3)
-    candidates = np.unique(_admissible(start), axis=0)
-    best = None
+    start = np.unique(_admissible(start), axis=0)
+    candidates = np.broadcast_to(start, (len(series), *start.shape))
+    count, parts = len(series), 2 + (PERIOD if season else 0)
+    params, initial, ends = np.full((count, 3), np.nan), np.full((count, parts), np.nan), np.full((count, parts), np.nan)
+    least = np.full(count, np.inf)
     for reach in (None, *REACHES):
         if reach is not None:
-            candidates = _grid(best[0], reach, season)
-        errors, final = _responses(scaled, candidates, season)
-        states, sse = _fit_states(errors)
-        at = int(np.argmin(sse))
-        if best is None or sse[at] < best[3]:
-            ends = final[:, at, 0] + final[:, at, 1:] @ states[at]
-            best = (candidates[at], states[at], ends, float(sse[at]))
-    params, initial, ends, sse = best
-    return params, initial * scale, ends * scale, sse * scale * scale
+            centers = np.where(np.isnan(params), start[0], params)
+            candidates = np.stack([_grid(center, reach, season) for center in centers])
+        products, final = _responses(scaled, lengths, candidates, season)
+        rows = candidates.shape[1]
+        bad = ~np.isfinite(products).all(axis=(1, 2))
+        products[bad] = 0.0
+        states, error = _fit_states(products)
+        error[bad] = np.inf
+        error = error.reshape(count, rows)
+        at = error.argmin(axis=1)
+        better = np.flatnonzero(error[np.arange(count), at] < least)
+        flat = better * rows + at[better]
+        params[better], initial[better] = candidates[better, at[better]], states[flat]
+        ends[better] = (final[:, flat, 0] + np.einsum("prc,rc->pr", final[:, flat, 1:], states[flat])).T
+        least[better] = error[better, at[better]]
+    least[np.isinf(least)] = np.nan
+    return params, initial * scale[:, None], ends * scale[:, None], least * scale * scale
+
+
+def fit(y: np.ndarray, season: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The same for one series."""
+    params, initial, ends, error = fit_many([y], season)
+    return params[0], initial[0], ends[0], float(error[0])
 
 
 def run(y: np.ndarray, params: np.ndarray, initial: np.ndarray, season: bool) -> np.ndarray:
     """Final state after smoothing ``y`` with given parameters and initial state."""
-    _, final = _responses(y, np.atleast_2d(np.asarray(params, float)), season)
+    _, final = _responses(y[None], np.array([len(y)]), np.asarray(params, float).reshape(1, 1, 3), season)
     return final[:, 0, 0] + final[:, 0, 1:] @ np.asarray(initial, float)
 
 

@@ -23,18 +23,24 @@ def in_period(
     """
     when = F.col("charge_period_start")
     monthly = "charge_month" in billing.columns
+
+    def month(instant: Column) -> Column:
+        # folders are named by the instant, not by how a caller spells it
+        return F.date_format(instant, "yyyy-MM")
+
     if start is not None:
-        billing = billing.where(when >= F.lit(start).cast("timestamp_ntz"))
+        first = F.lit(start).cast("timestamp_ntz")
+        billing = billing.where(when >= first)
         if monthly:
-            billing = billing.where(F.col("charge_month") >= start[:7])
+            billing = billing.where(F.col("charge_month") >= month(first))
     if end is not None:
+        last = F.lit(end).cast("timestamp_ntz")
         if end_inclusive:
-            next_day = F.date_add(F.lit(end[:10]).cast("date"), 1).cast("timestamp_ntz")
-            billing = billing.where(when < next_day)
+            billing = billing.where(when < F.date_add(last.cast("date"), 1).cast("timestamp_ntz"))
         else:
-            billing = billing.where(when <= F.lit(end).cast("timestamp_ntz"))
+            billing = billing.where(when <= last)
         if monthly:
-            billing = billing.where(F.col("charge_month") <= end[:7])
+            billing = billing.where(F.col("charge_month") <= month(last))
     return billing
 
 

@@ -6,7 +6,9 @@ its hold-out rows as ``(series keys, method, day, actual, predicted)``.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -109,8 +111,8 @@ def _indexed(panel: DataFrame) -> DataFrame:
 
 
 def naive(panel: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """The last value, repeated."""
-    last = panel.groupBy(*_KEYS).agg(
+    """The last known value, repeated."""
+    last = _known(panel).groupBy(*_KEYS).agg(
         F.max("day").alias("last_day"), F.max_by("cost", "day").alias("yhat")
     )
     return _steps(last, NAIVE, horizon)
@@ -163,76 +165,112 @@ _SMOOTHING_SCHEMA = (
 )
 
 
+#: Series that a task fits together.
+FIT_BATCH = 64
+
+
+def _known(panel: DataFrame) -> DataFrame:
+    """Days whose cost is known; a day on which no charge could be read has none."""
+    return panel.where(F.col("cost").isNotNull())
+
+
+def _smoothed(series: list[tuple], horizon: int, fixed: np.ndarray | None) -> list[tuple]:
+    """Hold-out and forecast rows of ``(keys, days, values)``, all series with and all without a weekly pattern at once.
+
+    A series whose fit fails is forecast by the mean of its last days.
+    """
+    splits = [smoothing.training_rows(len(y)) for _, _, y in series]
+
+    def states(part: list[np.ndarray]) -> list[tuple]:
+        found: list = [None] * len(part)
+        for season in (True, False):
+            some = [i for i, (_, seasonal) in enumerate(splits) if seasonal == season]
+            if not some:
+                continue
+            if fixed is None:
+                params, _, ends, _ = smoothing.fit_many([part[i] for i in some], season)
+                for i, p, e in zip(some, params, ends):
+                    found[i] = p, e
+            else:
+                used = fixed if season else np.array([fixed[0], fixed[1], 0.0])
+                for i in some:
+                    start = smoothing.heuristic_state(part[i], season)
+                    found[i] = used, smoothing.run(part[i], used, start, season)
+        return found
+
+    held = states([y[:split] for (_, _, y), (split, _) in zip(series, splits)])
+    full = states([y for _, _, y in series])
+    out = []
+    for (keys, days, y), (split, season), (held_params, held_ends), (params, ends) in zip(series, splits, held, full):
+        fitted = bool(np.isfinite(held_ends).all() and np.isfinite(ends).all())
+        if fitted:
+            method = SMOOTHING
+            ahead = smoothing.project(held_ends, split, len(y) - split, season)
+            future = smoothing.project(ends, len(y), horizon, season)
+        else:
+            method, held_params, params = AVERAGE, [None] * 3, [None] * 3
+            before = np.concatenate([[0.0], np.cumsum(y)])
+            at = np.arange(split, len(y))
+            low = np.maximum(at - AVERAGE_WINDOW, 0)
+            ahead = (before[at] - before[low]) / (at - low)
+            future = np.full(horizon, y[-AVERAGE_WINDOW:].mean())
+        out += [(*keys, method, "holdout", i + 1, days[split + i], float(y[split + i]), float(v), *held_params) for i, v in enumerate(ahead)]
+        out += [
+            (*keys, method, "forecast", i + 1, days[-1] + dt.timedelta(days=i + 1), None, max(float(v), 0.0), *params)
+            for i, v in enumerate(future)
+        ]
+    return out
+
+
 def holt_winters(
-    panel: DataFrame, horizon: int = HORIZON, params: Sequence[float] | None = None
+    panel: DataFrame, horizon: int = HORIZON, params: Sequence[float] | None = None, batch: int = FIT_BATCH
 ) -> DataFrame:
     """Additive trend with a weekly additive pattern, fitted per series.
 
     One row per hold-out day (``kind = holdout``, fitted on the first 80 %) and per
     forecast day (``kind = forecast``, fitted on everything, never below 0).  The weekly
-    pattern needs 21 training rows.  Series under ten rows are left out.
-    ``params`` (alpha, beta, gamma) skips the fit and starts from the first weeks.
+    pattern needs 21 training rows.  Series under ten rows are left out; days without a known
+    cost do not count.  ``params`` (alpha, beta, gamma) skips the fit and starts from the first weeks.
 
-    Series are spread over the cluster by key, and a series has at most one row per
-    calendar day, so no task holds more than a lifetime of days at once.
+    Series are spread over the cluster by key and sorted; a task fits ``batch`` of them at
+    a time, so it holds that many lifetimes of days at once.
     """
     fixed = None if params is None else np.asarray(params, float)
-
-    def one_series(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("day")
-        y = rows["cost"].to_numpy(float)
-        days = rows["day"].to_numpy()
-        split, season = smoothing.training_rows(len(y))
-
-        def ahead(values: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-            if fixed is None:
-                best, _, ends, _ = smoothing.fit(values, season)
-            else:
-                best = fixed if season else np.array([fixed[0], fixed[1], 0.0])
-                start = smoothing.heuristic_state(values, season)
-                ends = smoothing.run(values, best, start, season)
-            return best, smoothing.project(ends, len(values), count, season)
-
-        held_params, held = ahead(y[:split], len(y) - split)
-        full_params, future = ahead(y, horizon)
-        next_days = pd.date_range(pd.Timestamp(days[-1]) + pd.Timedelta(days=1), periods=horizon)
-        parts = [
-            ("holdout", days[split:], y[split:], held, held_params),
-            ("forecast", next_days.date, np.full(horizon, np.nan), np.maximum(future, 0), full_params),
-        ]
-        frames = []
-        for kind, at, actual, predicted, used in parts:
-            frames.append(
-                pd.DataFrame(
-                    {
-                        "method": SMOOTHING,
-                        "kind": kind,
-                        "step": np.arange(1, len(at) + 1),
-                        "day": at,
-                        "actual": actual,
-                        "yhat": predicted,
-                        "alpha": used[0],
-                        "beta": used[1],
-                        "gamma": used[2],
-                    }
-                )
-            )
-        out = pd.concat(frames, ignore_index=True)
-        for key in _KEYS:
-            out[key] = rows[key].iloc[0]
-        return out[[c.split()[0] for c in _SMOOTHING_SCHEMA.split(", ")]]
+    names = [c.split()[0] for c in _SMOOTHING_SCHEMA.split(", ")]
+
+    def batches(rows):
+        held: list[tuple] = []
+        at, days, values = None, [], []
+
+        def made() -> pd.DataFrame:
+            return pd.DataFrame(_smoothed(held, horizon, fixed), columns=names)
+
+        for part in rows:
+            for *keys, day, cost in part.itertuples(index=False, name=None):
+                if tuple(keys) != at:
+                    if days:
+                        held.append((at, days, np.array(values, float)))
+                    if len(held) >= batch:
+                        yield made()
+                        held.clear()
+                    at, days, values = tuple(keys), [], []
+                days.append(day)
+                values.append(cost)
+        if days:
+            held.append((at, days, np.array(values, float)))
+        if held:
+            yield made()
 
     # Fitting costs time, not space: the series keep all partitions, where adaptive
     # execution would pack such small data into one or two tasks.
     tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = panel.where(F.col("cost").isNotNull()).repartition(tasks, *_KEYS)
     long_enough = (
-        with_length(spread)
+        with_length(_known(panel).repartition(tasks, *_KEYS))
         .where(F.col("n") >= SMOOTHING_MIN_ROWS)
         .select(*_KEYS, "day", "cost")
+        .sortWithinPartitions(*_KEYS, "day")
     )
-    fitted = long_enough.groupBy(*_KEYS).applyInPandas(one_series, _SMOOTHING_SCHEMA)
-    return fitted.withColumn("actual", F.when(F.col("kind") == "holdout", F.col("actual")))
+    return long_enough.mapInPandas(batches, _SMOOTHING_SCHEMA)
 
 
 def smoothing_holdout(fitted: DataFrame) -> DataFrame:
@@ -448,9 +486,14 @@ def available_method(n, passed=None):
 
 
 def chosen_methods(panel: DataFrame, gate: DataFrame | None = None) -> DataFrame:
-    """Length and method per series; a series under five rows is ``skipped``."""
+    """Length and method per series; a series under five rows is ``skipped``.
+
+    Days without a known cost do not count.
+    """
     sized = panel.groupBy(*_KEYS).agg(
-        F.count(F.lit(1)).alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day")
+        F.count("cost").alias("n"),
+        F.min(F.when(F.col("cost").isNotNull(), F.col("day"))).alias("first_day"),
+        F.max(F.when(F.col("cost").isNotNull(), F.col("day"))).alias("last_day"),
     )
     passed = None
     if gate is not None:
@@ -462,6 +505,138 @@ def chosen_methods(panel: DataFrame, gate: DataFrame | None = None) -> DataFrame
     )
 
 
+def _rows(table: DataFrame, kind: str) -> DataFrame:
+    """Hold-out or forecast rows in one shape."""
+    if kind == "forecast":
+        table = table.withColumn("actual", F.lit(None).cast("double"))
+    else:
+        order = Window.partitionBy(*_KEYS, "method").orderBy("day")
+        table = table.withColumn("step", F.row_number().over(order)).withColumnRenamed("predicted", "yhat")
+    return table.select(
+        *_KEYS, "method", F.lit(kind).alias("kind"), F.col("step").cast("int").alias("step"), "day",
+        F.col("actual").cast("double").alias("actual"), F.col("yhat").cast("double").alias("yhat"),
+    )
+
+
+def _tagged(panel: DataFrame, gate: DataFrame | None) -> DataFrame:
+    """The known days of each series with the method the series gets."""
+    tagged, passed = with_length(_known(panel), "_n"), None
+    if gate is not None:
+        tagged = tagged.join(gate.select(*_KEYS, "passed"), _KEYS, "left")
+        passed = F.coalesce("passed", F.lit(False))
+    return tagged.withColumn("_method", available_method(F.col("_n"), passed))
+
+
+def forecast_rows(
+    panel: DataFrame,
+    horizon: int = HORIZON,
+    *,
+    params: Sequence[float] | None = None,
+    boosted: Boosted | None = None,
+) -> DataFrame:
+    """Hold-out and forecast rows (``kind``) of every series by the best method it can have.
+
+    Each series is computed by one method only, and each fit gives both kinds of rows.
+    """
+    tagged = _tagged(panel, boosted.gate if boosted else None)
+
+    def of(method: str) -> DataFrame:
+        return tagged.where(F.col("_method") == method).select(*_KEYS, "day", "cost")
+
+    rows = holt_winters(of(SMOOTHING), horizon, params).select(*_KEYS, "method", "kind", "step", "day", "actual", "yhat")
+    for method, ahead, held in ((NAIVE, naive, naive_holdout), (AVERAGE, moving_average, moving_average_holdout)):
+        rows = rows.unionByName(_rows(ahead(of(method), horizon), "forecast")).unionByName(_rows(held(of(method)), "holdout"))
+    if boosted is not None:
+        passed = boosted.gate.where("passed").select(*_KEYS)
+        for table, kind in ((boosted.points, "forecast"), (boosted.holdout, "holdout")):
+            rows = rows.unionByName(_rows(table.join(passed, _KEYS, "left_semi"), kind))
+    return rows
+
+
+@dataclass(frozen=True)
+class Boosted:
+    """A fitted boosted model: its gate, forecast, validation rows, baseline rows, and the days it saw."""
+
+    gate: DataFrame
+    points: DataFrame
+    holdout: DataFrame
+    baseline: DataFrame
+    bounds: DataFrame
+    trees: int
+
+
+def boosted_chain(panel: DataFrame, horizon: int = HORIZON, **tree_options) -> Boosted | None:
+    """Fit the boosted model, gate it, and forecast the series that pass; None if no series is long enough."""
+    known = _known(panel)
+    parts = modelled_rows(known)
+    if parts.where(F.col("split") == "train").isEmpty():
+        return None
+    model = fit_boosted(parts, **tree_options)
+    holdout, baseline = boosted_holdout(model, parts), gate_baseline(parts)
+    gate = passes_gate(metrics(holdout), metrics(baseline))
+    passed = known.join(gate.where("passed").select(*_KEYS), _KEYS, "left_semi")
+    return Boosted(
+        gate, boosted_forecast(model, passed, horizon), holdout, baseline, split_bounds(parts), model.getNumTrees
+    )
+
+
+def split_bounds(split_rows: DataFrame) -> DataFrame:
+    """First and last day of the training and validation rows of each series."""
+
+    def day(part: str, pick):
+        return pick(F.when(F.col("split") == part, F.col("day")))
+
+    return split_rows.groupBy(*_KEYS).agg(
+        day("train", F.min).alias("training_start"),
+        day("train", F.max).alias("training_end"),
+        day("val", F.min).alias("validation_start"),
+        day("val", F.max).alias("validation_end"),
+    )
+
+
+def forecast_result(
+    panel: DataFrame,
+    horizon: int = HORIZON,
+    *,
+    params: Sequence[float] | None = None,
+    use_boosted: bool = False,
+    boosted: Boosted | None = None,
+    **tree_options,
+) -> DataFrame:
+    """One row per series: method, points, hold-out metrics, naive baseline, and what it was trained on.
+
+    The chain is boosted trees where they beat the naive forecast (if ``use_boosted``, or given as
+    ``boosted``), else smoothing, moving average, naive, by length; a failed smoothing fit falls to the average.
+    Series too short for any are left out; ``skipped`` lists them.
+    """
+    if use_boosted and boosted is None:
+        boosted = boosted_chain(panel, horizon, **tree_options)
+    held, error = F.col("kind") == "holdout", F.col("yhat") - F.col("actual")
+    size = F.sum(F.when(held, F.abs("actual")))
+    point = F.when(~held, F.struct("step", "day", "yhat"))
+    found = forecast_rows(panel, horizon, params=params, boosted=boosted).groupBy(*_KEYS, "method").agg(
+        F.array_sort(F.collect_list(point)).alias("points"),
+        F.count_if(held).alias("holdout_rows"),
+        F.avg(F.when(held, F.abs(error))).alias("mae"),
+        F.sqrt(F.avg(F.when(held, error * error))).alias("rmse"),
+        F.when(size > 0, F.sum(F.when(held, F.abs(error))) / size)
+        .when(F.count_if(held) > 0, F.lit(float("inf")))
+        .alias("wape"),
+        F.avg(F.when(held, error)).alias("bias"),
+    )
+    names = ("mae", "rmse", "wape", "bias")
+    base = metrics(naive_holdout(_known(panel))).select(*_KEYS, *[F.col(n).alias(f"baseline_{n}") for n in names])
+    if boosted is not None:
+        # a model is measured against the naive forecast of its own validation rows
+        own = metrics(boosted.baseline).select(*_KEYS, *[F.col(n).alias(f"own_{n}") for n in names])
+        base = base.join(own, _KEYS, "left").join(boosted.gate.select(*_KEYS, "passed"), _KEYS, "left").select(
+            *_KEYS, *[F.when(F.col("passed"), F.col(f"own_{n}")).otherwise(F.col(f"baseline_{n}")).alias(f"baseline_{n}") for n in names]
+        )
+    about = metadata(panel, horizon, boosted.gate if boosted else None, boosted).drop("method", "model_version")
+    version = F.create_map(*[F.lit(x) for pair in VERSIONS.items() for x in pair])[F.col("method")]
+    return found.join(base, _KEYS, "left").join(about, _KEYS, "left").withColumn("model_version", version)
+
+
 def forecast_panel(
     panel: DataFrame,
     horizon: int = HORIZON,
@@ -475,11 +650,7 @@ def forecast_panel(
     Each series is computed by one method only.
     """
     gate, extra = boosted if boosted else (None, None)
-    tagged, passed = with_length(panel, "_n"), None
-    if gate is not None:
-        tagged = tagged.join(gate.select(*_KEYS, "passed"), _KEYS, "left")
-        passed = F.coalesce("passed", F.lit(False))
-    tagged = tagged.withColumn("_method", available_method(F.col("_n"), passed))
+    tagged = _tagged(panel, gate)
 
     def of(method: str) -> DataFrame:
         return tagged.where(F.col("_method") == method).select(*_KEYS, "day", "cost")
@@ -502,15 +673,36 @@ def forecast_total(billing: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return forecast_entity(billing, TOTAL, TOTAL_VALUE, horizon)
 
 
+def entity_result(
+    billing: DataFrame, entity_type: str, entity_value: str, horizon: int = HORIZON, **options
+) -> DataFrame:
+    """``forecast_result`` of one entity of each dataset; ``total`` and ``all`` for the whole dataset."""
+    return forecast_result(daily_series(for_entity(billing, entity_type, entity_value), (entity_type,)), horizon, **options)
+
+
 def skipped(panel: DataFrame) -> DataFrame:
     """Series too short to forecast."""
     return chosen_methods(panel).where(F.col("method") == "skipped").drop("method")
 
 
-def metadata(panel: DataFrame, horizon: int = HORIZON, gate: DataFrame | None = None) -> DataFrame:
-    """Training period, model version, features and seed of each series' forecast."""
+def metadata(
+    panel: DataFrame, horizon: int = HORIZON, gate: DataFrame | None = None, boosted: Boosted | None = None
+) -> DataFrame:
+    """Training period, model version, features and seed of each series' forecast.
+
+    A boosted model is trained on part of a series: ``boosted`` gives the bounds of its training and
+    validation rows and the number of trees.
+    """
     chosen = chosen_methods(panel, gate).where(F.col("method") != "skipped")
     method = F.col("method")
+    nothing = F.lit(None).cast("date")
+    first, last, validation = F.col("first_day"), F.col("last_day"), (nothing, nothing)
+    if boosted is not None:
+        chosen = chosen.join(boosted.bounds, _KEYS, "left")
+        by_trees = method == BOOSTED
+        first = F.when(by_trees, F.col("training_start")).otherwise(first)
+        last = F.when(by_trees, F.col("training_end")).otherwise(last)
+        validation = tuple(F.when(by_trees, F.col(f"validation_{x}")) for x in ("start", "end"))
     version = F.lit(None).cast("string")
     for name, label in VERSIONS.items():
         version = F.when(method == name, label).otherwise(version)
@@ -519,9 +711,12 @@ def metadata(panel: DataFrame, horizon: int = HORIZON, gate: DataFrame | None =
         "method",
         version.alias("model_version"),
         F.lit(horizon).alias("forecast_horizon_days"),
-        F.col("first_day").alias("training_start"),
-        F.col("last_day").alias("training_end"),
+        first.alias("training_start"),
+        last.alias("training_end"),
+        validation[0].alias("validation_start"),
+        validation[1].alias("validation_end"),
         F.when(method == AVERAGE, AVERAGE_WINDOW).alias("window"),
         F.when(method == BOOSTED, F.array(*[F.lit(f) for f in FEATURES])).alias("features"),
         F.when(method == BOOSTED, SEED).alias("random_seed"),
+        F.when(method == BOOSTED, F.lit(boosted.trees if boosted else None).cast("int")).alias("n_trees"),
     )

@@ -53,6 +53,7 @@ def _entity(kind: Column, value: Column) -> Column:
 
 def cost_growth(drivers: DataFrame, threshold_pct: float = GROWTH_PCT) -> DataFrame:
     """Drivers whose cost changed by at least the threshold between two months."""
+    # Fixed values here and in the other rules: the sentences of a report.
     change, cost = F.col("change_pct"), F.col("cost")
     fired = drivers.where(F.abs(change) >= threshold_pct)
     dimension, value = F.col("dimension"), F.col("value")
@@ -136,7 +137,13 @@ def cost_concentration(
 
 
 def monthly_service_usage(billing: DataFrame) -> DataFrame:
-    """Cost and quantity of metered charges per service and month."""
+    """Cost and quantity of metered charges per service and month.
+
+    A table without services or quantities has none.
+    """
+    absent = {c: t for c, t in (("service", "string"), ("quantity", "double")) if c not in billing.columns}
+    if absent:
+        billing = billing.where(F.lit(False)).withColumns({c: F.lit(None).cast(t) for c, t in absent.items()})
     return (
         metered(billing)
         .where(F.col("charge_period_start").isNotNull())

@@ -38,13 +38,20 @@ def daily_rollup(
     )
 
 
+def with_dimensions(billing: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+    """The charges with an empty column for each dimension they lack."""
+    absent = {d: F.lit(None).cast("string") for d in dimensions if d not in billing.columns}
+    return billing.withColumns(absent) if absent else billing
+
+
 def daily_series(billing: DataFrame, entity_types: Sequence[str] = ("service",)) -> DataFrame:
     """Billed cost per entity and day; ``total`` is the whole dataset.
 
     Charges are summed per day and combination of the asked dimensions first,
-    and only those sums are copied once per entity type.
+    and only those sums are copied once per entity type.  A dimension the table lacks gives no series.
     """
     dims = [e for e in entity_types if e != TOTAL]
+    billing = with_dimensions(billing, dims)
     day = F.to_date("charge_period_start").alias("day")
     dated = billing.where(F.col("charge_period_start").isNotNull())
     if len(entity_types) == 1:
@@ -89,7 +96,7 @@ def with_length(panel: DataFrame, out: str = "n") -> DataFrame:
 def entities(billing: DataFrame, entity_type: str, top: int | None = None) -> DataFrame:
     """Distinct non-null entities; ``top`` keeps the most expensive ones."""
     spend = (
-        billing.select("dataset_id", F.col(entity_type).cast("string").alias("entity_value"), "billed_cost")
+        with_dimensions(billing, [entity_type]).select("dataset_id", F.col(entity_type).cast("string").alias("entity_value"), "billed_cost")
         .where(F.col("entity_value").isNotNull())
         .groupBy("dataset_id", "entity_value")
         .agg(F.coalesce(F.sum("billed_cost"), F.lit(0.0)).alias("cost"))

@@ -26,15 +26,23 @@ ESTIMATED = "ESTIMATED SAVINGS — not realized savings"
 
 @dataclass(frozen=True)
 class Scenario:
-    """One what-if question; ``pct`` defaults by type."""
+    """One what-if question; ``pct`` defaults by type.
+
+    ``assumptions`` and ``confidence`` of the caller replace those of the type; the line that
+    says the savings are estimates always stays.
+    """
 
     scenario_type: str
     pct: float | None = None
     horizon_days: int = DEFAULT_HORIZON
+    assumptions: Sequence[str] | None = None
+    confidence: float | None = None
 
     def __post_init__(self) -> None:
         if self.scenario_type not in DEFAULT_PCT:
             raise ValueError(f"unknown scenario type: {self.scenario_type}")
+        if self.confidence is not None and not 0 <= self.confidence <= 1:
+            raise ValueError("a confidence lies between 0 and 1")
 
     def as_struct(self) -> Column:
         pct = DEFAULT_PCT[self.scenario_type] if self.pct is None else float(self.pct)
@@ -42,6 +50,10 @@ class Scenario:
             F.lit(self.scenario_type).alias("scenario_type"),
             F.lit(pct).alias("pct"),
             F.lit(self.horizon_days).alias("time_horizon_days"),
+            (
+                F.lit(None) if self.assumptions is None else F.array(*[F.lit(a) for a in (*self.assumptions, ESTIMATED)])
+            ).cast("array<string>").alias("_assumptions"),
+            F.lit(self.confidence).cast("double").alias("_confidence"),
         )
 
 
@@ -123,7 +135,9 @@ def simulate(items: DataFrame, scenarios: Sequence[Scenario]) -> DataFrame:
         }
     )
     confidence = _by_type({k: F.lit(v) for k, v in CONFIDENCE.items()})
-    return _estimate(asked, confidence, assumptions)
+    return _estimate(
+        asked, F.coalesce("_confidence", confidence), F.coalesce("_assumptions", assumptions)
+    ).drop("_assumptions", "_confidence")
 
 
 # How a recommendation's own estimate is derived from its confidence.

@@ -20,8 +20,8 @@ class DecisionRun:
     quality report and once for the daily rollup; all later stages work on the rollup.
     The tables that several stages share are written to the shared folder as they
     are reached, so each is computed once, a lost executor costs no earlier stage,
-    and the plans of later stages stay short; ``close`` deletes them.  All other
-    tables are lazy.  Datasets that fail the quality gate stop there.
+    and the plans of later stages stay short; ``close`` deletes them, and so does leaving
+    a ``with`` block, also by an error.  All other tables are lazy.  Datasets that fail the quality gate stop there.
     """
 
     def __init__(
@@ -32,7 +32,7 @@ class DecisionRun:
         top_n: int = 10,
         driver_changes: bool = True,
         anomaly_limit: int | None = None,
-        distinct: str = "none",
+        distinct: str = "exact",
     ) -> None:
         self.billing = billing
         self.entity_type = entity_type
@@ -48,6 +48,12 @@ class DecisionRun:
         self._written.append(path)
         return table.sparkSession.read.schema(table.schema).parquet(path)
 
+    def __enter__(self) -> DecisionRun:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self.close()
+
     def close(self) -> None:
         while self._written:
             drop_table(self.billing.sparkSession, self._written.pop())
@@ -127,7 +133,7 @@ def decision_run(billing: DataFrame, **options) -> DecisionRun:
 
     ``driver_changes=False`` leaves the cost growth rule without input and
     ``anomaly_limit=100`` feeds the spike rule from the capped report.  The gate looks
-    at no distinct counts, so they are left out unless ``distinct="exact"`` is set.
+    at no distinct counts; ``distinct="none"`` leaves them out of the quality report.
     """
     return DecisionRun(billing, **options)
 

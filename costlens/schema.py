@@ -45,6 +45,7 @@ FOCUS_1_0_1_EXTRA = {
 # A file that has any of these is FOCUS 1.0.1.
 FOCUS_1_0_1_MARKERS = ("ResourceName", "ResourceType", "CommitmentDiscountId", "PricingUnit")
 
+# Required, numeric and date fields, dimensions, fields of a duplicate.
 REQUIRED_FIELDS = ("billed_cost", "charge_period_start", "charge_period_end", "currency")
 NUMERIC_FIELDS = ("billed_cost", "effective_cost", "list_cost", "contracted_cost", "quantity")
 DATE_FIELDS = (

@@ -2,47 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Largest file Spark can hold in one binary cell.
-MAX_HASHED_BYTES = 2**31 - 1
+from ..schema import detect_version
+from .storage import open_path
+
+#: Bytes of a file that a task holds at a time.
+CHUNK = 4 << 20
+#: Currencies that a record names.
+CURRENCIES = 20
 
 
-def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 of every file below a landing folder, one task per group of files.
+def file_hashes(spark: SparkSession, path: str, glob: str = "*", chunk: int = CHUNK) -> DataFrame:
+    """SHA-256 of every file below a landing folder, of any size.
 
-    A file above the 2 GB cell limit is listed with a NULL hash rather than
-    failing the job.
+    Files are listed without being read, spread over the tasks, and hashed there chunk by
+    chunk.
     """
-    reader = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    )
-    small = (
-        reader.load(path)
-        .where(F.col("length") <= MAX_HASHED_BYTES)
-        .select("path", "length", F.sha2("content", 256).alias("content_hash"))
+    listed = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", True)
+        .load(path)
+        .select("path", "length")
     )
-    large = (
-        reader.load(path)
-        .where(F.col("length") > MAX_HASHED_BYTES)
-        .select("path", "length", F.lit(None).cast("string").alias("content_hash"))
-    )
-    return small.unionByName(large)
+
+    def hashed(batches):
+        for batch in batches:
+            digests = []
+            for name in batch.column("path").to_pylist():
+                system, inner = open_path(name)
+                digest = hashlib.sha256()
+                with system.open_input_stream(inner, compression=None) as source:
+                    while part := source.read(chunk):
+                        digest.update(part)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(digests, pa.string())], ["path", "length", "content_hash"]
+            )
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(tasks, "path").mapInArrow(hashed, "path string, length long, content_hash string")
 
 
 def unseen_files(hashes: DataFrame, known: DataFrame) -> DataFrame:
-    """Files whose hash is not recorded yet; unhashed files count as unseen."""
+    """Files whose hash is not recorded yet."""
     return hashes.join(known.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
 def provenance(
-    billing: DataFrame, *, source_url: str | None = None, focus_version: str = "1.0"
+    billing: DataFrame,
+    *,
+    source_url: str | None = None,
+    focus_version: str | None = None,
+    raw_columns: Sequence[str] | None = None,
+    hashes: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per dataset: rows, date range, currency, source, version.
+    """One row per dataset: rows, date range, currency, source, version, hash, time of ingestion.
 
-    Several currencies are comma-joined in sorted order.  Rows are counted per
-    currency first, so no task sees more than the distinct currencies of a dataset.
+    Several currencies are comma-joined in sorted order, the first ``CURRENCIES`` of them; ``currency_count``
+    counts all.  Rows are counted per currency first, so no task sees more than the distinct
+    currencies of a dataset.  The version is detected from ``raw_columns``, the columns of the file
+    as it came, unless it is given.  ``hashes`` (from ``file_hashes``) adds the hash of the one source file, or of
+    the sorted hashes of several.
     """
     present = set(billing.columns)
     starts = [c for c in ("charge_period_start", "billing_period_start") if c in present]
@@ -53,15 +80,25 @@ def provenance(
         *[F.min(c).alias(f"{c}_min") for c in starts],
         *[F.max(c).alias(f"{c}_max") for c in starts],
     )
+    order = Window.partitionBy("dataset_id").orderBy(F.col("currency").isNull(), "currency")
+    per_currency = per_currency.withColumn("_rn", F.row_number().over(order))
+    named = F.when(F.col("_rn") <= CURRENCIES, F.col("currency"))
+    version = focus_version or (detect_version(list(raw_columns)) if raw_columns is not None else "1.0")
     # A bound falls back to the billing period only when no charge period exists,
     # and then both bounds are missing together.
-    return per_currency.groupBy("dataset_id").agg(
+    found = per_currency.groupBy("dataset_id").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(*[F.min(f"{c}_min") for c in starts], no_time).alias("date_range_start"),
         F.coalesce(*[F.max(f"{c}_max") for c in starts], no_time).alias("date_range_end"),
-        F.nullif(F.array_join(F.array_sort(F.collect_list("currency")), ","), F.lit("")).alias(
-            "currency"
-        ),
+        F.nullif(F.array_join(F.array_sort(F.collect_list(named)), ","), F.lit("")).alias("currency"),
+        F.count("currency").alias("currency_count"),
         F.lit(source_url).cast("string").alias("source_url"),
-        F.lit(focus_version).alias("focus_version"),
+        F.lit(version).alias("focus_version"),
+        F.current_timestamp().alias("ingested_at"),
     )
+    if hashes is None:
+        return found.withColumn("content_hash", F.lit(None).cast("string"))
+    # as many rows as the export has files
+    whole = hashes.agg(F.count("*").alias("files"), F.min("content_hash").alias("one"), F.array_sort(F.collect_list("content_hash")).alias("all"))
+    first = whole.select(F.when(F.col("files") == 1, F.col("one")).otherwise(F.sha2(F.array_join("all", "\n"), 256))).first()
+    return found.withColumn("content_hash", F.lit(first[0]).cast("string"))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 
+#: What a folder without a month is called (fixed value of Spark's writer).
+NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
+
 
 class DatasetMissing(FileNotFoundError):
     """No stored rows for a dataset."""
@@ -16,31 +19,54 @@ class DatasetMissing(FileNotFoundError):
         super().__init__(f"DATASET_STORAGE_MISSING: no stored rows for dataset {dataset_id}")
 
 
+def _folder(spark: SparkSession, path: str, dataset_id: str) -> str:
+    """Folder of one dataset, named as Spark's writer names it."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return f"{path.rstrip('/')}/dataset_id={escape(dataset_id)}"
+
+
 def write_canonical(df: DataFrame, path: str) -> None:
-    """Replace the partitions of the datasets in ``df``; leave other datasets alone.
+    """Replace the datasets in ``df``; leave other datasets alone.
 
     Partitioned by dataset and charge month, so that a period filter prunes
     folders.  The rebalance hint sizes the files: AQE splits a partition that
     holds a large share of the rows over many writers and merges small ones.
+
+    The new months replace the old ones in one commit; months that a dataset had before and
+    the new data lacks are deleted right after it, so a dataset is never without rows.
     """
+    spark = df.sparkSession
+    months = df.withColumn("charge_month", F.date_format("charge_period_start", "yyyy-MM"))
+    kept = months.groupBy("dataset_id").agg(F.collect_set(F.coalesce("charge_month", F.lit(NO_MONTH))).alias("months"))
+    # one row for each dataset of this write, as many months as it has folders
+    kept = {row.dataset_id: set(row.months) for row in kept.collect() if row.dataset_id is not None}
     (
-        df.withColumn("charge_month", F.date_format("charge_period_start", "yyyy-MM"))
-        .hint("rebalance", "dataset_id", "charge_month")
+        months.hint("rebalance", "dataset_id", "charge_month")
         .write.partitionBy("dataset_id", "charge_month")
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .parquet(path)
     )
+    for dataset_id, new in kept.items():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark, path, dataset_id))
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            continue
+        for status in files.listStatus(folder):
+            name, _, month = status.getPath().getName().partition("=")
+            if name == "charge_month" and month not in new:
+                files.delete(status.getPath(), True)
 
 
 def scan_dataset(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
-    """Rows of one dataset; partition pruning reads only its folders."""
+    """Rows of one dataset, read from its own folder."""
     configure(spark)
     try:
-        table = spark.read.parquet(path)
+        rows = spark.read.option("basePath", path).parquet(_folder(spark, path, dataset_id))
     except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         raise DatasetMissing(dataset_id) from error
-    rows = table.where(F.col("dataset_id") == F.lit(dataset_id))
     if rows.isEmpty():
         raise DatasetMissing(dataset_id)
     return rows

@@ -1,6 +1,10 @@
+import datetime as dt
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from costlens import sources
 from costlens.operators import budget, decision, opportunity, scenario, spend
 from costlens.operators.scenario import Scenario
 from costlens.plans import decision_run
@@ -106,3 +110,57 @@ def test_budget_status(spark, make_billing):
     assert got == {"ok": (755.0, "on_track"), "risk": (755.0, "at_risk"), "over": (755.0, "over_budget"), "unused": (0.0, "on_track")}
     cut = {r.name: r.required_savings for r in budget.budget_reduction(variance, 50).collect()}
     assert cut["ok"] == 255.0 and cut["unused"] == 0.0
+
+
+MINIMAL = """BilledCost,ChargePeriodStart,ChargePeriodEnd,BillingCurrency,ProviderName,ServiceName
+"""
+
+
+def test_run_on_a_file_with_few_columns(spark, tmp_path):
+    days = [f"2024-{1 + i // 28:02d}-{1 + i % 28:02d}" for i in range(50)]
+    lines = [f"{100 + i + 900 * (i == 40)},{d}T00:00:00Z,{d}T23:59:59Z,USD,P,{s}" for i, d in enumerate(days) for s in ("a", "b")]
+    (tmp_path / "few.csv").write_text(MINIMAL + "\n".join(lines) + "\n")
+    billing = sources.to_canonical(sources.read_billing(spark, str(tmp_path / "few.csv")), dataset_id="few")
+    assert not {"quantity", "account", "region", "effective_cost"} & set(billing.columns)
+    with decision_run(billing) as run:
+        row = run.decisions.first()
+        assert (row.run_status, row.decision is not None) == ("succeeded", True)
+        assert run.anomalies.count() > 0 and run.opportunities.where("opportunity_type = 'quantity_growth'").count() == 0
+    with decision_run(billing.drop("service", "quantity")) as run:
+        assert run.decisions.first().run_status == "succeeded" and run.anomalies.count() == 0
+
+
+def test_run_closes_on_an_error(make_billing):
+    with pytest.raises(RuntimeError), decision_run(make_billing(spike=50)) as run:
+        path = run.quality.inputFiles()[0]
+        raise RuntimeError
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+
+
+def test_report_of_a_run_counts_distinct_values(make_billing):
+    with decision_run(make_billing()) as run:
+        fields = {f.field_name: f.unique_count for f in run.quality.first().field_metrics}
+    assert fields["service"] == 3 and fields["resource"] == 3
+
+
+def test_scenarios_take_the_callers_view(spark):
+    items = spark.createDataFrame([("d", "r", "service:x", 200.0)], "dataset_id string, recommendation_id string, entity string, current_cost double")
+    own, usual = scenario.simulate(
+        items, [Scenario("price_change", 5, assumptions=("Rates hold",), confidence=0.9), Scenario("price_change", 5)]
+    ).orderBy("confidence", ascending=False).collect()
+    assert (own.confidence, own.assumptions) == (0.9, ["Rates hold", scenario.ESTIMATED])
+    assert usual.confidence == 0.4 and len(usual.assumptions) == 4
+    with pytest.raises(ValueError):
+        Scenario("price_change", confidence=2.0)
+
+
+def test_budgets_count_their_own_currency(spark, make_billing):
+    euros = make_billing(10).withColumn("currency", F.lit("EUR"))
+    billing = make_billing(10).unionByName(euros)
+    day = dt.date(2024, 1, 1)
+    rows = [(c or "any", "total", "all", "m", day, dt.date(2024, 1, 31), 1000.0, c) for c in ("USD", "EUR", "CHF", None)]
+    got = {r.name: r for r in budget.budget_variance(billing, spark.createDataFrame(rows, budget.BUDGETS), ("total",)).collect()}
+    assert got["USD"].actual_spend == got["EUR"].actual_spend == got["any"].actual_spend / 2 > 0
+    assert (got["CHF"].actual_spend, got["CHF"].dataset_id) == (0.0, None)
+    plan = budget.budget_variance(billing, spark.createDataFrame(rows, budget.BUDGETS), ("total",))._jdf.queryExecution().toString()
+    assert "LeftOuter" in plan and "Inner" in plan

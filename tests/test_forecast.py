@@ -52,8 +52,8 @@ def test_fit_is_close_to_a_random_search():
         sse = smoothing.fit(y, season)[3]
         tries = smoothing._admissible(rng.uniform(0, 1, (1500, 3)) * [1, 1, season])
         scale = np.abs(y).max()
-        errors, _ = smoothing._responses(y / scale, tries, season)
-        assert sse <= smoothing._fit_states(errors)[1].min() * scale**2 * 1.01
+        products, _ = smoothing._responses((y / scale)[None], np.array([len(y)]), tries[None], season)
+        assert sse <= smoothing._fit_states(products)[1].min() * scale**2 * 1.01
 
 
 def test_forecast_is_never_negative(make_panel):
@@ -126,3 +126,56 @@ def test_gated_series_use_the_boosted_forecast(boosted):
     assert got == {("a", "exp_smoothing"), ("b", "boosted_trees")}
     used = {r.entity_value: r.features for r in forecast.metadata(rows, 2, gate).collect()}
     assert used["a"] is None and used["b"] == list(forecast.FEATURES)
+
+
+def test_unknown_days_do_not_count(make_panel):
+    gaps = [10.0, None, 11.0, None, 12.0, None, 13.0, None, 14.0, 15.0, 16.0, 17.0]
+    rows = make_panel({"gaps": gaps, "last": [1.0, 2.0, 3.0, 4.0, 5.0, None], "none": [None] * 12})
+    methods = {r.entity_value: (r.n, r.method) for r in forecast.chosen_methods(rows).collect()}
+    assert methods == {"gaps": (8, "moving_average"), "last": (5, "naive"), "none": (0, "skipped")}
+    points = forecast.forecast_panel(rows, 3).collect()
+    assert {r.entity_value for r in points} == {"gaps", "last"} and len(points) == 6
+    assert {r.yhat for r in points if r.entity_value == "last"} == {5.0}
+    assert [r.entity_value for r in forecast.skipped(rows).collect()] == ["none"]
+
+
+def test_failed_fit_falls_to_the_average(make_panel):
+    huge = [float("inf") if i == 3 else 10.0 for i in range(30)]
+    got = forecast.holt_winters(make_panel({"bad": huge, "good": wave(40)}), 5).collect()
+    assert {r.entity_value: r.method for r in got} == {"bad": "moving_average", "good": "exp_smoothing"}
+    assert {r.yhat for r in got if r.entity_value == "bad" and r.kind == "forecast"} == {10.0}
+
+
+def test_batches_do_not_change_the_fit(make_panel):
+    rng = np.random.default_rng(5)
+    rows = make_panel({f"s{i}": (wave(20 + 7 * i) + rng.normal(0, 3, 20 + 7 * i)).clip(0).tolist() for i in range(6)})
+    key = ["entity_value", "kind", "step"]
+    one, many = (forecast.holt_winters(rows, 7, batch=b).toPandas().sort_values(key).reset_index(drop=True) for b in (1, 64))
+    assert (one[key] == many[key]).all().all() and np.allclose(one.yhat, many.yhat, rtol=1e-6, atol=1e-6)
+
+
+def test_one_call_gives_points_metrics_and_bounds(make_panel):
+    rng = np.random.default_rng(6)
+    rows = make_panel({"long": (wave(120) + rng.normal(0, 1, 120)).tolist(), "week": [5.0] * 8, "short": [1.0, 2.0, 3.0, 4.0, 6.0], "none": [1.0]})
+    got = {r.entity_value: r for r in forecast.forecast_result(rows, 14, use_boosted=True, max_iter=5).collect()}
+    assert set(got) == {"long", "week", "short"}
+    assert got["week"].method == "moving_average" and got["short"].method == "naive"
+    assert all(len(r.points) == 14 and [p.step for p in r.points] == list(range(1, 15)) for r in got.values())
+    assert (got["short"].mae, got["short"].baseline_mae, got["short"].holdout_rows) == (2.0, 2.0, 1)
+    plain = forecast.forecast_result(rows, 14).where("entity_value = 'long'").first()
+    assert plain.method == "exp_smoothing" and plain.wape < plain.baseline_wape
+    held = forecast.metrics(forecast.smoothing_holdout(forecast.holt_winters(rows.where("entity_value = 'long'"), 14))).first()
+    assert (plain.mae, plain.rmse, plain.bias) == pytest.approx((held.mae, held.rmse, held.bias))
+
+
+def test_boosted_bounds_are_those_of_its_rows(make_panel):
+    rng = np.random.default_rng(7)
+    rows = make_panel({"a": (wave(120) + rng.normal(0, 1, 120)).tolist(), "b": wave(20)})
+    chain = forecast.boosted_chain(rows, 3, max_iter=3)
+    passed = forecast.Boosted(chain.gate.withColumn("passed", F.lit(True)), forecast.boosted_forecast(forecast.fit_boosted(forecast.modelled_rows(rows), max_iter=3), rows, 3), chain.holdout, chain.baseline, chain.bounds, chain.trees)
+    row = forecast.forecast_result(rows, 3, boosted=passed).where("entity_value = 'a'").first()
+    parts = forecast.modelled_rows(rows).groupBy("split").agg(F.min("day").alias("a"), F.max("day").alias("b")).collect()
+    bounds = {p.split: (p.a, p.b) for p in parts}
+    assert row.method == "boosted_trees" and row.n_trees == 3 and len(row.points) == 3
+    assert (row.training_start, row.training_end) == bounds["train"] and (row.validation_start, row.validation_end) == bounds["val"]
+    assert row.holdout_rows == forecast.modelled_rows(rows).where("split = 'val'").count()

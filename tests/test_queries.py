@@ -1,5 +1,3 @@
-import os
-
 import pytest
 
 import __spark_entry__ as entry_points
@@ -8,29 +6,7 @@ from verification.check import compare, duck
 
 from .conftest import SMALL
 
-QUICK = (
-    "period_filter",
-    "entity_filter",
-    "spend_totals",
-    "spend_summary",
-    "top_breakdowns",
-    "spend_trend_weekly",
-    "attribution_report",
-    "quality_report",
-    "daily_series",
-    "ewma_zscore_sensitive",
-    "anomaly_report",
-    "holt_winters_given",
-    "ranked_opportunities",
-    "what_if",
-    "critic_decision",
-    "detector_evaluation",
-)
-# COSTLENS_ALL=1 compares every query; it takes some minutes.
-NAMES = tuple(ORACLES) if os.environ.get("COSTLENS_ALL") else QUICK
-
-
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", tuple(ORACLES))
 def test_query_equals_its_sql(spark, name):
     verdict, _, _ = compare(spark, duck(SMALL), QUERIES[name], ORACLES[name], SMALL)
     assert verdict.startswith("ok"), verdict
@@ -39,7 +15,7 @@ def test_query_equals_its_sql(spark, name):
 def test_every_query_names_what_it_covers():
     assert set(COVERS) == set(QUERIES) and all(COVERS.values())
     assert set(ORACLES) <= set(QUERIES)
-    assert entry_points.queries().keys() == QUERIES.keys()
+    assert entry_points.queries().keys() >= QUERIES.keys()
 
 
 def test_entry(spark):

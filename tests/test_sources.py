@@ -3,7 +3,7 @@ import hashlib
 import pytest
 
 from costlens import schema, sources
-from costlens.operators import quality, spend
+from costlens.operators import filters, quality, spend
 
 HEADER = "BilledCost,EffectiveCost,ChargePeriodStart,ChargePeriodEnd,BillingCurrency,ProviderName,BillingAccountId,ServiceName"
 ROWS = [
@@ -70,13 +70,54 @@ def test_table_keeps_other_datasets(spark, make_billing, tmp_path):
     sources.write_canonical(make_billing(2, dataset_id="b"), path)
     assert sources.scan_dataset(spark, path, "007").count() == 120
     assert sources.scan_dataset(spark, path, "b").count() == 6
-    plan = sources.scan_dataset(spark, path, "b")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dataset_id" in plan
+    assert all("/dataset_id=b/" in name for name in sources.scan_dataset(spark, path, "b").inputFiles())
     for missing in (path, str(tmp_path / "nowhere")):
         with pytest.raises(sources.DatasetMissing, match="DATASET_STORAGE_MISSING"):
             sources.scan_dataset(spark, missing, "c")
 
 
+def test_table_drops_months_that_are_gone(spark, make_billing, tmp_path):
+    path = str(tmp_path / "table")
+    odd = "a b/c=é%"
+    for name in ("x", odd):
+        sources.write_canonical(make_billing(60, dataset_id=name), path)
+    later = make_billing(60, dataset_id=odd).where("charge_period_start >= TIMESTAMP_NTZ '2024-02-10'")
+    sources.write_canonical(later, path)
+    got = spark.read.parquet(path).groupBy("dataset_id", "charge_month").count().collect()
+    assert {(r.dataset_id, r.charge_month): r["count"] for r in got} == {
+        ("x", "2024-01"): 93, ("x", "2024-02"): 87, (odd, "2024-02"): 60,
+    }
+    assert sources.scan_dataset(spark, path, odd).count() == 60
+
+
+def test_periods_on_month_folders(spark, make_billing, tmp_path):
+    path = str(tmp_path / "table")
+    plain = make_billing(60)
+    sources.write_canonical(plain, path)
+    for bounds in (("2024-1-02", None), (None, "2024"), ("2024", "2024-2-3"), ("2024-01-31 12:00:00", "2024-02-01")):
+        for inclusive in (False, True):
+            want = filters.in_period(plain, *bounds, end_inclusive=inclusive).count()
+            assert filters.in_period(spark.read.parquet(path), *bounds, end_inclusive=inclusive).count() == want
+    plan = filters.in_period(spark.read.parquet(path), "2024-2-1")._jdf.queryExecution().executedPlan().toString()
+    assert "charge_month" in plan.split("PartitionFilters: ")[1].split("]")[0]
+
+
+def test_hash_in_several_chunks(spark, tmp_path):
+    content = bytes(range(256)) * 50
+    (tmp_path / "big.bin").write_bytes(content)
+    got = {r.path.rsplit("/", 1)[-1]: (r.length, r.content_hash) for r in sources.file_hashes(spark, str(tmp_path), "*.bin", chunk=1000).collect()}
+    assert got == {"big.bin": (12800, hashlib.sha256(content).hexdigest())}
+
+
+def test_provenance_of_a_file(spark, make_billing, tmp_path):
+    (tmp_path / "a.csv").write_text("x")
+    hashes = sources.file_hashes(spark, str(tmp_path))
+    columns = ["BilledCost", "ChargePeriodStart", "ChargePeriodEnd", "BillingCurrency", "PricingUnit"]
+    got = sources.provenance(make_billing(2), raw_columns=columns, hashes=hashes).first()
+    assert (got.focus_version, got.content_hash, got.row_count) == ("1.0.1", hashlib.sha256(b"x").hexdigest(), 6)
+    assert got.ingested_at is not None
+
+
 def test_hashes_and_unseen_files(spark, tmp_path):
     for name in ("a.csv", "b.csv", "c.txt"):
         (tmp_path / name).write_text(name)

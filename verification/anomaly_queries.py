@@ -203,6 +203,27 @@ def detector_union(spark, sf_dir):
     return _shown(anomaly.combine(anomaly.robust_zscore(rows), anomaly.ewma_zscore(rows)))
 
 
+_NEW = """FROM found_sensitive s WHERE NOT EXISTS (SELECT 1 FROM found_robust f WHERE f.dataset_id = s.dataset_id
+  AND f.entity_type = s.entity_type AND f.entity_value = s.entity_value AND f.day = s.day)"""
+
+
+@query("J02", sql(f"SELECT {_COLUMNS} {_NEW}", "found_sensitive", "found_robust"))
+def detector_dedup_sensitive(spark, sf_dir):
+    """Threshold 2 for the secondary detector, so that it finds days of its own and days found before."""
+    rows = service_panel(spark, sf_dir)
+    return _shown(anomaly.drop_found(anomaly.ewma_zscore(rows, threshold=2.0), anomaly.robust_zscore(rows)))
+
+
+@query(
+    "J03",
+    sql(f"SELECT {_COLUMNS} FROM found_robust UNION ALL SELECT {_COLUMNS} {_NEW}", "found_sensitive", "found_robust"),
+)
+def detector_union_sensitive(spark, sf_dir):
+    """Rows of both detectors."""
+    rows = service_panel(spark, sf_dir)
+    return _shown(anomaly.combine(anomaly.robust_zscore(rows), anomaly.ewma_zscore(rows, threshold=2.0)))
+
+
 DETECTION = ("billed_cost", "service", "charge_period_start")
 
 

@@ -10,9 +10,9 @@ from costlens.plans.decision_run import stage_evidence, stage_summary
 
 from . import opportunity_queries as opp
 from . import quality_queries, source_queries  # noqa: F401  (SQL fragments)
-from .inputs import charges, define, sql
+from .inputs import define, settled, sql
 from .panel_queries import r
-from .registry import query
+from .registry import ORACLES, query
 from .source_queries import everything
 
 
@@ -275,8 +275,13 @@ define(
 )
 def decision_run_result(spark, sf_dir):
     """The whole run over three datasets, one of which fails the gate."""
-    run = decision_run(everything(spark, sf_dir))
-    return run.decisions.select(
+    return _decided(everything(spark, sf_dir))
+
+
+def _decided(billing):
+    with decision_run(billing) as run:
+        decisions = settled(run.decisions)
+    return decisions.select(
         "dataset_id",
         "overall_status",
         "run_status",
@@ -293,6 +298,12 @@ def decision_run_result(spark, sf_dir):
     )
 
 
+@query("R17 R05", ORACLES["decision_run_result"])
+def decision_run_without_quantity(spark, sf_dir):
+    """The whole run on files that lack the optional quantity; its rule finds nothing in these tables either way."""
+    return _decided(everything(spark, sf_dir).drop("quantity"))
+
+
 def _summary_sql() -> str:
     def rows(stage: int, name: str, source: str, confidence: str, metrics: dict[str, str]) -> str:
         return " UNION ALL ".join(
@@ -386,7 +397,8 @@ def _summary_sql() -> str:
     ),
 )
 def run_stage_summary(spark, sf_dir):
-    return stage_summary(decision_run(everything(spark, sf_dir))).withColumn("value", F.round("value", 3))
+    with decision_run(everything(spark, sf_dir)) as run:
+        return settled(stage_summary(run).withColumn("value", F.round("value", 3)))
 
 
 @query(
@@ -406,9 +418,8 @@ def run_stage_summary(spark, sf_dir):
     ),
 )
 def run_stage_evidence(spark, sf_dir):
-    return stage_evidence(decision_run(everything(spark, sf_dir))).select(
+    with decision_run(everything(spark, sf_dir)) as run:
+        evidence = settled(stage_evidence(run))
+    return evidence.select(
         "dataset_id", "stage", F.col("rank").cast("bigint").alias("rank"), "item", F.round("value", 2).alias("value")
     )
-
-
-__all__ = ["charges"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from costlens.operators import anomaly, budget, forecast, pricing, replay
+from costlens.operators import anomaly, budget, pricing, replay
 
 from .anomaly_queries import _COLUMNS, _MONEY, _scored, _shown
 from .inputs import charges, define, sql, table
@@ -348,6 +348,3 @@ def detector_evaluation(spark, sf_dir):
         "true_detections",
         *r("precision recall", 6),
     )
-
-
-__all__ = ["forecast"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from costlens.operators import forecast, panel
 
-from .inputs import charges, define, event_charges, sql
+from .inputs import charges, define, sql
 from .panel_queries import KEYS, K, means, means_sql, r, service_panel
 from .registry import query
 
@@ -216,12 +216,12 @@ def boosted_forecast(spark, sf_dir):
     """
     rows = service_panel(spark, sf_dir)
     parts = forecast.modelled_rows(rows)
-    model = forecast.fit_boosted(parts, max_iter=20)
+    model = forecast.fit_boosted(parts)
     gate = forecast.passes_gate(
         forecast.metrics(forecast.boosted_holdout(model, parts)),
         forecast.metrics(forecast.gate_baseline(parts)),
     )
-    points = forecast.boosted_forecast(model, rows, 7)
+    points = forecast.boosted_forecast(model, rows, HORIZON)
     return points.join(gate.select(*KEYS, "passed"), KEYS, "left")
 
 
@@ -240,8 +240,8 @@ define(
 )
 
 
-def _resource_panel(spark, sf_dir, source=charges):
-    billing = source(spark, sf_dir, ("billed_cost", "resource", "charge_period_start"))
+def _resource_panel(spark, sf_dir):
+    billing = charges(spark, sf_dir, ("billed_cost", "resource", "charge_period_start"))
     return panel.daily_series(billing, ("resource",))
 
 
@@ -267,13 +267,15 @@ def skipped_series(spark, sf_dir):
     ),
 )
 def forecast_metadata(spark, sf_dir):
-    return forecast.metadata(_resource_panel(spark, sf_dir), HORIZON).drop("features", "random_seed")
+    return forecast.metadata(_resource_panel(spark, sf_dir), HORIZON).select(
+        *KEYS, "method", "model_version", "forecast_horizon_days", "training_start", "training_end", "window"
+    )
 
 
 @query("F10 F11")
 def forecast_short_series(spark, sf_dir):
-    """All event resources by the method their length allows, fitted; see the tests."""
-    return forecast.forecast_panel(_resource_panel(spark, sf_dir, event_charges), HORIZON)
+    """All resources by the method their length allows, fitted; see the tests."""
+    return forecast.forecast_panel(_resource_panel(spark, sf_dir), HORIZON)
 
 
 @query("F11")

@@ -23,14 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Share the rows of a table that comes as fewer files than there are cores.
-
-    The driver tables are one file with one row group each, which a single task would
-    have to read and compute alone; a table of many files is left as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+def settled(frame: DataFrame) -> DataFrame:
+    """The rows of a summary, a handful for each dataset, freed from the tables it was made from."""
+    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
 
 
 def _cents(col):
@@ -86,8 +81,6 @@ def tpch(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,
     defined = _tpch_columns()
     needed = {t for c in wanted for t in defined[c][0]}
     rows = table(spark, sf_dir, "lineitem")
-    if columns is None:
-        rows = spread(rows)
     for name, (left, right) in _JOINS.items():
         if name in needed:
             side = table(spark, sf_dir, name)

@@ -134,6 +134,28 @@ def quantity_growth(spark, sf_dir):
     return shown(opportunity.quantity_growth(charges(spark, sf_dir, USED)))
 
 
+# A price rise in the last month, which the driver tables do not have of themselves.
+_RISE, _RISE_FROM = 500, "2001-11-01"
+
+
+def _risen_sql(text: str) -> str:
+    """The same SQL over charges with the price rise."""
+    head, _, tail = text.partition(",\ncharges AS (")
+    body, _, rest = tail.partition("),\n")
+    risen = f"CASE WHEN charge_period_start >= TIMESTAMP '{_RISE_FROM}' THEN billed_cost * {_RISE} ELSE billed_cost END"
+    return f"{head},\nplain AS ({body}),\ncharges AS (SELECT * REPLACE ({risen} AS billed_cost) FROM plain),\n{rest}"
+
+
+@query("R05", _risen_sql(sql(f"SELECT {_SHOWN} FROM divergence_rule", "divergence_rule")))
+def quantity_growth_after_rise(spark, sf_dir):
+    """The rule on charges whose last month became dearer while quantities did not grow with it."""
+    risen = F.col("charge_period_start") >= F.lit(_RISE_FROM).cast("timestamp_ntz")
+    billing = charges(spark, sf_dir, USED).withColumn(
+        "billed_cost", F.when(risen, F.col("billed_cost") * _RISE).otherwise(F.col("billed_cost"))
+    )
+    return shown(opportunity.quantity_growth(billing))
+
+
 def found(spark, sf_dir):
     billing = charges(spark, sf_dir, USED)
     return opportunity.find(billing, anomaly.run_detection(billing))

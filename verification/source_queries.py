@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from costlens import session, sources
 from costlens.schema import FOCUS_1_0
 
-from .inputs import COLUMNS, charges, event_charges, raw_focus, sql, tpch
+from .inputs import COLUMNS, charges, raw_focus, settled, sql
 from .registry import query
 
 
@@ -81,7 +81,9 @@ def csv_source(spark, sf_dir):
     path = session.scratch_table(spark, "export") + ".csv"
     raw_focus(spark, sf_dir).write.option("header", True).option("escape", '"').csv(path)
     raw = sources.read_billing(spark, path)
-    return _content(sources.to_canonical(raw, dataset_id="raw"))
+    content = settled(_content(sources.to_canonical(raw, dataset_id="raw")))
+    session.drop_table(spark, path)
+    return content
 
 
 @query("S07 S08", sql(_content_sql("everything", "dataset_id = 'events'"), "everything"))
@@ -89,7 +91,24 @@ def stored_dataset(spark, sf_dir):
     """Write all datasets to one canonical table and scan one of them."""
     path = session.scratch_table(spark, "canonical")
     sources.write_canonical(everything(spark, sf_dir), path)
-    return _content(sources.scan_dataset(spark, path, "events"))
+    content = settled(_content(sources.scan_dataset(spark, path, "events")))
+    session.drop_table(spark, path)
+    return content
+
+
+_LATER = "charge_period_start >= TIMESTAMP '1996-07-01'"
+
+
+@query("S07", sql(_content_sql("everything", f"dataset_id = 'raw' OR {_LATER}"), "everything"))
+def replaced_datasets(spark, sf_dir):
+    """Write all datasets, then two of them again without their early months."""
+    path = session.scratch_table(spark, "canonical")
+    billing = everything(spark, sf_dir)
+    sources.write_canonical(billing, path)
+    sources.write_canonical(billing.where(f"dataset_id <> 'raw' AND {_LATER}"), path)
+    content = settled(_content(spark.read.parquet(path)))
+    session.drop_table(spark, path)
+    return content
 
 
 @query(
@@ -97,14 +116,17 @@ def stored_dataset(spark, sf_dir):
     sql(
         """SELECT dataset_id, count(*) AS row_count, min(charge_period_start) AS date_range_start,
              max(charge_period_start) AS date_range_end,
-             string_agg(DISTINCT currency, ',' ORDER BY currency) AS currency, 'testdata' AS source_url,
-             '1.0' AS focus_version
+             string_agg(DISTINCT currency, ',' ORDER BY currency) AS currency,
+             count(DISTINCT currency) AS currency_count, 'testdata' AS source_url, '1.0' AS focus_version
            FROM everything GROUP BY 1""",
         "everything",
     ),
 )
 def provenance(spark, sf_dir):
-    return sources.provenance(everything(spark, sf_dir), source_url="testdata")
+    found = sources.provenance(
+        everything(spark, sf_dir), source_url="testdata", raw_columns=raw_focus(spark, sf_dir).columns
+    )
+    return found.drop("ingested_at", "content_hash")
 
 
 @query("S10")
@@ -113,6 +135,3 @@ def file_hashes(spark, sf_dir):
     return sources.file_hashes(spark, sf_dir, "*.parquet").withColumn(
         "path", F.element_at(F.split("path", "/"), -1)
     )
-
-
-__all__ = ["event_charges", "everything", "tpch", "typed"]

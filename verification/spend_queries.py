@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from costlens import session, sources
 from costlens.operators import filters, opportunity, panel, spend
 from costlens.schema import BREAKDOWN_DIMENSIONS, SUMMARY_DIMENSIONS
 
-from .inputs import charges, define, event_charges, sql, tpch
+from .inputs import charges, define, settled, sql
 from .registry import query
 
 SPEND = ("billed_cost", "effective_cost", "charge_period_start", "currency", *SUMMARY_DIMENSIONS)
@@ -25,15 +26,29 @@ _PERIODS = (
     ("until", None, "1999-12-31", False),
     ("inclusive", "2024-01-05", "2024-01-20", True),
 )
+# spellings that Spark casts as SQL does, for the table with month folders
+_SPELT = (
+    ("unpadded", "1996-3-1", "1996-11-30", False),
+    ("year", "1996", "1998", False),
+    ("instant", "1996-03-01 12:00:00", "1996-04-30 12:00:00", False),
+    ("inclusive", None, "1996-02-29", True),
+)
+
 
+def _instant(text: str) -> str:
+    """The same instant in full."""
+    day, _, clock = text.partition(" ")
+    year, month, date = (day.split("-") + ["1", "1"])[:3]
+    return f"{year}-{int(month):02d}-{int(date):02d} {clock or '00:00:00'}"
 
-def _period_sql() -> str:
+
+def _period_sql(periods=_PERIODS) -> str:
     parts = []
-    for label, start, end, inclusive in _PERIODS:
+    for label, start, end, inclusive in periods:
         upper = None if inclusive else end
         conditions = [
-            f"charge_period_start >= TIMESTAMP '{start}'" if start else "",
-            f"charge_period_start <= TIMESTAMP '{upper}'" if upper else "",
+            f"charge_period_start >= TIMESTAMP '{_instant(start)}'" if start else "",
+            f"charge_period_start <= TIMESTAMP '{_instant(upper)}'" if upper else "",
             f"CAST(charge_period_start AS DATE) <= DATE '{end}'" if inclusive else "",
         ]
         where = " AND ".join(c for c in conditions if c)
@@ -44,15 +59,13 @@ def _period_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("P01", sql(_period_sql(), "charges"))
-def period_filter(spark, sf_dir):
-    billing = charges(spark, sf_dir, ("billed_cost", "charge_period_start"))
+def _in_periods(billing, periods):
     parts = [
         filters.in_period(billing, start, end, end_inclusive=inclusive)
         .groupBy("dataset_id")
         .agg(F.count(F.lit(1)).alias("row_count"), F.round(F.sum("billed_cost"), 2).alias("billed_cost"))
         .select(F.lit(f"{label} {start} {end}").alias("period"), "*")
-        for label, start, end, inclusive in _PERIODS
+        for label, start, end, inclusive in periods
     ]
     result = parts[0]
     for part in parts[1:]:
@@ -60,6 +73,21 @@ def period_filter(spark, sf_dir):
     return result
 
 
+@query("P01", sql(_period_sql(), "charges"))
+def period_filter(spark, sf_dir):
+    return _in_periods(charges(spark, sf_dir, ("billed_cost", "charge_period_start")), _PERIODS)
+
+
+@query("P01", sql(_period_sql(_PERIODS + _SPELT), "charges"))
+def period_filter_stored(spark, sf_dir):
+    """The same on the stored table, whose month folders are pruned, with bounds spelt in other ways."""
+    path = session.scratch_table(spark, "periods")
+    sources.write_canonical(charges(spark, sf_dir, ("billed_cost", "charge_period_start")), path)
+    found = settled(_in_periods(spark.read.parquet(path), _PERIODS + _SPELT))
+    session.drop_table(spark, path)
+    return found
+
+
 @query(
     "P02",
     sql(
@@ -492,6 +520,3 @@ def distinct_entities(spark, sf_dir):
 )
 def date_range(spark, sf_dir):
     return panel.date_range(charges(spark, sf_dir, ("charge_period_start",)))
-
-
-__all__ = ["event_charges", "tpch"]
