@@ -68,7 +68,8 @@ def budget_variance(billing: DataFrame, budgets: DataFrame, entity_types: Sequen
 
     Charges are summed per entity, day and currency before they meet the budgets, and the
     join is an equality on the entity, so only the days of one entity are compared
-    with its own budgets.  Spend counts towards budgets of its currency and budgets without one.
+    with its own budgets.  Spend counts towards budgets of its currency and budgets without one;
+    a table without currencies counts towards all.
     A budget without spend keeps its row.
 
     The budgets are the small side of an inner join, which Spark may broadcast by its own
@@ -76,12 +77,15 @@ def budget_variance(billing: DataFrame, budgets: DataFrame, entity_types: Sequen
     dataset, then meet the budgets again.
     """
     panel = _daily(billing, entity_types)
+    same_currency = F.col("currency").isNull() | F.col("_currency").eqNullSafe(F.col("currency"))
+    if "currency" not in billing.columns:
+        same_currency = F.lit(True)
     spent = (
         panel.join(
             renewed(budgets),
             (F.col("entity_type") == F.col("_type"))
             & (F.col("entity_value") == F.col("_value"))
-            & (F.col("currency").isNull() | F.col("_currency").eqNullSafe(F.col("currency")))
+            & same_currency
             & F.col("day").between(F.col("period_start"), F.col("period_end")),
         )
         .groupBy("dataset_id", *budgets.columns)

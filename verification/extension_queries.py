@@ -53,7 +53,7 @@ _VARIANCE = f"""SELECT dataset_id, name, round(actual_spend, 2) AS actual_spend,
 
 
 def _variance(spark, sf_dir):
-    billing = charges(spark, sf_dir, ("billed_cost", "provider", "charge_period_start"))
+    billing = charges(spark, sf_dir, ("billed_cost", "provider", "charge_period_start", "currency"))
     return budget.budget_variance(billing, budgets(spark, sf_dir), ("provider",))
 
 
