@@ -1,3 +1,4 @@
 from .decision_run import DecisionRun, decision_run
+from .ingest import Ingested, IngestError, ingest
 
-__all__ = ["DecisionRun", "decision_run"]
+__all__ = ["DecisionRun", "IngestError", "Ingested", "decision_run", "ingest"]

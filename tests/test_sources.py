@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from costlens import schema, sources
+from costlens import plans, schema, sources
 from costlens.operators import filters, quality, spend
 
 HEADER = "BilledCost,EffectiveCost,ChargePeriodStart,ChargePeriodEnd,BillingCurrency,ProviderName,BillingAccountId,ServiceName"
@@ -135,3 +135,19 @@ def test_provenance_falls_back_to_billing_period(spark):
     )
     got = sources.provenance(rows).first()
     assert (got.row_count, got.currency, str(got.date_range_end)) == (3, "EUR,USD", "2024-02-01 00:00:00")
+
+
+def test_ingest_reads_checks_and_records(spark, tmp_path):
+    path, table = tmp_path / "export.csv", str(tmp_path / "table")
+    path.write_text(HEADER + "\n" + "\n".join(ROWS) + "\n")
+    got = plans.ingest(spark, str(path), table, dataset_id="x")
+    report, record = got.quality.first(), got.provenance.first()
+    assert (report.total_rows, report.overall_status, got.rows.count()) == (2, "PASS", 2)
+    assert record.content_hash == hashlib.sha256(path.read_bytes()).hexdigest()
+    assert (record.row_count, record.focus_version, record.source_url) == (2, "1.0", str(path))
+    path.write_text(HEADER + "\n" + ROWS[0] + "\n")
+    assert plans.ingest(spark, str(path), table, dataset_id="x").rows.count() == 1
+    path.write_text("ServiceName,BilledCost\na,1\n")
+    with pytest.raises(plans.IngestError, match="charge_period_start"):
+        plans.ingest(spark, str(path), table, dataset_id="x")
+    assert spark.read.parquet(table).count() == 1
