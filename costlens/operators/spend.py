@@ -191,16 +191,23 @@ def cost_drivers(
     """The top values pooled over all dimensions, with their share of the total.
 
     ``with_change`` adds the change of each driver between the two latest
-    months of its dataset; without it ``change_pct`` is NULL.
+    months of its dataset; without it ``change_pct`` is NULL.  Either way the charges are
+    read once: a value carries its months along.
     """
-    costs = cost_by_dimension(billing, dimensions, total=True)
+    if with_change:
+        costs = (
+            cost_by_dimension(billing, dimensions, by_month=True, total=True)
+            .groupBy("dataset_id", "dimension", "value")
+            .agg(_amount("cost").alias("total"), F.collect_list(F.struct("month", "cost")).alias("months"))
+            .withColumnRenamed("total", "cost")
+        )
+    else:
+        costs = cost_by_dimension(billing, dimensions, total=True)
     # The total is one more "dimension", so it travels along and needs no join.
-    pooled = top_per_dimension(costs, top_n).withColumn(
-        "total_cost",
-        F.max(F.when(F.col("dimension") == "total", F.col("cost"))).over(
-            Window.partitionBy("dataset_id")
-        ),
-    )
+    whole, is_total = Window.partitionBy("dataset_id"), F.col("dimension") == "total"
+    pooled = top_per_dimension(costs, top_n).withColumn("total_cost", F.max(F.when(is_total, F.col("cost"))).over(whole))
+    if with_change:
+        pooled = pooled.withColumn("all_months", F.max(F.when(is_total, F.sort_array("months", False))).over(whole))
     positions = F.array_position(F.array(*[F.lit(d) for d in dimensions]), F.col("dimension"))
     order = Window.partitionBy("dataset_id").orderBy(F.desc("cost"), positions, "value")
     top = (
@@ -213,7 +220,8 @@ def cost_drivers(
         )
     )
     if with_change:
-        top = top.join(renewed(driver_changes(billing, dimensions)), ["dataset_id", "dimension", "value"], "left")
+        change = change_pct(_in_month(1), _in_month(2))
+        top = top.withColumn("change_pct", change)
     else:
         top = top.withColumn("change_pct", F.lit(None).cast("double"))
     return top.select(
@@ -221,23 +229,14 @@ def cost_drivers(
     )
 
 
-def driver_changes(billing: DataFrame, dimensions: Sequence[str] = SUMMARY_DIMENSIONS) -> DataFrame:
-    """Percent change of each value between the two latest months of its dataset."""
-    months = renewed(latest_months(billing).select("dataset_id", "month", "age"))
-    recent = cost_by_dimension(billing, dimensions, by_month=True).join(months, ["dataset_id", "month"])
-    pair = recent.groupBy("dataset_id", "dimension", "value").agg(
-        _amount_at(1).alias("current"), _amount_at(2).alias("prior")
-    )
-    return pair.select(
-        "dataset_id",
-        "dimension",
-        "value",
-        change_pct(F.col("current"), F.col("prior")).alias("change_pct"),
+def _in_month(age: int):
+    """Cost of a value in the latest month of its dataset (1) or the one before (2)."""
+    month = F.get("all_months", F.lit(age - 1))["month"]
+    amounts = F.transform(
+        F.filter("months", lambda m: m["month"].eqNullSafe(month)), lambda m: F.coalesce(m["cost"], F.lit(0.0))
     )
-
-
-def _amount_at(age: int):
-    return F.sum(F.when(F.col("age") == age, F.col("cost")).otherwise(0.0))
+    found = F.aggregate(amounts, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size("all_months") >= age, found).otherwise(F.lit(0.0))
 
 
 def _squared_share():
