@@ -316,7 +316,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = docs.repartition(parts, "doc_id")
     originals = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first")).select("first").distinct()
-    first = texts.join(originals.hint("shuffle_hash"), F.col("doc_id") == F.col("first"), "left_semi")
+    # an inner join on unique ids: a semi join would move below the exchange of the texts, which all steps share
+    first = texts.join(originals.hint("shuffle_hash"), F.col("doc_id") == F.col("first")).select("doc_id", "text")
     found = first.mapInArrow(_anchor_rows, "gram long, region long, doc long, at long, back short, more short")
     met = Window.partitionBy("gram")
     equal = Window.partitionBy("gram", "region").orderBy("doc", "at")
