@@ -20,6 +20,7 @@ MIN_SERIES = 7
 REPORT_LIMIT = 100
 
 
+# The wording of the evidence lines here and in the detectors below.
 def _detections(
     flagged: DataFrame, method: Column, threshold: Column, baseline: Column, z_label: Column
 ) -> DataFrame:

@@ -25,6 +25,8 @@ QUALITY_CONFIDENCE = {"PASS": 0.95, "WARN": 0.6, "FAIL": 0.1}
 # Decision confidence.
 CONFIDENCE_FLOOR, FAILED_PENALTY, MISSING_PENALTY = 0.3, 0.2, 0.1
 
+# The wording of titles, check messages and rationales in the functions below.
+
 PASSED, FAILED, MISSING, UNSUPPORTED = "passed", "failed", "missing_evidence", "unsupported"
 
 

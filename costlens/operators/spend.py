@@ -294,6 +294,7 @@ def attribution_report(
         "dataset_id", F.col("change_pct").alias("period_over_period_change_pct")
     )
     top = F.col("top_drivers")[0]
+    # The wording of the evidence lines.
     evidence = F.array(
         F.concat(F.lit("Total spend in period: "), text.money("total_cost")),
         F.concat(
