@@ -3,10 +3,11 @@
 Documents are sets of word shingles.  Equal sets are one class, so copies never meet in pairs.
 
 1. *Routing.*  Two sets can only reach the similarity if they share one of their
-   ``n - ceil(s n) + 1`` first shingles in an order common to all sets (by hash, very frequent shingles
-   last).  Sets that share such a shingle, directly or through others, form a
+   ``n - ceil(s n) + 1`` first shingles in an order common to all sets.  The order puts shingles first
+   that no other set has, so a set that merely shares a passage has no common first shingle.
+   Counts are needed for a sample of the shingles only, as long as it holds the first ones.  Sets that share a first shingle, directly or through others, form a
    candidate group; sets in different groups cannot be linked.  Only (shingle, set) pairs are
-   shuffled, and a shingle repeated within a task is handed on once.
+   shuffled.
 2. *Search.*  Each set travels once to its group.  There DivideSkip finds the partners of a set: of its
    inverted lists the ``L`` longest are put aside, the short ones are merged, sets
    that occur at least ``T - L`` times are looked up in the long lists by binary search, and those that reach the
@@ -31,8 +32,9 @@ from .components import components
 SIZE = 5
 #: Similarity as a fraction.
 SIMILARITY = (80, 100)
-#: Shingles that are put last in the common order, the most frequent of those a task sees repeatedly.
-FREQUENT = 1 << 16
+#: Share of all shingles that are counted.  A set with less than ``1 - (1 - s) / SAMPLED`` of its shingles in
+#: others is no candidate; the result does not depend on it.
+SAMPLED = 1 / 3
 #: Sets of a group that one task holds (two blocks when a group is split).
 BLOCK = 2048
 #: DivideSkip's weight of a long list against a short one.
@@ -98,62 +100,66 @@ def keyed(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, key long")
 
 
-def frequent_shingles(docs: DataFrame, size: int = SIZE) -> np.ndarray:
-    """The ``FREQUENT`` most frequent shingles; which ones they are only moves work, never links."""
+def postings(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY) -> DataFrame:
+    """``shingle, key, room``: the sampled shingles of each set, and how many more these are than its first shingles.
 
-    def rows(batches):
-        for batch in steps(batches, "text", 16 << 20):
-            hashed, _ = shingles(batch.column("text"), size)
-            values, n = np.unique(hashed, return_counts=True)
-            often = n >= 4
-            yield pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(n[often])], ["shingle", "n"])
-
-    counts = docs.select("text").mapInArrow(rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "shingle").limit(FREQUENT).select("shingle").toArrow()
-    return np.sort(top.column(0).to_numpy())
-
-
-def routes(docs: DataFrame, frequent: np.ndarray, size: int = SIZE, similarity=SIMILARITY) -> DataFrame:
-    """``shingle, key``: the first shingles of each set.
-
-    Sets that share a shingle within a step pass it on once, through the smallest key, and are tied to that key
-    by a shingle made up for the pair.
+    A shingle is sampled by its own hash, so all sets sample alike; a set with too few goes on
+    in the order of the hashes until it has as many as it needs.
     """
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
     n_, d_ = similarity
+    limit = np.uint64(int(SAMPLED * float(1 << 64)))
 
     def rows(batches):
-        often = held.value
-        for batch in steps(batches, "text", 16 << 20):
-            hashed, bounds = shingles(batch.column("text"), size)
+        for part in steps(batches, "text"):
+            hashed, bounds = shingles(part.column("text"), size)
             keys = set_keys(hashed, bounds)
             distinct = np.zeros(len(keys), bool)
             distinct[np.unique(keys, return_index=True)[1]] = True
             owner = np.repeat(np.arange(len(keys)), np.diff(bounds))
             keep = distinct[owner]
             owner, hashed = owner[keep], hashed[keep]
-            place = np.minimum(np.searchsorted(often, hashed), max(len(often) - 1, 0))
-            late = often[place] == hashed if len(often) else np.zeros(len(hashed), bool)
-            rank = mix(hashed.view(np.uint64) ^ _ORDER) >> np.uint64(1) | late.astype(np.uint64) << np.uint64(63)
+            rank = mix(hashed.view(np.uint64) ^ _ORDER)
             order = np.lexsort((rank, owner))
-            owner, hashed = owner[order], hashed[order]
+            owner, hashed, rank = owner[order], hashed[order], rank[order]
             count = np.bincount(owner, minlength=len(keys))
-            before = np.cumsum(count) - count
-            first = np.arange(len(owner)) - before[owner] < (count - -(-count * n_ // d_) + 1)[owner]
-            shingle, key = hashed[first], keys[owner[first]]
-            order = np.lexsort((key, shingle))
-            shingle, key = shingle[order], key[order]
-            head = np.ones(len(shingle), bool)
-            head[1:] = shingle[1:] != shingle[:-1]
-            lead = key[head][np.cumsum(head) - 1] if len(key) else key
-            tie = np.unique(np.stack([lead[~head], key[~head]], 1), axis=0)
-            made_up = mix(mix(tie[:, 0].view(np.uint64)) + tie[:, 1].view(np.uint64)).view(np.int64)
+            first = count - -(-count * n_ // d_) + 1
+            taken = np.maximum(np.bincount(owner[rank < limit], minlength=len(keys)), np.minimum(first, count))
+            some = np.arange(len(owner)) - (np.cumsum(count) - count)[owner] < taken[owner]
+            owner = owner[some]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([shingle[head], made_up, made_up])), pa.array(np.concatenate([key[head], tie[:, 0], tie[:, 1]]))],
-                ["shingle", "key"],
+                [pa.array(hashed[some]), pa.array(keys[owner]), pa.array((taken - first)[owner].astype(np.int32))],
+                ["shingle", "key", "room"],
             )
 
-    return docs.select("text").mapInArrow(rows, "shingle long, key long")
+    return docs.select("text").mapInArrow(rows, "shingle long, key long, room int")
+
+
+def candidates(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY) -> DataFrame:
+    """``a, b``: sets that share a first shingle, each tied to the smallest such set.
+
+    The common order: sampled shingles that one set alone has, then sampled shingles by how often they
+    were counted, then all others by hash.  A set's own shingles come back only where others
+    have them too; those it did not get back come first.
+    """
+    one = Window.partitionBy("shingle")
+    shared = (
+        postings(docs, size, similarity)
+        .withColumns({"n": F.count("*").over(one), "low": F.min("key").over(one), "high": F.max("key").over(one)})
+        .where("low < high")
+    )
+    first = (
+        shared.groupBy("key")
+        .agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("own"), F.max("room").alias("room"))
+        .where(F.size("own") > F.col("room"))
+        .select("key", F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("room"))).alias("one"))
+        .select("key", F.col("one.shingle").alias("shingle"))
+    )
+    return (
+        first.withColumn("low", F.min("key").over(one))
+        .where("key <> low")
+        .select(F.col("low").alias("a"), F.col("key").alias("b"))
+        .distinct()
+    )
 
 
 class Lists:
@@ -265,15 +271,7 @@ def join(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY, block: int =
     rows = stored(keyed(docs, size), "keys")
     classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc"))
 
-    same = Window.partitionBy("shingle")
-    pairs = (
-        routes(docs, frequent_shingles(docs, size), size, similarity)
-        .withColumn("low", F.min("key").over(same))
-        .where("key <> low")
-        .select(F.col("low").alias("a"), F.col("key").alias("b"))
-        .distinct()
-    )
-    groups = stored(components(stored(pairs, "candidates")).join(classes, F.col("node") == F.col("key")).select("component", "doc"), "groups")
+    groups = stored(components(stored(candidates(docs, size, similarity), "candidates")).join(classes, F.col("node") == F.col("key")).select("component", "doc"), "groups")
     large = (
         groups.groupBy("component").count().where(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     )
