@@ -35,8 +35,8 @@ SIMILARITY = (80, 100)
 #: Share of all shingles that are counted.  A set with less than ``1 - (1 - s) / SAMPLED`` of its shingles in
 #: others is no candidate; the result does not depend on it.
 SAMPLED = 1 / 3
-#: Sets of a group that one task holds (two blocks when a group is split).
-BLOCK = 2048
+#: Sets of a group, and shingles in them, that one task holds on average (two blocks when a group is split).
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 #: DivideSkip's weight of a long list against a short one.
 SKIP = 0.5
 
@@ -269,11 +269,13 @@ def join(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY, block: int =
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(keyed(docs, size), "keys")
-    classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc"))
+    classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"))
 
-    groups = stored(components(stored(candidates(docs, size, similarity), "candidates")).join(classes, F.col("node") == F.col("key")).select("component", "doc"), "groups")
+    groups = stored(components(stored(candidates(docs, size, similarity), "candidates")).join(classes, F.col("node") == F.col("key")).select("component", "doc", "n"), "groups")
     large = (
-        groups.groupBy("component").count().where(F.col("count") > block).select("component", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+        groups.groupBy("component")
+        .agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        .where("blocks > 1")
     )
     # block i of a large group goes to the pairs (i, j) and (j, i); other groups are one block
     mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
@@ -288,7 +290,8 @@ def join(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY, block: int =
         .select("doc", F.explode(pair).alias("group"))
     )
     placed = dealt.groupBy("doc").agg(F.collect_list("group").alias("groups"))
-    chosen = docs.join(placed, docs.doc_id == placed.doc).select("doc", "groups", "text")
+    # the same plan at every size: the candidates grow with the documents
+    chosen = docs.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc", "groups", "text")
 
     def sets(batches):
         for batch in steps(batches, "text"):
