@@ -22,14 +22,14 @@ def components(links: DataFrame) -> DataFrame:
         # the smallest label next to a node, offered to the node and to the node its label names
         seen = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(seen, labels.node == seen.a).select("node", "label", F.least("label", "near").alias("low"))
-        offers = step.select("node", "low").unionByName(step.select(F.col("label").alias("node"), "low"))
-        hooked = offers.groupBy("node").agg(F.min("low").alias("low"))
+        offers = step.select("node", "label", "low").unionByName(
+            step.where("low < label").select(F.col("label").alias("node"), F.lit(None).cast("long").alias("label"), "low")
+        )
+        hooked = offers.groupBy("node").agg(F.max("label").alias("old"), F.min("low").alias("low"))
         parent = hooked.select(F.col("node").alias("p"), F.col("low").alias("p_low"))
         jumped = hooked.join(parent, F.col("low") == F.col("p"), "left").select(
-            "node", F.least("low", F.coalesce("p_low", "low")).alias("label")
+            "node", F.least("low", F.coalesce("p_low", "low")).alias("label"), "old"
         )
-        new = stored(jumped, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = new
-        if not changed:
+        labels = stored(jumped, "labels")
+        if labels.where("label <> old").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
