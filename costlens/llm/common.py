@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from costlens.session import scratch_table
 
 #: Bytes of text that one step of a task works on; a single longer text is taken alone.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

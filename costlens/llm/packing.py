@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, steps, tasks, utf8, word_hashes, words
-from .tokens import Encoder
+from .tokens import STEP, Encoder
 
 LENGTH = 1024
 #: Hashed features, dimensions they are projected to, and bits of each.
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None) ->
             columns = zip(*rows) if rows else [[]] * len(_COLUMNS)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _COLUMNS)
 
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             part = batch.column("part").to_numpy()
             ids, ends = encoder.encode(batch.column("text"))
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):

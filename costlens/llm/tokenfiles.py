@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from costlens.sources.storage import open_path
+
 from .common import steps, stored, tasks
-from .tokens import Encoder
+from .tokens import STEP, Encoder
 
 #: Bytes of a block.
 BLOCK = 4 << 20
@@ -25,13 +26,6 @@ BLOCK = 4 << 20
 SEPARATOR = 50256
 
 
-def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    scheme, _, rest = path.partition(":")
-    if not rest:
-        return pyarrow.fs.FileSystem.from_uri(f"file://{path}")
-    return pyarrow.fs.FileSystem.from_uri(f"{scheme}://{rest.lstrip('/') if rest.startswith('//') else rest}" if scheme != "file" else "file:///" + rest.lstrip("/"))
-
-
 def write_token_files(docs: DataFrame, folder: str, separator: int = SEPARATOR, width: int = 2) -> DataFrame:
     """One flat file for each partition of ``docs(doc_id, text)``; returns ``file, ordinal, doc_id``.
 
@@ -43,12 +37,12 @@ def write_token_files(docs: DataFrame, folder: str, separator: int = SEPARATOR,
     def rows(batches):
         context = TaskContext.get()
         name = f"{folder}/tokens-{context.partitionId():06d}.bin"
-        system, path = _open(name)
+        system, path = open_path(name)
         system.create_dir(path.rpartition("/")[0], recursive=True)
         attempt = f"{path}.{context.taskAttemptId()}.tmp"
         encoder, ordinal = Encoder(plain_specials=True), 0
         with system.open_output_stream(attempt) as out:
-            for batch in steps(batches, "text"):
+            for batch in steps(batches, "text", STEP):
                 ids, ends = encoder.encode(batch.column("text"))
                 flat = np.insert(ids, ends[1:], separator)
                 out.write(flat.astype(kind).tobytes())
@@ -84,7 +78,7 @@ def count_tokens(spark: SparkSession, folder: str, separator: int = SEPARATOR, w
             for path, length, number, offset in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "block", "offset"))):
                 if length % width:
                     raise ValueError(f"{path} ends within an id")
-                system, inner = _open(path)
+                system, inner = open_path(path)
                 with system.open_input_file(inner) as source:
                     ids = np.frombuffer(source.read_at(min(block, length - offset), offset), kind)
                 ends = np.flatnonzero(ids == separator) + offset // width

@@ -24,6 +24,8 @@ from .common import mix, utf8, BASE, BYTE_VALUES, powers
 VOCABULARY = "byte_bpe_50k.json"
 #: The same vocabulary as ranks: encodes single words faster.
 RANKS = "byte_bpe_50k.tiktoken"
+#: Bytes of text encoded together: the larger, the fewer words are looked up again.
+STEP = 4 << 20
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 
