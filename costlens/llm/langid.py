@@ -53,11 +53,22 @@ def grams(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``lang, gram, n`` over the ``sample`` labelled documents of each language with the smallest hash."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    """``lang, gram, n`` over the ``sample`` labelled documents of each language with the smallest hash.
+
+    The counts of the languages say below which hash these lie, so that no more than
+    a few times the sample is shuffled, however frequent a language is.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    shares = [x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, 4 * sample / r["count"])))]
+    share = F.element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(1.0)
+    value = F.xxhash64("doc_id")
+    first = Window.partitionBy("lang").orderBy("value", "doc_id", "text")
     chosen = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("doc_id", "lang", "text")
+        labelled.where(F.col("text").isNotNull() & (value.cast("double") <= (2 * share - 1) * 2.0**63))
+        .select("doc_id", "lang", "text", value.alias("value"))
         .withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= sample)
         .select("lang", "text")
@@ -145,8 +156,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> ContextTrees | None:
     """
     counts = count_grams(docs, sample).toPandas()
     langs = sorted(set(counts["lang"]))
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {LANGUAGES}")
     if not langs:
         return None
     at = {x: i for i, x in enumerate(langs)}
