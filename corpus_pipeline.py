@@ -26,14 +26,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat an id with one text are one document; of several texts under one id the smallest stays.
     """
-    groups = jaccard.join(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    some = docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("kept"), "left_semi")
-    rest = [F.struct(F.col("text"), *[F.col(c) for c in COLUMNS if c not in ("doc_id", "text")])]
-    repeated = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
-    once = some.join(repeated, F.col("doc_id") == F.col("again"), "left_anti")
-    more = some.join(repeated, F.col("doc_id") == F.col("again"), "left_semi").groupBy("doc_id").agg(F.min(*rest).alias("row"))
-    return once.unionByName(more.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in COLUMNS if c != "doc_id"]))
+    groups = jaccard.join(docs).where("doc_id = component_id")
+    kept = groups.groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("rows"))
+    some = docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("kept"))
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    row = F.min(F.struct("text", *rest)).alias("row")
+    more = some.where("rows > 1").groupBy("doc_id").agg(row)
+    return some.where("rows = 1").select(*COLUMNS).unionByName(
+        more.select("doc_id", "row.text", *[f"row.{c}" for c in rest]).select(*COLUMNS)
+    )
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
