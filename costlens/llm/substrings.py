@@ -86,26 +86,64 @@ def anchors(data: np.ndarray, bounds: np.ndarray):
     return doc, place - bounds[doc], begin - bounds[doc], end - bounds[doc], grams[place].view(np.int64), region.view(np.int64)
 
 
+def _packed(at: np.ndarray, back: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Place of an anchor, bytes from the first string's start to it, and further string starts, in one number."""
+    return at << 16 | back << 8 | more
+
+
+def _unpacked(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return spot >> 16, spot >> 8 & 255, spot & 255
+
+
+def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each document with those that touch made one."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    new = np.ones(len(doc), bool)
+    # all regions of a document end in the order in which they start
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], start[first], np.maximum.reduceat(end, first) if len(first) else end
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "region", "doc", "at", "back", "more"]
+    """``gram, region, doc, spot`` of each anchor.
+
+    Of equal regions within a step the first is handed on; the others are settled here, and go on as the
+    spans they cover: end, no region, document, start.
+    """
+    names = ["gram", "region", "doc", "spot"]
     for batch in steps(batches, "text", STEP):
         data, bounds = utf8(batch.column("text"))
         ids = batch.column("doc_id").to_numpy()
         # a text too long for one step is taken in stretches that overlap by one string
-        pieces = [(data, bounds, 0)]
+        pieces = [(data, bounds, ids, 0)]
         if len(data) > 2 * STEP:
             pieces = [
-                (part, np.array([0, len(part)]), a)
+                (part, np.array([0, len(part)]), ids[i : i + 1], a)
                 for i in range(len(ids))
                 for a in range(0, max(1, int(bounds[i + 1] - bounds[i]) - LENGTH + 1), STEP)
                 for part in [data[bounds[i] + a : min(bounds[i + 1], bounds[i] + a + STEP + LENGTH - 1)]]
             ]
-        for part, cuts, base in pieces:
+        for part, cuts, own, base in pieces:
             doc, place, begin, end, gram, region = anchors(part, cuts)
-            owner = ids[doc] if len(pieces) == 1 else ids[np.zeros(len(doc), int)]
+            doc, place, begin, end = own[doc], place + base, begin + base, end + base + LENGTH
+            order = np.lexsort((place, doc, region, gram))
+            doc, place, begin, end, gram, region = (x[order] for x in (doc, place, begin, end, gram, region))
+            head = np.ones(len(doc), bool)
+            head[1:] = (gram[1:] != gram[:-1]) | (region[1:] != region[:-1])
+            lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+            later = (doc != doc[lead]) | (place != place[lead])  # rows that repeat an id are not later
+            gone, start, stop = _joined(doc[later], begin[later], end[later])
+            keep = ~later
+            spot = _packed(place, place - begin, end - LENGTH - begin)[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram), pa.array(region), pa.array(owner, pa.int64()), pa.array(place + base),
-                 pa.array((place - begin).astype(np.int16)), pa.array((end - begin).astype(np.int16))],
+                [
+                    pa.array(np.concatenate([gram[keep], stop]), pa.int64()),
+                    pa.array(np.concatenate([region[keep], np.zeros(len(gone), np.int64)]), pa.int64(), mask=np.arange(keep.sum() + len(gone)) >= keep.sum()),
+                    pa.array(np.concatenate([doc[keep], gone]), pa.int64()),
+                    pa.array(np.concatenate([spot, start]), pa.int64()),
+                ],
                 names,
             )
 
@@ -117,15 +155,14 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         wanted = batch.column("wanted")
         n = wanted.value_lengths().to_numpy(zero_copy_only=False)
         flat = wanted.flatten()
-        at, back, more = (flat.field(c).to_numpy().astype(np.int64) for c in ("at", "back", "more"))
-        base = np.repeat(bounds[:-1], n)
-        begin, end = base + at - back, base + at - back + more + LENGTH
-        end = np.minimum(end, np.repeat(bounds[1:], n))
+        at, back, more = _unpacked(flat.field("spot").to_numpy())
+        begin = np.repeat(bounds[:-1], n) + at - back
+        end = np.minimum(begin + more + LENGTH, np.repeat(bounds[1:], n))
         raw = data.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [flat.field("gram"), pa.array(np.repeat(batch.column("doc_id").to_numpy(), n)), flat.field("at"), flat.field("back"),
-             flat.field("more"), pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())],
-            ["gram", "doc", "at", "back", "more", "bytes"],
+            [flat.field("gram"), pa.array(np.repeat(batch.column("doc_id").to_numpy(), n)), flat.field("spot"),
+             pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())],
+            ["gram", "doc", "spot", "bytes"],
         )
 
 
@@ -252,12 +289,11 @@ def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, rows = [], 0
 
     def work(table: pa.Table) -> pa.RecordBatch:
-        keys = [table.column(x).to_numpy() for x in ("gram", "doc", "at")]
+        keys = [table.column(x).to_numpy() for x in ("gram", "doc", "spot")]
         fresh = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-        if not fresh.all():  # rows that repeat an id
-            table = table.filter(pa.array(fresh))
-        c = {x: table.column(x).to_numpy() for x in ("gram", "doc", "at", "back", "more")}
-        out = repeated_spans(c["gram"], c["doc"], c["at"], c["back"].astype(np.int64), c["more"].astype(np.int64), table.column("bytes").to_pylist())
+        gram, doc, spot = (k[fresh] for k in keys)  # rows that repeat an id come once
+        texts = table.column("bytes").filter(pa.array(fresh)).to_pylist()
+        out = repeated_spans(gram, doc, *_unpacked(spot), texts)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc", "start", "end"])
 
     for batch in batches:
@@ -318,26 +354,31 @@ def dedup(docs: DataFrame) -> DataFrame:
     originals = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first")).select("first").distinct()
     # an inner join on unique ids: a semi join would move below the exchange of the texts, which all steps share
     first = texts.join(originals.hint("shuffle_hash"), F.col("doc_id") == F.col("first")).select("doc_id", "text")
-    found = first.mapInArrow(_anchor_rows, "gram long, region long, doc long, at long, back short, more short")
+    found = first.mapInArrow(_anchor_rows, "gram long, region long, doc long, spot long")
     met = Window.partitionBy("gram")
-    equal = Window.partitionBy("gram", "region").orderBy("doc", "at")
+    equal = Window.partitionBy("gram", "region").orderBy("doc", "spot")
     found = (
         found.withColumn("rows", F.count("*").over(met))
         .withColumn("low", F.min("region").over(met))
         .withColumn("high", F.max("region").over(met))
-        .where("rows > 1")
+        .where("rows > 1 or region is null")
         .withColumn("nth", F.rank().over(equal))  # rows that repeat an id rank alike
-        .where("nth > 1 or low <> high")
+        .where("region is null or nth > 1 or low <> high")
+    )
+    known = F.col("region").isNull()
+    at, back, more = F.shiftright("spot", 16), F.shiftright("spot", 8).bitwiseAND(F.lit(255)), F.col("spot").bitwiseAND(F.lit(255))
+    settled = found.where(known | (F.col("nth") > 1)).select(
+        "doc",
+        F.when(known, F.col("spot")).otherwise(at - back).alias("start"),
+        F.when(known, F.col("gram")).otherwise(at - back + more + LENGTH).alias("end"),
     )
-    start = F.col("at") - F.col("back")
-    settled = found.where("nth > 1").select("doc", start.alias("start"), (start + F.col("more") + LENGTH).alias("end"))
-    wanted = found.where("nth = 1").groupBy("doc").agg(F.collect_set(F.struct("gram", "at", "back", "more")).alias("wanted"))
+    wanted = found.where(~known & (F.col("nth") == 1)).groupBy("doc").agg(F.collect_set(F.struct("gram", "spot")).alias("wanted"))
     regions = (
         texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"))
         .select("doc_id", "text", "wanted")
-        .mapInArrow(_context_rows, "gram long, doc long, at long, back short, more short, bytes binary")
+        .mapInArrow(_context_rows, "gram long, doc long, spot long, bytes binary")
         .repartition(parts, "gram")
-        .sortWithinPartitions("gram", "doc", "at")
+        .sortWithinPartitions("gram", "doc", "spot")
     )
     compared = regions.mapInArrow(_sorted_rows, "doc long, start long, end long")
     spans = settled.unionByName(compared).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

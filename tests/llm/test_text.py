@@ -143,7 +143,9 @@ def test_long_text_in_stretches(monkeypatch):
     pieces = pa.Table.from_batches(substrings._anchor_rows(iter([batch])))
 
     def strings(table):
-        return sorted((a - b + k, a, g) for g, a, b, m in zip(*(table.column(c).to_pylist() for c in ("gram", "at", "back", "more"))) for k in range(m + 1))
+        kept = table.filter(table.column("region").is_valid())
+        at, back, more = substrings._unpacked(kept.column("spot").to_numpy())
+        return sorted((a - b + k, a, g) for g, a, b, m in zip(kept.column("gram").to_pylist(), at.tolist(), back.tolist(), more.tolist()) for k in range(m + 1))
 
     assert strings(whole) == strings(pieces)
     assert [s for s, _, _ in strings(whole)] == list(range(len(text) - 99))
