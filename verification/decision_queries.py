@@ -275,10 +275,10 @@ define(
 )
 def decision_run_result(spark, sf_dir):
     """The whole run over three datasets, one of which fails the gate."""
-    return _decided(everything(spark, sf_dir))
+    return _run_result(everything(spark, sf_dir))
 
 
-def _decided(billing):
+def _run_result(billing):
     with decision_run(billing) as run:
         decisions = settled(run.decisions)
     return decisions.select(
@@ -301,7 +301,7 @@ def _decided(billing):
 @query("R17 R05", ORACLES["decision_run_result"])
 def decision_run_without_quantity(spark, sf_dir):
     """The whole run on files that lack the optional quantity; its rule finds nothing in these tables either way."""
-    return _decided(everything(spark, sf_dir).drop("quantity"))
+    return _run_result(everything(spark, sf_dir).drop("quantity"))
 
 
 def _summary_sql() -> str:
