@@ -283,3 +283,15 @@ def test_articles_of_the_pages_are_whole(spark):
     known = {re.sub(r"\s+", " ", r.text).strip() for r in common.table(spark, SMALL, "documents").select("text").collect()}
     got = html.extract(common.table(spark, SMALL, "pages")).collect()
     assert sum(re.sub(r"\s+", " ", r.text.partition("\n")[2]) in known for r in got) > 0.9 * len(got)
+
+
+def pages_of(spark, pages):
+    frame = spark.createDataFrame([(i, f"https://{h}/{i}", page) for i, (h, page) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in html.extract(frame).collect()}
+
+
+def test_wrapper_decides_inside_articles(spark):
+    page = "<body><nav>x</nav><article><h1>T{0}</h1><p>Share this story<p>{1}<p>Read our terms</article></body>"
+    got = pages_of(spark, [("a.example", page.format(i, f"own {i} words")) for i in range(8)] + [("b.example", page.format(1, "alone"))])
+    assert all(got[i] == f"T{i}\nown {i} words" for i in range(8))
+    assert got[8] == "T1\nShare this story\nalone\nRead our terms"
