@@ -295,3 +295,31 @@ def test_wrapper_decides_inside_articles(spark):
     got = pages_of(spark, [("a.example", page.format(i, f"own {i} words")) for i in range(8)] + [("b.example", page.format(1, "alone"))])
     assert all(got[i] == f"T{i}\nown {i} words" for i in range(8))
     assert got[8] == "T1\nShare this story\nalone\nRead our terms"
+
+
+def test_copies_are_one_page(spark):
+    copy = "<body><nav>{}</nav><h1>T</h1><p>real text<p>more of it</body>"
+    assert set(pages_of(spark, [("a.example", copy.format(k)) for k in range(9)]).values()) == {"T\nreal text\nmore of it"}
+    other = "<body><nav>n</nav><h1>T</h1><p>other text<p>less of it</body>"
+    got = pages_of(spark, [("a.example", copy.format(k)) for k in range(9)] + [("a.example", other)])
+    assert got == {**{k: "real text\nmore of it" for k in range(9)}, 9: "other text\nless of it"}
+
+
+def test_long_pages_are_merged(spark):
+    def page(i, n):
+        return f"<body><div>Welcome</div>{''.join(f'<p>{i} says {k}</p>' for k in range(n))}<div>Contact us</div></body>"
+
+    sizes = [1500, 2000, 1800]
+    assert min(len(html.stream(page(0, n))) for n in sizes) > 4000
+    got = pages_of(spark, [("a.example", page(i, n)) for i, n in enumerate(sizes)])
+    assert got == {i: "\n".join(f"{i} says {k}" for k in range(n)) for i, n in enumerate(sizes)}
+
+
+def test_fixed_texts_are_counted_on_all_pages(spark):
+    page = "<body><div>Welcome</div><p>{}<p>{}</body>"
+    pages = [("a.example", page.format("by chance" if i < 6 else f"lead {i}", f"own {i}")) for i in range(30)]
+    frame = spark.createDataFrame([(i, f"https://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    known = common.stored(html.parsed(frame), "t")
+    said = ["<div Welcome", "<p by chance"]
+    wrapper = spark.createDataFrame([("a.example", [html._key(x) for x in said])], "f_host string, fixed array<long>")
+    assert html.confirmed(known, wrapper).collect() == [("a.example", [html._key(said[0])])]
