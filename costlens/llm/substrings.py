@@ -13,6 +13,8 @@ A byte goes if a ``LENGTH``-byte string over it also starts earlier in the corpu
    polynomial hashes.  Neighbours' common prefixes give, for every string of a region, the class of equal strings, of
    which only the earliest stays.  All common prefixes are checked against
    the bytes; if a hash misled the sort, the batch is sorted by bytes.
+4. *Hot anchors.*  Above ``HOT`` rows of one gram its regions are dealt out string by string, by the hashes of gram and
+   string, so only equal strings meet, and of those each step of a task sends one.
 
 Whole copies of a text are settled by a digest before any of this, and text is shuffled
 once, by document, for all steps.
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ GRAM = 28
 STEP = 2 << 20
 #: Regions that are sorted together, at least (always whole groups).
 SORTED = 20000
+#: Rows of one gram that are sorted in one task, at most.
+HOT = 2048
 _SPAN = LENGTH - GRAM + 1  # positions a string chooses from
 _PLACE = np.uint64((1 << 24) - 1)
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -149,23 +154,62 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the regions that have to be compared."""
+    """The bytes of the regions that have to be compared, and the strings of hot regions.
+
+    Of equal strings within a step the first is handed on: gram, document, start, string hash; the others are settled here, and go
+    on as the spans they cover: no gram, document, start, end.
+    """
+    names = ["gram", "doc", "spot", "string", "bytes"]
     for batch in steps(batches, "text"):
         data, bounds = utf8(batch.column("text"))
         wanted = batch.column("wanted")
         n = wanted.value_lengths().to_numpy(zero_copy_only=False)
         flat = wanted.flatten()
-        at, back, more = _unpacked(flat.field("spot").to_numpy())
-        begin = np.repeat(bounds[:-1], n) + at - back
+        gram, spot, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("gram", "spot", "hot"))
+        hot = hot.astype(bool)
+        doc, first = np.repeat(batch.column("doc_id").to_numpy(), n), np.repeat(bounds[:-1], n)
+        at, back, more = _unpacked(spot)
+        begin = first + at - back
         end = np.minimum(begin + more + LENGTH, np.repeat(bounds[1:], n))
         raw = data.tobytes()
+        cool = ~hot
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(gram[cool]), pa.array(doc[cool]), pa.array(spot[cool]), pa.nulls(int(cool.sum()), pa.int64()),
+             pa.array([raw[a:b] for a, b in zip(begin[cool].tolist(), end[cool].tolist())], pa.binary())],
+            names,
+        )
+        if not hot.any():
+            continue
+        each = more[hot] + 1
+        step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        place = np.repeat(begin[hot], each) + step
+        gram, doc, start = (np.repeat(x[hot], each) for x in (gram, doc, begin - first))
+        start = start + step
+        string = mix(PrefixHashes(data).of(place, place + LENGTH)).view(np.int64)
+        order = np.lexsort((start, doc, string, gram))
+        gram, doc, start, string = (x[order] for x in (gram, doc, start, string))
+        later = _later(gram, string, doc, start, None)[0]
+        keep, (gone, low, high) = ~later, _joined(doc[later], start[later], start[later] + LENGTH)
         yield pa.RecordBatch.from_arrays(
-            [flat.field("gram"), pa.array(np.repeat(batch.column("doc_id").to_numpy(), n)), flat.field("spot"),
-             pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())],
-            ["gram", "doc", "spot", "bytes"],
+            [pa.array(np.concatenate([gram[keep], np.zeros(len(gone), np.int64)]), pa.int64(), mask=np.arange(keep.sum() + len(gone)) >= keep.sum()),
+             *(pa.array(np.concatenate(x)) for x in ([doc[keep], gone], [start[keep], low], [string[keep], high])),
+             pa.nulls(int(keep.sum()) + len(gone), pa.binary())],
+            names,
         )
 
 
+def _later(gram, string, doc, start, before):
+    """Which of the sorted strings are not the first of equal ones; ``before``: key and place of the first of the group that goes on."""
+    head = np.ones(len(gram), bool)
+    head[1:] = (gram[1:] != gram[:-1]) | (string[1:] != string[:-1])
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+    lead_doc, lead_start = doc[lead], start[lead]
+    if before is not None and (gram[0], string[0]) == before[:2]:
+        lead_doc[lead == 0], lead_start[lead == 0] = before[2:]
+    # rows that repeat an id are not later
+    return (doc != lead_doc) | (start != lead_start), (gram[-1], string[-1], lead_doc[-1], lead_start[-1])
+
+
 def suffix_sort(data: np.ndarray, start: np.ndarray, length: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Order of the suffixes within their groups; rows come group by group.
 
@@ -286,7 +330,7 @@ def repeated_spans(group, doc, at, back, more, texts):
 
 
 def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, rows = [], 0
+    held, rows, before = [], 0, None
 
     def work(table: pa.Table) -> pa.RecordBatch:
         keys = [table.column(x).to_numpy() for x in ("gram", "doc", "spot")]
@@ -296,7 +340,20 @@ def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = repeated_spans(gram, doc, *_unpacked(spot), texts)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc", "start", "end"])
 
-    for batch in batches:
+    for mixed in batches:
+        if not mixed.num_rows:
+            continue
+        strings = mixed.filter(pc.is_valid(mixed.column("string")))
+        if strings.num_rows:
+            known = strings.filter(pc.is_null(strings.column("gram")))
+            gone = [known.column(c).to_numpy() for c in ("doc", "spot", "string")]
+            strings = strings.filter(pc.is_valid(strings.column("gram")))
+            if strings.num_rows:
+                gram, string, doc, start = (strings.column(c).to_numpy() for c in ("gram", "string", "doc", "spot"))
+                later, before = _later(gram, string, doc, start, before)
+                gone = [np.concatenate(x) for x in zip(gone, (doc[later], start[later], start[later] + LENGTH))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _joined(*gone)], ["doc", "start", "end"])
+        batch = mixed.filter(pc.is_null(mixed.column("string")))
         if not batch.num_rows:
             continue
         held.append(batch)
@@ -341,7 +398,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs(doc_id, text)`` with an id.
 
     Null text counts as empty.  Rows without an id take no part; rows that repeat an id with the same
@@ -372,13 +429,13 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.when(known, F.col("spot")).otherwise(at - back).alias("start"),
         F.when(known, F.col("gram")).otherwise(at - back + more + LENGTH).alias("end"),
     )
-    wanted = found.where(~known & (F.col("nth") == 1)).groupBy("doc").agg(F.collect_set(F.struct("gram", "spot")).alias("wanted"))
+    wanted = found.where(~known & (F.col("nth") == 1)).groupBy("doc").agg(F.collect_set(F.struct("gram", "spot", (F.col("rows") > hot).alias("hot"))).alias("wanted"))
     regions = (
         texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"))
         .select("doc_id", "text", "wanted")
-        .mapInArrow(_context_rows, "gram long, doc long, spot long, bytes binary")
-        .repartition(parts, "gram")
-        .sortWithinPartitions("gram", "doc", "spot")
+        .mapInArrow(_context_rows, "gram long, doc long, spot long, string long, bytes binary")
+        .repartition(parts, "gram", "string")
+        .sortWithinPartitions("gram", "string", "doc", "spot")
     )
     compared = regions.mapInArrow(_sorted_rows, "doc long, start long, end long")
     spans = settled.unionByName(compared).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

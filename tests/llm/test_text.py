@@ -5,7 +5,7 @@ import itertools
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -134,6 +134,32 @@ def test_substrings_of_few_letters(make_docs):
     assert sorted(tuple(r) for r in substrings.dedup(make_docs(rows)).collect()) == brute_substrings(rows)
 
 
+def test_hot_anchors_are_dealt_out_by_strings(make_docs):
+    """A line and a longer passage that all documents hold, amid text of their own."""
+    rng = random.Random(9)
+    own = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    line, passage = own(80), own(330)
+    rows = [(i, f"{own(150)}{line}{own(rng.randint(90, 160))}{passage if i % 3 else passage[:-7]}{own(120)}") for i in range(60)]
+    rows += [(70, rows[4][1]), (4, rows[4][1]), (-3, passage)]
+    want = brute_substrings(rows)
+    for hot in (substrings.HOT, 20, 0):
+        assert sorted(tuple(r) for r in substrings.dedup(make_docs(rows), hot=hot).collect()) == want
+    assert sorted(tuple(r) for r in substrings.dedup(make_docs(corpus(5)), hot=1).collect()) == brute_substrings(corpus(5))
+
+
+def test_hot_line_makes_no_group():
+    rng = random.Random(10)
+    own = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    line = own(99)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(90)), "text": [own(120) + line + own(120) for _ in range(90)]})
+    anchors = pa.Table.from_batches(substrings._anchor_rows(iter([batch]))).to_pylist()
+    grams = Counter(r["gram"] for r in anchors)
+    assert max(grams.values()) == 90
+    wanted = [[{"gram": r["gram"], "spot": r["spot"], "hot": True} for r in anchors if r["doc"] == i and grams[r["gram"]] == 90] for i in range(90)]
+    regions = pa.Table.from_batches(substrings._context_rows(iter([batch.append_column("wanted", pa.array(wanted))]))).to_pylist()
+    assert max(Counter((r["gram"], r["string"]) for r in regions if r["gram"] is not None).values()) == 1
+
+
 def test_long_text_in_stretches(monkeypatch):
     rng = random.Random(7)
     text = "".join(rng.choices("abcd ", k=30_000))
