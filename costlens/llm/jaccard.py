@@ -15,6 +15,8 @@ Documents are sets of word shingles.  Equal sets are one class, so copies never
    group of near copies costs one search for each member over ever fewer sets.
 3. Groups above ``BLOCK`` sets are dealt out as pairs of blocks, so that no task
    holds a whole hot group; the links of all tasks give the classes.
+4. Components need a spanning forest of the links only (``join``).  ``link_counts`` and ``pairs`` search each set against all others of
+   its group, every pair in one task; counts are summed in the tasks, so only ``pairs`` has a row for each link.
 """
 
 from __future__ import annotations
@@ -202,11 +204,10 @@ class Lists:
         short = tokens[:cut]
         begins, n_each = self.begins[short], length[:cut]
         merged = self.lists[np.repeat(begins - (np.cumsum(n_each) - n_each), n_each) + np.arange(n_each.sum())]
-        merged = np.sort(merged, kind="stable")  # the merge of the short lists, which are sorted runs
-        edge = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]])) if len(merged) else np.zeros(0, int)
-        found, seen = merged[edge], np.diff(np.concatenate([edge, [len(merged)]]))
-        keep = (seen >= max(1, least - long_ones)) & self.alive[found] & (found != at)
-        found, seen = found[keep], seen[keep]
+        seen = np.bincount(merged, minlength=len(self.sizes))  # the merge of the short lists
+        found = np.flatnonzero((seen >= max(1, least - long_ones)) & self.alive)
+        found = found[found != at]
+        seen = seen[found]
         need = needed(size, self.sizes[found], self.similarity)
         for i, token in enumerate(tokens[cut:]):
             if not len(found):
@@ -236,42 +237,74 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None, similarity=SI
                 queue.append(other)
 
 
-def links(sets: DataFrame, similarity=SIMILARITY) -> DataFrame:
-    """``a, b`` over ``sets(group, doc, shingles)``, the rows of a group in one partition."""
+def every_link(sets: list[np.ndarray], side: np.ndarray | None = None, similarity=SIMILARITY) -> Iterator[tuple[int, np.ndarray]]:
+    """All links of a block, each once, as a set and its partners; with ``side`` only those between the two sides."""
+    lists = Lists(sets, similarity)
+    roots = np.arange(len(sets)) if side is None else np.flatnonzero(~side)
+    if side is not None:
+        lists.take_out(roots)
+    for root in roots.tolist():
+        if side is None:
+            lists.take_out(np.array([root]))
+        yield root, lists.partners(root)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]):
+    """Group, documents, sets, sides and weights of each group with more than one set."""
+    at, held = None, []
+    for batch in batches:
+        for group, doc, raw, side, weight in zip(*(batch.column(c).to_pylist() for c in ("group", "doc", "shingles", "side", "weight"))):
+            if group != at:
+                if len(held) > 1:
+                    yield at, *map(list, zip(*held))
+                at, held = group, []
+            held.append((doc, np.frombuffer(raw, np.int64), side, weight))
+    if len(held) > 1:
+        yield at, *map(list, zip(*held))
 
-    def rows(batches):
-        at, docs, members = None, [], []
 
-        def flush():
-            pairs = [(docs[a], docs[b]) for a, b in linked(members, similarity=similarity)] if len(docs) > 1 else []
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"]
-            )
+def links(sets: DataFrame, similarity=SIMILARITY) -> DataFrame:
+    """``a, b``: a spanning forest over ``sets(group, doc, shingles, side, weight)``, the rows of a group in one partition."""
 
-        for batch in batches:
-            for group, doc, held in zip(*(batch.column(c).to_pylist() for c in ("group", "doc", "shingles"))):
-                if group != at:
-                    yield flush()
-                    at, docs, members = group, [], []
-                docs.append(doc)
-                members.append(np.frombuffer(held, np.int64))
-        yield flush()
+    def rows(batches):
+        for _, docs, members, _, _ in _blocks(batches):
+            some = [(docs[a], docs[b]) for a, b in linked(members, similarity=similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return sets.mapInArrow(rows, "a long, b long")
 
 
-def join(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)`` with an id.
+def all_links(sets: DataFrame, similarity=SIMILARITY, counted: bool = False) -> DataFrame:
+    """``a, b`` for each link, or ``doc, linked``: the weights a block links each of its sets with."""
 
-    ``component_id`` is the smallest id that links reach.  Null text and text without words has
-    no shingles and is linked with nothing; equal texts are linked, also rows that
-    repeat an id.  Rows without an id take no part; an empty table gives no rows.
-    """
+    def rows(batches):
+        for group, docs, members, side, weight in _blocks(batches):
+            docs, weight = np.array(docs, np.int64), np.array(weight, np.int64)
+            first, second = group.rsplit("/", 2)[1:]
+            found = every_link(members, None if first == second else np.array(side, bool), similarity)
+            if not counted:
+                for at, others in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), docs[at])), pa.array(docs[others])], ["a", "b"])
+                continue
+            total = np.zeros(len(docs), np.int64)
+            for at, others in found:
+                total[at] += weight[others].sum()
+                total[others] += weight[at]
+            some = total > 0
+            yield pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(total[some])], ["doc", "linked"])
+
+    return sets.mapInArrow(rows, "doc long, linked long" if counted else "a long, b long")
+
+
+def _prepared(docs: DataFrame, size: int, similarity, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with the key of their set, classes of equal sets, and the sets dealt out to their groups."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(keyed(docs, size), "keys")
-    classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"))
+    classes = rows.where("n_shingles > 0").groupBy("key").agg(
+        F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.count_distinct("doc_id").alias("weight")
+    )
 
-    groups = stored(components(stored(candidates(docs, size, similarity), "candidates")).join(classes, F.col("node") == F.col("key")).select("component", "doc", "n"), "groups")
+    groups = stored(components(stored(candidates(docs, size, similarity), "candidates")).join(classes, F.col("node") == F.col("key")).select("component", "doc", "n", "weight"), "groups")
     large = (
         groups.groupBy("component")
         .agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -281,17 +314,20 @@ def join(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY, block: int =
     mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.concat_ws("/", "component", F.least(F.col("mine"), other), F.greatest(F.col("mine"), other)),
+        lambda other: F.struct(
+            F.concat_ws("/", "component", F.least(F.col("mine"), other), F.greatest(F.col("mine"), other)).alias("group"),
+            (F.col("mine") > other).alias("side"),
+        ),
     )
     dealt = (
         groups.join(large, "component", "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("mine", mine)
-        .select("doc", F.explode(pair).alias("group"))
+        .select("doc", "weight", F.explode(pair).alias("group"))
     )
-    placed = dealt.groupBy("doc").agg(F.collect_list("group").alias("groups"))
+    placed = dealt.groupBy("doc").agg(F.collect_list("group").alias("groups"), F.first("weight").alias("weight"))
     # the same plan at every size: the candidates grow with the documents
-    chosen = docs.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc", "groups", "text")
+    chosen = docs.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("doc")).select("doc", "groups", "weight", "text")
 
     def sets(batches):
         for batch in steps(batches, "text"):
@@ -299,17 +335,55 @@ def join(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY, block: int =
             raw, into = hashed.tobytes(), batch.column("groups").to_pylist()
             at = np.repeat(np.arange(len(into)), [len(g) for g in into])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g for own in into for g in own], pa.string()), batch.column("doc").take(pa.array(at)),
-                 pa.array([raw[8 * bounds[i] : 8 * bounds[i + 1]] for i in at], pa.binary())],
-                ["group", "doc", "shingles"],
+                [pa.array([g["group"] for own in into for g in own], pa.string()), batch.column("doc").take(pa.array(at)),
+                 pa.array([raw[8 * bounds[i] : 8 * bounds[i + 1]] for i in at], pa.binary()),
+                 pa.array([g["side"] for own in into for g in own], pa.bool_()), batch.column("weight").take(pa.array(at))],
+                ["group", "doc", "shingles", "side", "weight"],
             )
 
     grouped = (
-        chosen.mapInArrow(sets, "group string, doc long, shingles binary")
+        chosen.mapInArrow(sets, "group string, doc long, shingles binary, side boolean, weight long")
         .repartition(tasks(docs), "group")
         .sortWithinPartitions("group", "doc")
     )
+    return rows, classes, grouped
+
+
+def join(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)`` with an id.
+
+    ``component_id`` is the smallest id that links reach.  Null text and text without words has
+    no shingles and is linked with nothing; equal texts are linked, also rows that
+    repeat an id.  Rows without an id take no part; an empty table gives no rows.
+    """
+    rows, classes, grouped = _prepared(docs, size, similarity, block)
     found = components(stored(links(grouped, similarity), "links"))
     # classes, then their components, back to the rows by key
     named = classes.join(found, F.col("doc") == F.col("node"), "left").select("key", F.coalesce("component", "doc").alias("component_id"))
     return rows.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def pairs(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """``a, b``, ``a < b``: each link between two different sets once, a set named by its smallest id.
+
+    A group of near copies has a row for each two of them.
+    """
+    found = all_links(_prepared(docs, size, similarity, block)[2], similarity)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def link_counts(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, class_id, n_links`` for each row of ``docs(doc_id, text)`` with an id.
+
+    ``class_id`` is the smallest id with an equal set, ``n_links`` the number of other ids whose set is equal
+    or similar enough: all of them, not the forest that ``join`` needs.
+    Text without words is linked with nothing and its own class.
+    """
+    rows, classes, grouped = _prepared(docs, size, similarity, block)
+    found = all_links(grouped, similarity, counted=True).groupBy("doc").agg(F.sum("linked").alias("linked"))
+    named = classes.join(found, "doc", "left").select(
+        "key", F.col("doc").alias("class_id"), (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+    )
+    return rows.join(named, "key", "left").select(
+        "doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )

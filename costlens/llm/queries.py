@@ -48,6 +48,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+@query
+def jaccard_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links of each document at that similarity, counted, and its class of equal sets."""
+    return jaccard.link_counts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learns from the documents that are not held out."""

@@ -83,6 +83,25 @@ def test_jaccard_join_of_nothing(make_docs):
     assert [tuple(r) for r in jaccard.join(make_docs([(4, None)])).collect()] == [(4, 0, 4)]
 
 
+def brute_links(rows):
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}, sets
+
+
+def test_all_links_are_counted(make_docs):
+    rows = corpus(2)
+    want, sets = brute_links(rows)
+    count = Counter(x for pair in want for x in pair)
+    first = {s: min(i for i in sets if sets[i] == s) for s in sets.values() if s}
+    counts = sorted((i, len(sets[i]), first.get(sets[i], i), count[i]) for i, _ in rows if i is not None)
+    different = sorted((a, b) for a, b in want if sets[a] != sets[b] and first[sets[a]] == a and first[sets[b]] == b)
+    assert len(different) > len({x for pair in different for x in pair})  # more than a forest
+    for block in (jaccard.BLOCK, 3):
+        assert sorted(tuple(r) for r in jaccard.link_counts(make_docs(rows), block=block).collect()) == counts
+        assert sorted(tuple(r) for r in jaccard.pairs(make_docs(rows), block=block).collect()) == different
+    assert jaccard.link_counts(make_docs([])).count() == 0
+
+
 def test_divide_skip_finds_all_partners():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(150)]
