@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns plus a battery of randomness tests under false-discovery control.
 
-The patterns give the base spans.  The battery looks at every other long run of token characters:
+The patterns give the base spans.  The battery looks at every other long run of token characters, and at its
+pieces between ``+ /``, between ``- _`` and between all four, as a secret may stand in a path or beside words:
 the smallest encoding alphabet that holds it is inferred, and the run is tested for
 uniform use of that alphabet and of its digits, capitals and small letters (chi-squared), for runs
 about the middle symbol, and for serial correlation.  The p-values are combined (Fisher).  Under the hypothesis "random" small
@@ -55,6 +56,7 @@ ENCODINGS = (
     UPPER + LOWER + DIGITS + "+/",
     UPPER + LOWER + DIGITS + "-_",
 )
+_BETWEEN = tuple(re.compile(x) for x in ("[^+/]+", "[^_-]+", "[^+/_-]+"))
 _SETS = [(frozenset(e), {c: i for i, c in enumerate(e)}) for e in ENCODINGS]
 
 
@@ -114,6 +116,11 @@ def randomness(token: str) -> float | None:
     return max(chi2_tail(fisher, 8), 1e-20)
 
 
+def pieces(run: str) -> list[tuple[int, int]]:
+    """The run and its long pieces between separators."""
+    return sorted({(0, len(run))} | {m.span() for cut in _BETWEEN for m in cut.finditer(run) if m.end() - m.start() >= LEAST_RANDOM})
+
+
 def stratum(length: int) -> int:
     return max(i for i, least in enumerate(STRATA) if length >= least)
 
@@ -184,11 +191,13 @@ def scan(texts: pa.Array) -> Iterator[tuple[list[tuple[int, int, int]], list[tup
     tested: dict[int, list] = {}
     starts, ends = _runs(_IS_TOKEN[data], bounds, LEAST_RANDOM)
     for (doc, start, end), a, b in zip(place(starts, ends), starts, ends):
-        if any(x <= start and end <= y for x, _, y in found.get(doc, ())):
-            continue
-        p = randomness(raw[a:b].decode())
-        if p is not None:
-            tested.setdefault(doc, []).append((start, end, p))
+        run, base_spans = raw[a:b].decode(), found.get(doc, ())
+        for low, high in pieces(run):
+            if any(x <= start + low and start + high <= y for x, _, y in base_spans):
+                continue
+            p = randomness(run[low:high])
+            if p is not None:
+                tested.setdefault(doc, []).append((start + low, start + high, p))
     for doc in range(len(texts)):
         yield sorted(found.get(doc, ())), tested.get(doc, [])
 
@@ -213,7 +222,12 @@ def random_limits(docs: DataFrame, rate: float = RATE) -> list[float]:
 
 
 def _all_spans(base, tested, limit):
-    return sorted(base + [(a, 3, b) for a, b, p in tested if p > limit[stratum(b - a)]])
+    out, at = [], 0
+    for a, b, _ in sorted((x for x in tested if x[2] > limit[stratum(x[1] - x[0])]), key=lambda x: (x[0], -x[1])):
+        if b > at:  # not a piece of the span before
+            out.append((a, 3, b))
+            at = b
+    return sorted(base + out)
 
 
 def _listed(spans) -> str:

@@ -134,6 +134,19 @@ def test_battery_tells_random_from_words(make_docs):
     assert caught > 0.95 * len(tokens) and not any(got[i] for i in range(len(tokens), len(rows)))
 
 
+def test_battery_finds_tokens_beside_words(make_docs):
+    rng = random.Random(4)
+    tokens = ["".join(rng.choices(secrets.ENCODINGS[k], k=rng.choice((32, 40, 64)))) for k in (2, 3, 5) for _ in range(40)]
+    words = ["2024/01/05/reports/monthly/summary-final", "some_long_variable-name/of_2024_for-tests"] * 100
+    around = ("files/by-name/{}/view", "a_key-{}-of/2024", "https://host.example/user-files/{}+x")
+    rows = [(i, f"see {around[i % 3].format(t)} there") for i, t in enumerate(tokens)] + [(1000 + i, w) for i, w in enumerate(words)]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(make_docs(rows)).collect()}
+    placed = [(t, text.find(t)) for t, (_, text) in zip(tokens, rows)]
+    # over all tokens, also those that the battery does not test
+    caught = sum(any(int(x.split(":")[1]) <= at and at + len(t) <= int(x.split(":")[2]) for x in got[i].split(",") if x) for i, (t, at) in enumerate(placed))
+    assert caught > 0.9 * len(tokens) and not any(got[1000 + i] for i in range(len(words)))
+
+
 def test_false_discovery_limits():
     rng = random.Random(2)
     bins = [(s, secrets.p_bin(rng.random() ** rng.choice((1, 40)))) for s in range(len(secrets.STRATA)) for _ in range(300)]
