@@ -134,9 +134,68 @@ SELECT doc_id, size, source_size, target,
 FROM base
 """
 
+FILL_IN_MIDDLE = r"""
+WITH worded AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+        sha256('1:' || doc_id::VARCHAR) AS h
+    FROM documents
+), drawn AS (
+    SELECT *, len(w)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(w) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(w) + 1) AS b,
+        CASE WHEN doc_id IS NULL OR text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+            WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM worded
+), cut AS (
+    SELECT *, array_to_string(w[1:least(a, b)], '') AS p, array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS m,
+        array_to_string(w[greatest(a, b) + 1:], '') AS s
+    FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+        AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM cut
+"""
+
+_NEAREST = """SELECT vec_id, v, arg_min(k, {'d': d, 'k': k}) AS k, min(d) AS d FROM (
+    SELECT id, vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, """
+
+CLUSTERS = """
+WITH kept AS (
+    SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), centroids0 AS (
+    SELECT (row_number() OVER (ORDER BY h NULLS LAST, v) - 1)::INTEGER AS k, v AS c
+    FROM (SELECT v, sha256('1:' || vec_id::VARCHAR) AS h FROM kept ORDER BY h NULLS LAST, v LIMIT 16)
+)""" + "".join(f""", assigned{n} AS ({_NEAREST}centroids{n}) GROUP BY id, vec_id, v
+), means{n} AS (
+    SELECT k, list(m ORDER BY i) AS c FROM (
+        SELECT k, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS m FROM assigned{n}, (SELECT unnest(range(1, 65)) AS i) GROUP BY k, i
+    ) GROUP BY k
+), centroids{n + 1} AS (
+    SELECT k, coalesce(m.c, o.c) AS c FROM centroids{n} o LEFT JOIN means{n} m USING (k)
+)""" for n in range(3)) + f""", assigned3 AS ({_NEAREST}centroids3) GROUP BY id, vec_id, v
+)
+SELECT vec_id, k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM assigned3 JOIN centroids3 USING (k)
+"""
+
+EXACT = """
+WITH texts AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM texts
+"""
+
 ORACLES = {
     "op1_ball_tree_top_k": TOP_K,
     "op4_jaccard_join": JACCARD,
     "op7_suffix_dedup": SUBSTRINGS,
     "op8_pareto_mix": MIX,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op12_walsh_clusters": CLUSTERS,
+    "op13_exact_dedup": EXACT,
 }

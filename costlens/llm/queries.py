@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from costlens.session import drop_table, scratch_table
 
-from . import balltree, collisions, html, jaccard, langid, mixing, packing, secrets, substrings, tokenfiles
+from . import balltree, collisions, exact, fim, html, jaccard, langid, mixing, packing, secrets, substrings, tokenfiles, walsh
 from .common import stored, table
 from .oracles import ORACLES
 
@@ -96,3 +96,30 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest vectors found for every fiftieth vector."""
     return collisions.nearest(table(spark, sf_dir, "embeddings"), divisor=50, k=5)
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and what is rebuilt from that."""
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op12_walsh_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 16 clusters after three rounds."""
+    found = walsh.cluster(table(spark, sf_dir, "embeddings"), clusters=16, rounds=3)
+    numbers = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(numbers.cast("binary"), 256).alias("centroid_sha256")
+    )
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts and the document of each that stays."""
+    return exact.dedup(table(spark, sf_dir, "documents"), digests=True)
