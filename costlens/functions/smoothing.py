@@ -2,10 +2,13 @@
 
 Spark has no built-in for fitting a recursion, so this is the one place where
 series become NumPy arrays.  A series has at most one value per calendar day.
+All series of a batch go through the days together; nothing is kept for each day.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 PERIOD = 7
@@ -13,6 +16,9 @@ PERIOD = 7
 # Share of a series to train on, least training rows, rows a weekly pattern needs.
 TRAIN_SHARE, MIN_TRAIN, SEASON_MIN_TRAIN = 0.8, 7, 21
 
+#: Days whose errors are multiplied together.
+_BLOCK = 32
+
 
 def training_rows(n: int) -> tuple[int, bool]:
     """Rows to train on, and whether they carry a weekly pattern."""
@@ -20,64 +26,70 @@ def training_rows(n: int) -> tuple[int, bool]:
     return split, split >= SEASON_MIN_TRAIN
 
 
-def _responses(
-    y: np.ndarray, lengths: np.ndarray, params: np.ndarray, season: bool
+def _parts(season: bool) -> int:
+    return 2 + (PERIOD if season else 0)
+
+
+def _pass(
+    y: np.ndarray, lengths: np.ndarray, params: np.ndarray, initial: np.ndarray, season: bool, sensitive: bool
 ) -> tuple[np.ndarray, np.ndarray]:
-    """One-step errors as a linear function of the initial state, summed up as products.
+    """One-step errors and their derivatives, summed up as products, and the final states.
 
-    ``y`` (series, steps), ``params`` (series, rows, 3).  Column 0 is the error of a zero
-    initial state, column ``j`` the response to a unit change of state part ``j``; returned
-    are the sums of products of these columns over the steps of each series, and the final states, both
-    (series * rows, ...).  All series and parameter rows go through the days together, and
-    nothing is kept per day; a series that has ended stands still.
+    ``y`` (rows, days), ``params`` (rows, 3), ``initial`` (rows, parts).  Column 0 is the error from the given
+    initial state, the next ones its response to a unit change of each part of that state, and with ``sensitive`` the last ones
+    its derivatives by the three weights.  A row that has ended stands still.
     """
-    series, rows = params.shape[:2]
-    alpha, beta, gamma = (np.ascontiguousarray(params[..., i]).reshape(-1, 1) for i in range(3))
-    parts = 2 + (PERIOD if season else 0)
-    columns = 1 + parts
-    state = np.zeros((parts, series * rows, columns))
+    rows, parts = initial.shape
+    alpha, beta, gamma = (params[:, i : i + 1] for i in range(3))
+    columns = 1 + parts + (3 if sensitive else 0)
+    state = np.zeros((parts, rows, columns))
+    state[:, :, 0] = initial.T
     for part in range(parts):
         state[part, :, 1 + part] = 1.0
-    level, trend, seasonal = state[0], state[1], list(state[2:])
-    products = np.zeros((series * rows, columns, columns))
-    shortest = int(lengths.min())
-    for t in range(int(lengths.max())):
-        phase = t % PERIOD
-        error = -(level + trend)
+    level, trend, seasonal = state[0], state[1], state[2:]
+    products = np.zeros((rows, columns, columns))
+    errors = np.zeros((rows, _BLOCK, columns))
+    shortest, longest = int(lengths.min()), int(lengths.max())
+    for t in range(longest):
+        at, phase = t % _BLOCK, t % PERIOD
+        error = errors[:, at]
+        np.add(level, trend, out=error)
         if season:
-            error -= seasonal[phase]
-        error[:, 0] += np.repeat(y[:, t], rows)
+            error += seasonal[phase]
+        np.negative(error, out=error)
+        error[:, 0] += y[:, t]
         if t >= shortest:
-            on = np.repeat(t < lengths, rows)[:, None]
+            on = (t < lengths)[:, None]
             error *= on
-            level, trend = level + (trend + alpha * error) * on, trend + beta * error
+            level += trend * on
         else:
-            level, trend = level + trend + alpha * error, trend + beta * error
+            level += trend
+        level += alpha * error
+        trend += beta * error
         if season:
-            seasonal[phase] = seasonal[phase] + gamma * error
-        products += error[:, :, None] * error[:, None, :]
-    return products, np.stack([level, trend, *seasonal])
-
-
-def _fit_states(products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Initial state with the least squared error, and that error, per parameter row.
-
-    The level and the weekly parts can trade a constant, so the smallest solution is taken.
+            seasonal[phase] += gamma * error
+        if sensitive:
+            level[:, -3] += error[:, 0]
+            trend[:, -2] += error[:, 0]
+            if season:
+                seasonal[phase, :, -1] += error[:, 0]
+        if at == _BLOCK - 1 or t == longest - 1:
+            block = errors[:, : at + 1]
+            products += block.transpose(0, 2, 1) @ block
+    return products, state
+
+
+def _initial(products: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Change of the initial state that gives the least squared error, and that error.
+
+    The level and the weekly parts can trade a constant, so the smallest change is taken.
     """
-    inverse = np.linalg.pinv(products[:, 1:, 1:], rcond=1e-11, hermitian=True)
-    states = -(inverse @ products[:, 1:, :1])[:, :, 0]
-    whole = np.concatenate([np.ones((len(states), 1)), states], 1)
-    error = (whole[:, None, :] @ products @ whole[:, :, None])[:, 0, 0]
-    return states, np.maximum(error, 0.0)
-
-
-def _grid(center: np.ndarray, reach: float, season: bool) -> np.ndarray:
-    """Parameter rows around a point, kept inside the admissible region."""
-    steps = np.array([-1.0, 0.0, 1.0]) * reach
-    axes = [np.clip(center[i] + steps, 1e-4, 0.9999) for i in range(3)]
-    if not season:
-        axes[2] = np.array([0.0])
-    return _admissible(np.stack(np.meshgrid(*axes), -1).reshape(-1, 3))
+    inverse = np.linalg.pinv(products[:, 1 : 1 + parts, 1 : 1 + parts], rcond=1e-11, hermitian=True)
+    change = -(inverse @ products[:, 1 : 1 + parts, :1])[:, :, 0]
+    whole = np.concatenate([np.ones((len(change), 1)), change], 1)
+    some = products[:, : 1 + parts, : 1 + parts]
+    error = (whole[:, None, :] @ some @ whole[:, :, None])[:, 0, 0]
+    return change, np.maximum(error, 0.0)
 
 
 def _admissible(params: np.ndarray) -> np.ndarray:
@@ -90,55 +102,155 @@ def _admissible(params: np.ndarray) -> np.ndarray:
 START_LEVEL = (0.02, 0.1, 0.3, 0.6, 0.9)
 START_TREND = (0.0, 0.02, 0.1)
 START_SEASON = (0.0, 0.1, 0.3)
-REACHES = (0.1, 0.05, 0.02, 0.01, 0.005)
-
-
-def _padded(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(y) for y in series])
-    out = np.zeros((len(series), lengths.max()))
-    for row, y in zip(out, series):
-        row[: len(y)] = y
-    return out, lengths
+#: Starts that are followed, and steps at most.
+FOLLOWED, STEPS = 3, 25
+#: The search of a row ends when a step gains less than this share.
+GAIN = 1e-6
+#: Ends of the three shares that are searched: the level weight, the trend weight's share of it, and the seasonal weight's share of the rest.
+LEAST_SHARE, MOST_SHARE = np.array([1e-4, 0.0, 0.0]), 0.9999
+
+
+def _weights(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights inside the admissible region from shares, and their derivatives."""
+    alpha = share[:, 0]
+    params = np.stack([alpha, alpha * share[:, 1], (1 - alpha) * share[:, 2]], 1)
+    turn = np.zeros((len(share), 3, 3))
+    turn[:, 0, 0] = 1.0
+    turn[:, 1, 0] = share[:, 1]
+    turn[:, 1, 1] = alpha
+    turn[:, 2, 0] = -share[:, 2]
+    turn[:, 2, 2] = 1 - alpha
+    return params, turn
+
+
+def _shares(params: np.ndarray) -> np.ndarray:
+    alpha, beta, gamma = params.T
+    return np.stack([alpha, beta / alpha, gamma / (1 - alpha)], 1).clip(LEAST_SHARE, MOST_SHARE)
+
+
+def _bounded_step(normal: np.ndarray, pull: np.ndarray, damping: np.ndarray, share: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Damped step that stays in the box: a share that meets its end stops there, and the others are solved for anew."""
+    size = np.maximum(np.einsum("nii->ni", normal), 1e-12 * (1 + np.abs(normal).max(axis=(1, 2)))[:, None])
+    damped = normal + np.eye(3) * (size * damping[:, None])[:, None, :]
+    low, high = LEAST_SHARE - share, MOST_SHARE - share
+    fixed = np.broadcast_to(~used, share.shape) | ((low >= 0) & (pull > 0)) | ((high <= 0) & (pull < 0))
+    step = np.zeros_like(share)
+    for _ in range(3):
+        open_ = (~fixed).astype(float)
+        right = -(pull + np.einsum("nij,nj->ni", damped, step * (1 - open_))) * open_
+        matrix = damped * open_[:, :, None] * open_[:, None, :] + np.eye(3) * (1 - open_)[:, None, :]
+        step = np.where(fixed, step, np.linalg.solve(matrix, right[:, :, None])[:, :, 0])
+        over = (step < low) | (step > high)
+        step = step.clip(np.minimum(low, 0), np.maximum(high, 0))
+        if not (over & ~fixed).any():
+            break
+        fixed = fixed | over
+    return step
+
+
+def _starts(season: bool) -> np.ndarray:
+    grid = np.stack(np.meshgrid(START_LEVEL, START_TREND, START_SEASON if season else (0.0,)), -1).reshape(-1, 3)
+    return np.unique(_admissible(grid), axis=0)
 
 
 def fit_many(series: list[np.ndarray], season: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Least-squares parameters, initial states, final states and errors of several series.
 
-    For given smoothing parameters the best initial state is a linear least squares
-    problem, so only the parameters are searched: a coarse grid, then
-    shrinking neighbourhoods of the best point.  A series without a finite error has NaN everywhere.
+    For given weights the best initial state is a linear least squares problem.  The weights are found by damped
+    Gauss-Newton steps from the best points of a coarse grid: the derivatives of the errors by weights and initial state
+    run through the days beside the state, for all series at once.  A series without a finite error has NaN everywhere.
     """
-    y, lengths = _padded(series)
-    scale = np.abs(y).max(axis=1)
+    parts, count = _parts(season), len(series)
+    lengths = np.array([len(s) for s in series])
+    scale = np.array([np.abs(s).max() for s in series])
     scale[scale == 0] = 1.0
-    scaled = y / scale[:, None]
-    start = np.stack(
-        np.meshgrid(START_LEVEL, START_TREND, START_SEASON if season else (0.0,)), -1
-    ).reshape(-1, 3)
-    start = np.unique(_admissible(start), axis=0)
-    candidates = np.broadcast_to(start, (len(series), *start.shape))
-    count, parts = len(series), 2 + (PERIOD if season else 0)
-    params, initial, ends = np.full((count, 3), np.nan), np.full((count, parts), np.nan), np.full((count, parts), np.nan)
-    least = np.full(count, np.inf)
-    for reach in (None, *REACHES):
-        if reach is not None:
-            centers = np.where(np.isnan(params), start[0], params)
-            candidates = np.stack([_grid(center, reach, season) for center in centers])
-        products, final = _responses(scaled, lengths, candidates, season)
-        rows = candidates.shape[1]
-        bad = ~np.isfinite(products).all(axis=(1, 2))
-        products[bad] = 0.0
-        states, error = _fit_states(products)
-        error[bad] = np.inf
-        error = error.reshape(count, rows)
-        at = error.argmin(axis=1)
-        better = np.flatnonzero(error[np.arange(count), at] < least)
-        flat = better * rows + at[better]
-        params[better], initial[better] = candidates[better, at[better]], states[flat]
-        ends[better] = (final[:, flat, 0] + np.einsum("prc,rc->pr", final[:, flat, 1:], states[flat])).T
-        least[better] = error[better, at[better]]
-    least[np.isinf(least)] = np.nan
-    return params, initial * scale[:, None], ends * scale[:, None], least * scale * scale
+    y = np.zeros((count, lengths.max()))
+    for row, s, by in zip(y, series, scale):
+        row[: len(s)] = s / by
+
+    starts = _starts(season)
+    n = len(starts)
+    rows = np.repeat(np.arange(count), n)
+    products, _ = _pass(y[rows], lengths[rows], np.tile(starts, (count, 1)), np.zeros((count * n, parts)), season, False)
+    change, error = _initial(_finite(products), parts)
+    error = np.where(np.isfinite(products).all(axis=(1, 2)), error, np.inf).reshape(count, n)
+    first = error.argsort(1, kind="stable")[:, :FOLLOWED]
+    k = first.shape[1]
+    flat = (first + np.arange(count)[:, None] * n).ravel()
+
+    rows = np.repeat(np.arange(count), k)
+    free, initial = _shares(starts[first.ravel()]), change[flat]
+    used = np.array([True, True, season])
+    best = np.full(count * k, np.inf)
+    kept = free.copy()
+    kept_initial = np.zeros((count * k, parts))
+    ends = np.full((count * k, parts), np.nan)
+    normal = np.zeros((count * k, 3, 3))
+    pull = np.zeros((count * k, 3))
+    damping = np.full(count * k, 1e-3)
+    stale, again = np.zeros(count * k, bool), np.zeros(count * k, bool)
+    active = np.flatnonzero(np.isfinite(error.ravel()[flat]))
+    for _ in range(STEPS):
+        if not len(active):
+            break
+        params, turn = _weights(free[active])
+        if not season:
+            params[:, 2] = 0.0
+        products, final = _pass(y[rows[active]], lengths[rows[active]], params, initial[active], season, True)
+        good = np.isfinite(products).all(axis=(1, 2))
+        products = _finite(products)
+        change, now = _initial(products, parts)
+        now = np.where(good, now, np.inf)
+        better = now < best[active]
+        gain = np.where(np.isfinite(best[active]), best[active] - now, np.inf)
+        # a step from derivatives of another initial state may fail for that reason: take them anew before giving up
+        anew = again[active]
+        small = better & (gain <= GAIN * now) & ~stale[active]
+        at = active[better]
+        best[at], kept[at] = now[better], free[at]
+        kept_initial[at] = initial[at] + change[better]
+        stale[at] = True
+        ends[at] = (final[:, better, 0] + np.einsum("prc,rc->pr", final[:, better, 1 : 1 + parts], change[better])).T
+        # derivatives by the weights, freed of what the initial state explains
+        better |= anew
+        at = active[better]
+        linear = products[better][:, 1 : 1 + parts, 1 : 1 + parts]
+        inverse = np.linalg.pinv(linear, rcond=1e-11, hermitian=True)
+        cross = products[better][:, 1 : 1 + parts, -3:]
+        explained = inverse @ cross
+        inner = products[better][:, -3:, -3:] - cross.transpose(0, 2, 1) @ explained
+        outer = products[better][:, -3:, 0] - (explained.transpose(0, 2, 1) @ products[better][:, 1 : 1 + parts, :1])[:, :, 0]
+        by = turn[better]
+        normal[at] = by.transpose(0, 2, 1) @ inner @ by
+        pull[at] = (by.transpose(0, 2, 1) @ outer[:, :, None])[:, :, 0]
+        stale[active[anew]] = False
+        damping[active] = np.where(anew, damping[active], np.where(better, damping[active] * 0.2, damping[active] * 8)).clip(1e-9, 1e9)
+        again[active] = (~better | (gain <= GAIN * now)) & stale[active]
+        stop = small | (~better & ~again[active] & (damping[active] > 1e4))
+        active = active[~stop]
+        if not len(active):
+            break
+        step = _bounded_step(normal[active], pull[active], damping[active], kept[active], used)
+        step[again[active]] = 0.0
+        free[active] = kept[active] + step
+        initial[active] = kept_initial[active]
+
+    chosen = best.reshape(count, k).argmin(1) + np.arange(count) * k
+    params, _ = _weights(kept[chosen])
+    if not season:
+        params[:, 2] = 0.0
+    least = best[chosen]
+    failed = ~np.isfinite(least)
+    params[failed] = np.nan
+    out = kept_initial[chosen]
+    out[failed] = np.nan
+    least = np.where(failed, np.nan, least)
+    return params, out * scale[:, None], ends[chosen] * scale[:, None], least * scale * scale
+
+
+def _finite(products: np.ndarray) -> np.ndarray:
+    good = np.isfinite(products).all(axis=(1, 2))
+    return np.where(good[:, None, None], products, 0.0)
 
 
 def fit(y: np.ndarray, season: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -147,12 +259,6 @@ def fit(y: np.ndarray, season: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return params[0], initial[0], ends[0], float(error[0])
 
 
-def run(y: np.ndarray, params: np.ndarray, initial: np.ndarray, season: bool) -> np.ndarray:
-    """Final state after smoothing ``y`` with given parameters and initial state."""
-    _, final = _responses(y[None], np.array([len(y)]), np.asarray(params, float).reshape(1, 1, 3), season)
-    return final[:, 0, 0] + final[:, 0, 1:] @ np.asarray(initial, float)
-
-
 def heuristic_state(y: np.ndarray, season: bool) -> np.ndarray:
     """Level, trend (and weekly pattern) read off the first two weeks."""
     first, second = y[:PERIOD].mean(), y[PERIOD : 2 * PERIOD].mean()
@@ -161,6 +267,70 @@ def heuristic_state(y: np.ndarray, season: bool) -> np.ndarray:
     return np.concatenate([[first, (second - first) / PERIOD], y[:PERIOD] - first])
 
 
+def run_many(
+    series: Sequence[np.ndarray], initial: np.ndarray, params: np.ndarray, season: bool, stops: Sequence[Sequence[int]]
+) -> list[list[np.ndarray]]:
+    """States of each series after each of its ``stops`` values, from one run over its days.
+
+    What comes after a stop has no part in its state.
+    """
+    alpha, beta, gamma = params
+    wanted: dict[int, list[int]] = {}
+    for row, own in enumerate(stops):
+        for stop in own:
+            wanted.setdefault(stop, []).append(row)
+    found: list[dict[int, np.ndarray]] = [{} for _ in series]
+    longest = max(wanted, default=0)
+    y = np.zeros((len(series), longest))
+    for row, s in zip(y, series):
+        row[: min(len(s), longest)] = s[:longest]
+    state = np.array(initial, float).T.copy()
+    for t in range(longest + 1):
+        for row in wanted.get(t, ()):
+            found[row][t] = state[:, row].copy()
+        if t == longest:
+            break
+        error = y[:, t] - state[0] - state[1]
+        if season:
+            error -= state[2 + t % PERIOD]
+        state[0] += state[1] + alpha * error
+        state[1] += beta * error
+        if season:
+            state[2 + t % PERIOD] += gamma * error
+    return [[found[row][stop] for stop in own] for row, own in enumerate(stops)]
+
+
+def states_at(
+    series: Sequence[np.ndarray], stops: Sequence[Sequence[tuple[int, bool]]], fixed: np.ndarray | None = None
+) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """Weights and state after the first ``stop`` values of each series, for its pairs (stop, weekly pattern).
+
+    Weights are fitted on those values alone.  With ``fixed`` ones a series is run once for each start it has, and its
+    state is kept at every stop.
+    """
+    out: list[list] = [[None] * len(own) for own in stops]
+    for season in (True, False):
+        asked = [(i, j, stop) for i, own in enumerate(stops) for j, (stop, weekly) in enumerate(own) if weekly == season]
+        if not asked:
+            continue
+        if fixed is None:
+            params, _, ends, _ = fit_many([series[i][:stop] for i, _, stop in asked], season)
+            for (i, j, _), p, e in zip(asked, params, ends):
+                out[i][j] = p, e
+            continue
+        used = fixed if season else np.array([fixed[0], fixed[1], 0.0])
+        runs: dict[tuple, list[tuple[int, int]]] = {}
+        for i, j, stop in asked:
+            runs.setdefault((i, tuple(heuristic_state(series[i][:stop], season))), []).append((j, stop))
+        ends = run_many(
+            [series[i] for i, _ in runs], np.array([start for _, start in runs]), used, season, [[s for _, s in own] for own in runs.values()]
+        )
+        for ((i, _), own), states in zip(runs.items(), ends):
+            for (j, _), state in zip(own, states):
+                out[i][j] = used, state
+    return out
+
+
 def project(ends: np.ndarray, rows: int, horizon: int, season: bool) -> np.ndarray:
     """Values of the ``horizon`` steps after ``rows`` smoothed ones."""
     steps = np.arange(1, horizon + 1)

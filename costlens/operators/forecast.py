@@ -6,6 +6,7 @@ its hold-out rows as ``(series keys, method, day, actual, predicted)``.
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as S
-from ..functions import smoothing
+from ..functions import smoothing, trees
 from ..session import shared_folder
 from .filters import for_entity
 from .panel import TOTAL, TOTAL_VALUE, daily_series, with_length
@@ -69,6 +70,8 @@ HISTORY = 29  # rows the widest feature looks back
 
 _KEYS = list(S.SERIES)
 
+Model = GBTRegressionModel | trees.Ensemble
+
 
 # --- metrics ---------------------------------------------------------------
 
@@ -165,6 +168,9 @@ _SMOOTHING_SCHEMA = (
 )
 
 
+_ORIGIN_SCHEMA = "dataset_id string, entity_type string, entity_value string, origin date, step int, day date, yhat double"
+
+
 #: Series that a task fits together.
 FIT_BATCH = 64
 
@@ -175,33 +181,16 @@ def _known(panel: DataFrame) -> DataFrame:
 
 
 def _smoothed(series: list[tuple], horizon: int, fixed: np.ndarray | None) -> list[tuple]:
-    """Hold-out and forecast rows of ``(keys, days, values)``, all series with and all without a weekly pattern at once.
+    """Hold-out and forecast rows of ``(keys, days, values)``, all series fitted together.
 
     A series whose fit fails is forecast by the mean of its last days.
     """
     splits = [smoothing.training_rows(len(y)) for _, _, y in series]
-
-    def states(part: list[np.ndarray]) -> list[tuple]:
-        found: list = [None] * len(part)
-        for season in (True, False):
-            some = [i for i, (_, seasonal) in enumerate(splits) if seasonal == season]
-            if not some:
-                continue
-            if fixed is None:
-                params, _, ends, _ = smoothing.fit_many([part[i] for i in some], season)
-                for i, p, e in zip(some, params, ends):
-                    found[i] = p, e
-            else:
-                used = fixed if season else np.array([fixed[0], fixed[1], 0.0])
-                for i in some:
-                    start = smoothing.heuristic_state(part[i], season)
-                    found[i] = used, smoothing.run(part[i], used, start, season)
-        return found
-
-    held = states([y[:split] for (_, _, y), (split, _) in zip(series, splits)])
-    full = states([y for _, _, y in series])
+    found = smoothing.states_at(
+        [y for _, _, y in series], [((split, season), (len(y), season)) for (_, _, y), (split, season) in zip(series, splits)], fixed
+    )
     out = []
-    for (keys, days, y), (split, season), (held_params, held_ends), (params, ends) in zip(series, splits, held, full):
+    for (keys, days, y), (split, season), ((held_params, held_ends), (params, ends)) in zip(series, splits, found):
         fitted = bool(np.isfinite(held_ends).all() and np.isfinite(ends).all())
         if fitted:
             method = SMOOTHING
@@ -222,28 +211,35 @@ def _smoothed(series: list[tuple], horizon: int, fixed: np.ndarray | None) -> li
     return out
 
 
-def holt_winters(
-    panel: DataFrame, horizon: int = HORIZON, params: Sequence[float] | None = None, batch: int = FIT_BATCH
-) -> DataFrame:
-    """Additive trend with a weekly additive pattern, fitted per series.
+def _smoothed_at(series: list[tuple], horizon: int, fixed: np.ndarray | None, origins: Sequence[dt.date]) -> list[tuple]:
+    """Forecast rows from each origin, made of the days up to it; a fit that fails gives none."""
+    known = [[bisect.bisect_right(days, origin) for origin in origins] for _, days, _ in series]
+    long_enough = [[(i, n) for i, n in enumerate(own) if n >= SMOOTHING_MIN_ROWS] for own in known]
+    stops = [[(n, smoothing.training_rows(n)[1]) for _, n in own] for own in long_enough]
+    found = smoothing.states_at([y for _, _, y in series], stops, fixed)
+    out = []
+    for (keys, days, _), own, pairs, states in zip(series, long_enough, stops, found):
+        for (i, _), (n, season), (_, ends) in zip(own, pairs, states):
+            if np.isfinite(ends).all():
+                for step, value in enumerate(smoothing.project(ends, n, horizon, season), 1):
+                    out.append((*keys, origins[i], step, days[n - 1] + dt.timedelta(days=step), max(float(value), 0.0)))
+    return out
 
-    One row per hold-out day (``kind = holdout``, fitted on the first 80 %) and per
-    forecast day (``kind = forecast``, fitted on everything, never below 0).  The weekly
-    pattern needs 21 training rows.  Series under ten rows are left out; days without a known
-    cost do not count.  ``params`` (alpha, beta, gamma) skips the fit and starts from the first weeks.
 
-    Series are spread over the cluster by key and sorted; a task fits ``batch`` of them at
-    a time, so it holds that many lifetimes of days at once.
+def _by_series(panel: DataFrame, batch: int, make, schema: str) -> DataFrame:
+    """``make`` of lists of ``(keys, days, values)``, ``batch`` series at a time.
+
+    Series are spread over the cluster by key and sorted.  Fitting costs time, not space: they keep all
+    partitions, where adaptive execution would pack such small data into one or two tasks.
     """
-    fixed = None if params is None else np.asarray(params, float)
-    names = [c.split()[0] for c in _SMOOTHING_SCHEMA.split(", ")]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def batches(rows):
         held: list[tuple] = []
         at, days, values = None, [], []
 
         def made() -> pd.DataFrame:
-            return pd.DataFrame(_smoothed(held, horizon, fixed), columns=names)
+            return pd.DataFrame(make(held), columns=names)
 
         for part in rows:
             for *keys, day, cost in part.itertuples(index=False, name=None):
@@ -261,8 +257,6 @@ def holt_winters(
         if held:
             yield made()
 
-    # Fitting costs time, not space: the series keep all partitions, where adaptive
-    # execution would pack such small data into one or two tasks.
     tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long_enough = (
         with_length(_known(panel).repartition(tasks, *_KEYS))
@@ -270,7 +264,41 @@ def holt_winters(
         .select(*_KEYS, "day", "cost")
         .sortWithinPartitions(*_KEYS, "day")
     )
-    return long_enough.mapInPandas(batches, _SMOOTHING_SCHEMA)
+    return long_enough.mapInPandas(batches, schema)
+
+
+def holt_winters(
+    panel: DataFrame, horizon: int = HORIZON, params: Sequence[float] | None = None, batch: int = FIT_BATCH
+) -> DataFrame:
+    """Additive trend with a weekly additive pattern, fitted per series.
+
+    One row per hold-out day (``kind = holdout``, fitted on the first 80 %) and per
+    forecast day (``kind = forecast``, fitted on everything, never below 0).  The weekly
+    pattern needs 21 training rows.  Series under ten rows are left out; days without a known
+    cost do not count.  ``params`` (alpha, beta, gamma) skips the fit and starts from the first weeks.
+
+    A task fits ``batch`` series at a time, so it holds that many lifetimes of days at once.
+    """
+    fixed = None if params is None else np.asarray(params, float)
+    return _by_series(panel, batch, lambda held: _smoothed(held, horizon, fixed), _SMOOTHING_SCHEMA)
+
+
+def smoothing_from(
+    panel: DataFrame,
+    origins: Sequence[str],
+    horizon: int = HORIZON,
+    params: Sequence[float] | None = None,
+    batch: int = FIT_BATCH,
+) -> DataFrame:
+    """``(series keys, origin, step, day, yhat)``: smoothing as it would have been made at each origin day.
+
+    Steps count from the last known day up to the origin; a series with fewer than ten known days by then has none.
+    For given ``params`` a series is run once and its state kept at every origin; otherwise the weights of
+    an origin are fitted on the days up to it.
+    """
+    fixed = None if params is None else np.asarray(params, float)
+    days = [dt.date.fromisoformat(origin) for origin in origins]
+    return _by_series(panel, batch, lambda held: _smoothed_at(held, horizon, fixed, days), _ORIGIN_SCHEMA)
 
 
 def smoothing_holdout(fitted: DataFrame) -> DataFrame:
@@ -370,8 +398,16 @@ def fit_boosted(
     return learner.fit(_vectors(split_rows.where(F.col("split") == "train")))
 
 
-def boosted_holdout(model: GBTRegressionModel, split_rows: DataFrame, part: str = "val") -> DataFrame:
-    scored = model.transform(_vectors(split_rows.where(F.col("split") == part)))
+def boosted_holdout(model: Model, split_rows: DataFrame, part: str = "val") -> DataFrame:
+    """Rows of one part against the model's prediction from their features."""
+    rows = split_rows.where(F.col("split") == part)
+    if isinstance(model, trees.Ensemble):
+        listed = F.array(*[F.col(name).cast("double") for name in FEATURES])
+        scored = rows.withColumn("_features", listed).withColumn(
+            "predicted", F.expr(f"transform(array(_features), f -> {model.sql('f')})[0]")
+        )
+    else:
+        scored = model.transform(_vectors(rows))
     return scored.select(
         *_KEYS, F.lit(BOOSTED).alias("method"), "day", F.col("cost").alias("actual"), "predicted"
     )
@@ -405,72 +441,64 @@ def best_method(all_metrics: DataFrame) -> DataFrame:
     ).select(*_KEYS, F.col("_best.method").alias("method"), F.col("_best.wape").alias("wape"))
 
 
-def boosted_forecast(
-    model: GBTRegressionModel, panel: DataFrame, horizon: int = HORIZON, checkpoint_every: int = 10
-) -> DataFrame:
+def boosted_forecast(model: Model, panel: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Step-by-step forecast that feeds each prediction back as history.
 
-    A series travels as one row holding its last 29 values.  The plan grows with every
-    step, so it is cut by a checkpoint in the shared folder.
+    A series travels as one row holding its last 29 values.  The trees are compiled to one
+    expression, and the steps are a fold over that row: one stage, whatever the horizon.
     """
-    spark = panel.sparkSession
-    shared_folder(spark)
-    recent = _indexed(panel).where(
+    recent = _indexed(_known(panel)).where(
         (F.col("n") >= BOOSTED_MIN_ROWS + 1) & (F.col("position") >= F.col("n") - HISTORY)
     )
     state = recent.groupBy(*_KEYS).agg(
         F.max("day").alias("last_day"),
         F.transform(F.array_sort(F.collect_list(F.struct("day", "cost"))), lambda x: x["cost"]).alias("history"),
-    ).withColumn("outputs", F.array().cast("array<double>"))
-    for step in range(1, horizon + 1):
-        state = _one_step(model, state, step)
-        if step % checkpoint_every == 0 and step < horizon:
-            state = state.checkpoint()
-    return state.select(
-        *_KEYS, F.lit(BOOSTED).alias("method"), "last_day", F.posexplode("outputs").alias("pos", "yhat")
-    ).select(
-        *_KEYS, "method", (F.col("pos") + 1).alias("step"), F.date_add("last_day", F.col("pos") + 1).alias("day"), "yhat"
     )
+    return rolled_forward(model, state, horizon).select(*_KEYS, F.lit(BOOSTED).alias("method"), "step", "day", "yhat")
 
 
-def _one_step(model: GBTRegressionModel, state: DataFrame, step: int) -> DataFrame:
-    past = F.col("history")
-
-    def back(k: int):
-        return F.element_at(past, -k)
+def rolled_forward(model: Model, state: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """Rows of ``state`` (``last_day``, ``history`` of 29 costs, others) once for each step, with ``step, day, yhat``."""
+    others = [c for c in state.columns if c != "history"]
+    outputs = F.slice(F.expr(_folded(trees.compiled(model), horizon)), HISTORY + 1, horizon)
+    return state.select(*others, F.posexplode(outputs).alias("pos", "yhat")).select(
+        *others, (F.col("pos") + 1).alias("step"), F.date_add("last_day", F.col("pos") + 1).alias("day"), "yhat"
+    )
 
-    def mean(k: int):
-        return F.aggregate(F.slice(past, -k, k), F.lit(0.0), lambda a, x: a + x) / k
 
-    centre = mean(7)
-    square = F.aggregate(
-        F.slice(past, -7, 7), F.lit(0.0), lambda a, x: a + (x - F.col("rolling_mean_7")) * (x - F.col("rolling_mean_7"))
-    )
-    day = F.date_add("last_day", step)
-    rows = (
-        state.withColumns(
-            {
-                **{f"lag_{k}": back(k) for k in LAGS},
-                "rolling_mean_7": centre,
-                "rolling_mean_14": mean(14),
-                **{
-                    f"growth_{k}d": F.coalesce(back(1) / F.nullif(back(1 + k), F.lit(0.0)) - 1, F.lit(0.0))
-                    for k in (7, 28)
-                },
-                **_calendar(day),
-            }
-        )
-        .withColumn("rolling_std_7", F.sqrt(square / 6))
-    )
-    scored = model.transform(_vectors(rows)).withColumn("_next", F.greatest(F.col("predicted"), F.lit(0.0)))
-    return scored.select(
-        *_KEYS,
-        "last_day",
-        F.concat(F.slice(past, 2, HISTORY - 1), F.array("_next")).alias("history"),
-        F.concat("outputs", F.array("_next")).alias("outputs"),
+def _folded(ensemble: trees.Ensemble, horizon: int) -> str:
+    """``history`` with the predictions of ``horizon`` steps behind it, each made from all values before it."""
+    found = _next_features("past", "date_add(last_day, step)")
+    listed = ", ".join(f"CAST({found[name]} AS DOUBLE)" for name in FEATURES)
+    return (
+        f"aggregate(sequence(1, {int(horizon)}), history, (past, step) -> "
+        f"concat(past, transform(array(array({listed})), f -> greatest({ensemble.sql('f')}, 0D))))"
     )
 
 
+def _next_features(past: str, day: str) -> dict[str, str]:
+    """Features of the row after an array of costs, as in ``features``; unknown growth is 0."""
+
+    def back(k: int) -> str:
+        return f"element_at({past}, -{k})"
+
+    def mean(k: int) -> str:
+        return f"(aggregate(slice({past}, -{k}, {k}), 0D, (a, x) -> a + x) / {k})"
+
+    squares = f"aggregate(slice({past}, -7, 7), 0D, (a, x) -> a + (x - centre) * (x - centre))"
+    return {
+        **{f"lag_{k}": back(k) for k in LAGS},
+        "rolling_mean_7": mean(7),
+        "rolling_mean_14": mean(14),
+        "rolling_std_7": f"transform(array({mean(7)}), centre -> sqrt({squares} / 6))[0]",
+        **{f"growth_{k}d": f"coalesce({back(1)} / nullif({back(1 + k)}, 0D) - 1, 0D)" for k in (7, 28)},
+        "day_of_week": f"weekday({day})",
+        "day_of_month": f"dayofmonth({day})",
+        "week_of_year": f"weekofyear({day})",
+        "month": f"month({day})",
+    }
+
+
 # --- choosing a method -----------------------------------------------------
 
 
@@ -565,18 +593,21 @@ class Boosted:
     trees: int
 
 
-def boosted_chain(panel: DataFrame, horizon: int = HORIZON, **tree_options) -> Boosted | None:
-    """Fit the boosted model, gate it, and forecast the series that pass; None if no series is long enough."""
+def boosted_chain(
+    panel: DataFrame, horizon: int = HORIZON, *, model: Model | None = None, **tree_options
+) -> Boosted | None:
+    """Fit the boosted model (unless given), gate it, and forecast the series that pass; None if no series is long enough."""
     known = _known(panel)
     parts = modelled_rows(known)
     if parts.where(F.col("split") == "train").isEmpty():
         return None
-    model = fit_boosted(parts, **tree_options)
+    if model is None:
+        model = fit_boosted(parts, **tree_options)
     holdout, baseline = boosted_holdout(model, parts), gate_baseline(parts)
     gate = passes_gate(metrics(holdout), metrics(baseline))
     passed = known.join(gate.where("passed").select(*_KEYS), _KEYS, "left_semi")
     return Boosted(
-        gate, boosted_forecast(model, passed, horizon), holdout, baseline, split_bounds(parts), model.getNumTrees
+        gate, boosted_forecast(model, passed, horizon), holdout, baseline, split_bounds(parts), len(trees.compiled(model))
     )
 
 

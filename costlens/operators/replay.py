@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series as S
+from ..functions import trees
 from . import forecast
 
 _KEYS = list(S.SERIES)
@@ -31,22 +33,94 @@ def replay(panel: DataFrame, origins: Sequence[str]) -> DataFrame:
     )
 
 
-def backtest(panel: DataFrame, origins: Sequence[str], horizon: int = 30) -> DataFrame:
-    """Naive and moving-average errors over the days after each origin.
+def standing_at(panel: DataFrame, origins: Sequence[str]) -> DataFrame:
+    """One row per series and origin: what the known days up to the origin say, ``n, last_day, last, average, history``.
 
-    A forecast day without charges has no actual value and is not scored.
+    ``average`` covers the last seven days and ``history`` the last 29, oldest first.  A row of the
+    panel serves the origins between its day and the next one, so nothing is copied for each origin before that is known.
     """
-    past = replay(panel, origins).drop("origin")
-    points = forecast.naive(past, horizon).unionByName(forecast.moving_average(past, horizon))
-    split = F.split("dataset_id", "@")
-    actual = panel.withColumnRenamed("cost", "actual")
-    scored = (
-        points.withColumns({"origin": F.element_at(split, -1), "_ds": F.regexp_replace("dataset_id", "@[^@]*$", "")})
-        .withColumn("dataset_id", F.col("_ds"))
-        .join(actual, [*_KEYS, "day"])
+    order = S.by_day()
+    days = F.array(*[F.lit(o).cast("date") for o in origins])
+    following = F.lead("day").over(order)
+    seen = forecast._known(panel).select(
+        *_KEYS,
+        "day",
+        F.row_number().over(order).alias("n"),
+        F.col("day").alias("last_day"),
+        F.col("cost").alias("last"),
+        F.avg("cost").over(order.rowsBetween(1 - forecast.AVERAGE_WINDOW, 0)).alias("average"),
+        F.collect_list("cost").over(order.rowsBetween(1 - forecast.HISTORY, 0)).alias("history"),
+        following.alias("following"),
     )
+    serves = F.filter(days, lambda o: (o >= F.col("day")) & (F.col("following").isNull() | (o < F.col("following"))))
+    return seen.withColumn("origin", F.explode(serves)).drop("day", "following")
+
+
+def backtest_points(
+    panel: DataFrame,
+    origins: Sequence[str],
+    horizon: int = forecast.HORIZON,
+    *,
+    methods: Sequence[str] = forecast.COMPLEXITY,
+    params: Sequence[float] | None = None,
+    model: forecast.Model | None = None,
+    **tree_options,
+) -> DataFrame:
+    """``(series keys, origin, method, step, day, yhat)``: what each method would have said on each origin day.
+
+    Only days up to an origin enter its forecast, its smoothing weights and its trees.  ``params`` gives the smoothing
+    weights and ``model`` the trees; otherwise one boosted model is trained for each origin, on the training rows
+    among the days before it.  A method that a series is too short for by then gives no rows.
+    """
+    unknown = set(methods) - set(forecast.COMPLEXITY)
+    if unknown or not methods or not origins:
+        raise ValueError(f"unknown methods {sorted(unknown)}" if unknown else "no methods or no origins")
+    columns = [*_KEYS, "origin", "method", "step", "day", "yhat"]
+    # a series' last row before an origin is where every method but smoothing starts
+    state = standing_at(panel, origins)
+    steps = F.explode(F.sequence(F.lit(1), F.lit(horizon)))
+    parts = []
+    for method, value, least in ((forecast.NAIVE, "last", 1), (forecast.AVERAGE, "average", forecast.AVERAGE_WINDOW)):
+        if method in methods:
+            level = state.where(F.col("n") >= least).select(*_KEYS, "origin", "last_day", F.col(value).alias("yhat"), steps.alias("step"))
+            parts.append(level.withColumns({"method": F.lit(method), "day": F.date_add("last_day", F.col("step"))}))
+    if forecast.SMOOTHING in methods:
+        parts.append(forecast.smoothing_from(panel, origins, horizon, params).withColumn("method", F.lit(forecast.SMOOTHING)))
+    if forecast.BOOSTED in methods:
+        ready = state.where(F.col("n") >= forecast.BOOSTED_MIN_ROWS + 1)
+        for some, trained in _models(panel, origins, model, tree_options):
+            parts.append(
+                forecast.rolled_forward(trained, ready.where(F.col("origin").isin(some)), horizon).withColumn("method", F.lit(forecast.BOOSTED))
+            )
+    if not parts:  # no origin has anything to train on
+        return forecast.rolled_forward(trees.Ensemble(()), state.limit(0), 1).withColumn("method", F.lit(forecast.BOOSTED)).select(*columns)
+    points = parts[0].select(*columns)
+    for part in parts[1:]:
+        points = points.unionByName(part.select(*columns))
+    return points
+
+
+def _models(panel: DataFrame, origins: Sequence[str], model: forecast.Model | None, tree_options: dict):
+    """The trees to use at some origins: the given ones at all, or a model for each with something to learn from."""
+    days = [dt.date.fromisoformat(o) for o in origins]
+    if model is not None:
+        yield days, model
+        return
+    for day in days:
+        rows = forecast.modelled_rows(forecast._known(panel).where(F.col("day") <= F.lit(day)))
+        if not rows.where(F.col("split") == "train").isEmpty():
+            yield [day], forecast.fit_boosted(rows, **tree_options)
+
+
+def backtest(panel: DataFrame, origins: Sequence[str], horizon: int = forecast.HORIZON, **options) -> DataFrame:
+    """Errors of each method over the days after each origin; options as for ``backtest_points``.
+
+    A forecast day without charges has no actual value and is not scored.
+    """
+    actual = forecast._known(panel).select(*_KEYS, "day", F.col("cost").alias("actual"))
+    scored = backtest_points(panel, origins, horizon, **options).join(actual, [*_KEYS, "day"])
     error = F.col("yhat") - F.col("actual")
-    return scored.groupBy("dataset_id", "entity_type", "entity_value", "origin", "method").agg(
+    return scored.groupBy(*_KEYS, F.col("origin").cast("string").alias("origin"), "method").agg(
         F.count(F.lit(1)).alias("scored_days"),
         F.avg(F.abs(error)).alias("mae"),
         (F.sum(F.abs(error)) / F.nullif(F.sum(F.abs("actual")), F.lit(0.0))).alias("wape"),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from costlens.functions import smoothing
+from costlens.functions import smoothing, trees
 from costlens.operators import forecast, replay
 
 
@@ -45,15 +45,70 @@ def test_fit_recovers_trend_and_week(make_panel):
     assert forecast.metrics(forecast.smoothing_holdout(got)).first().mae < 1e-3
 
 
+def squared_error(y, params, season):
+    """Least squared error over all initial states, step by step."""
+    rows, parts = len(params), smoothing._parts(season)
+    scale = np.abs(y).max()
+    wide = np.repeat(y[None] / scale, rows, 0)
+    products, _ = smoothing._pass(wide, np.full(rows, len(y)), params, np.zeros((rows, parts)), season, False)
+    return smoothing._initial(products, parts)[1] * scale**2
+
+
 def test_fit_is_close_to_a_random_search():
     rng = np.random.default_rng(2)
-    for season, n in ((False, 15), (True, 60)):
+    for season, n in ((False, 15), (True, 22), (True, 60), (True, 300)):
         y = 100 + np.cumsum(rng.normal(0, 5, n)) + rng.normal(0, 5, n)
-        sse = smoothing.fit(y, season)[3]
-        tries = smoothing._admissible(rng.uniform(0, 1, (1500, 3)) * [1, 1, season])
-        scale = np.abs(y).max()
-        products, _ = smoothing._responses((y / scale)[None], np.array([len(y)]), tries[None], season)
-        assert sse <= smoothing._fit_states(products)[1].min() * scale**2 * 1.01
+        tries = smoothing._admissible(rng.uniform(0, 1, (4000, 3)) * [1, 1, season])
+        assert smoothing.fit(y, season)[3] <= squared_error(y, tries, season).min() * 1.001
+
+
+def test_fit_is_no_worse_than_shrinking_grids():
+    rng = np.random.default_rng(8)
+    series = [np.abs(100 + np.cumsum(rng.normal(0, 5, n)) + rng.normal(0, 5, n)) for n in rng.integers(21, 60, 25)]
+    for season in (True, False):
+        found = smoothing.fit_many(series, season)[3]
+        for y, error in zip(series, found):
+            best, least = None, np.inf
+            for reach in (None, 0.1, 0.05, 0.02, 0.01, 0.005):
+                if reach is None:
+                    axes = [(0.02, 0.1, 0.3, 0.6, 0.9), (0.0, 0.02, 0.1), (0.0, 0.1, 0.3)]
+                else:
+                    axes = [np.clip(best[i] + np.array([-reach, 0, reach]), 1e-4, 0.9999) for i in range(3)]
+                axes[2] = axes[2] if season else (0.0,)
+                grid = smoothing._admissible(np.stack(np.meshgrid(*axes), -1).reshape(-1, 3))
+                errors = squared_error(y, grid, season)
+                if errors.min() < least:
+                    least, best = errors.min(), grid[errors.argmin()]
+            assert error <= least * 1.0005
+
+
+def test_derivatives_are_those_of_the_error():
+    rng = np.random.default_rng(9)
+    y = rng.uniform(1, 2, (1, 40))
+    params, initial = np.array([[0.4, 0.1, 0.2]]), rng.normal(0, 1, (1, 9))
+
+    def error(p):
+        return smoothing._pass(y, np.array([40]), p, initial, True, True)[0]
+
+    exact = 2 * error(params)[0, -3:, 0]
+    for i in range(3):
+        move = np.zeros((1, 3))
+        move[0, i] = 1e-6
+        assert exact[i] == pytest.approx((error(params + move)[0, 0, 0] - error(params - move)[0, 0, 0]) / 2e-6, rel=1e-4)
+
+
+def test_states_on_the_way_are_those_of_shorter_series():
+    rng = np.random.default_rng(10)
+    series = [rng.uniform(50, 100, n) for n in (12, 40, 95)]
+    stops = [[(10, False), (12, False)], [(14, False), (27, True), (40, True)], [(95, True), (30, True)]]
+    weights = np.array([0.3, 0.1, 0.2])
+    for fixed in (weights, None):
+        found = smoothing.states_at(series, stops, fixed)
+        cut = [[smoothing.states_at([y[:k]], [[(k, season)]], fixed)[0][0] for k, season in own] for y, own in zip(series, stops)]
+        for ours, theirs in zip(found, cut):
+            for (params, state), (other, alone) in zip(ours, theirs):
+                np.testing.assert_allclose(params, other, atol=1e-6)
+                np.testing.assert_allclose(state, alone, rtol=1e-6, atol=1e-6)
 
 
 def test_forecast_is_never_negative(make_panel):
@@ -105,15 +160,53 @@ def boosted(make_panel):
 
 def test_boosted_recursion_uses_the_training_features(boosted):
     rows, parts, model = boosted
-    points = forecast.boosted_forecast(model, rows, 3, checkpoint_every=2)
+    points = forecast.boosted_forecast(model, rows, 3)
     got = {(r.entity_value, r.step): r.yhat for r in points.collect()}
     assert len(got) == 6 and min(got.values()) > 0
-    # The first step must equal the model on the features of the day after the last.
-    last = rows.groupBy("dataset_id", "entity_type", "entity_value").agg(F.date_add(F.max("day"), 1).alias("day"))
-    grown = rows.unionByName(last.withColumn("cost", F.lit(0.0)))
-    after = forecast.features(grown).join(last, ["dataset_id", "entity_type", "entity_value", "day"], "left_semi")
-    for r in model.transform(forecast._vectors(after)).collect():
-        assert got[(r.entity_value, 1)] == pytest.approx(r.predicted)
+    # Every step must equal the model on the features of its day, the steps before it being history.
+    grown = rows
+    for step in (1, 2, 3):
+        last = grown.groupBy("dataset_id", "entity_type", "entity_value").agg(F.date_add(F.max("day"), 1).alias("day"))
+        wider = grown.unionByName(last.withColumn("cost", F.lit(0.0)))
+        after = forecast.features(wider).join(last, ["dataset_id", "entity_type", "entity_value", "day"], "left_semi")
+        scored = model.transform(forecast._vectors(after)).select("dataset_id", "entity_type", "entity_value", "day", F.col("predicted").alias("cost"))
+        for r in scored.collect():
+            assert got[(r.entity_value, step)] == pytest.approx(r.cost, rel=1e-9)
+        grown = grown.unionByName(scored)
+
+
+def test_compiled_trees_predict_what_the_model_predicts(boosted):
+    rows, parts, model = boosted
+    given = trees.compiled(model)
+    assert len(given) == 8 and trees.compiled(given) is given
+    for part in ("train", "val", "test"):
+        one, two = (
+            {(r.entity_value, r.day): r.predicted for r in forecast.boosted_holdout(m, parts, part).collect()} for m in (model, given)
+        )
+        assert one and one.keys() == two.keys()
+        for key, value in one.items():
+            assert two[key] == pytest.approx(value, rel=1e-9)
+
+
+def test_one_stage_rolls_the_horizon(boosted):
+    rows, _, model = boosted
+    plans = [forecast.boosted_forecast(model, rows, h)._jdf.queryExecution().executedPlan().toString() for h in (2, 30)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange") and "Python" not in plans[1]
+
+
+def test_odd_ensembles(spark, make_panel):
+    rows = make_panel({"a": wave(40), "short": wave(28)})
+    nothing = forecast.boosted_forecast(trees.Ensemble(()), rows, 2).collect()
+    assert [(r.entity_value, r.yhat) for r in nothing] == [("a", 0.0)] * 2
+    leaves = trees.Ensemble(((1.0, 5.0), (0.5, -2.0)))
+    assert {r.yhat for r in forecast.boosted_forecast(leaves, rows, 2).collect()} == {4.0}
+    assert {r.yhat for r in forecast.boosted_forecast(trees.Ensemble(((1.0, -3.0),)), rows, 2).collect()} == {0.0}
+
+    class Categories:
+        toDebugString = "Model\n  Tree 0 (weight 1.0):\n    If (feature 0 in {0.0})\n     Predict: 1.0\n"
+
+    with pytest.raises(ValueError, match="split on a number"):
+        trees.compiled(Categories())
 
 
 def test_gated_series_use_the_boosted_forecast(boosted):
@@ -179,3 +272,53 @@ def test_boosted_bounds_are_those_of_its_rows(make_panel):
     assert row.method == "boosted_trees" and row.n_trees == 3 and len(row.points) == 3
     assert (row.training_start, row.training_end) == bounds["train"] and (row.validation_start, row.validation_end) == bounds["val"]
     assert row.holdout_rows == forecast.modelled_rows(rows).where("split = 'val'").count()
+
+
+GIVEN = trees.Ensemble(((1.0, (0, 1200.0, (4, 1100.0, 1000.0, 1150.0), 1300.0)), (0.5, (6, 30.0, -20.0, 15.0))))
+ORIGINS = ["2024-01-04", "2024-01-15", "2024-02-20"]
+
+
+def points_of(panel, **options):
+    found = replay.backtest_points(panel, ORIGINS, 5, **options).collect()
+    return {(r.entity_value, str(r.origin), r.method, r.step): (str(r.day), r.yhat) for r in found}
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+def test_later_days_change_no_backtest(make_panel, fitted):
+    rng = np.random.default_rng(11)
+    base = (np.array(wave(70)) + rng.normal(0, 20, 70)).tolist()
+    options = {"max_iter": 3} if fitted else {"params": (0.2, 0.05, 0.1), "model": GIVEN}
+    cut = 51  # the last origin
+    one, two = (points_of(make_panel({"a": s}), **options) for s in (base, base[:cut] + [9e6] * 19))
+    assert one == two and {m for _, _, m, _ in one} == set(forecast.COMPLEXITY)
+    # what the panel of an origin alone gives
+    for origin, n in zip(ORIGINS, (4, 15, 51)):
+        alone = make_panel({"a": base[:n]})
+        found = {m: {} for m in forecast.COMPLEXITY}
+        found["naive"] = {r.step: r.yhat for r in forecast.naive(alone, 5).collect()}
+        found["moving_average"] = {r.step: r.yhat for r in forecast.moving_average(alone, 5).collect()}
+        found["exp_smoothing"] = {
+            r.step: r.yhat for r in forecast.smoothing_forecast(forecast.holt_winters(alone, 5, options.get("params"))).collect()
+        }
+        if n > 28:
+            model = GIVEN if not fitted else forecast.fit_boosted(forecast.modelled_rows(alone), max_iter=3)
+            found["boosted_trees"] = {r.step: r.yhat for r in forecast.boosted_forecast(model, alone, 5).collect()}
+        for method, steps in found.items():
+            ours = {s: v for (_, o, m, s), (_, v) in one.items() if (o, m) == (origin, method)}
+            assert ours == pytest.approx(steps, rel=1e-6)
+
+
+def test_backtest_scores_and_gaps(make_panel):
+    days = [100.0 + i for i in range(20)] + [None, None] + [200.0] * 10
+    rows = make_panel({"gap": days, "late": [None] * 25 + [5.0] * 7, "x@y": [7.0] * 32})
+    found = {(r.entity_value, r.origin, r.method): r for r in replay.backtest(rows, ["2024-01-22"], 5, methods=("naive", "exp_smoothing"), params=(0.2, 0.0, 0.0)).collect()}
+    # nothing is known of "late" by then, and the two unknown days aren't scored
+    assert set(found) == {(e, "2024-01-22", m) for e in ("gap", "x@y") for m in ("naive", "exp_smoothing")}
+    gap = found["gap", "2024-01-22", "naive"]
+    assert (gap.scored_days, gap.mae) == (3, 81.0)
+    assert found["x@y", "2024-01-22", "naive"].wape == 0.0
+    with pytest.raises(ValueError):
+        replay.backtest(rows, ["2024-01-22"], methods=("magic",))
+    with pytest.raises(ValueError):
+        replay.backtest(rows, [])
+    assert replay.backtest_points(make_panel({"a": [1.0, 2.0]}), ["2024-01-02"], methods=("boosted_trees",)).collect() == []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from costlens.operators import anomaly, budget, pricing, replay
 
 from .anomaly_queries import _COLUMNS, _MONEY, _scored, _shown
+from .forecast_queries import GIVEN, PARAMS, rolled_sql
 from .inputs import charges, define, sql, table
 from .panel_queries import KEYS, K, means, means_sql, r, service_panel
 from .registry import query
@@ -276,7 +277,67 @@ define(
     ),
 )
 def rolling_origin_backtest(spark, sf_dir):
-    found = replay.backtest(service_panel(spark, sf_dir), _ORIGINS)
+    found = replay.backtest(service_panel(spark, sf_dir), _ORIGINS, methods=("naive", "moving_average"))
+    return found.select(*KEYS, "origin", "method", "scored_days", *means("mae bias"), *r("wape", 6))
+
+
+define(
+    "origin_counts",
+    f"SELECT {K}, origin, any_value(n) AS k, max(day) AS last_day FROM origin_tail GROUP BY {K}, origin",
+    "origin_tail",
+)
+define(
+    "origin_start",
+    f"""SELECT {K}, origin, max(day) AS last_day, list(cost ORDER BY day) AS past FROM origin_tail WHERE age <= 29 AND n >= 29
+        GROUP BY {K}, origin""",
+    "origin_tail",
+)
+define("origin_run", rolled_sql("origin_run", "origin_start", f"{K}, origin"), "origin_start")
+# up to 26 known days: no weekly pattern, and a start from the first two days
+define(
+    "plain_run",
+    f"""SELECT {K}, 0::BIGINT AS rn, min_by(cost, rn)::DOUBLE AS level,
+          (max(cost) FILTER (WHERE rn = 2) - max(cost) FILTER (WHERE rn = 1))::DOUBLE AS trend FROM numbered GROUP BY {K}
+        UNION ALL
+        SELECT s.dataset_id, s.entity_type, s.entity_value, i.rn, s.level + s.trend + {PARAMS[0]}::DOUBLE * (i.cost - s.level - s.trend),
+          s.trend + {PARAMS[1]}::DOUBLE * (i.cost - s.level - s.trend)
+        FROM plain_run s JOIN numbered i ON i.dataset_id = s.dataset_id AND i.entity_value = s.entity_value AND i.rn = s.rn + 1
+        WHERE i.rn <= 26""",
+    "numbered",
+)
+define(
+    "origin_forecasts",
+    f"""SELECT {K}, origin, method, last_day + step AS day, yhat FROM origin_points CROSS JOIN steps
+        UNION ALL SELECT {K}, origin, 'boosted_trees', last_day + step, yhat FROM origin_run WHERE step > 0
+        UNION ALL SELECT {K}, origin, 'exp_smoothing', last_day + step, greatest(0, level + trend * step + season[(step - 1) % 7 + 1])
+          FROM origin_counts JOIN (SELECT {K}, rn AS k, level, trend, season FROM smoothing_run WHERE part = 'forecast') USING ({K}, k)
+          CROSS JOIN steps WHERE k >= 27
+        UNION ALL SELECT {K}, origin, 'exp_smoothing', last_day + step, greatest(0, level + trend * step)
+          FROM origin_counts JOIN (SELECT {K}, rn AS k, level, trend FROM plain_run) USING ({K}, k) CROSS JOIN steps WHERE k BETWEEN 10 AND 26""",
+    "origin_points",
+    "origin_run",
+    "origin_counts",
+    "smoothing_run",
+    "plain_run",
+    "steps",
+)
+
+
+@query(
+    "E07",
+    sql(
+        f"""SELECT o.dataset_id, o.entity_type, o.entity_value, CAST(origin AS VARCHAR) AS origin, method, count(*) AS scored_days,
+              round(sum(abs(yhat - cost)) / sum(abs(cost)), 6) AS wape,
+              {means_sql(mae='avg(abs(yhat - cost))', bias='avg(yhat - cost)')}
+            FROM origin_forecasts o JOIN panel p ON p.dataset_id = o.dataset_id AND p.entity_value = o.entity_value AND p.day = o.day
+            GROUP BY ALL""",
+        "origin_forecasts",
+        "panel",
+    ),
+)
+def backtest_every_method(spark, sf_dir):
+    """All four methods at three origins, with given smoothing weights and a given tree model."""
+    found = replay.backtest(service_panel(spark, sf_dir), _ORIGINS, params=PARAMS, model=GIVEN)
     return found.select(*KEYS, "origin", "method", "scored_days", *means("mae bias"), *r("wape", 6))
 
 
