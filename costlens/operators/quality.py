@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,57 +21,91 @@ def _fields(billing: DataFrame) -> list[T.StructField]:
     return [f for f in billing.schema.fields if f.name not in ("dataset_id", "charge_month")]
 
 
-def value_counts(billing: DataFrame) -> DataFrame:
-    """Rows per (dataset, field, value), in long form.
+#: Types whose every value has a 64-bit hash of its own: the hash of up to eight bytes is one-to-one.
+_SHORT = (
+    T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.BooleanType,
+    T.DateType, T.TimestampType, T.TimestampNTZType,
+)
+#: Currencies that a report names; all are counted, and ``currencies`` lists all.
+NAMED_CURRENCIES = 1000
 
-    Every charge becomes one narrow row per field, and equal values merge
-    before the shuffle, so neither a wide distinct nor a frequent value
-    lands on one task.
-    """
-    cells = []
-    for position, field in enumerate(_fields(billing)):
-        col = F.col(f"`{field.name}`")
-        is_number = isinstance(field.dataType, (T.DoubleType, T.FloatType))
-        is_time = isinstance(field.dataType, T.TimestampNTZType)
-        cells.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                (F.lit(None) if is_number or is_time else col).cast("string").alias("word"),
-                (col if is_number else F.lit(None)).cast("double").alias("number"),
-                (col if is_time else F.lit(None)).cast("timestamp_ntz").alias("moment"),
-            )
-        )
-    return (
-        billing.select("dataset_id", F.inline(F.array(*cells)))
-        .groupBy("dataset_id", "position", "word", "number", "moment")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
 
+def _key(*columns) -> Column:
+    """64-bit hash of some values."""
+    return F.xxhash64(*columns)
 
-def _profile(billing: DataFrame, distinct: str = "exact") -> DataFrame:
-    if distinct == "exact":
-        return _exact_profile(billing)
-    if distinct == "none":
-        return _counted_profile(billing)
-    raise ValueError(f"distinct is 'exact' or 'none', not {distinct!r}")
 
+def _check(*columns) -> Column:
+    """A second number that tells values of equal hash apart: another hash, the length, and which values are missing."""
+    size, missing = F.lit(0), F.lit(0)
+    for i, column in enumerate(columns):
+        size += F.coalesce(F.octet_length(column.cast("string")), F.lit(0))
+        missing += F.when(column.isNull(), 1 << i).otherwise(0)
+    return F.shiftleft(F.hash(*columns).cast("long"), 32) + F.shiftleft(size.cast("long") % (1 << 24), 8) + missing
+
+
+def distinct_counts(billing: DataFrame) -> DataFrame:
+    """``dataset_id, position, unique_count``: distinct values of each field, NULL not counted.
+
+    A value travels as its hash, 8 bytes wide, once per task; text also carries a second hash with its length, so two
+    texts are counted as one only if 64 + 32 bits and 24 bits of length agree.  Numbers, dates and times have no equal hashes.
+    Text and other fields go apart: the few texts of a billing table then merge in a small map.
+    """
+    fields = list(enumerate(_fields(billing)))
+    counts = None
+    for text_fields in (False, True):
+        cells = []
+        for position, field in fields:
+            if isinstance(field.dataType, _SHORT) == text_fields:
+                continue
+            value = F.col(f"`{field.name}`")
+            if text_fields:
+                nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+                value = F.to_json(value) if nested else value.cast("string")
+            cell = [F.lit(position).alias("position"), F.when(value.isNotNull(), _key(value)).alias("key")]
+            cells.append(F.struct(*cell, *([_check(value).alias("check")] if text_fields else [])))
+        if not cells:
+            continue
+        some = billing.select("dataset_id", F.inline(F.array(*cells))).where(F.col("key").isNotNull()).distinct()
+        some = some.groupBy("dataset_id", "position").agg(F.count(F.lit(1)).alias("unique_count"))
+        counts = some if counts is None else counts.unionByName(some)
+    if counts is None:
+        return billing.select("dataset_id", F.lit(0).alias("position"), F.lit(0).cast("bigint").alias("unique_count")).limit(0)
+    return counts
+
+
+def currencies(billing: DataFrame) -> DataFrame:
+    """``dataset_id, currency, row_count``: every currency of each dataset."""
+    currency = F.col("currency") if "currency" in billing.columns else F.lit(None).cast("string")
+    counted = billing.groupBy("dataset_id", currency.alias("currency")).agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.where(F.col("currency").isNotNull())
+
+
+def named_currencies(billing: DataFrame, limit: int = NAMED_CURRENCIES) -> DataFrame:
+    """``dataset_id, currency_count, currencies``: all counted, the first ``limit`` of them in an array.
+
+    A task passes on its first ones only, so no array and no task grows with the currencies of a dataset.
+    """
+    found = currencies(billing)
+    order = Window.partitionBy("dataset_id").orderBy("currency")
+    first = found.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit)
+    listed = first.groupBy("dataset_id").agg(F.array_sort(F.collect_list("currency")).alias("currencies"))
+    counts = found.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("currency_count"))
+    return counts.join(listed, "dataset_id")
 
-def _counted_profile(billing: DataFrame) -> DataFrame:
-    """Null and negative counts only: plain sums, so nothing is exploded or shuffled
-    but one row per dataset and currency of each task."""
+
+def _profile(billing: DataFrame, distinct: str = "exact") -> DataFrame:
+    """Null and negative counts of each field: plain sums, one row per dataset of each task."""
+    if distinct not in ("exact", "none"):
+        raise ValueError(f"distinct is 'exact' or 'none', not {distinct!r}")
     names = [f.name for f in _fields(billing)]
-    currency = F.col("currency") if "currency" in names else F.lit(None).cast("string")
     counted = {f"present_{i}": F.count(f"`{n}`") for i, n in enumerate(names)}
     counted |= {
         f"negative_{i}": F.count_if(F.col(n) < 0) for i, n in enumerate(names) if n in NUMERIC_FIELDS
     }
-    per_currency = billing.groupBy("dataset_id", currency.alias("_currency")).agg(
+    wide = billing.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("row_count"), *[c.alias(n) for n, c in counted.items()]
     )
-    wide = per_currency.groupBy("dataset_id").agg(
-        F.array_sort(F.collect_list("_currency")).alias("_currencies"),
-        *[F.sum(c).alias(c) for c in ("row_count", *counted)],
-    )
     rows, zero = F.col("row_count"), F.lit(0).cast("bigint")
     cells = [
         F.struct(
@@ -79,40 +113,16 @@ def _counted_profile(billing: DataFrame) -> DataFrame:
             F.lit(n).alias("field_name"),
             (rows - F.col(f"present_{i}")).alias("null_count"),
             (F.col(f"negative_{i}") if n in NUMERIC_FIELDS else zero).alias("invalid_count"),
-            (F.col("_currencies") if n == "currency" else F.array().cast("array<string>")).alias("currencies"),
         )
         for i, n in enumerate(names)
     ]
-    return wide.select("dataset_id", "row_count", F.inline(F.array(*cells))).withColumns(
-        {
-            "null_rate": F.col("null_count") / F.col("row_count"),
-            "unique_count": F.lit(None).cast("bigint"),
-        }
-    )
-
-
-def _exact_profile(billing: DataFrame) -> DataFrame:
-    names = [f.name for f in _fields(billing)]
-    absent = F.coalesce("word", F.col("number").cast("string"), F.col("moment").cast("string")).isNull()
-    checked = F.col("position").isin([i for i, n in enumerate(names) if n in NUMERIC_FIELDS])
-    is_currency = F.col("position") == (names.index("currency") if "currency" in names else -1)
-    return (
-        value_counts(billing)
-        .groupBy("dataset_id", "position")
-        .agg(
-            F.sum("n").alias("row_count"),
-            F.sum(F.when(absent, F.col("n")).otherwise(0)).alias("null_count"),
-            F.count(F.when(~absent, 1)).alias("unique_count"),
-            F.sum(F.when(checked & (F.col("number") < 0), F.col("n")).otherwise(0)).alias("invalid_count"),
-            F.array_sort(F.collect_list(F.when(is_currency, F.col("word")))).alias("currencies"),
-        )
-        .withColumns(
-            {
-                "field_name": F.element_at(F.array(*[F.lit(n) for n in names]), F.col("position") + 1),
-                "null_rate": F.col("null_count") / F.col("row_count"),
-            }
-        )
+    profile = wide.select("dataset_id", "row_count", F.inline(F.array(*cells))).withColumn(
+        "null_rate", F.col("null_count") / F.col("row_count")
     )
+    if distinct == "none":
+        return profile.withColumn("unique_count", F.lit(None).cast("bigint"))
+    counts = profile.join(renewed(distinct_counts(billing)), ["dataset_id", "position"], "left")
+    return counts.withColumn("unique_count", F.coalesce("unique_count", zero))
 
 
 def field_profile(billing: DataFrame) -> DataFrame:
@@ -139,13 +149,19 @@ def approximate_distinct(billing: DataFrame, rsd: float = 0.02) -> DataFrame:
 
 
 def row_checks(billing: DataFrame) -> DataFrame:
-    """Rows, duplicates (first one kept) and reversed charge periods per dataset."""
+    """Rows, duplicates (first one kept) and reversed charge periods per dataset.
+
+    Two rows are duplicates when 64 + 32 bits of hash, the length and the missing values of their keys agree.
+    """
     keys = [k for k in DUPLICATE_KEYS if k in billing.columns]
     has_period = {"charge_period_start", "charge_period_end"} <= set(billing.columns)
     reversed_period = (
         F.col("charge_period_start") > F.col("charge_period_end") if has_period else F.lit(False)
     )
-    groups = billing.groupBy("dataset_id", *keys).agg(
+    values = [F.col(k) for k in keys]
+    # rows travel as two hashes of their keys, once per task and value
+    hashed = [_key(*values).alias("key"), _check(*values).alias("check")] if keys else []
+    groups = billing.groupBy("dataset_id", *hashed).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(reversed_period).alias("reversed")
     )
     extra = F.sum(F.col("n") - 1) if keys else F.lit(0).cast("bigint")
@@ -222,7 +238,8 @@ def _field_findings():
 def _row_findings(columns: list[str]):
     absent = missing_required(columns)
     copies, backwards = F.col("duplicate_rows"), F.col("reversed_periods")
-    codes = F.col("currencies")
+    codes, many = F.col("currencies"), F.col("currency_count")
+    more = F.when(many > F.size(codes), F.format_string(" and %d more", many - F.size(codes))).otherwise("")
     none = F.lit(None).cast("string")
     return _kept(
         F.when(
@@ -242,13 +259,13 @@ def _row_findings(columns: list[str]):
             ),
         ),
         F.when(
-            F.size(codes) > 1,
+            many > 1,
             _finding(
                 "warning",
                 F.lit(_AFTER_FIELDS + 1),
                 F.lit("currency"),
-                F.size(codes),
-                F.concat(F.lit("Multiple currencies detected: "), text.quoted_list(codes)),
+                many,
+                F.concat(F.lit("Multiple currencies detected: "), text.quoted_list(codes), more),
             ),
         ),
         F.when(
@@ -267,7 +284,8 @@ def _row_findings(columns: list[str]):
 def _assessed(billing: DataFrame, distinct: str = "exact") -> DataFrame:
     """One row per dataset with counts, field metrics and the ordered findings.
 
-    The charges are read twice: once for the fields, once for the row keys.  Everything after that has at most one row per dataset and field.
+    The charges are read for the fields, their distinct values, the row keys and the currencies, each with the columns
+    it needs.  Everything after that has at most one row per dataset and field.
     """
     metric = F.struct("position", "field_name", "null_rate", "unique_count", "invalid_count")
     fields = (
@@ -277,10 +295,19 @@ def _assessed(billing: DataFrame, distinct: str = "exact") -> DataFrame:
         .agg(
             F.array_sort(F.collect_list(metric)).alias("field_metrics"),
             F.flatten(F.collect_list("found")).alias("field_findings"),
-            F.flatten(F.collect_list("currencies")).alias("currencies"),
         )
     )
-    joined = row_checks(billing).join(renewed(fields), "dataset_id")
+    joined = (
+        row_checks(billing)
+        .join(renewed(fields), "dataset_id")
+        .join(renewed(named_currencies(billing)), "dataset_id", "left")
+        .withColumns(
+            {
+                "currency_count": F.coalesce("currency_count", F.lit(0).cast("bigint")),
+                "currencies": F.coalesce("currencies", F.array().cast("array<string>")),
+            }
+        )
+    )
     ordered = F.array_sort(
         F.concat("field_findings", _row_findings(billing.columns)),
         lambda a, b: F.when(a["seq"] < b["seq"], -1)
@@ -304,7 +331,7 @@ def row_consistency(billing: DataFrame) -> DataFrame:
         "total_rows",
         "duplicate_rows",
         "currencies",
-        (F.size("currencies") <= 1).alias("currency_consistency"),
+        (F.col("currency_count") <= 1).alias("currency_consistency"),
         "reversed_periods",
         (F.col("reversed_periods") == 0).alias("date_range_valid"),
     )
@@ -335,7 +362,7 @@ def quality_report(billing: DataFrame, distinct: str = "exact") -> DataFrame:
         "total_rows",
         (F.col("total_rows") - F.col("duplicate_rows")).alias("valid_rows"),
         "duplicate_rows",
-        (F.size("currencies") <= 1).alias("currency_consistency"),
+        (F.col("currency_count") <= 1).alias("currency_consistency"),
         (F.col("reversed_periods") == 0).alias("date_range_valid"),
         F.map_from_entries(
             F.transform("field_metrics", lambda m: F.struct(m["field_name"], F.round(m["null_rate"], 4)))

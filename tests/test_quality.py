@@ -1,3 +1,6 @@
+import datetime as dt
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from costlens.operators import quality
@@ -58,3 +61,53 @@ def test_both_profiles_agree(make_billing):
     near = {r.field_name: r.unique_count for r in quality.approximate_distinct(rows).collect()}
     true = {r.field_name: r.unique_count for r in quality.field_profile(rows).collect()}
     assert near["service"] == true["service"] == 3 and near["region"] == true["region"] == 1
+
+
+def test_distinct_values_of_every_type(spark):
+    rows = spark.createDataFrame(
+        [
+            ("d", 0.0, "a", 1, True, dt.date(2024, 1, 1), dt.datetime(2024, 1, 1), Decimal("1.10"), ["x"]),
+            ("d", -0.0, "b", 1, None, dt.date(2024, 1, 2), dt.datetime(2024, 1, 1, 0, 0, 0, 1), Decimal("1.1"), ["x", "y"]),
+            ("d", 2.5, "", 2, False, None, None, Decimal("2"), ["x, y"]),
+            ("d", None, None, None, None, None, None, None, None),
+            ("e", 1.0, "a", 7, True, None, None, None, []),
+        ],
+        "dataset_id string, billed_cost double, word string, whole int, flag boolean, day date, charge_period_start timestamp_ntz, price decimal(10,2), list array<string>",
+    )
+    found = {(r.dataset_id, r.field_name): (r.unique_count, r.null_count) for r in quality.field_profile(rows).collect()}
+    assert {k[1]: v for k, v in found.items() if k[0] == "d"} == {
+        "billed_cost": (2, 1), "word": (3, 1), "whole": (2, 1), "flag": (2, 2), "day": (2, 2), "charge_period_start": (2, 2),
+        "price": (2, 1), "list": (3, 1),
+    }
+    assert found["e", "day"] == (0, 1) and found["e", "word"] == (1, 0)
+
+
+def test_equal_hashes_are_told_apart(spark, make_billing, monkeypatch):
+    rows = make_billing(30).unionByName(make_billing(3))
+    texts = rows.withColumn("resource", F.concat("resource", F.date_format("charge_period_start", "dd")))
+    true = {r.field_name: r.unique_count for r in quality.field_profile(texts).collect()}
+    checks = quality.row_checks(texts).collect()
+    assert true["resource"] == 90 and checks[0].duplicate_rows == 9
+    monkeypatch.setattr(quality, "_key", lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(3)))
+    words = [f.name for f in texts.schema.fields if f.dataType.typeName() == "string" and f.name != "dataset_id"]
+    forced = {r.field_name: r.unique_count for r in quality.field_profile(texts).collect()}
+    assert {w: forced[w] for w in words} == {w: true[w] for w in words}
+    assert quality.row_checks(texts).collect() == checks
+
+
+def test_missing_keys_are_not_other_keys(spark):
+    rows = spark.createDataFrame(
+        [("d", "a", None), ("d", None, "a"), ("d", "ab", "c"), ("d", "a", "bc"), ("d", None, None), ("d", None, None)],
+        "dataset_id string, account string, service string",
+    )
+    assert quality.row_checks(rows).first().duplicate_rows == 1
+
+
+def test_many_currencies_are_counted_and_some_named(spark, make_billing):
+    rows = make_billing(4).withColumn("currency", F.concat(F.lit("C"), F.dayofmonth("charge_period_start"), F.col("service")))
+    found = quality.named_currencies(rows, 5).first()
+    assert (found.currency_count, len(found.currencies)) == (12, 5) and found.currencies == sorted(found.currencies)
+    assert quality.currencies(rows).count() == 12
+    assert quality.quality_report(rows).first().currency_consistency is False
+    none = quality.quality_report(rows.drop("currency")).first()
+    assert none.currency_consistency is True
