@@ -96,7 +96,7 @@ def main() -> None:
         timed(name, work)
     timed("decision_run_1000", lambda: whole_run(small.rows))
     sources.write_canonical(everything(spark, sf_dir), path)
-    billing = spark.read.parquet(path)
+    billing = sources.read_table(spark, path)
     charges = billing.count()
     for name, work in WORK.items():
         timed(name, lambda: work(billing))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from .. import sources
 from ..operators import quality
@@ -39,9 +40,9 @@ def ingest(
 ) -> Ingested:
     """Read, detect the version, normalize, write, verify, validate, and record where it came from.
 
-    The export replaces the dataset of that id.  A file without a required column is refused before
-    anything is written.  Rows are counted in the export and in the table, and a
-    difference is an error.  Quality is judged on the table, whose files hold columns instead of text; a dataset that
+    The export replaces the dataset of that id; one without rows empties it and is an error.  A file without a required column
+    is refused before anything is written.  The export is read once: its rows are counted in passing, and a
+    difference to the table is an error.  Quality is judged on the table, whose files hold columns instead of text; a dataset that
     fails it stays stored, and the decision run stops it at its gate.
     """
     raw = sources.read_billing(spark, path, fmt=fmt or file_format(path), multiline=multiline)
@@ -49,11 +50,16 @@ def ingest(
     canonical = sources.to_canonical(raw, dataset_id=dataset_id, version=version)
     if absent := missing_required(canonical.columns):
         raise IngestError(f"{path} lacks {absent}")
-    sources.write_canonical(canonical, table)
-    rows = sources.scan_dataset(spark, table, dataset_id)
-    expected, stored = raw.count(), rows.count()
-    if expected != stored:
-        raise IngestError(f"{path} has {expected} rows, the table {stored}")
+    parsed = Observation()
+    counted = canonical.observe(parsed, F.count(F.lit(1)).alias("rows"))
+    stored = sources.write_canonical(counted, table, datasets=[dataset_id])[dataset_id]
+    # a task that ran twice may have counted twice, and nothing is counted where nothing came: only then the export is read again
+    agreed = stored.row_count and parsed.get["rows"] == stored.row_count
+    if not agreed and (expected := raw.count()) != stored.row_count:
+        raise IngestError(f"{path} has {expected} rows, the table {stored.row_count}")
+    if not stored.row_count:
+        raise IngestError(f"{path} has no rows; dataset {dataset_id} is empty now")
+    rows = sources.scan_dataset(spark, table, dataset_id, stored.number)
     return Ingested(
         dataset_id,
         rows,

@@ -1,16 +1,18 @@
 from .files import read_billing
 from .normalize import rename_to_canonical, to_canonical
 from .provenance import file_hashes, provenance, unseen_files
-from .table import DatasetMissing, scan_dataset, write_canonical
+from .table import DatasetMissing, read_table, scan_dataset, versions, write_canonical
 
 __all__ = [
     "DatasetMissing",
     "file_hashes",
     "provenance",
     "read_billing",
+    "read_table",
     "rename_to_canonical",
     "scan_dataset",
     "to_canonical",
     "unseen_files",
+    "versions",
     "write_canonical",
 ]

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from costlens import plans, schema, sources
 from costlens.operators import filters, quality, spend
@@ -83,13 +84,77 @@ def test_table_drops_months_that_are_gone(spark, make_billing, tmp_path):
         sources.write_canonical(make_billing(60, dataset_id=name), path)
     later = make_billing(60, dataset_id=odd).where("charge_period_start >= TIMESTAMP_NTZ '2024-02-10'")
     sources.write_canonical(later, path)
-    got = spark.read.parquet(path).groupBy("dataset_id", "charge_month").count().collect()
+    got = sources.read_table(spark, path).groupBy("dataset_id", "charge_month").count().collect()
     assert {(r.dataset_id, r.charge_month): r["count"] for r in got} == {
         ("x", "2024-01"): 93, ("x", "2024-02"): 87, (odd, "2024-02"): 60,
     }
     assert sources.scan_dataset(spark, path, odd).count() == 60
 
 
+def content(frame):
+    return sorted(map(str, frame.select(sorted(frame.columns)).collect()))
+
+
+def test_readers_see_one_whole_version(spark, make_billing, tmp_path):
+    path = str(tmp_path / "table")
+    first, second = make_billing(40, dataset_id="x"), make_billing(40, services=2, dataset_id="x")
+    assert sources.write_canonical(first, path)["x"].number == 1
+    begun, whole = sources.scan_dataset(spark, path, "x"), sources.read_table(spark, path)
+    assert sources.write_canonical(second, path)["x"].number == 2
+    assert begun.count() == whole.count() == 120 and sources.scan_dataset(spark, path, "x").count() == 80
+    assert sources.scan_dataset(spark, path, "x", 1).count() == 120
+    assert [(v.number, v.row_count) for v in sources.versions(spark, path, "x")] == [(1, 120), (2, 80)]
+    # two versions back is gone
+    sources.write_canonical(first, path)
+    assert [v.number for v in sources.versions(spark, path, "x")] == [2, 3]
+    with pytest.raises(sources.DatasetMissing):
+        sources.scan_dataset(spark, path, "x", 1)
+    assert content(sources.read_table(spark, path).drop("charge_month")) == content(first)
+
+
+def test_nothing_changes_before_the_manifest(spark, make_billing, tmp_path, monkeypatch):
+    from costlens.sources import table
+
+    path = str(tmp_path / "table")
+    sources.write_canonical(make_billing(5, dataset_id="x"), path)
+
+    def lost(*_):
+        raise RuntimeError("lost between the two steps")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(table, "_publish", lost)
+        with pytest.raises(RuntimeError):
+            sources.write_canonical(make_billing(9, dataset_id="x"), path)
+    assert sources.scan_dataset(spark, path, "x").count() == 15
+    # a number taken by another writer meanwhile: the next one is used
+    with monkeypatch.context() as patched:
+        patched.setattr(table, "_numbers", lambda *_: [])
+        assert sources.write_canonical(make_billing(7, dataset_id="x"), path)["x"].number == 2
+    assert sources.scan_dataset(spark, path, "x").count() == 21
+
+
+def test_an_empty_write_empties_a_dataset(spark, make_billing, tmp_path):
+    path = str(tmp_path / "table")
+    sources.write_canonical(make_billing(5, dataset_id="x").unionByName(make_billing(5, dataset_id="y")), path)
+    sources.write_canonical(make_billing(5, dataset_id="x").limit(0), path, datasets=["x"])
+    with pytest.raises(sources.DatasetMissing):
+        sources.scan_dataset(spark, path, "x")
+    assert sources.read_table(spark, path).select("dataset_id").distinct().collect() == [("y",)]
+    sources.write_canonical(make_billing(5, dataset_id="y").limit(0), path, datasets=["y"])
+    assert sources.read_table(spark, path).count() == 0
+
+
+def test_datasets_with_other_columns(spark, make_billing, tmp_path):
+    path = str(tmp_path / "table")
+    sources.write_canonical(make_billing(2, dataset_id="x"), path)
+    sources.write_canonical(make_billing(2, dataset_id="y").drop("region").withColumn("team", F.lit("a")), path)
+    found = {r.dataset_id: (r.region, r.team) for r in sources.read_table(spark, path).collect()}
+    assert found == {"x": ("us-east-1", None), "y": (None, "a")}
+    sources.write_canonical(make_billing(2, dataset_id="z").withColumn("region", F.lit(1)), path)
+    with pytest.raises(ValueError, match="region"):
+        sources.read_table(spark, path)
+
+
 def test_periods_on_month_folders(spark, make_billing, tmp_path):
     path = str(tmp_path / "table")
     plain = make_billing(60)
@@ -97,8 +162,8 @@ def test_periods_on_month_folders(spark, make_billing, tmp_path):
     for bounds in (("2024-1-02", None), (None, "2024"), ("2024", "2024-2-3"), ("2024-01-31 12:00:00", "2024-02-01")):
         for inclusive in (False, True):
             want = filters.in_period(plain, *bounds, end_inclusive=inclusive).count()
-            assert filters.in_period(spark.read.parquet(path), *bounds, end_inclusive=inclusive).count() == want
-    plan = filters.in_period(spark.read.parquet(path), "2024-2-1")._jdf.queryExecution().executedPlan().toString()
+            assert filters.in_period(sources.read_table(spark, path), *bounds, end_inclusive=inclusive).count() == want
+    plan = filters.in_period(sources.read_table(spark, path), "2024-2-1")._jdf.queryExecution().executedPlan().toString()
     assert "charge_month" in plan.split("PartitionFilters: ")[1].split("]")[0]
 
 
@@ -147,7 +212,14 @@ def test_ingest_reads_checks_and_records(spark, tmp_path):
     assert (record.row_count, record.focus_version, record.source_url) == (2, "1.0", str(path))
     path.write_text(HEADER + "\n" + ROWS[0] + "\n")
     assert plans.ingest(spark, str(path), table, dataset_id="x").rows.count() == 1
+    path.write_text(HEADER + "\n")
+    with pytest.raises(plans.IngestError, match="no rows"):
+        plans.ingest(spark, str(path), table, dataset_id="x")
+    with pytest.raises(sources.DatasetMissing):
+        sources.scan_dataset(spark, table, "x")
+    path.write_text(HEADER + "\n" + ROWS[0] + "\n")
+    plans.ingest(spark, str(path), table, dataset_id="x")
     path.write_text("ServiceName,BilledCost\na,1\n")
     with pytest.raises(plans.IngestError, match="charge_period_start"):
         plans.ingest(spark, str(path), table, dataset_id="x")
-    assert spark.read.parquet(table).count() == 1
+    assert sources.read_table(spark, table).count() == 1

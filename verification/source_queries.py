@@ -106,7 +106,32 @@ def replaced_datasets(spark, sf_dir):
     billing = everything(spark, sf_dir)
     sources.write_canonical(billing, path)
     sources.write_canonical(billing.where(f"dataset_id <> 'raw' AND {_LATER}"), path)
-    content = settled(_content(spark.read.parquet(path)))
+    content = settled(_content(sources.read_table(spark, path)))
+    session.drop_table(spark, path)
+    return content
+
+
+@query("S07", sql(_content_sql("everything", "dataset_id <> 'events'"), "everything"))
+def emptied_dataset(spark, sf_dir):
+    """Write all datasets, then one of them again without any rows."""
+    path = session.scratch_table(spark, "canonical")
+    billing = everything(spark, sf_dir)
+    sources.write_canonical(billing, path)
+    sources.write_canonical(billing.where("dataset_id = 'tpch'"), path, datasets=["events", "tpch"])
+    content = settled(_content(sources.read_table(spark, path)))
+    session.drop_table(spark, path)
+    return content
+
+
+@query("S07 S08", sql(_content_sql("everything", "dataset_id = 'raw'"), "everything"))
+def pinned_version(spark, sf_dir):
+    """A reader that began before its dataset was replaced still reads the whole version it began with."""
+    path = session.scratch_table(spark, "canonical")
+    billing = everything(spark, sf_dir).where("dataset_id = 'raw'")
+    sources.write_canonical(billing, path)
+    begun = sources.scan_dataset(spark, path, "raw")
+    sources.write_canonical(billing.where(_LATER), path)
+    content = settled(_content(begun))
     session.drop_table(spark, path)
     return content
 

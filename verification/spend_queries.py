@@ -83,7 +83,7 @@ def period_filter_stored(spark, sf_dir):
     """The same on the stored table, whose month folders are pruned, with bounds spelt in other ways."""
     path = session.scratch_table(spark, "periods")
     sources.write_canonical(charges(spark, sf_dir, ("billed_cost", "charge_period_start")), path)
-    found = settled(_in_periods(spark.read.parquet(path), _PERIODS + _SPELT))
+    found = settled(_in_periods(sources.read_table(spark, path), _PERIODS + _SPELT))
     session.drop_table(spark, path)
     return found
 
