@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
 from ..operators import quality
-from ..schema import detect_version, missing_required
+from ..schema import DATE_FIELDS, detect_version, missing_required
+from ..sources import table as storage
+from ..sources.dates import Vote
 from ..sources.files import file_format
 
 
@@ -19,12 +21,13 @@ class IngestError(ValueError):
 
 @dataclass(frozen=True)
 class Ingested:
-    """What a stored export is: its rows, quality report and provenance record."""
+    """What a stored export is: its rows, quality report and provenance record, and how dates that aren't ISO were spelt."""
 
     dataset_id: str
     rows: DataFrame
     quality: DataFrame
     provenance: DataFrame
+    date_votes: dict[str, Vote] = field(default_factory=dict)
 
 
 def ingest(
@@ -47,17 +50,20 @@ def ingest(
     """
     raw = sources.read_billing(spark, path, fmt=fmt or file_format(path), multiline=multiline)
     version = detect_version(raw.columns)
-    canonical = sources.to_canonical(raw, dataset_id=dataset_id, version=version)
-    if absent := missing_required(canonical.columns):
+    columns = sources.to_canonical(raw, dataset_id=dataset_id, version=version).columns
+    if absent := missing_required(columns):
         raise IngestError(f"{path} lacks {absent}")
-    parsed = Observation()
-    counted = canonical.observe(parsed, F.count(F.lit(1)).alias("rows"))
-    stored = sources.write_canonical(counted, table, datasets=[dataset_id])[dataset_id]
-    # a task that ran twice may have counted twice, and nothing is counted where nothing came: only then the export is read again
-    agreed = stored.row_count and parsed.get["rows"] == stored.row_count
-    if not agreed and (expected := raw.count()) != stored.row_count:
-        raise IngestError(f"{path} has {expected} rows, the table {stored.row_count}")
-    if not stored.row_count:
+    staged, unread = _staged(raw, table, dataset_id, version, {})
+    votes = {}
+    if unread:
+        # some dates are not ISO: the values of each column say how they are spelt
+        votes = {c: v for c, v in sources.date_votes(raw, version).items() if v.parsed}
+        if votes:
+            storage.discard(spark, table, staged)
+            staged, _ = _staged(raw, table, dataset_id, version, {c: v.format for c, v in votes.items()})
+    kept = staged.rows.get(dataset_id, 0)
+    stored = storage.publish(spark, table, staged, [dataset_id])[dataset_id]
+    if not kept:
         raise IngestError(f"{path} has no rows; dataset {dataset_id} is empty now")
     rows = sources.scan_dataset(spark, table, dataset_id, stored.number)
     return Ingested(
@@ -70,4 +76,23 @@ def ingest(
             focus_version=version,
             hashes=sources.file_hashes(spark, path),
         ),
+        votes,
     )
+
+
+def _staged(raw: DataFrame, table: str, dataset_id: str, version: str, date_formats: dict[str, str]) -> tuple[storage.Staged, bool]:
+    """The export written in one read, its rows and dates counted in passing, and whether some dates could not be read."""
+    seen, typed = Observation(), Observation()
+    dates = [c for c in sources.rename_to_canonical(raw, version).columns if c in DATE_FIELDS]
+    renamed = dict(zip(sources.rename_to_canonical(raw, version).columns, raw.columns))
+    rows = F.count(F.lit(1)).alias("rows")
+    watched = raw.observe(seen, rows, *[F.count(f"`{renamed[c]}`").alias(c) for c in dates])
+    canonical = sources.to_canonical(watched, dataset_id=dataset_id, version=version, date_formats=date_formats)
+    staged = storage.stage(canonical.observe(typed, rows, *[F.count(c).alias(c) for c in dates]), table)
+    kept = staged.rows.get(dataset_id, 0)
+    # a task that ran twice may have counted twice, and nothing is counted where nothing came: only then the export is read again
+    agreed = kept and seen.get["rows"] == kept
+    if not agreed and (expected := raw.count()) != kept:
+        storage.discard(raw.sparkSession, table, staged)
+        raise IngestError(f"the export has {expected} rows, the table {kept}")
+    return staged, bool(kept) and any(seen.get[c] != typed.get[c] for c in dates)

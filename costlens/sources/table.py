@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -109,14 +109,21 @@ def _forget(spark: SparkSession, path: str, dataset_id: str, keep: int) -> None:
             files.delete(target, True)
 
 
-def write_canonical(
-    df: DataFrame, path: str, *, datasets: Sequence[str] = (), keep: int = KEPT_VERSIONS
-) -> dict[str, Version]:
-    """Replace the datasets in ``df``, and empty those of ``datasets`` it has no rows of; leave others alone.
+@dataclass(frozen=True)
+class Staged:
+    """A write that no manifest names yet: its folder, rows of each dataset, columns."""
+
+    version: str
+    rows: dict[str, int]
+    schema: T.StructType
+
+
+def stage(df: DataFrame, path: str) -> Staged:
+    """Write rows where no reader looks.
 
     The rows are computed once.  Rows without a dataset id are not stored.  Files are partitioned by dataset and charge month, so
     that a period filter prunes folders; the rebalance hint sizes them: AQE splits a partition that
-    holds a large share of the rows over many writers and merges small ones.  A write that fails changes no dataset.
+    holds a large share of the rows over many writers and merges small ones.
     """
     spark = df.sparkSession
     path, version = path.rstrip("/"), uuid.uuid4().hex
@@ -131,16 +138,37 @@ def write_canonical(
     schema = T.StructType([f for f in df.schema.fields if f.name not in ("dataset_id", "charge_month")])
     written = spark.read.schema(_stored(schema)).parquet(root)
     # from the footers of the files; one row for each dataset of this write
-    rows = {r["dataset_id"]: r["count"] for r in written.groupBy("dataset_id").count().collect()}
-    found = {}
-    for dataset_id in sorted({*rows, *datasets}):
-        new = Version(dataset_id, 0, version, rows.get(dataset_id, 0), schema)
-        number = _publish(spark, path, new)
-        found[dataset_id] = Version(dataset_id, number, version, new.row_count, schema)
+    return Staged(version, {r["dataset_id"]: r["count"] for r in written.groupBy("dataset_id").count().collect()}, schema)
+
+
+def discard(spark: SparkSession, path: str, staged: Staged) -> None:
+    """Delete a write that was not published."""
+    files, folder = _files(spark, f"{path.rstrip('/')}/data/version={staged.version}")
+    files.delete(folder, True)
+
+
+def publish(
+    spark: SparkSession, path: str, staged: Staged, datasets: Sequence[str] = (), keep: int = KEPT_VERSIONS
+) -> dict[str, Version]:
+    """Make a staged write the newest version of its datasets, and of ``datasets`` it has no rows of."""
+    path, found = path.rstrip("/"), {}
+    for dataset_id in sorted({*staged.rows, *datasets}):
+        new = Version(dataset_id, 0, staged.version, staged.rows.get(dataset_id, 0), staged.schema)
+        found[dataset_id] = replace(new, number=_publish(spark, path, new))
         _forget(spark, path, dataset_id, keep)
     return found
 
 
+def write_canonical(
+    df: DataFrame, path: str, *, datasets: Sequence[str] = (), keep: int = KEPT_VERSIONS
+) -> dict[str, Version]:
+    """Replace the datasets in ``df``, and empty those of ``datasets`` it has no rows of; leave others alone.
+
+    A write that fails changes no dataset.
+    """
+    return publish(df.sparkSession, path, stage(df, path), datasets, keep)
+
+
 def _stored(schema: T.StructType) -> T.StructType:
     partitions = [T.StructField("dataset_id", T.StringType()), T.StructField("charge_month", T.StringType())]
     return T.StructType([*schema.fields, *partitions])

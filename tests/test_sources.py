@@ -155,6 +155,62 @@ def test_datasets_with_other_columns(spark, make_billing, tmp_path):
         sources.read_table(spark, path)
 
 
+def test_dates_by_the_vote_of_their_column(spark, csv):
+    header = HEADER + ",BillingPeriodStart,BillingPeriodEnd"
+    rows = [
+        "1,1,01/05/2024,20240105,USD,p,a,s,25/12/2023,\"Jan 5, 2024\"",
+        "1,1,01/25/2024 13:30,20240106,USD,p,a,s,31/12/2023,\"March 6, 2024\"",
+        "1,1,2024-02-01T00:00:00Z,20241306,USD,p,a,s,01/02/2024,5 Jan 2024",
+        "1,1,junk,,USD,p,a,s,,",
+    ]
+    raw = sources.read_billing(spark, csv(*rows, header=header))
+    votes = sources.date_votes(raw)
+    assert {c: (v.format, v.present, v.iso, v.parsed, v.ambiguous) for c, v in votes.items()} == {
+        "charge_period_start": ("month_first", 4, 1, 2, False),
+        "charge_period_end": ("compact", 3, 0, 2, False),
+        "billing_period_start": ("day_first", 3, 0, 3, False),
+        "billing_period_end": ("month_name", 3, 0, 2, False),
+    }
+    got = sources.to_canonical(raw, dataset_id="d", date_formats={c: v.format for c, v in votes.items()}).collect()
+    spelt = [[str(r[c]) for r in got] for c in ("charge_period_start", "charge_period_end", "billing_period_start", "billing_period_end")]
+    assert spelt == [
+        ["2024-01-05 00:00:00", "2024-01-25 13:30:00", "2024-02-01 00:00:00", "None"],
+        ["2024-01-05 00:00:00", "2024-01-06 00:00:00", "None", "None"],
+        ["2023-12-25 00:00:00", "2023-12-31 00:00:00", "2024-02-01 00:00:00", "None"],
+        ["2024-01-05 00:00:00", "2024-03-06 00:00:00", "None", "None"],
+    ]
+
+
+@pytest.mark.parametrize("text,name,when", [
+    ("2024/1/5", "year_first", "2024-01-05 00:00:00"), ("1/5/2024 1:30 PM", "month_first", "2024-01-05 13:30:00"), ("5.1.2024", "day_first", "2024-01-05 00:00:00"),
+    ("5-Jan-2024", "day_month_name", "2024-01-05 00:00:00"), ("JAN 5, 2024 07:08:09", "month_name", "2024-01-05 07:08:09"), ("1/5/24", "month_first", "2024-01-05 00:00:00"),
+    ("20240105103000", "compact", "2024-01-05 10:30:00"), ("2024", "iso", "2024-01-01 00:00:00"), ("2024-01-05 10:00:00+02:00", "iso", "2024-01-05 08:00:00"),
+])
+def test_spellings(spark, text, name, when):
+    raw = spark.createDataFrame([(text,)], "charge_period_start string")
+    vote = sources.date_votes(raw)["charge_period_start"]
+    assert vote.format == name and (vote.ambiguous or "/" not in text or name == "year_first")
+    got = sources.to_canonical(raw, dataset_id="d", date_formats={"charge_period_start": vote.format}).first()
+    assert str(got.charge_period_start) == when
+
+
+def test_vote_on_nothing(spark):
+    assert sources.date_votes(spark.createDataFrame([(1,)], "a int")) == {}
+    empty = sources.date_votes(spark.createDataFrame([(None,), ("?",)], "charge_period_start string"))["charge_period_start"]
+    assert (empty.format, empty.present, empty.parsed, empty.ambiguous) == ("iso", 1, 0, False)
+
+
+def test_ingest_of_other_dates(spark, tmp_path):
+    path, table = tmp_path / "export.csv", str(tmp_path / "table")
+    path.write_text(HEADER + "\n" + "\n".join(r.replace("2024-01-01T00:00:00Z", "01/13/2024").replace("2024-01-02T00:00:00Z", "01/02/2024") for r in ROWS) + "\n")
+    got = plans.ingest(spark, str(path), table, dataset_id="x")
+    assert {str(r.charge_period_start) for r in got.rows.collect()} == {"2024-01-13 00:00:00", "2024-01-02 00:00:00"}
+    assert [(v.format, v.ambiguous) for v in got.date_votes.values()] == [("month_first", False)]
+    assert got.quality.first().total_rows == 2
+    assert [v.number for v in sources.versions(spark, table, "x")] == [1]
+    assert len(list((tmp_path / "table" / "data").iterdir())) == 1
+
+
 def test_periods_on_month_folders(spark, make_billing, tmp_path):
     path = str(tmp_path / "table")
     plain = make_billing(60)

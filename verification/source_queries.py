@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from costlens import session, sources
 from costlens.schema import FOCUS_1_0
 
-from .inputs import COLUMNS, charges, raw_focus, settled, sql
+from .inputs import COLUMNS, charges, raw_focus, settled, sql, table
 from .registry import query
 
 
@@ -86,6 +86,45 @@ def csv_source(spark, sf_dir):
     return content
 
 
+_SPELLINGS = {
+    "ChargePeriodStart": ("MM/dd/yyyy", "o_orderdate"),
+    "ChargePeriodEnd": ("dd/MM/yyyy HH:mm", "o_orderdate + INTERVAL 90 MINUTES"),
+    "BillingPeriodStart": ("yyyyMMdd", "date_trunc('month', o_orderdate)"),
+    "BillingPeriodEnd": ("MMM d, yyyy", "last_day(o_orderdate)"),
+}
+
+
+@query(
+    "S06",
+    """SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS charge_period_start,
+         CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate + INTERVAL 90 MINUTES END AS charge_period_end,
+         CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS billing_period_start,
+         CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(last_day(o_orderdate) AS TIMESTAMP) END AS billing_period_end,
+         'month_first day_first compact month_name' AS formats, 'true true true true' AS settled FROM orders""",
+)
+def spelt_dates(spark, sf_dir):
+    """Orders exported with their dates in four spellings, some ISO, some unreadable, some missing; the vote finds each format."""
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    raw = orders.select(
+        "o_orderkey",
+        *[F.date_format(F.expr(value).cast("timestamp_ntz"), pattern).alias(name) for name, (pattern, value) in _SPELLINGS.items()],
+    ).withColumns(
+        {
+            "ChargePeriodStart": F.when(F.col("o_orderkey") % 3 == 0, F.date_format(F.to_timestamp("ChargePeriodStart", "MM/dd/yyyy"), "yyyy-MM-dd")).otherwise(F.col("ChargePeriodStart")),
+            "ChargePeriodEnd": F.when(F.col("o_orderkey") % 7 != 0, F.col("ChargePeriodEnd")).otherwise("soon"),
+            "BillingPeriodEnd": F.when(F.col("o_orderkey") % 5 != 0, F.col("BillingPeriodEnd")),
+        }
+    )
+    votes = sources.date_votes(raw)
+    chosen = {c: votes[c].format for c in ("charge_period_start", "charge_period_end", "billing_period_start", "billing_period_end")}
+    return sources.to_canonical(raw, dataset_id="orders", date_formats=chosen).drop("dataset_id").withColumns(
+        {
+            "formats": F.lit(" ".join(chosen.values())),
+            "settled": F.lit(" ".join(str(not votes[c].ambiguous).lower() for c in chosen)),
+        }
+    )
+
+
 @query("S07 S08", sql(_content_sql("everything", "dataset_id = 'events'"), "everything"))
 def stored_dataset(spark, sf_dir):
     """Write all datasets to one canonical table and scan one of them."""
