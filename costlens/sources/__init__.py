@@ -1,10 +1,11 @@
 from .files import read_billing
 from .normalize import date_votes, rename_to_canonical, to_canonical
-from .provenance import file_hashes, provenance, unseen_files
+from .provenance import combined_hash, file_hashes, provenance, unseen_files
 from .table import DatasetMissing, read_table, scan_dataset, versions, write_canonical
 
 __all__ = [
     "DatasetMissing",
+    "combined_hash",
     "date_votes",
     "file_hashes",
     "provenance",

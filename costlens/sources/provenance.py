@@ -6,16 +6,18 @@ import hashlib
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.currencies import named_currencies
+from ..functions.tables import renewed
 from ..schema import detect_version
 from .storage import open_path
 
 #: Bytes of a file that a task holds at a time.
 CHUNK = 4 << 20
-#: Currencies that a record names.
-CURRENCIES = 20
+#: Hashes that are combined into one at a time.
+WIDTH = 1024
 
 
 def file_hashes(spark: SparkSession, path: str, glob: str = "*", chunk: int = CHUNK) -> DataFrame:
@@ -55,6 +57,34 @@ def unseen_files(hashes: DataFrame, known: DataFrame) -> DataFrame:
     return hashes.join(known.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
+def combined_hash(hashes: DataFrame, width: int = WIDTH) -> str | None:
+    """One hash for all files: of the one file, or of the sorted hashes of several; None without files.
+
+    More than ``width`` different hashes are a tree: those that begin alike are combined first, some ``width`` at a
+    time, then what they give, and so on, so no task and no array grows with the files.  A hash that several files have is marked with their number.
+    """
+    leaves = hashes.groupBy(F.col("content_hash").alias("key")).agg(F.count(F.lit(1)).alias("files"))
+    number = F.when(F.col("files") > 1, F.concat(F.lit("*"), F.col("files").cast("string"))).otherwise("")
+    leaves = leaves.select("key", "files", F.concat("key", number).alias("leaf"))
+    found = leaves.agg(F.count(F.lit(1)).alias("n"), F.sum("files").alias("files")).first()
+    if not found["n"]:
+        return None
+    if found["files"] == 1:
+        return leaves.first()["key"]
+    # digits that the hashes of one group share, and by how many each level goes down
+    digits, fewer = 0, 1
+    while found["n"] > width * 16**digits:
+        digits += 1
+    while 16 ** (fewer + 1) <= width:
+        fewer += 1
+    while True:
+        combined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "leaf"))), lambda x: x["leaf"]), "\n"), 256)
+        leaves = leaves.groupBy(F.substring("key", 1, digits).alias("key")).agg(combined.alias("leaf"))
+        if not digits:
+            return leaves.first()["leaf"]
+        digits = max(0, digits - fewer)
+
+
 def provenance(
     billing: DataFrame,
     *,
@@ -65,40 +95,35 @@ def provenance(
 ) -> DataFrame:
     """One row per dataset: rows, date range, currency, source, version, hash, time of ingestion.
 
-    Several currencies are comma-joined in sorted order, the first ``CURRENCIES`` of them; ``currency_count``
-    counts all.  Rows are counted per currency first, so no task sees more than the distinct
-    currencies of a dataset.  The version is detected from ``raw_columns``, the columns of the file
-    as it came, unless it is given.  ``hashes`` (from ``file_hashes``) adds the hash of the one source file, or of
-    the sorted hashes of several.
+    Several currencies are comma-joined in sorted order, the first ``NAMED_CURRENCIES`` of them; ``currency_count``
+    counts all, and ``functions.currencies.currencies`` is the table of all.  The version is detected from
+    ``raw_columns``, the columns of the file as it came, unless it is given.  ``hashes`` (from ``file_hashes``) adds
+    their ``combined_hash``.
     """
     present = set(billing.columns)
     starts = [c for c in ("charge_period_start", "billing_period_start") if c in present]
     no_time = F.lit(None).cast("timestamp_ntz")
-    currency = F.col("currency") if "currency" in present else F.lit(None).cast("string")
-    per_currency = billing.groupBy("dataset_id", currency.alias("currency")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.min(c).alias(f"{c}_min") for c in starts],
-        *[F.max(c).alias(f"{c}_max") for c in starts],
-    )
-    order = Window.partitionBy("dataset_id").orderBy(F.col("currency").isNull(), "currency")
-    per_currency = per_currency.withColumn("_rn", F.row_number().over(order))
-    named = F.when(F.col("_rn") <= CURRENCIES, F.col("currency"))
     version = focus_version or (detect_version(list(raw_columns)) if raw_columns is not None else "1.0")
     # A bound falls back to the billing period only when no charge period exists,
     # and then both bounds are missing together.
-    found = per_currency.groupBy("dataset_id").agg(
-        F.sum("n").alias("row_count"),
-        F.coalesce(*[F.min(f"{c}_min") for c in starts], no_time).alias("date_range_start"),
-        F.coalesce(*[F.max(f"{c}_max") for c in starts], no_time).alias("date_range_end"),
-        F.nullif(F.array_join(F.array_sort(F.collect_list(named)), ","), F.lit("")).alias("currency"),
-        F.count("currency").alias("currency_count"),
+    found = billing.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.coalesce(*[F.min(c) for c in starts], no_time).alias("date_range_start"),
+        F.coalesce(*[F.max(c) for c in starts], no_time).alias("date_range_end"),
         F.lit(source_url).cast("string").alias("source_url"),
         F.lit(version).alias("focus_version"),
         F.current_timestamp().alias("ingested_at"),
+        F.lit(combined_hash(hashes) if hashes is not None else None).cast("string").alias("content_hash"),
+    )
+    return found.join(renewed(named_currencies(billing)), "dataset_id", "left").select(
+        "dataset_id",
+        "row_count",
+        "date_range_start",
+        "date_range_end",
+        F.array_join("currencies", ",").alias("currency"),
+        F.coalesce("currency_count", F.lit(0).cast("bigint")).alias("currency_count"),
+        "source_url",
+        "focus_version",
+        "ingested_at",
+        "content_hash",
     )
-    if hashes is None:
-        return found.withColumn("content_hash", F.lit(None).cast("string"))
-    # as many rows as the export has files
-    whole = hashes.agg(F.count("*").alias("files"), F.min("content_hash").alias("one"), F.array_sort(F.collect_list("content_hash")).alias("all"))
-    first = whole.select(F.when(F.col("files") == 1, F.col("one")).otherwise(F.sha2(F.array_join("all", "\n"), 256))).first()
-    return found.withColumn("content_hash", F.lit(first[0]).cast("string"))

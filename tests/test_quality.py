@@ -3,6 +3,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from costlens.functions.currencies import currencies, named_currencies
 from costlens.operators import quality
 
 
@@ -105,9 +106,9 @@ def test_missing_keys_are_not_other_keys(spark):
 
 def test_many_currencies_are_counted_and_some_named(spark, make_billing):
     rows = make_billing(4).withColumn("currency", F.concat(F.lit("C"), F.dayofmonth("charge_period_start"), F.col("service")))
-    found = quality.named_currencies(rows, 5).first()
+    found = named_currencies(rows, 5).first()
     assert (found.currency_count, len(found.currencies)) == (12, 5) and found.currencies == sorted(found.currencies)
-    assert quality.currencies(rows).count() == 12
+    assert currencies(rows).count() == 12
     assert quality.quality_report(rows).first().currency_consistency is False
     none = quality.quality_report(rows.drop("currency")).first()
     assert none.currency_consistency is True

@@ -249,6 +249,29 @@ def test_hashes_and_unseen_files(spark, tmp_path):
     assert [r.path[-5:] for r in sources.unseen_files(found, known).collect()] == ["b.csv"]
 
 
+def test_hash_of_many_files(spark):
+    def of(names, width=1024, parts=3):
+        rows = [(hashlib.sha256(n.encode()).hexdigest(),) for n in names]
+        return sources.combined_hash(spark.createDataFrame(rows, "content_hash string").repartition(parts), width)
+
+    names = [f"file {i}" for i in range(300)]
+    plain = hashlib.sha256("\n".join(sorted(hashlib.sha256(n.encode()).hexdigest() for n in names)).encode()).hexdigest()
+    assert of(names) == plain and of(["a"]) == hashlib.sha256(b"a").hexdigest() and of([]) is None
+    # a tree of three levels, whatever the order
+    tree = of(names, 4)
+    assert tree != plain and tree == of(names[::-1], 4, 5)
+    assert len({tree, of(names[1:], 4), of([*names, "file 7"], 4), of(["x", *names[1:]], 4)}) == 4
+    assert len({of(["a", "a"]), of(["a"]), of(["a", "a", "a"])}) == 3
+
+
+def test_provenance_names_all_currencies(spark, make_billing):
+    rows = make_billing(25, services=1).withColumn("currency", F.concat(F.lit("C"), F.dayofyear("charge_period_start")))
+    got = sources.provenance(rows).first()
+    assert got.currency == ",".join(sorted(f"C{i}" for i in range(1, 26))) and got.currency_count == 25
+    none = sources.provenance(rows.drop("currency")).first()
+    assert (none.currency, none.currency_count, none.row_count) == (None, 0, 25)
+
+
 def test_provenance_falls_back_to_billing_period(spark):
     rows = spark.sql(
         "SELECT 'd' AS dataset_id, CAST(NULL AS timestamp_ntz) AS charge_period_start, "
