@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, steps, stored, tasks, utf8, word_hashes, words
+from .common import lean, mix, steps, stored, tasks, utf8, word_hashes, words
 from .components import components
 
 SIZE = 5
@@ -99,7 +99,7 @@ def keyed(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(set_keys(hashed, bounds))], ["doc_id", "n_shingles", "key"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, key long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(rows), "doc_id long, n_shingles long, key long")
 
 
 def postings(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY) -> DataFrame:
@@ -133,7 +133,7 @@ def postings(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY) -> DataFr
                 ["shingle", "key", "room"],
             )
 
-    return docs.select("text").mapInArrow(rows, "shingle long, key long, room int")
+    return docs.select("text").mapInArrow(lean(rows), "shingle long, key long, room int")
 
 
 def candidates(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY) -> DataFrame:
@@ -271,7 +271,7 @@ def links(sets: DataFrame, similarity=SIMILARITY) -> DataFrame:
             some = [(docs[a], docs[b]) for a, b in linked(members, similarity=similarity)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return sets.mapInArrow(rows, "a long, b long")
+    return sets.mapInArrow(lean(rows), "a long, b long")
 
 
 def all_links(sets: DataFrame, similarity=SIMILARITY, counted: bool = False) -> DataFrame:
@@ -293,7 +293,7 @@ def all_links(sets: DataFrame, similarity=SIMILARITY, counted: bool = False) ->
             some = total > 0
             yield pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(total[some])], ["doc", "linked"])
 
-    return sets.mapInArrow(rows, "doc long, linked long" if counted else "a long, b long")
+    return sets.mapInArrow(lean(rows), "doc long, linked long" if counted else "a long, b long")
 
 
 def _prepared(docs: DataFrame, size: int, similarity, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -342,7 +342,7 @@ def _prepared(docs: DataFrame, size: int, similarity, block: int) -> tuple[DataF
             )
 
     grouped = (
-        chosen.mapInArrow(sets, "group string, doc long, shingles binary, side boolean, weight long")
+        chosen.mapInArrow(lean(sets), "group string, doc long, shingles binary, side boolean, weight long")
         .repartition(tasks(docs), "group")
         .sortWithinPartitions("group", "doc")
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import steps, utf8
+from .common import lean, steps, utf8
 
 ORDER = 3
 #: Labelled documents that the trees are grown from, for each language.
@@ -84,7 +84,7 @@ def count_grams(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     {"lang": pa.array([lang] * len(values), pa.string()), "gram": values, "n": n.astype(np.int64)}
                 )
 
-    counted = chosen.mapInArrow(count, "lang string, gram long, n long")
+    counted = chosen.mapInArrow(lean(count), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -196,4 +196,4 @@ def predict(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
             columns = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.drop("lang_pred", "score").mapInArrow(rows, schema)
+    return docs.drop("lang_pred", "score").mapInArrow(lean(rows), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, steps, tasks, utf8, word_hashes, words
+from .common import lean, mix, steps, tasks, utf8, word_hashes, words
 from .tokens import STEP, Encoder
 
 LENGTH = 1024
@@ -86,7 +86,7 @@ def placed(docs: DataFrame) -> DataFrame:
             place = places(batch.column("text")) << 32 | (mix(ids.view(np.uint64)) >> np.uint64(32)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], ["doc_id", "text", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, text string, place long")
+    return docs.select("doc_id", "text").mapInArrow(lean(rows), "doc_id long, text string, place long")
 
 
 def range_bounds(docs: DataFrame, parts: int, sample: int = SAMPLE) -> np.ndarray:
@@ -188,5 +188,5 @@ def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None) ->
         .mapInArrow(deal, "doc_id long, text string, place long, part int")
         .repartitionById(parts, "part")
         .sortWithinPartitions("part", "place", "doc_id", "text")
-        .mapInArrow(sequences, ", ".join(f"{c} long" for c in _COLUMNS))
+        .mapInArrow(lean(sequences), ", ".join(f"{c} long" for c in _COLUMNS))
     )

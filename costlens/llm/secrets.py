@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, utf8
+from .common import lean, steps, utf8
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -256,7 +256,7 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
             )
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(rows), schema)
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataFrame:
@@ -281,5 +281,5 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = RATE) -> DataF
                 batch = batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), clean)
             yield batch
 
-    out = docs.mapInArrow(rows, docs.schema)
+    out = docs.mapInArrow(lean(rows), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

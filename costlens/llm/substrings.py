@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUES, mix, powers, steps, tasks, utf8
+from .common import BASE, BYTE_VALUES, mix, powers, steps, stored, tasks, utf8
 
 LENGTH = 100
 GRAM = 28
@@ -402,15 +402,20 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs(doc_id, text)`` with an id.
 
     Null text counts as empty.  Rows without an id take no part; rows that repeat an id with the same
-    text get the same result each (an id is one document, and one document has one text); an
-    empty table gives no rows.
+    text get the same result each.  Of several texts under one id the one with the smallest SHA-256 is the document; rows
+    with another text lose nothing, and nothing is lost to them.  An empty table gives no rows.
     """
     parts = tasks(docs)
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = docs.repartition(parts, "doc_id")
-    originals = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first")).select("first").distinct()
+    digest = F.sha2("text", 256)
+    keyed = stored(docs.groupBy("doc_id").agg(F.min(digest).alias("own"), F.max(digest).alias("other")), "digests")
+    originals = keyed.groupBy("own").agg(F.min("doc_id").alias("first")).select("first").distinct()
+    several = keyed.where("own <> other").select(F.col("doc_id").alias("several_id"), "own")
+    texts = docs.repartition(parts, "doc_id").join(several.hint("shuffle_hash"), F.col("doc_id") == F.col("several_id"), "left")
+    texts = texts.select("doc_id", "text", F.when(F.col("own").isNotNull(), digest != F.col("own")).otherwise(False).alias("aside"))
+    documents = texts.where("not aside").select("doc_id", "text")
     # an inner join on unique ids: a semi join would move below the exchange of the texts, which all steps share
-    first = texts.join(originals.hint("shuffle_hash"), F.col("doc_id") == F.col("first")).select("doc_id", "text")
+    first = documents.join(originals.hint("shuffle_hash"), F.col("doc_id") == F.col("first")).select("doc_id", "text")
     found = first.mapInArrow(_anchor_rows, "gram long, region long, doc long, spot long")
     met = Window.partitionBy("gram")
     equal = Window.partitionBy("gram", "region").orderBy("doc", "spot")
@@ -431,7 +436,7 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     )
     wanted = found.where(~known & (F.col("nth") == 1)).groupBy("doc").agg(F.collect_set(F.struct("gram", "spot", (F.col("rows") > hot).alias("hot"))).alias("wanted"))
     regions = (
-        texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"))
+        documents.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"))
         .select("doc_id", "text", "wanted")
         .mapInArrow(_context_rows, "gram long, doc long, spot long, string long, bytes binary")
         .repartition(parts, "gram", "string")
@@ -443,6 +448,8 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return (
         texts.join(copies.hint("shuffle_hash"), F.col("doc_id") == F.col("first"), "left")
         .join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left")
-        .select("doc_id", "text", F.coalesce("copy", F.lit(True)).alias("copy"), "spans")
+        .select(
+            "doc_id", "text", (~F.col("aside") & F.coalesce("copy", F.lit(True))).alias("copy"), F.when(~F.col("aside"), F.col("spans")).alias("spans")
+        )
         .mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )

@@ -153,6 +153,23 @@ def test_substrings_of_few_letters(make_docs):
     assert sorted(tuple(r) for r in substrings.dedup(make_docs(rows)).collect()) == brute_substrings(rows)
 
 
+def test_one_id_with_several_texts(make_docs):
+    """The text with the smallest hash is the document; the others lose nothing, and nothing is lost to them."""
+    rng = random.Random(12)
+    own = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    shared, line = own(240), own(130)
+    rows = [(i, f"{own(60)}{shared}{own(90)}{line}") for i in range(8)]
+    rows += [(3, f"{own(200)}{shared}{line}"), (3, shared), (5, line * 3), (5, rows[5][1]), (9, None), (9, own(20)), (10, line), (10, line)]
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    smallest = {i: min((t or "" for j, t in rows if j == i), key=sha) for i, _ in rows}
+    documents = [(i, t) for i, t in rows if (t or "") == smallest[i]]
+    aside = [(i, len(t.encode()), 0, 0, sha(t)) for i, t in ((i, t or "") for i, t in rows) if t != smallest[i]]
+    want = sorted(brute_substrings(documents) + aside)
+    assert len(aside) >= 4
+    for hot in (substrings.HOT, 4, 0):
+        assert sorted(tuple(r) for r in substrings.dedup(make_docs(rows), hot=hot).collect()) == want
+
+
 def test_hot_anchors_are_dealt_out_by_strings(make_docs):
     """A line and a longer passage that all documents hold, amid text of their own."""
     rng = random.Random(9)
