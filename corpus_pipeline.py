@@ -28,7 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = jaccard.join(docs).where("doc_id = component_id")
     kept = groups.groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("rows"))
-    some = docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("kept"))
+    # texts meet one narrow row for each id, by hash: they are not sorted
+    some = docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("kept"))
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
     row = F.min(F.struct("text", *rest)).alias("row")
     more = some.where("rows > 1").groupBy("doc_id").agg(row)
@@ -47,7 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = mixing.pareto_mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
     return (
         docs.select(*COLUMNS)
-        .join(copies, F.col("doc_id") == F.col("taken_id"))
+        .join(copies.hint("shuffle_hash"), F.col("doc_id") == F.col("taken_id"))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .select(*COLUMNS)
     )
