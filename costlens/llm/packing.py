@@ -18,6 +18,7 @@ from math import erf
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,16 +78,20 @@ def places(texts: pa.Array) -> np.ndarray:
     return hilbert(np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` with ``place``: curve index above, hash of the id below."""
+def placed(docs: DataFrame, bounds: Broadcast | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` with ``place``: curve index above, hash of the id below; with ``bounds`` also the ``part`` it lies in."""
 
     def rows(batches):
         for batch in steps(batches, "text"):
             ids = batch.column("doc_id").fill_null(-1).to_numpy()
             place = places(batch.column("text")) << 32 | (mix(ids.view(np.uint64)) >> np.uint64(32)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], ["doc_id", "text", "place"])
+            columns = [*batch.columns, pa.array(place)]
+            if bounds is not None:
+                columns.append(pa.array(np.searchsorted(bounds.value, place, "right").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "place", "part"][: len(columns)])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(rows), "doc_id long, text string, place long")
+    schema = "doc_id long, text string, place long" + (", part int" if bounds is not None else "")
+    return docs.select("doc_id", "text").mapInArrow(lean(rows), schema)
 
 
 def range_bounds(docs: DataFrame, parts: int, sample: int = SAMPLE) -> np.ndarray:
@@ -158,11 +163,6 @@ def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None) ->
     bounds = range_bounds(docs, parts)
     held = docs.sparkSession.sparkContext.broadcast(bounds)
 
-    def deal(batches):
-        for batch in batches:
-            part = np.searchsorted(held.value, batch.column("place").to_numpy(), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], [*batch.schema.names, "part"])
-
     def sequences(batches):
         encoder, stream = Encoder(path, ranks), None
 
@@ -184,8 +184,7 @@ def pack(docs: DataFrame, path: str | None = None, ranks: str | None = None) ->
             yield made(stream.rest())
 
     return (
-        placed(docs)
-        .mapInArrow(deal, "doc_id long, text string, place long, part int")
+        placed(docs, held)
         .repartitionById(parts, "part")
         .sortWithinPartitions("part", "place", "doc_id", "text")
         .mapInArrow(lean(sequences), ", ".join(f"{c} long" for c in _COLUMNS))
