@@ -314,8 +314,31 @@ def test_copies_are_one_page(spark):
     copy = "<body><nav>{}</nav><h1>T</h1><p>real text<p>more of it</body>"
     assert set(pages_of(spark, [("a.example", copy.format(k)) for k in range(9)]).values()) == {"T\nreal text\nmore of it"}
     other = "<body><nav>n</nav><h1>T</h1><p>other text<p>less of it</body>"
-    got = pages_of(spark, [("a.example", copy.format(k)) for k in range(9)] + [("a.example", other)])
-    assert got == {**{k: "real text\nmore of it" for k in range(9)}, 9: "other text\nless of it"}
+    two = [("a.example", copy.format(k)) for k in range(9)] + [("a.example", other)]
+    # two different pages say nothing of a host, three do
+    assert pages_of(spark, two) == {**{k: "T\nreal text\nmore of it" for k in range(9)}, 9: "T\nother text\nless of it"}
+    got = pages_of(spark, [*two, ("a.example", "<body><nav>n</nav><h1>T</h1><p>a third one</body>")])
+    assert got == {**{k: "real text\nmore of it" for k in range(9)}, 9: "other text\nless of it", 10: "a third one"}
+
+
+def test_near_copies_lose_nothing(spark):
+    article = "".join(f"<p>paragraph {k} of the article</p>" for k in range(30))
+    pages = [f"<body><h1>Title {n}</h1>{article}</body>" for n in ("one", "two", "three", "four")]
+    got = pages_of(spark, [("a.example", p) for p in pages] + [("b.example", p) for p in pages[:2]])
+    whole = "\n".join(f"paragraph {k} of the article" for k in range(30))
+    assert got == {i: f"Title {n}\n{whole}" for i, n in enumerate(("one", "two", "three", "four", "one", "two"))}
+
+
+@pytest.mark.parametrize("blocks", [20, 120, 200, 900])
+def test_footers_of_long_mixed_pages_are_found(blocks):
+    rng = random.Random(blocks)
+
+    def page(i):
+        kinds = [rng.choice(("<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<pre>{}</pre>")) for _ in range(blocks + rng.randrange(9))]
+        return f"<body><div>Welcome</div>{''.join(k.format(f'{i} says {n}') for n, k in enumerate(kinds))}<div>Contact us</div></body>"
+
+    fixed = html.fixed_texts(html.infer([page(i) for i in range(6)]))
+    assert fixed == {"<div Welcome", "<div Contact us"}
 
 
 def test_long_pages_are_merged(spark):
