@@ -4,7 +4,8 @@ Every vector, brought to length one, is projected on ``PROJECTIONS`` random line
 each line's values sorted.  A query opens a window around its own value on every line
 and widens all windows step by step (virtual rehashing).  A vector seen in enough
 windows is verified with the exact cosine.  The search ends when the k-th verified vector is
-nearer than the reach of the windows, or when a share of the shard has been verified.
+nearer than the reach of the windows.  Where vectors lie so far apart that a share of the shard has been verified by then,
+all others are compared as well, and the answer is exact.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ THRESHOLD = 0.5
 REACH = 1 / 0.67449
 #: The k-th distance must be below this share of the reach.
 MARGIN = 0.75
-#: Share of a shard that is verified at most, before the last widening is finished.
+#: Share of a shard above which its other vectors are compared at once: dearer than that windows would be.
 VERIFIED = 0.35
+#: More than the rounding of a product of vectors.
+_ROUNDING = 1e-9
 
 
 class Lines:
@@ -44,6 +47,11 @@ class Lines:
         dot = (self.vectors[some] * query).sum(1)
         return dot / (np.sqrt((query * query).sum()) * self.norms[some])
 
+    def rest(self, query: np.ndarray, some: np.ndarray, least: float) -> np.ndarray:
+        """Those of ``some`` that may reach the cosine ``least``."""
+        near = self.vectors[some] @ query / (self.norms[some] * np.sqrt((query * query).sum()))
+        return some[near >= least - _ROUNDING]
+
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int):
         n = len(self.ids)
         values = (queries / np.sqrt((queries * queries).sum(1))[:, None]) @ self.lines
@@ -77,7 +85,12 @@ class Lines:
                 if len(done[q]) >= k:
                     kth = np.partition(cosines[q], len(cosines[q]) - k)[len(cosines[q]) - k]
                     near = np.sqrt(max(0.0, 2 - 2 * kth)) <= MARGIN * REACH * half
-                    if near or len(done[q]) >= VERIFIED * n + k:
+                    if near:
+                        continue
+                    if len(done[q]) >= VERIFIED * n + k:
+                        rest = self.rest(queries[q], np.flatnonzero((counts[q] < need) & (self.ids != ids[q])), kth)
+                        done[q] = np.concatenate([done[q], rest])
+                        cosines[q] = np.concatenate([cosines[q], self.cosine(queries[q], rest)])
                         continue
                 if (to_low[q] == 0).all() and (to_high[q] == n).all():
                     continue  # the windows hold everything

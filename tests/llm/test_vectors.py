@@ -102,3 +102,20 @@ def test_recall(spark, sf):
         hits += len(want & {r.vec_id for r in mine})
         total += 5
     assert hits / total >= 0.9
+
+
+@pytest.mark.parametrize("width", [16, 64, 256, 768])
+def test_recall_at_any_dimension(width):
+    """Vectors without any structure, where windows tell least."""
+    vectors = np.random.default_rng(width).standard_normal((2000, width))
+    ids = np.arange(len(vectors))
+    queries = ids[::50]
+    found = collisions.Lines(ids, vectors).search(queries, vectors[queries], 5)
+    lengths = np.sqrt((vectors * vectors).sum(1))
+    cosine = (vectors[queries] @ vectors.T) / lengths / lengths[queries, None]
+    cosine[np.arange(len(queries)), queries] = -2
+    best = np.argsort(-cosine, 1, kind="stable")[:, :5]
+    hits = sum(len(set(found[1][found[0] == q]) & set(b)) for q, b in zip(queries, best))
+    assert hits >= 0.95 * best.size
+    for q, i, score in zip(*found):
+        assert score == pytest.approx(cosine[q // 50, i], abs=1e-12)
