@@ -24,7 +24,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: The same vocabulary as ranks: encodes single words faster.
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of text encoded together: the larger, the fewer words are looked up again.
-STEP = 2 << 20
+STEP = 1 << 20
 #: Words whose ids a worker remembers; about 100 bytes each.
 REMEMBERED = 200_000
 
