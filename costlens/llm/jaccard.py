@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, mix, steps, stored, tasks, utf8, word_hashes, words
 from .components import components
+from .hot import with_totals
 
 SIZE = 5
 #: Similarity as a fraction.
@@ -141,14 +142,12 @@ def candidates(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY) -> Data
 
     The common order: sampled shingles that one set alone has, then sampled shingles by how often they
     were counted, then all others by hash.  A set's own shingles come back only where others
-    have them too; those it did not get back come first.
+    have them too; those it did not get back come first.  No task counts all rows of a hot shingle.
     """
-    one = Window.partitionBy("shingle")
-    shared = (
-        postings(docs, size, similarity)
-        .withColumns({"n": F.count("*").over(one), "low": F.min("key").over(one), "high": F.max("key").over(one)})
-        .where("low < high")
+    counted = with_totals(
+        stored(postings(docs, size, similarity), "postings"), "shingle", "key", n=F.count(F.lit(1)), low=F.min("key"), high=F.max("key")
     )
+    shared = counted.where("low < high")
     first = (
         shared.groupBy("key")
         .agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("own"), F.max("room").alias("room"))
@@ -157,7 +156,7 @@ def candidates(docs: DataFrame, size: int = SIZE, similarity=SIMILARITY) -> Data
         .select("key", F.col("one.shingle").alias("shingle"))
     )
     return (
-        first.withColumn("low", F.min("key").over(one))
+        with_totals(stored(first, "first"), "shingle", "key", low=F.min("key"))
         .where("key <> low")
         .select(F.col("low").alias("a"), F.col("key").alias("b"))
         .distinct()

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .hot import attach, hot_keys
 
 #: Bins of a source's rank order.
 BINS = 4096
@@ -76,13 +77,13 @@ def water_fill(sources: DataFrame) -> DataFrame:
         share, stopped = (total - (held or 0)) / rest, count
 
 
-def _fill(rows: DataFrame, lacking: DataFrame, last: bool) -> DataFrame:
+def _fill(rows: DataFrame, lacking: DataFrame, hot: DataFrame, last: bool) -> DataFrame:
     """Mark (``hit``) the documents that the next words of their source go to, in rank order.
 
-    rows: ``source, row, size, rank``; lacking: ``source, lack``.  Documents larger than what
+    rows: ``source, row, size, rank``; lacking: ``for_source, lack``; hot: the sources that hold many rows.  Documents larger than what
     lacks are passed over.  With ``last`` the one that crosses the limit is taken if that ends nearer to it.
     """
-    fits = rows.join(lacking, F.col("source").eqNullSafe(F.col("for_source")))
+    fits = attach(rows, "source", lacking, "for_source", hot, "row")
     if not last:
         fits = fits.where(F.col("size") <= F.col("lack"))
     fits = fits.withColumn("bin", F.floor(F.col("rank") * BINS))
@@ -129,7 +130,8 @@ def pareto_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     targets = stored(
         water_fill(source_weights(base.groupBy("source").agg(F.sum("size").alias("source_size")))), "targets"
     ).withColumnRenamed("source", "for_source")
-    rows = base.join(targets, F.col("source").eqNullSafe(F.col("for_source"))).drop("for_source", "weight")
+    hot = hot_keys(base, "source")
+    rows = attach(base, "source", targets, "for_source", hot, "row").drop("for_source", "weight")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     p = F.col("p")
     odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
@@ -144,7 +146,7 @@ def pareto_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     ).where("lack > 0")
     taken = None
     for fill in range(FILLS):
-        hits = stored(_fill(ranked, lacking, fill == FILLS - 1), "hits")
+        hits = stored(_fill(ranked, lacking, hot, fill == FILLS - 1), "hits")
         got = hits.groupBy("source").agg(F.sum("size").alias("got"))
         lacking = (
             lacking.join(got, F.col("for_source").eqNullSafe(F.col("source")), "left")

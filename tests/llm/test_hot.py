@@ -1,0 +1,63 @@
+"""Joins and totals that spread hot keys: the same rows as plain ones, whatever counts as hot."""
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from costlens.llm import common, components, hot
+
+ROWS = [(i, "a" if i % 3 else None, i % 7) for i in range(300)] + [(300 + i, f"s{i % 40}", i) for i in range(200)]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return common.stored(spark.createDataFrame(ROWS, "row long, source string, n long").repartition(6), "hot-test")
+
+
+def tuples(frame):
+    return sorted(map(tuple, frame.collect()), key=str)
+
+
+def test_hot_keys_hold_their_share(rows):
+    assert {r.hot for r in hot.hot_keys(rows, "source", 0.1).collect()} == {"a", None}
+    assert hot.hot_keys(rows.where("false"), "source").count() == 0
+
+
+@pytest.mark.parametrize("share", [1e-9, 0.1, 2.0])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_attach_is_the_plain_join(spark, rows, share, how):
+    side = spark.createDataFrame([(None, 1.0), ("a", 2.0), *((f"s{i}", float(i)) for i in range(20))], "for_source string, target double")
+    plain = rows.join(side, F.col("source").eqNullSafe(F.col("for_source")), how)
+    found = hot.attach(rows, "source", side, "for_source", hot.hot_keys(rows, "source", share), "row", how)
+    assert found.columns == plain.columns and tuples(found) == tuples(plain)
+
+
+def test_rows_of_a_hot_key_are_dealt_out(spark, rows):
+    side = spark.createDataFrame([("a", 2.0)], "for_source string, target double")
+    many = rows.where("source = 'a'")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        met = hot.attach(many, "source", side, "for_source", hot.hot_keys(many, "source"), "row").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(met) > 2 and max(r["count"] for r in met) < 0.6 * 200
+
+
+@pytest.mark.parametrize("share", [1e-9, 0.1, 2.0])
+def test_totals_are_the_windows(rows, share):
+    some = rows.where("source is not null")
+    window = Window.partitionBy("source")
+    plain = some.withColumns({"many": F.count(F.lit(1)).over(window), "low": F.min("n").over(window)})
+    found = hot.with_totals(some, "source", "row", share, many=F.count(F.lit(1)), low=F.min("n"))
+    assert found.columns == plain.columns and tuples(found) == tuples(plain)
+    assert hot.with_totals(some.where("false"), "source", "row", many=F.count(F.lit(1))).count() == 0
+
+
+def test_components_of_a_hub(spark):
+    edges = [(500, i) for i in range(3000) if i != 500] + [(9000 + i, 9001 + i) for i in range(5)] + [(7000, 9003), (7000, 2999)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 3007
