@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
-
 #: A key is hot when it holds more than this share of the rows, so there are fewer than ``1 / HOT``.
 HOT = 1 / 1000
 #: Parts the rows of a hot key are dealt over.
@@ -17,30 +13,35 @@ SALTS = 256
 LOOKED_AT = 16
 
 
-def hot_keys(rows: DataFrame, key: str, share: float = HOT) -> DataFrame:
-    """``hot``: keys that hold more than ``share`` of the rows, null among them; fewer than ``1 / share``.
+def hot_keys(rows: DataFrame, key: str, share: float = HOT) -> list:
+    """The keys, null among them, that hold more than ``share`` of the rows: fewer than ``1 / share`` values.
 
-    Counts are summed where the rows lie.  The result is written; of no rows it is empty.
+    Counts are summed where the rows lie; only the hot keys come back.  Of no rows there are none.
     """
-    counts = rows.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n"))
-    return stored(counts.where(F.col("n") > rows.count() * share).select("hot"), "hot")
+    least = rows.count() * share
+    return [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(key).collect()]
+
+
+def is_hot(key: str, hot: list) -> Column:
+    """Whether a row's key is one of the hot ones; never null."""
+    values = [value for value in hot if value is not None]
+    found = F.coalesce(F.col(key).isin(values), F.lit(False)) if values else F.lit(False)
+    return found | F.col(key).isNull() if len(values) < len(hot) else found
 
 
-def attach(rows: DataFrame, key: str, side: DataFrame, name: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, key: str, side: DataFrame, name: str, hot: list, by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``side`` where ``key`` equals ``name``; null equals null.
 
     ``side`` has one row a key.  The rows of the keys in ``hot`` are dealt over ``SALTS`` parts by
     their ``by``, and their few side rows are repeated for each part; all others meet by key.  The result does not depend on ``hot``.
     """
-    hot = F.broadcast(hot.select("hot", F.lit(True).alias("_is_hot")))
-    salted = (
-        rows.join(hot, F.col(key).eqNullSafe(F.col("hot")), "left")
-        .withColumn("_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-        .drop("hot", "_is_hot")
-    )
-    parts = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = side.join(hot, F.col(name).eqNullSafe(F.col("hot")), "left").withColumn("_part", F.explode(parts)).drop("hot", "_is_hot")
-    return salted.join(spread, F.col(key).eqNullSafe(F.col(name)) & (F.col("_salt") == F.col("_part")), how).drop("_salt", "_part")
+    same = F.col(key).eqNullSafe(F.col(name))
+    if not hot:
+        return rows.join(side, same, how)
+    salt = F.when(is_hot(key, hot), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    parts = F.when(is_hot(name, hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted, spread = rows.withColumn("_salt", salt), side.withColumn("_part", F.explode(parts))
+    return salted.join(spread, same & (F.col("_salt") == F.col("_part")), how).drop("_salt", "_part")
 
 
 def with_totals(rows: DataFrame, key: str, by: str, share: float = HOT, **totals: Column) -> DataFrame:
@@ -50,12 +51,12 @@ def with_totals(rows: DataFrame, key: str, by: str, share: float = HOT, **totals
     and get sums that were taken there first; all others meet in a window.  Which keys are
     hot is judged by the rows of one ``by`` in ``LOOKED_AT``; the result does not depend on it.
     """
-    looked_at = rows.where(F.pmod(F.xxhash64(F.lit("look"), by), F.lit(LOOKED_AT)) == 0)
-    hot = F.broadcast(hot_keys(looked_at, key, share))
-    few = rows.join(hot, F.col(key) == F.col("hot"), "left_semi")
+    hot = hot_keys(rows.where(F.pmod(F.xxhash64(F.lit("look"), by), F.lit(LOOKED_AT)) == 0), key, share)
+    columns, window = [*rows.columns, *totals], Window.partitionBy(key)
+    others = rows.where(~is_hot(key, hot)).withColumns({name: total.over(window) for name, total in totals.items()}).select(*columns)
+    if not hot:
+        return others
+    few = rows.where(is_hot(key, hot))
     found = few.groupBy(F.col(key).alias("_key")).agg(*[total.alias(name) for name, total in totals.items()])
-    columns: Sequence[str] = [*rows.columns, *totals]
-    there = few.join(F.broadcast(found), F.col(key) == F.col("_key")).select(*columns)
-    window = Window.partitionBy(key)
-    others = rows.join(hot, F.col(key) == F.col("hot"), "left_anti")
-    return others.withColumns({name: total.over(window) for name, total in totals.items()}).select(*columns).unionByName(there)
+    # fewer than 1 / share rows
+    return others.unionByName(few.join(F.broadcast(found), F.col(key) == F.col("_key")).select(*columns))

@@ -77,7 +77,7 @@ def water_fill(sources: DataFrame) -> DataFrame:
         share, stopped = (total - (held or 0)) / rest, count
 
 
-def _fill(rows: DataFrame, lacking: DataFrame, hot: DataFrame, last: bool) -> DataFrame:
+def _fill(rows: DataFrame, lacking: DataFrame, hot: list, last: bool) -> DataFrame:
     """Mark (``hit``) the documents that the next words of their source go to, in rank order.
 
     rows: ``source, row, size, rank``; lacking: ``for_source, lack``; hot: the sources that hold many rows.  Documents larger than what
@@ -131,7 +131,7 @@ def pareto_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
         water_fill(source_weights(base.groupBy("source").agg(F.sum("size").alias("source_size")))), "targets"
     ).withColumnRenamed("source", "for_source")
     hot = hot_keys(base, "source")
-    rows = attach(base, "source", targets, "for_source", hot, "row").drop("for_source", "weight")
+    rows = stored(attach(base, "source", targets, "for_source", hot, "row").drop("for_source", "weight"), "rows")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     p = F.col("p")
     odds = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
