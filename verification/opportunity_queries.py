@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from costlens.operators import anomaly, opportunity, scenario, spend
+from costlens import session
+from costlens.operators import anomaly, opportunity, panel, scenario, spend
 from costlens.operators.scenario import Scenario
 
 from . import anomaly_queries, panel_queries, spend_queries  # noqa: F401  (SQL fragments)
@@ -156,9 +157,19 @@ def quantity_growth_after_rise(spark, sf_dir):
     return shown(opportunity.quantity_growth(billing))
 
 
+def _kept(rows, name):
+    """The rows written to the shared folder, read back, and where they lie."""
+    path = session.scratch_table(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), path
+
+
 def found(spark, sf_dir):
-    billing = charges(spark, sf_dir, USED)
-    return opportunity.find(billing, anomaly.run_detection(billing))
+    """All opportunities; the charges are read once, for a daily rollup that rules and detection share."""
+    billing, path = _kept(panel.daily_rollup(charges(spark, sf_dir, USED)), "rollup")
+    rows, _ = _kept(opportunity.find(billing, anomaly.run_detection(billing)), "opportunities")
+    session.drop_table(spark, path)
+    return rows
 
 
 @query("J04 R01", sql(f"SELECT {_SHOWN} FROM opportunities", "opportunities"))
