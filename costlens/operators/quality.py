@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.currencies import named_currencies
+from ..functions.currencies import NAMED_CURRENCIES
 from ..functions.tables import renewed
 from ..schema import DATE_FIELDS, DUPLICATE_KEYS, NUMERIC_FIELDS, missing_required
 
@@ -43,70 +43,111 @@ def _check(*columns) -> Column:
     return F.shiftleft(F.hash(*columns).cast("long"), 32) + F.shiftleft(size.cast("long") % (1 << 24), 8) + missing
 
 
-def distinct_counts(billing: DataFrame) -> DataFrame:
-    """``dataset_id, position, unique_count``: distinct values of each field, NULL not counted.
+#: Position of the cell that stands for the whole row.
+_ROW = -1
+#: Parts that the names of one dataset's currencies are ranked in, side by side.
+_PARTS = 64
 
-    A value travels as its hash, 8 bytes wide, once per task; text also carries a second hash with its length, so two
-    texts are counted as one only if 64 + 32 bits and 24 bits of length agree.  Numbers, dates and times have no equal hashes.
-    Text and other fields go apart: the few texts of a billing table then merge in a small map.
-    """
-    fields = list(enumerate(_fields(billing)))
-    counts = None
-    for text_fields in (False, True):
-        cells = []
-        for position, field in fields:
-            if isinstance(field.dataType, _SHORT) == text_fields:
-                continue
-            value = F.col(f"`{field.name}`")
-            if text_fields:
-                nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
-                value = F.to_json(value) if nested else value.cast("string")
-            cell = [F.lit(position).alias("position"), F.when(value.isNotNull(), _key(value)).alias("key")]
-            cells.append(F.struct(*cell, *([_check(value).alias("check")] if text_fields else [])))
-        if not cells:
-            continue
-        some = billing.select("dataset_id", F.inline(F.array(*cells))).where(F.col("key").isNotNull()).distinct()
-        some = some.groupBy("dataset_id", "position").agg(F.count(F.lit(1)).alias("unique_count"))
-        counts = some if counts is None else counts.unionByName(some)
-    if counts is None:
-        return billing.select("dataset_id", F.lit(0).alias("position"), F.lit(0).cast("bigint").alias("unique_count")).limit(0)
-    return counts
-
-
-def _profile(billing: DataFrame, distinct: str = "exact") -> DataFrame:
-    """Null and negative counts of each field: plain sums, one row per dataset of each task."""
-    if distinct not in ("exact", "none"):
-        raise ValueError(f"distinct is 'exact' or 'none', not {distinct!r}")
-    names = [f.name for f in _fields(billing)]
-    counted = {f"present_{i}": F.count(f"`{n}`") for i, n in enumerate(names)}
-    counted |= {
-        f"negative_{i}": F.count_if(F.col(n) < 0) for i, n in enumerate(names) if n in NUMERIC_FIELDS
-    }
-    wide = billing.groupBy("dataset_id").agg(
-        F.count(F.lit(1)).alias("row_count"), *[c.alias(n) for n, c in counted.items()]
+
+def _cell(position: int, key=None, check=None, name=None, flagged=None) -> Column:
+    return F.struct(
+        F.lit(position).alias("position"),
+        F.lit(key).cast("bigint").alias("key"),
+        F.lit(check).cast("bigint").alias("check"),
+        F.lit(name).cast("string").alias("name"),
+        F.lit(flagged).cast("boolean").alias("flagged"),
     )
-    rows, zero = F.col("row_count"), F.lit(0).cast("bigint")
-    cells = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(n).alias("field_name"),
-            (rows - F.col(f"present_{i}")).alias("null_count"),
-            (F.col(f"negative_{i}") if n in NUMERIC_FIELDS else zero).alias("invalid_count"),
+
+
+def _row_cell(billing: DataFrame) -> Column:
+    """The fields that identify a charge, and whether its period is reversed."""
+    keys = [F.col(k) for k in DUPLICATE_KEYS if k in billing.columns]
+    has_period = {"charge_period_start", "charge_period_end"} <= set(billing.columns)
+    backwards = F.col("charge_period_start") > F.col("charge_period_end") if has_period else None
+    return _cell(_ROW, _key(*keys) if keys else None, _check(*keys) if keys else None, None, backwards)
+
+
+def _field_cells(billing: DataFrame, distinct: str) -> list[Column]:
+    """A cell for each field: the hash of its value (or that it has one), the name of a currency, whether it is negative."""
+    cells = []
+    for position, field in enumerate(_fields(billing)):
+        column, check = F.col(f"`{field.name}`"), None
+        value = column
+        if not isinstance(field.dataType, _SHORT):
+            nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+            value = F.to_json(value) if nested else value.cast("string")
+            check = F.when(column.isNotNull(), _check(value))
+        key = _key(value) if distinct == "exact" else F.lit(0)
+        cells.append(
+            _cell(
+                position,
+                F.when(column.isNotNull(), key),
+                check if distinct == "exact" else None,
+                column.cast("string") if field.name == "currency" else None,
+                column < 0 if field.name in NUMERIC_FIELDS else None,
+            )
         )
-        for i, n in enumerate(names)
-    ]
-    profile = wide.select("dataset_id", "row_count", F.inline(F.array(*cells))).withColumn(
-        "null_rate", F.col("null_count") / F.col("row_count")
+    return cells
+
+
+def _counted(billing: DataFrame, cells: list[Column], limit: int = NAMED_CURRENCIES) -> DataFrame:
+    """``dataset_id, position, n, missing, unique, flagged, copies, name_count, names`` of each cell, from one reading of the charges.
+
+    A value travels as its hash, once per task; text and row keys also carry a second hash with their length, so two of them
+    are counted as one only if 64 + 32 bits and 24 bits of length agree.  Numbers, dates and times have no equal hashes.
+    Names are ranked in parts, and of each part the first ``limit`` go on: no array and no task grows with the currencies.
+    """
+    values = (
+        billing.select("dataset_id", F.inline(F.array(*cells)))
+        .groupBy("dataset_id", "position", "key", "check", "name")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("flagged"))
+    )
+    sums = [F.sum(c).alias(c) for c in ("n", "missing", "unique", "flagged", "copies", "name_count")]
+    named = values.groupBy("dataset_id", "position", "name").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0)).alias("missing"),
+        F.count("key").alias("unique"),
+        F.sum("flagged").alias("flagged"),
+        F.sum(F.col("n") - 1).alias("copies"),
+    )
+    part = F.coalesce(F.pmod(F.xxhash64("name"), F.lit(_PARTS)), F.lit(0)).alias("part")
+    first = Window.partitionBy("dataset_id", "position", "part").orderBy(F.asc_nulls_last("name"))
+    parts = (
+        named.select("*", part, F.col("name").isNotNull().cast("bigint").alias("name_count"))
+        .withColumn("name", F.when(F.row_number().over(first) <= limit, F.col("name")))
+        .groupBy("dataset_id", "position", "part").agg(*sums, F.collect_list("name").alias("names"))
+    )
+    return (
+        parts.groupBy("dataset_id", "position").agg(*sums, F.flatten(F.collect_list("names")).alias("names"))
+        .withColumn("names", F.slice(F.array_sort("names"), 1, limit))
+    )
+
+
+def distinct_counts(billing: DataFrame) -> DataFrame:
+    """``dataset_id, position, unique_count``: distinct values of each field, NULL not counted."""
+    counted = _counted(billing, _field_cells(billing, "exact"))
+    return counted.select("dataset_id", "position", F.col("unique").alias("unique_count"))
+
+
+def _profile(counted: DataFrame, billing: DataFrame, distinct: str = "exact") -> DataFrame:
+    """Null, negative and distinct values of each cell; that of whole rows has no field name."""
+    names = F.array(*[F.lit(f.name) for f in _fields(billing)]).cast("array<string>")
+    # charges without a dataset id have no distinct counts
+    unique = F.when(F.col("dataset_id").isNotNull(), F.col("unique")).otherwise(0)
+    return counted.select(
+        "*",
+        F.get(names, F.col("position")).alias("field_name"),
+        F.col("n").alias("row_count"),
+        F.col("missing").alias("null_count"),
+        (F.col("missing") / F.col("n")).alias("null_rate"),
+        (unique if distinct == "exact" else F.lit(None)).cast("bigint").alias("unique_count"),
+        F.col("flagged").alias("invalid_count"),
     )
-    if distinct == "none":
-        return profile.withColumn("unique_count", F.lit(None).cast("bigint"))
-    counts = profile.join(renewed(distinct_counts(billing)), ["dataset_id", "position"], "left")
-    return counts.withColumn("unique_count", F.coalesce("unique_count", zero))
 
 
 def field_profile(billing: DataFrame) -> DataFrame:
     """Null rate, distinct values and negative values of every field."""
-    return _profile(billing).select(
+    return _profile(_counted(billing, _field_cells(billing, "exact")), billing).select(
         "dataset_id",
         "position",
         "field_name",
@@ -132,23 +173,17 @@ def row_checks(billing: DataFrame) -> DataFrame:
 
     Two rows are duplicates when 64 + 32 bits of hash, the length and the missing values of their keys agree.
     """
-    keys = [k for k in DUPLICATE_KEYS if k in billing.columns]
-    has_period = {"charge_period_start", "charge_period_end"} <= set(billing.columns)
-    reversed_period = (
-        F.col("charge_period_start") > F.col("charge_period_end") if has_period else F.lit(False)
-    )
-    values = [F.col(k) for k in keys]
-    # rows travel as two hashes of their keys, once per task and value
-    hashed = [_key(*values).alias("key"), _check(*values).alias("check")] if keys else []
-    groups = billing.groupBy("dataset_id", *hashed).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(reversed_period).alias("reversed")
-    )
-    extra = F.sum(F.col("n") - 1) if keys else F.lit(0).cast("bigint")
-    return groups.groupBy("dataset_id").agg(
-        F.sum("n").alias("total_rows"),
-        extra.alias("duplicate_rows"),
-        F.sum("reversed").alias("reversed_periods"),
-    )
+    counted = _counted(billing, [_row_cell(billing)])
+    return counted.select("dataset_id", *[c.alias(n) for n, c in _row_columns().items()])
+
+
+def _row_columns() -> dict[str, Column]:
+    """What the cell of whole rows says; without key fields no row is another's copy."""
+    return {
+        "total_rows": F.col("n"),
+        "duplicate_rows": F.when(F.col("unique") > 0, F.col("copies")).otherwise(0).cast("bigint"),
+        "reversed_periods": F.col("flagged"),
+    }
 
 
 def _finding(level: str, seq, field, n, message):
@@ -263,28 +298,26 @@ def _row_findings(columns: list[str]):
 def _assessed(billing: DataFrame, distinct: str = "exact") -> DataFrame:
     """One row per dataset with counts, field metrics and the ordered findings.
 
-    The charges are read for the fields, their distinct values, the row keys and the currencies, each with the columns
-    it needs.  Everything after that has at most one row per dataset and field.
+    The charges are read once for the fields, the row keys and the currencies, and once more for the distinct values if
+    those are asked for.  Everything after that has at most one row per dataset, field and currency.
     """
+    if distinct not in ("exact", "none"):
+        raise ValueError(f"distinct is 'exact' or 'none', not {distinct!r}")
+    known = billing.where(F.col("dataset_id").isNotNull())
+    cells = _profile(_counted(known, [_row_cell(known), *_field_cells(known, "none")]), known, "none")
+    if distinct == "exact":
+        cells = cells.drop("unique_count").join(renewed(distinct_counts(known)), ["dataset_id", "position"], "left")
     metric = F.struct("position", "field_name", "null_rate", "unique_count", "invalid_count")
-    fields = (
-        _profile(billing, distinct)
-        .withColumn("found", _field_findings())
+    is_row = F.col("position") == _ROW
+    joined = (
+        cells.withColumn("found", _field_findings())
         .groupBy("dataset_id")
         .agg(
-            F.array_sort(F.collect_list(metric)).alias("field_metrics"),
+            F.array_sort(F.collect_list(F.when(~is_row, metric))).alias("field_metrics"),
             F.flatten(F.collect_list("found")).alias("field_findings"),
-        )
-    )
-    joined = (
-        row_checks(billing)
-        .join(renewed(fields), "dataset_id")
-        .join(renewed(named_currencies(billing)), "dataset_id", "left")
-        .withColumns(
-            {
-                "currency_count": F.coalesce("currency_count", F.lit(0).cast("bigint")),
-                "currencies": F.coalesce("currencies", F.array().cast("array<string>")),
-            }
+            *[F.max(F.when(is_row, c)).alias(n) for n, c in _row_columns().items()],
+            F.max("name_count").alias("currency_count"),
+            F.flatten(F.collect_list("names")).alias("currencies"),
         )
     )
     ordered = F.array_sort(

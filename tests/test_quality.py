@@ -112,3 +112,25 @@ def test_many_currencies_are_counted_and_some_named(spark, make_billing):
     assert quality.quality_report(rows).first().currency_consistency is False
     none = quality.quality_report(rows.drop("currency")).first()
     assert none.currency_consistency is True
+
+
+def _scans(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan")
+
+
+def test_charges_are_read_once(make_billing, tmp_path):
+    path = str(tmp_path / "charges")
+    make_billing(10).write.parquet(path)
+    billing = make_billing(1).sparkSession.read.parquet(path)
+    status = quality.quality_report(billing).select("dataset_id", "overall_status", "valid_rows", "issues", "warnings")
+    assert _scans(status) == 1
+    for frame in (quality.findings(billing), quality.row_consistency(billing), quality.field_profile(billing)):
+        assert _scans(frame) == 1
+    assert _scans(quality.quality_report(billing)) == 2
+
+
+def test_names_of_many_currencies_are_the_first_ones(make_billing):
+    rows = make_billing(40).withColumn("currency", F.concat(F.lit("C"), F.dayofyear("charge_period_start"), F.col("service")))
+    found = quality._counted(rows, quality._field_cells(rows, "none"), 5).where("name_count > 0").first()
+    assert (found.name_count, found.names) == (120, sorted(r.currency for r in currencies(rows).collect())[:5])
