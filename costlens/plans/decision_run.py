@@ -16,8 +16,8 @@ from ..session import drop_table, scratch_table
 class DecisionRun:
     """Result tables of one run over all datasets of a canonical table.
 
-    A table is built when it is first asked for.  The charges are read for the
-    quality report and once for the daily rollup; all later stages work on the rollup.
+    A table is built when it is first asked for.  The charges are read once for the
+    quality gate and once for the daily rollup, and again for the quality report if it is asked for; all later stages work on the rollup.
     The tables that several stages share are written to the shared folder as they
     are reached, so each is computed once, a lost executor costs no earlier stage,
     and the plans of later stages stay short; ``close`` deletes them, and so does leaving
@@ -58,13 +58,20 @@ class DecisionRun:
         while self._written:
             drop_table(self.billing.sparkSession, self._written.pop())
 
+    @cached_property
+    def checked(self) -> DataFrame:
+        """The quality report without distinct values, which decide nothing."""
+        return self._keep(quality.quality_report(self.billing, "none"), "checked")
+
     @cached_property
     def quality(self) -> DataFrame:
+        if self.distinct == "none":
+            return self.checked
         return self._keep(quality.quality_report(self.billing, self.distinct), "quality")
 
     @cached_property
     def gate(self) -> DataFrame:
-        return decision.quality_gate(self.quality)
+        return decision.quality_gate(self.checked)
 
     @cached_property
     def usable(self) -> DataFrame:
@@ -186,7 +193,7 @@ def stage_summary(run: DecisionRun) -> DataFrame:
     zero = F.lit(0)
     parts = [
         _long(
-            run.quality.join(renewed(run.gate.select("dataset_id", "usable", "confidence")), "dataset_id"),
+            run.checked.join(renewed(run.gate.select("dataset_id", "usable", "confidence")), "dataset_id"),
             "data_quality",
             col("confidence"),
             usable=col("usable").cast("int"),
