@@ -60,6 +60,13 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, size: int = STEP_BYTES
             at = to
 
 
+def release() -> None:
+    """Give free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(run: Callable) -> Callable:
     """``run`` over the batches of a task, which gives memory back to the system at its end.
 
@@ -71,9 +78,7 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            release()
 
     return wrapped
 

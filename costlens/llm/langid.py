@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, steps, utf8
+from .common import lean, release, steps, utf8
 
 ORDER = 3
 #: Labelled documents that the trees are grown from, for each language.
@@ -105,32 +105,46 @@ class ContextTrees:
         weight = np.ones(width)  # bytes behind a column
         weight[-1] = unseen
         # order -1: all 256 bytes alike; cost of the shared column is that of one of its bytes
-        below = np.tile(weight / weight.sum(), (len(langs), 1, 1))
-        rows, tables = None, []
+        below = (weight / weight.sum())[None]
+        own = [lang == l for l in range(len(langs))]
+        rows, count, tables = None, 0, [[] for _ in langs]
         for k in range(ORDER + 1):
             code = np.zeros(len(gram), np.int64)
             for back in range(k, 0, -1):
                 code = code * width + self.symbol[(gram >> 8 * back) & 255]
             contexts, where = np.unique(code, return_inverse=True)
-            counts = np.zeros((len(langs), len(contexts), width))
-            np.add.at(counts, (lang, where, self.symbol[last]), n)
-            if k:
-                parent = rows[contexts % width ** (k - 1)]
-                low = np.stack([np.concatenate(tables, 1)[l][parent] for l in range(len(langs))])
-            else:
+            parent = rows[contexts % width ** (k - 1)] if k else None
+            # one language at a time: the tables of all of them in full precision need several times the driver's memory
+            for l, table in enumerate(tables):
                 low = below
-            total, kinds = counts.sum(2, keepdims=True), (counts > 0).sum(2, keepdims=True)
-            rest = np.where(counts > 0, 0, low).sum(2, keepdims=True)
-            escape = kinds / np.maximum(total + kinds, 1)
-            p = np.where(counts > 0, counts / np.maximum(total + kinds, 1), escape * low / np.maximum(rest, 1e-300))
-            p = np.where(total > 0, p, low)
+                if k:
+                    low, first = np.zeros((len(contexts), width)), 0
+                    for part in table:
+                        inside = (parent >= first) & (parent < first + len(part))
+                        low[inside] = part[parent[inside] - first]
+                        first += len(part)
+                table.append(self._chances(len(contexts), where[own[l]], self.symbol[last[own[l]]], n[own[l]], low))
             dense = np.zeros(width**k, np.int32) if not k else np.tile(rows, width).astype(np.int32)
-            dense[contexts] = sum(t.shape[1] for t in tables) + np.arange(len(contexts))
-            rows = dense
-            tables.append(p)
-        p = np.concatenate(tables, 1) / weight
+            dense[contexts] = count + np.arange(len(contexts))
+            rows, count = dense, count + len(contexts)
         self.row = rows
-        self.bits = np.minimum(np.rint(-np.log2(np.maximum(p, 1e-70)) * UNIT), 65535).astype(np.uint16).reshape(len(langs), -1)
+        self.bits = np.empty((len(langs), count * width), np.uint16)
+        for bits, table in zip(self.bits, tables):
+            at = 0
+            for part in table:
+                cost = np.rint(-np.log2(np.maximum(part / weight, 1e-70)) * UNIT)
+                bits[at : at + cost.size] = np.minimum(cost, 65535).astype(np.uint16).ravel()
+                at += cost.size
+
+    def _chances(self, contexts: int, where: np.ndarray, symbol: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Chances of all columns in each context of one language; ``low`` are those of the next shorter context."""
+        counts = np.zeros((contexts, self.width))
+        np.add.at(counts, (where, symbol), n)
+        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+        rest = np.where(counts > 0, 0, low).sum(1, keepdims=True)
+        escape = kinds / np.maximum(total + kinds, 1)
+        p = np.where(counts > 0, counts / np.maximum(total + kinds, 1), escape * low / np.maximum(rest, 1e-300))
+        return np.where(total > 0, p, low)
 
     def costs(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Code length of each text in bits, one column for each language."""
@@ -159,7 +173,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> ContextTrees | None:
     if not langs:
         return None
     at = {x: i for i, x in enumerate(langs)}
-    return ContextTrees(langs, counts["lang"].map(at).to_numpy(np.int64), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64))
+    trees = ContextTrees(langs, counts["lang"].map(at).to_numpy(np.int64), counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64))
+    del counts
+    release()
+    return trees
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:

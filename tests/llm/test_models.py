@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -359,3 +360,20 @@ def test_fixed_texts_are_counted_on_all_pages(spark):
     said = ["<div Welcome", "<p by chance"]
     wrapper = spark.createDataFrame([("a.example", [html._key(x) for x in said])], "f_host string, fixed array<long>")
     assert html.confirmed(known, wrapper).collect() == [("a.example", [html._key(said[0])])]
+
+
+def test_cost_tables_are_made_one_language_at_a_time():
+    """What the driver holds beside the finished tables does not grow with the number of languages."""
+    rng = np.random.default_rng(5)
+    gram = np.unique(rng.integers(97, 117, (20000, 4)) @ np.array([1 << 24, 1 << 16, 1 << 8, 1]))
+
+    def beside(langs: int) -> int:
+        lang = np.repeat(np.arange(langs), len(gram))
+        tracemalloc.start()
+        trees = langid.ContextTrees([f"l{i}" for i in range(langs)], lang, np.tile(gram, langs), np.ones(len(lang)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak - trees.bits.nbytes
+
+    tables = len(gram) * 21 * 8  # at most, of one language in full precision
+    assert beside(12) - beside(2) < 2.5 * 10 * tables
