@@ -7,6 +7,7 @@ All series of a batch go through the days together; nothing is kept for each day
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -30,6 +31,11 @@ def _parts(season: bool) -> int:
     return 2 + (PERIOD if season else 0)
 
 
+def _running(lengths: np.ndarray, days: int) -> list[int]:
+    """Rows that have a value on each day; the longest come first."""
+    return np.searchsorted(-lengths, -np.arange(days), "left").tolist()
+
+
 def _pass(
     y: np.ndarray, lengths: np.ndarray, params: np.ndarray, initial: np.ndarray, season: bool, sensitive: bool
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -37,46 +43,166 @@ def _pass(
 
     ``y`` (rows, days), ``params`` (rows, 3), ``initial`` (rows, parts).  Column 0 is the error from the given
     initial state, the next ones its response to a unit change of each part of that state, and with ``sensitive`` the last ones
-    its derivatives by the three weights.  A row that has ended stands still.
+    its derivatives by the three weights.  The longest rows come first; one that has ended stands still.
     """
     rows, parts = initial.shape
-    alpha, beta, gamma = (params[:, i : i + 1] for i in range(3))
+    alpha, beta, gamma = np.ascontiguousarray(params.T)
     columns = 1 + parts + (3 if sensitive else 0)
-    state = np.zeros((parts, rows, columns))
-    state[:, :, 0] = initial.T
+    # rows lie side by side: each step works on whole rows of numbers
+    state = np.zeros((parts, columns, rows))
+    state[:, 0] = initial.T
     for part in range(parts):
-        state[part, :, 1 + part] = 1.0
-    level, trend, seasonal = state[0], state[1], state[2:]
+        state[part, 1 + part] = 1.0
     products = np.zeros((rows, columns, columns))
-    errors = np.zeros((rows, _BLOCK, columns))
-    shortest, longest = int(lengths.min()), int(lengths.max())
+    errors, spare = np.zeros((_BLOCK, columns, rows)), np.zeros((columns, rows))
+    longest = int(lengths[0])
+    on = _running(lengths, longest)
+    values = np.ascontiguousarray(y.T)
     for t in range(longest):
-        at, phase = t % _BLOCK, t % PERIOD
-        error = errors[:, at]
+        at, n = t % _BLOCK, on[t]
+        level, trend, seasonal = state[0, :, :n], state[1, :, :n], state[2 + t % PERIOD, :, :n] if season else None
+        error, moved = errors[at, :, :n], spare[:, :n]
+        errors[at, :, n:] = 0.0
         np.add(level, trend, out=error)
         if season:
-            error += seasonal[phase]
-        np.negative(error, out=error)
-        error[:, 0] += y[:, t]
-        if t >= shortest:
-            on = (t < lengths)[:, None]
-            error *= on
-            level += trend * on
-        else:
-            level += trend
-        level += alpha * error
-        trend += beta * error
+            error += seasonal
+        error *= -1.0  # NumPy's negation in place goes wrong on a single strided column
+        error[0] += values[t, :n]
+        level += trend
+        level += np.multiply(alpha[:n], error, out=moved)
+        trend += np.multiply(beta[:n], error, out=moved)
         if season:
-            seasonal[phase] += gamma * error
+            seasonal += np.multiply(gamma[:n], error, out=moved)
         if sensitive:
-            level[:, -3] += error[:, 0]
-            trend[:, -2] += error[:, 0]
+            level[-3] += error[0]
+            trend[-2] += error[0]
             if season:
-                seasonal[phase, :, -1] += error[:, 0]
+                seasonal[-1] += error[0]
         if at == _BLOCK - 1 or t == longest - 1:
-            block = errors[:, : at + 1]
-            products += block.transpose(0, 2, 1) @ block
-    return products, state
+            n = on[t - at]
+            block = np.ascontiguousarray(errors[: at + 1, :, :n].transpose(2, 0, 1))
+            products[:n] += block.transpose(0, 2, 1) @ block
+    return products, state.transpose(0, 2, 1)
+
+
+def _responses(starts: np.ndarray, season: bool, days: int) -> np.ndarray:
+    """Response of each day's error to a unit change of each part of the initial state, ``(starts, parts, days)``; no series has a part in it."""
+    parts = _parts(season)
+    alpha, beta, gamma = starts.T
+    state = np.zeros((parts, parts, len(starts)))
+    for part in range(parts):
+        state[part, part] = 1.0
+    out = np.zeros((days, parts, len(starts)))
+    for t in range(days):
+        error = -(state[0] + state[1])
+        if season:
+            error -= state[2 + t % PERIOD]
+        out[t] = error
+        state[0] += state[1] + alpha * error
+        state[1] += beta * error
+        if season:
+            state[2 + t % PERIOD] += gamma * error
+    return np.ascontiguousarray(out.transpose(2, 1, 0))
+
+
+@functools.lru_cache(maxsize=256)
+def _start_inverse(season: bool, days: int) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the responses of all starts over so many days, and their inverses."""
+    response = _responses(_starts(season), season, days)
+    products = response @ response.transpose(0, 2, 1)
+    return products, np.linalg.pinv(products, rcond=1e-11, hermitian=True)
+
+
+def _from_starts(y: np.ndarray, lengths: np.ndarray, season: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Best change of an initial state of zeros, and its error, of each series with the weights of each start.
+
+    The responses to the initial state depend on weights and days alone: they are shared by all series.
+    """
+    starts, parts, count = _starts(season), _parts(season), len(y)
+    alpha, beta, gamma = (x[:, None] for x in starts.T)
+    longest = int(lengths[0])
+    response = _responses(starts, season, longest)
+    state = np.zeros((parts, len(starts), count))
+    errors = np.zeros((_BLOCK, len(starts), count))
+    pull, error = np.zeros((len(starts), parts, count)), np.zeros((len(starts), count))
+    values = np.ascontiguousarray(y.T)
+    on = _running(lengths, longest)
+    for t in range(longest):
+        at, n = t % _BLOCK, on[t]
+        level, trend, seasonal = state[0, :, :n], state[1, :, :n], state[2 + t % PERIOD, :, :n] if season else None
+        now = errors[at, :, :n]
+        errors[at, :, n:] = 0.0
+        np.subtract(values[t, :n], level, out=now)
+        now -= trend
+        if season:
+            now -= seasonal
+        level += trend
+        level += alpha * now
+        trend += beta * now
+        if season:
+            seasonal += gamma * now
+        if at == _BLOCK - 1 or t == longest - 1:
+            block = errors[: at + 1]
+            pull += response[:, :, t - at : t + 1] @ block.transpose(1, 0, 2)
+            error += (block * block).sum(0)
+    good = np.isfinite(error) & np.isfinite(pull).all(1)
+    change = np.zeros((len(starts), parts, count))
+    for days in np.unique(lengths):
+        some = lengths == days
+        products, inverse = _start_inverse(season, int(days))
+        right = np.where(good[:, None, some], pull[:, :, some], 0.0)
+        found = -(inverse @ right)
+        change[:, :, some] = found
+        error[:, some] += (found * (2 * right + products @ found)).sum(1)
+    error = np.where(good, np.maximum(error, 0.0), np.inf)
+    return change.transpose(2, 0, 1).reshape(-1, parts), error.T
+
+
+#: Of the largest diagonal element, what a pivot must reach; other rows are solved by their eigenvalues.
+_LEAST_PIVOT = 1e-8
+
+
+def _solved(products: np.ndarray, parts: int, columns: Sequence[int]) -> np.ndarray:
+    """Initial states that come nearest to some columns of the errors, ``(rows, parts, columns)``.
+
+    The level and the weekly parts can trade a constant: that one direction is filled in, which gives the
+    smallest solution, and the rest is factored for all rows at once.
+    """
+    right = np.ascontiguousarray(products[:, 1 : 1 + parts, list(columns)].transpose(1, 2, 0))
+    matrix = np.ascontiguousarray(products[:, 1 : 1 + parts, 1 : 1 + parts].transpose(1, 2, 0))
+    if parts > 2:
+        free = np.array([1.0, 0.0] + [-1.0] * PERIOD)
+        matrix += (free[:, None] * free)[:, :, None] * matrix[0, 0]
+    largest = matrix[range(parts), range(parts)].max(0)
+    solid = largest > 0
+    for j in range(parts):
+        for k in range(j):
+            matrix[j:, j] -= matrix[j:, k] * matrix[j, k]
+        solid &= matrix[j, j] > _LEAST_PIVOT * largest
+        matrix[j:, j] /= np.sqrt(np.where(solid, matrix[j, j], 1.0))
+    # rows that are not solid are thrown away
+    with np.errstate(all="ignore"):
+        for j in range(parts):
+            for k in range(j):
+                right[j] -= matrix[j, k] * right[k]
+            right[j] /= matrix[j, j]
+        for j in range(parts - 1, -1, -1):
+            for k in range(j + 1, parts):
+                right[j] -= matrix[k, j] * right[k]
+            right[j] /= matrix[j, j]
+    out = right.transpose(2, 0, 1).copy()
+    if not solid.all():
+        rest = products[~solid]
+        inverse = np.linalg.pinv(rest[:, 1 : 1 + parts, 1 : 1 + parts], rcond=1e-11, hermitian=True)
+        out[~solid] = inverse @ rest[:, 1 : 1 + parts, list(columns)]
+    return out
+
+
+def _least_error(products: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Squared error after a change of the initial state."""
+    whole = np.concatenate([np.ones((len(change), 1)), change], 1)
+    some = products[:, : whole.shape[1], : whole.shape[1]]
+    return np.maximum((whole[:, None, :] @ some @ whole[:, :, None])[:, 0, 0], 0.0)
 
 
 def _initial(products: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +210,8 @@ def _initial(products: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
     The level and the weekly parts can trade a constant, so the smallest change is taken.
     """
-    inverse = np.linalg.pinv(products[:, 1 : 1 + parts, 1 : 1 + parts], rcond=1e-11, hermitian=True)
-    change = -(inverse @ products[:, 1 : 1 + parts, :1])[:, :, 0]
-    whole = np.concatenate([np.ones((len(change), 1)), change], 1)
-    some = products[:, : 1 + parts, : 1 + parts]
-    error = (whole[:, None, :] @ some @ whole[:, :, None])[:, 0, 0]
-    return change, np.maximum(error, 0.0)
+    change = -_solved(products, parts, (0,))[:, :, 0]
+    return change, _least_error(products, change)
 
 
 def _admissible(params: np.ndarray) -> np.ndarray:
@@ -161,6 +283,8 @@ def fit_many(series: list[np.ndarray], season: bool) -> tuple[np.ndarray, np.nda
     run through the days beside the state, for all series at once.  A series without a finite error has NaN everywhere.
     """
     parts, count = _parts(season), len(series)
+    order = sorted(range(count), key=lambda i: -len(series[i]))
+    series = [series[i] for i in order]
     lengths = np.array([len(s) for s in series])
     scale = np.array([np.abs(s).max() for s in series])
     scale[scale == 0] = 1.0
@@ -170,10 +294,7 @@ def fit_many(series: list[np.ndarray], season: bool) -> tuple[np.ndarray, np.nda
 
     starts = _starts(season)
     n = len(starts)
-    rows = np.repeat(np.arange(count), n)
-    products, _ = _pass(y[rows], lengths[rows], np.tile(starts, (count, 1)), np.zeros((count * n, parts)), season, False)
-    change, error = _initial(_finite(products), parts)
-    error = np.where(np.isfinite(products).all(axis=(1, 2)), error, np.inf).reshape(count, n)
+    change, error = _from_starts(y, lengths, season)
     first = error.argsort(1, kind="stable")[:, :FOLLOWED]
     k = first.shape[1]
     flat = (first + np.arange(count)[:, None] * n).ravel()
@@ -199,8 +320,9 @@ def fit_many(series: list[np.ndarray], season: bool) -> tuple[np.ndarray, np.nda
         products, final = _pass(y[rows[active]], lengths[rows[active]], params, initial[active], season, True)
         good = np.isfinite(products).all(axis=(1, 2))
         products = _finite(products)
-        change, now = _initial(products, parts)
-        now = np.where(good, now, np.inf)
+        solution = _solved(products, parts, (0, -3, -2, -1))
+        change = -solution[:, :, 0]
+        now = np.where(good, _least_error(products, change), np.inf)
         better = now < best[active]
         gain = np.where(np.isfinite(best[active]), best[active] - now, np.inf)
         # a step from derivatives of another initial state may fail for that reason: take them anew before giving up
@@ -214,12 +336,9 @@ def fit_many(series: list[np.ndarray], season: bool) -> tuple[np.ndarray, np.nda
         # derivatives by the weights, freed of what the initial state explains
         better |= anew
         at = active[better]
-        linear = products[better][:, 1 : 1 + parts, 1 : 1 + parts]
-        inverse = np.linalg.pinv(linear, rcond=1e-11, hermitian=True)
-        cross = products[better][:, 1 : 1 + parts, -3:]
-        explained = inverse @ cross
-        inner = products[better][:, -3:, -3:] - cross.transpose(0, 2, 1) @ explained
-        outer = products[better][:, -3:, 0] - (explained.transpose(0, 2, 1) @ products[better][:, 1 : 1 + parts, :1])[:, :, 0]
+        some, explained = products[better], solution[better][:, :, 1:]
+        inner = some[:, -3:, -3:] - some[:, 1 : 1 + parts, -3:].transpose(0, 2, 1) @ explained
+        outer = some[:, -3:, 0] - (explained.transpose(0, 2, 1) @ some[:, 1 : 1 + parts, :1])[:, :, 0]
         by = turn[better]
         normal[at] = by.transpose(0, 2, 1) @ inner @ by
         pull[at] = (by.transpose(0, 2, 1) @ outer[:, :, None])[:, :, 0]
@@ -245,7 +364,8 @@ def fit_many(series: list[np.ndarray], season: bool) -> tuple[np.ndarray, np.nda
     out = kept_initial[chosen]
     out[failed] = np.nan
     least = np.where(failed, np.nan, least)
-    return params, out * scale[:, None], ends[chosen] * scale[:, None], least * scale * scale
+    place = np.argsort(order)
+    return params[place], (out * scale[:, None])[place], (ends[chosen] * scale[:, None])[place], (least * scale * scale)[place]
 
 
 def _finite(products: np.ndarray) -> np.ndarray:

@@ -172,7 +172,7 @@ _ORIGIN_SCHEMA = "dataset_id string, entity_type string, entity_value string, or
 
 
 #: Series that a task fits together.
-FIT_BATCH = 64
+FIT_BATCH = 512
 
 
 def _known(panel: DataFrame) -> DataFrame:
@@ -180,17 +180,22 @@ def _known(panel: DataFrame) -> DataFrame:
     return panel.where(F.col("cost").isNotNull())
 
 
-def _smoothed(series: list[tuple], horizon: int, fixed: np.ndarray | None) -> list[tuple]:
-    """Hold-out and forecast rows of ``(keys, days, values)``, all series fitted together.
+def _smoothed(series: list[tuple], horizon: int, fixed: np.ndarray | None, holdout: bool) -> list[tuple]:
+    """Forecast and, if asked for, hold-out rows of ``(keys, days, values)``, all series fitted together.
 
-    A series whose fit fails is forecast by the mean of its last days.
+    A series whose fit fails is forecast by the mean of its last days; a fit of its first days that fails is one of all days that does.
     """
     splits = [smoothing.training_rows(len(y)) for _, _, y in series]
+    if not holdout:
+        splits = [(len(y), season) for (_, _, y), (_, season) in zip(series, splits)]
     found = smoothing.states_at(
-        [y for _, _, y in series], [((split, season), (len(y), season)) for (_, _, y), (split, season) in zip(series, splits)], fixed
+        [y for _, _, y in series],
+        [((split, season), (len(y), season))[not holdout :] for (_, _, y), (split, season) in zip(series, splits)],
+        fixed,
     )
     out = []
-    for (keys, days, y), (split, season), ((held_params, held_ends), (params, ends)) in zip(series, splits, found):
+    for (keys, days, y), (split, season), states in zip(series, splits, found):
+        (held_params, held_ends), (params, ends) = states[0], states[-1]
         fitted = bool(np.isfinite(held_ends).all() and np.isfinite(ends).all())
         if fitted:
             method = SMOOTHING
@@ -259,16 +264,17 @@ def _by_series(panel: DataFrame, batch: int, make, schema: str) -> DataFrame:
 
     tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long_enough = (
-        with_length(_known(panel).repartition(tasks, *_KEYS))
+        with_length(_known(panel))
         .where(F.col("n") >= SMOOTHING_MIN_ROWS)
         .select(*_KEYS, "day", "cost")
+        .repartition(tasks, *_KEYS)  # last: the count of a key that is a literal asks for another partitioning, which may be packed
         .sortWithinPartitions(*_KEYS, "day")
     )
     return long_enough.mapInPandas(batches, schema)
 
 
 def holt_winters(
-    panel: DataFrame, horizon: int = HORIZON, params: Sequence[float] | None = None, batch: int = FIT_BATCH
+    panel: DataFrame, horizon: int = HORIZON, params: Sequence[float] | None = None, batch: int = FIT_BATCH, holdout: bool = True
 ) -> DataFrame:
     """Additive trend with a weekly additive pattern, fitted per series.
 
@@ -277,10 +283,11 @@ def holt_winters(
     pattern needs 21 training rows.  Series under ten rows are left out; days without a known
     cost do not count.  ``params`` (alpha, beta, gamma) skips the fit and starts from the first weeks.
 
-    A task fits ``batch`` series at a time, so it holds that many lifetimes of days at once.
+    Without ``holdout`` there are no hold-out rows, and no fit for them: half of the work.  A task fits ``batch`` series at a
+    time, so it holds that many lifetimes of days at once.
     """
     fixed = None if params is None else np.asarray(params, float)
-    return _by_series(panel, batch, lambda held: _smoothed(held, horizon, fixed), _SMOOTHING_SCHEMA)
+    return _by_series(panel, batch, lambda held: _smoothed(held, horizon, fixed, holdout), _SMOOTHING_SCHEMA)
 
 
 def smoothing_from(
@@ -687,7 +694,7 @@ def forecast_panel(
         return tagged.where(F.col("_method") == method).select(*_KEYS, "day", "cost")
 
     points = naive(of(NAIVE), horizon).unionByName(moving_average(of(AVERAGE), horizon))
-    points = points.unionByName(smoothing_forecast(holt_winters(of(SMOOTHING), horizon, params)))
+    points = points.unionByName(smoothing_forecast(holt_winters(of(SMOOTHING), horizon, params, holdout=False)))
     if extra is not None:
         points = points.unionByName(extra.join(gate.where("passed"), _KEYS, "left_semi"))
     return points

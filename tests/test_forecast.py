@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -322,3 +323,43 @@ def test_backtest_scores_and_gaps(make_panel):
     with pytest.raises(ValueError):
         replay.backtest(rows, [])
     assert replay.backtest_points(make_panel({"a": [1.0, 2.0]}), ["2024-01-02"], methods=("boosted_trees",)).collect() == []
+
+
+def test_fit_works_for_all_series_and_starts_together(monkeypatch):
+    """What depends on weights and days alone is worked out once, not once for each series; series of any length go together."""
+    rng = np.random.default_rng(8)
+    series = [rng.gamma(2.0, 50.0, n) for n in (39, 21, 34, 25, 39, 30, 28, 24, 31, 32)]
+    factored = []
+    pinv = np.linalg.pinv
+    monkeypatch.setattr(np.linalg, "pinv", lambda a, *more, **named: factored.append(len(a)) or pinv(a, *more, **named))
+    smoothing.fit_many(series * 10, True)
+    assert sum(factored) <= len(smoothing._starts(True)) * len({len(s) for s in series})
+    monkeypatch.undo()
+    together = smoothing.fit_many(series, True)
+    for i, values in enumerate(series):
+        for one, many in zip(smoothing.fit(values, True), together):
+            np.testing.assert_allclose(many[i], one, rtol=1e-7, atol=1e-7)
+
+
+def test_forecast_of_short_series_fits_each_once(make_panel, monkeypatch):
+    fitted = []
+    states_at = smoothing.states_at
+    monkeypatch.setattr(smoothing, "states_at", lambda series, stops, fixed=None: fitted.extend(stops) or states_at(series, stops, fixed))
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(30)]
+    costs = np.random.default_rng(4).gamma(2.0, 50.0, 30)
+    held = [(("d", "service", "a"), days, costs)]
+    both = [row for row in forecast._smoothed(held, 5, None, True) if row[4] == "forecast"]
+    alone = forecast._smoothed(held, 5, None, False)
+    assert [len(own) for own in fitted] == [2, 1]
+    assert [row[:7] for row in alone] == [row[:7] for row in both]
+    assert [row[8] for row in alone] == pytest.approx([row[8] for row in both])
+    points = forecast.forecast_panel(make_panel({"a": costs.tolist()}), 5).orderBy("step").collect()
+    assert [r.yhat for r in points] == pytest.approx([row[8] for row in alone])
+
+
+def test_fit_is_spread_over_all_partitions(spark, make_panel):
+    """Also where a key is a literal, as in a panel of one entity type."""
+    panel = make_panel({f"e{i}": wave(20) for i in range(6)}).withColumn("entity_type", F.lit("resource"))
+    fitted = forecast.holt_winters(panel, 3)
+    assert fitted.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert fitted.where("kind = 'forecast'").count() == 18
