@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .anomaly import run_detection
 from .filters import labelled, metered
-from .spend import cost_drivers, with_concentration
+from .panel import of_dimension
+from .spend import cost_drivers, drivers_of, rolled_cost_by_dimension, with_concentration
 
 # Rule thresholds, savings factors and confidences.
 GROWTH_PCT, GROWTH_CAP, GROWTH_DIVISOR, GROWTH_CONFIDENCE = 20.0, 0.3, 200, 0.7
@@ -248,3 +250,10 @@ def totals(opportunities: DataFrame) -> DataFrame:
 def find(billing: DataFrame, anomalies: DataFrame, top_n: int = 10) -> DataFrame:
     """All opportunities of all datasets, driver changes included."""
     return all_rules(billing, cost_drivers(billing, top_n, with_change=True), anomalies)
+
+
+def find_rolled(rollup: DataFrame, top_n: int = 10) -> DataFrame:
+    """The same from a ``panel.dimension_rollup``; anomalies are those of services."""
+    services = of_dimension(rollup, "service")
+    drivers = drivers_of(rolled_cost_by_dimension(rollup, by_month=True), top_n, with_change=True)
+    return all_rules(services, drivers, run_detection(services))

@@ -38,6 +38,37 @@ def daily_rollup(
     )
 
 
+def dimension_rollup(billing: DataFrame, dimensions: Sequence[str] = SUMMARY_DIMENSIONS) -> DataFrame:
+    """Charges summed to one row per dataset, day and value of one dimension; ``total`` is one more dimension.
+
+    Each dimension is summed for itself inside the tasks, so what is shuffled grows with days and values, not
+    with the combinations that the charges hold.  It serves all rules that look at one dimension at a time.
+    """
+    dims = [d for d in dimensions if d in billing.columns]
+    quantity = F.col("quantity") if "quantity" in billing.columns else F.lit(None).cast("double")
+    return (
+        billing.select(
+            "dataset_id",
+            F.date_trunc("day", "charge_period_start").cast("timestamp_ntz").alias("charge_period_start"),
+            "billed_cost",
+            quantity.alias("quantity"),
+            F.coalesce(quantity > 0, F.lit(False)).alias("is_metered"),
+            *[F.col(d).cast("string").alias(d) for d in dims],
+            F.lit(TOTAL_VALUE).alias(TOTAL),
+        )
+        .unpivot(
+            ["dataset_id", "charge_period_start", "is_metered", "billed_cost", "quantity"], [*dims, TOTAL], "dimension", "value"
+        )
+        .groupBy("dataset_id", "charge_period_start", "dimension", "value", "is_metered")
+        .agg(F.sum("billed_cost").alias("billed_cost"), F.sum("quantity").alias("quantity"))
+    )
+
+
+def of_dimension(rollup: DataFrame, dimension: str) -> DataFrame:
+    """The charges of a ``dimension_rollup`` by one dimension, under canonical names."""
+    return rollup.where(F.col("dimension") == dimension).withColumnRenamed("value", dimension).drop("dimension")
+
+
 def with_dimensions(billing: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """The charges with an empty column for each dimension they lack."""
     absent = {d: F.lit(None).cast("string") for d in dimensions if d not in billing.columns}

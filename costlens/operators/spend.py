@@ -69,6 +69,12 @@ def cost_by_dimension(
     )
 
 
+def rolled_cost_by_dimension(rollup: DataFrame, *, by_month: bool = False) -> DataFrame:
+    """``cost_by_dimension``, with the total, from a ``panel.dimension_rollup``."""
+    month = [F.trunc("charge_period_start", "month").alias("month")] if by_month else []
+    return rollup.groupBy("dataset_id", *month, "dimension", labelled("value")).agg(_amount("billed_cost").alias("cost"))
+
+
 def top_per_dimension(costs: DataFrame, limit: int) -> DataFrame:
     order = Window.partitionBy("dataset_id", "dimension").orderBy(F.desc("cost"), "value")
     return costs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
@@ -194,15 +200,19 @@ def cost_drivers(
     months of its dataset; without it ``change_pct`` is NULL.  Either way the charges are
     read once: a value carries its months along.
     """
+    return drivers_of(cost_by_dimension(billing, dimensions, by_month=with_change, total=True), top_n, dimensions, with_change=with_change)
+
+
+def drivers_of(
+    costs: DataFrame, top_n: int = 10, dimensions: Sequence[str] = SUMMARY_DIMENSIONS, *, with_change: bool = False
+) -> DataFrame:
+    """The same from the rows of ``cost_by_dimension``, with the total and, for the change, by month."""
     if with_change:
         costs = (
-            cost_by_dimension(billing, dimensions, by_month=True, total=True)
-            .groupBy("dataset_id", "dimension", "value")
+            costs.groupBy("dataset_id", "dimension", "value")
             .agg(_amount("cost").alias("total"), F.collect_list(F.struct("month", "cost")).alias("months"))
             .withColumnRenamed("total", "cost")
         )
-    else:
-        costs = cost_by_dimension(billing, dimensions, total=True)
     # The total is one more "dimension", so it travels along and needs no join.
     whole, is_total = Window.partitionBy("dataset_id"), F.col("dimension") == "total"
     pooled = top_per_dimension(costs, top_n).withColumn("total_cost", F.max(F.when(is_total, F.col("cost"))).over(whole))

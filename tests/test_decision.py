@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costlens import sources
-from costlens.operators import budget, decision, opportunity, scenario, spend
+from costlens.operators import anomaly, budget, decision, opportunity, panel, scenario, spend
 from costlens.operators.scenario import Scenario
 from costlens.plans import decision_run
 from costlens.plans.decision_run import stage_evidence, stage_summary
@@ -164,3 +164,21 @@ def test_budgets_count_their_own_currency(spark, make_billing):
     assert (got["CHF"].actual_spend, got["CHF"].dataset_id) == (0.0, None)
     plan = budget.budget_variance(billing, spark.createDataFrame(rows, budget.BUDGETS), ("total",))._jdf.queryExecution().toString()
     assert "LeftOuter" in plan and "Inner" in plan
+
+
+def test_dimension_rollup_grows_with_values_not_with_combinations(spark):
+    days, n = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(60)], 6
+    rows = [
+        ("d", day, f"p{a}", f"a{b}" if b else None, f"s{c}" if c else None, None, (1.0 + a + 2 * b + 3 * c) * (9 if i == 50 and c == 1 else 1 + i // 31), float(c))
+        for i, day in enumerate(days) for a in range(n) for b in range(n) for c in range(n)
+    ]
+    names = "dataset_id string, charge_period_start timestamp_ntz, provider string, account string, service string, region string, billed_cost double, quantity double"
+    billing = spark.createDataFrame(rows, names)
+    rollup = panel.dimension_rollup(billing)
+    assert rollup.count() <= len(days) * 2 * (3 * n + 2)
+
+    def told(found):
+        return sorted((r.opportunity_type, r.entity, round(r.potential_savings_estimate, 6), r.description) for r in found.collect())
+
+    whole = told(opportunity.find(billing, anomaly.run_detection(billing)))
+    assert whole and told(opportunity.find_rolled(rollup)) == whole

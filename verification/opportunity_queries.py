@@ -165,9 +165,9 @@ def _kept(rows, name):
 
 
 def found(spark, sf_dir):
-    """All opportunities; the charges are read once, for a daily rollup that rules and detection share."""
-    billing, path = _kept(panel.daily_rollup(charges(spark, sf_dir, USED)), "rollup")
-    rows, _ = _kept(opportunity.find(billing, anomaly.run_detection(billing)), "opportunities")
+    """All opportunities; the charges are read once, for sums of each dimension that rules and detection share."""
+    rollup, path = _kept(panel.dimension_rollup(charges(spark, sf_dir, USED)), "rollup")
+    rows, _ = _kept(opportunity.find_rolled(rollup), "opportunities")
     session.drop_table(spark, path)
     return rows
 
