@@ -118,23 +118,21 @@ class Staged:
     schema: T.StructType
 
 
-def stage(df: DataFrame, path: str) -> Staged:
+def stage(df: DataFrame, path: str, arranged: bool = False) -> Staged:
     """Write rows where no reader looks.
 
     The rows are computed once.  Rows without a dataset id are not stored.  Files are partitioned by dataset and charge month, so
     that a period filter prunes folders; the rebalance hint sizes them: AQE splits a partition that
-    holds a large share of the rows over many writers and merges small ones.
+    holds a large share of the rows over many writers and merges small ones.  ``arranged`` says that a partition of ``df`` holds
+    few datasets and months as it is, as one read from such a table does: then nothing is shuffled.
     """
     spark = df.sparkSession
     path, version = path.rstrip("/"), uuid.uuid4().hex
     root = f"{path}/data/version={version}"
-    (
-        df.where(F.col("dataset_id").isNotNull())
-        .withColumn("charge_month", F.date_format("charge_period_start", "yyyy-MM"))
-        .hint("rebalance", "dataset_id", "charge_month")
-        .write.partitionBy("dataset_id", "charge_month")
-        .parquet(root)
-    )
+    rows = df.where(F.col("dataset_id").isNotNull()).withColumn("charge_month", F.date_format("charge_period_start", "yyyy-MM"))
+    if not arranged:
+        rows = rows.hint("rebalance", "dataset_id", "charge_month")
+    rows.write.partitionBy("dataset_id", "charge_month").parquet(root)
     schema = T.StructType([f for f in df.schema.fields if f.name not in ("dataset_id", "charge_month")])
     written = spark.read.schema(_stored(schema)).parquet(root)
     # from the footers of the files; one row for each dataset of this write
@@ -160,13 +158,13 @@ def publish(
 
 
 def write_canonical(
-    df: DataFrame, path: str, *, datasets: Sequence[str] = (), keep: int = KEPT_VERSIONS
+    df: DataFrame, path: str, *, datasets: Sequence[str] = (), keep: int = KEPT_VERSIONS, arranged: bool = False
 ) -> dict[str, Version]:
     """Replace the datasets in ``df``, and empty those of ``datasets`` it has no rows of; leave others alone.
 
-    A write that fails changes no dataset.
+    ``arranged`` is that of ``stage``.  A write that fails changes no dataset.
     """
-    return publish(df.sparkSession, path, stage(df, path), datasets, keep)
+    return publish(df.sparkSession, path, stage(df, path, arranged), datasets, keep)
 
 
 def _stored(schema: T.StructType) -> T.StructType:
