@@ -21,6 +21,11 @@ def _amount(column: str):
     return F.coalesce(F.sum(column), F.lit(0.0))
 
 
+def _settled_amount(column: str):
+    """The same, added up by size: two values with the same few amounts get the same sum to the last digit, whatever order they come in."""
+    return F.aggregate(F.sort_array(F.collect_list(column)), F.lit(0.0), lambda a, x: a + x)
+
+
 def spend_totals(billing: DataFrame) -> DataFrame:
     """Billed and effective totals, period, most frequent currency (ties: lowest code).
 
@@ -72,7 +77,7 @@ def cost_by_dimension(
 def rolled_cost_by_dimension(rollup: DataFrame, *, by_month: bool = False) -> DataFrame:
     """``cost_by_dimension``, with the total, from a ``panel.dimension_rollup``."""
     month = [F.trunc("charge_period_start", "month").alias("month")] if by_month else []
-    return rollup.groupBy("dataset_id", *month, "dimension", labelled("value")).agg(_amount("billed_cost").alias("cost"))
+    return rollup.groupBy("dataset_id", *month, "dimension", labelled("value")).agg(_settled_amount("billed_cost").alias("cost"))
 
 
 def top_per_dimension(costs: DataFrame, limit: int) -> DataFrame:
@@ -210,7 +215,7 @@ def drivers_of(
     if with_change:
         costs = (
             costs.groupBy("dataset_id", "dimension", "value")
-            .agg(_amount("cost").alias("total"), F.collect_list(F.struct("month", "cost")).alias("months"))
+            .agg(_settled_amount("cost").alias("total"), F.collect_list(F.struct("month", "cost")).alias("months"))
             .withColumnRenamed("total", "cost")
         )
     # The total is one more "dimension", so it travels along and needs no join.

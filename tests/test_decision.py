@@ -182,3 +182,13 @@ def test_dimension_rollup_grows_with_values_not_with_combinations(spark):
 
     whole = told(opportunity.find(billing, anomaly.run_detection(billing)))
     assert whole and told(opportunity.find_rolled(rollup)) == whole
+
+
+def test_values_with_the_same_charges_tie(spark):
+    """The total of the same days is the same to the last digit for each dimension, so the order of dimensions decides."""
+    rows = [("d", dt.datetime(2024, 1 + i % 3, 1 + i % 28), None, f"a{i % 5}", "s", None, 0.1 + i / 7, 1.0) for i in range(400)]
+    names = "dataset_id string, charge_period_start timestamp_ntz, provider string, account string, service string, region string, billed_cost double, quantity double"
+    rollup = panel.dimension_rollup(spark.createDataFrame(rows, names).coalesce(1))
+    costs = spend.rolled_cost_by_dimension(rollup, by_month=True)
+    top = spend.drivers_of(costs, with_change=True).where("rank <= 3").orderBy("rank").collect()
+    assert len({r.cost for r in top}) == 1 and [r.dimension for r in top] == ["provider", "service", "region"]
