@@ -1,18 +1,20 @@
 """Main text of web pages by wrappers inferred per host.
 
-A page is a stream of tokens: tags and texts.  From some pages of a host a *wrapper* is
+A page is a stream of tokens: tags and texts.  From pages of a host a *wrapper* is
 inferred, a regular expression without unions over such tokens: the first page is the
 wrapper, and each further page is aligned with it.  Two texts that differ become a text slot; tags that
 differ are resolved into a repeated group (``+``) if one side repeats the block just before, else into an
-optional group (``?``).  What stays a fixed text in the wrapper, and is then counted on at least half of
+optional group (``?``).  All different pages of a host are dealt out to small groups with a wrapper each.
+What stays a fixed text in the wrappers of at least half of the pages, and is then counted on at least half of
 the host's different pages, is what the host prints on its pages.
 
 The text of a page is what varies: the texts that fill slots and groups, on every page.  A filter by tags and
 names follows: the ``article`` or ``main`` element on pages that have one, and nowhere
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 
-Each page is parsed once, for all steps: into the blocks that the filter leaves.  Pages are different if these
-are, so copies of a page under other addresses, menus or adverts count as one.
+Each page is parsed once, for all steps: into the blocks that the filter leaves, and into its stream with
+digests for texts.  Pages are different if their blocks are, so copies of a page under other addresses, menus
+or adverts count as one.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from __future__ import annotations
 import bisect
 import hashlib
 import html
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,9 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import steps, stored, tasks
 
-#: Different pages of a host that its wrapper is inferred from.
+#: Pages of a host that one wrapper is inferred from, at least; every page goes into one wrapper.
 PAGES = 6
-#: Share of a host's different pages that must hold a text the wrapper has fixed.
+#: Different pages of a host, about, that one task deals out to wrappers; a larger host is spread by digests.
+BUCKET = 256
+#: Share of a host's pages that must have a text in their wrapper, and must hold it.
 HELD = 0.5
 #: Two pages are one to inference if they share more than this part of all their texts: copies, near copies.
 ALIKE = 0.5
@@ -121,24 +126,26 @@ def unwanted(tag: str, rest: str) -> bool:
 SLOT = "#"
 
 
-def stream(page: str) -> list:
-    """A page as wrapper items: ``["<", tag]``, ``[">", tag]``, ``["t", text]``, with the end tags that authors leave out."""
+def stream(page: str, found: list | None = None) -> list:
+    """A page (or its tokens ``found``) as wrapper items: ``["<", tag]``, ``[">", tag]``, ``["t", text]``, with the end tags that authors leave out."""
     out, stack = [], []
 
     def close(k: int) -> None:
         out.extend([">", tag] for tag in reversed(stack[k:]))
         del stack[k:]
 
-    for kind, value, rest in tokens(page):
+    for kind, value, rest in tokens(page) if found is None else found:
         if kind == "t":
             if text := _clean(value):
                 out.append(["t", text])
         elif kind == "<":
             for tag in CLOSES.get(value, ()):
-                within = [k for k in range(len(stack)) if stack[k] in SCOPE[tag]]
-                open_ = [k for k in range(within[-1] + 1 if within else 0, len(stack)) if stack[k] == tag]
-                if open_:
-                    close(open_[-1])
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k] == tag:
+                        close(k)
+                        break
+                    if stack[k] in SCOPE[tag]:
+                        break
             out.append(["<", value])
             if value not in VOID and not rest.endswith("/"):
                 stack.append(value)
@@ -291,23 +298,22 @@ def merge(wrapper: list, page: list) -> list:
     return out
 
 
-def infer(pages: list[str]) -> list:
-    """Wrapper of pages of one host; of a single page it is the page, so nothing is known to be fixed."""
+def inferred(streams: Iterable[list]) -> list:
+    """Wrapper of streams of one host; of a single page it is the page, so nothing is known to be fixed."""
     wrapper = None
-    for page in pages:
-        own = stream(page)
+    for own in streams:
         wrapper = own if wrapper is None else merge(wrapper, own)
     return wrapper or []
 
 
-def unlike(pages: list[str]) -> list[str]:
-    """Pages of which no two share more than ``ALIKE`` of their texts, the first ones of those that do."""
-    kept: list[tuple[str, set[str]]] = []
-    for page in pages:
-        own = {key for _, keys in blocks(page) for key in keys}
-        if all(len(own & other) <= ALIKE * len(own | other) for _, other in kept):
-            kept.append((page, own))
-    return [page for page, _ in kept]
+def infer(pages: list[str]) -> list:
+    """Wrapper of pages of one host."""
+    return inferred(map(stream, pages))
+
+
+def alike(own: set, other: set) -> bool:
+    """Do two pages share more than ``ALIKE`` of their texts?"""
+    return len(own & other) > ALIKE * len(own | other)
 
 
 def fixed_texts(wrapper: list) -> set[str]:
@@ -323,10 +329,42 @@ def fixed_texts(wrapper: list) -> set[str]:
     return out
 
 
+def outline(page: str, found: list | None = None) -> tuple[str, list[int]]:
+    """The stream of a page in short: its tags with a ``t`` for each text, and the texts' keys with the tag they follow."""
+    before, shape, said = "", [], []
+    for kind, value in stream(page, found):
+        if kind == "t":
+            shape.append("t")
+            said.append(_key(f"{before} {value}"))
+        else:
+            before = kind + value
+            shape.append(before)
+    return " ".join(shape), said
+
+
+def outlined(shape: str, said: list[int]) -> list:
+    """Wrapper items of an outline, keys in place of texts."""
+    keys = iter(said)
+    return [["t", next(keys)] if x == "t" else [x[0], x[1:]] for x in shape.split(" ")]
+
+
+def fixed_keys(wrapper: list) -> list[int]:
+    """``fixed_texts`` of a wrapper of outlines."""
+    out, known = set(), True
+    for item in wrapper:
+        if item[0] in "<>":
+            known = True
+        elif item[0] == "t" and known:
+            out.add(item[1])
+        elif item[0] in "+?":
+            known = False
+    return sorted(out)
+
+
 # --- extraction ------------------------------------------------------------------------------
 
 
-def blocks(page: str | None) -> list[tuple[str, list[str]]]:
+def blocks(page: str | None, found: list | None = None) -> list[tuple[str, list[str]]]:
     """What the tags and names of a page leave: each block's text, and its single texts as ``fixed_texts`` writes them."""
     if not page:
         return []
@@ -345,7 +383,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
             parts.clear()
             keys.clear()
 
-    for kind, value, rest in tokens(page):
+    for kind, value, rest in tokens(page) if found is None else found:
         if kind == "t":
             if not out:
                 parts.append(html.unescape(value))
@@ -396,11 +434,15 @@ def _key(text: str) -> int:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """``page_id, url, w_host, raw, content, texts, keys``: the blocks of each page, digests of page and blocks."""
+    """``page_id, url, w_host, raw, content, texts, keys, shape, said``: the blocks of each page, digests of page and blocks, its outline."""
 
     def rows(batches):
         for batch in steps(batches, "html"):
-            found = [blocks(page) for page in batch.column("html").to_pylist()]
+            found, outlines = [], []
+            for page in batch.column("html").to_pylist():
+                once = list(tokens(page or ""))
+                found.append(blocks(page, once))
+                outlines.append(outline(page, once) if found[-1] else (None, None))
             texts = [[text for text, _ in own] for own in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -408,68 +450,114 @@ def parsed(pages: DataFrame) -> DataFrame:
                     pa.array([_key("\n".join(own)) if own else None for own in texts], pa.int64()),
                     pa.array(texts, pa.list_(pa.string())),
                     pa.array([[[_key(x) for x in keys] for _, keys in own] for own in found], pa.list_(pa.list_(pa.int64()))),
+                    pa.array([shape for shape, _ in outlines], pa.string()),
+                    pa.array([said for _, said in outlines], pa.list_(pa.int64())),
                 ],
-                ["page_id", "url", "w_host", "raw", "content", "texts", "keys"],
+                ["page_id", "url", "w_host", "raw", "content", "texts", "keys", "shape", "said"],
             )
 
     return pages.select(F.col("page_id").cast("long"), "url", host(F.col("url")).alias("w_host"), F.md5("html").alias("raw"), "html").mapInArrow(
-        rows, "page_id long, url string, w_host string, raw string, content long, texts array<string>, keys array<array<long>>"
+        rows,
+        "page_id long, url string, w_host string, raw string, content long, texts array<string>, keys array<array<long>>, shape string, said array<long>",
     )
 
 
-def wrappers(pages: DataFrame, known: DataFrame, sample: int = PAGES) -> DataFrame:
-    """``f_host, fixed``: keys of the texts that each host's wrapper has fixed, from its ``sample`` different pages with the smallest digests.
+_OUTLINE = "w_host string, content long, raw string, shape string, said array<long>, own array<long>"
+
+
+def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's copies of a page those whose digest is the smallest so far: a few."""
+    least: dict[tuple, str] = {}
+    for batch in batches:
+        taken = []
+        for k, (*page, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("w_host", "content", "raw")))):
+            if tuple(page) not in least or raw < least[tuple(page)]:
+                least[tuple(page)] = raw
+                taken.append(k)
+        yield batch.take(pa.array(taken, pa.int64()))
+
 
-    Hosts without ``LEAST_PAGES`` pages that are not alike have no wrapper, and lose nothing to one.
+def _votes(outlines: DataFrame, group: int) -> DataFrame:
+    """``f_host, pages, fixed``: the wrappers of each bucket's pages that are not alike, ``group`` or more to a wrapper.
+
+    Takes ``_OUTLINE, bucket, split``.  A bucket without ``LEAST_PAGES`` such pages has no wrapper; if the
+    host has others (``split``) its pages are returned, without ``fixed``.
     """
-    first = Window.partitionBy("w_host").orderBy("content")
-    chosen = (
-        known.where("content is not null").groupBy("w_host", "content").agg(F.min("raw").alias("raw"))
-        .withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= sample)
-        .select(F.col("w_host").alias("f_host"), F.col("raw").alias("f_raw"))
-    )
-    some = (
-        pages.select("html", host(F.col("url")).alias("w_host"), F.md5("html").alias("raw"))
-        .join(stored(chosen, "sample"), (F.col("w_host") == F.col("f_host")) & (F.col("raw") == F.col("f_raw")))
-        .groupBy("w_host", "raw").agg(F.first("html").alias("html"))
-        .repartition(tasks(pages), "w_host")
-        .sortWithinPartitions("w_host", "raw")
-    )
+    group = max(group, LEAST_PAGES)
+    types = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    schema = _OUTLINE + ", pages long, fixed array<long>"
+    arrow = pa.schema([(name, types[kind]) for name, kind in map(str.split, schema.split(", "))])
+
+    def wrapper(name, some):
+        fixed = fixed_keys(inferred(outlined(page["shape"], page["said"]) for page, _ in some))
+        return {"w_host": name, "pages": len(some), "fixed": fixed}
+
+    def inferences(batches):
+        pages = (page for batch in batches for step in steps([batch], "shape") for page in step.to_pylist())
+        for (name, _), own in itertools.groupby(pages, lambda page: (page["w_host"], page["bucket"])):
+            seen, held = set(), []
+            for page in own:
+                if page["content"] in seen:
+                    continue
+                seen.add(page["content"])
+                texts = set(page["own"])
+                if any(alike(texts, other) for _, other in held):
+                    continue
+                held.append((page, texts))
+                if len(held) == 2 * group:
+                    yield wrapper(name, held[:group])
+                    del held[:group]
+            if len(held) >= LEAST_PAGES:
+                yield wrapper(name, held)
+            else:
+                yield from ({**page, "pages": None, "fixed": None} for page, _ in held if page["split"])
 
     def rows(batches):
-        at, held = None, []
+        found = inferences(batches)
+        while some := list(itertools.islice(found, 256)):
+            yield pa.RecordBatch.from_pylist(some, schema=arrow)
 
-        def made():
-            different = unlike(held)
-            if len(different) >= LEAST_PAGES and (keys := sorted({_key(x) for x in fixed_texts(infer(different))})):
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([keys], pa.list_(pa.int64()))], ["f_host", "fixed"])
+    # of the copies of a page the one with the smallest digest comes first
+    return outlines.repartition(tasks(outlines), "w_host", "bucket").sortWithinPartitions("w_host", "bucket", "raw").mapInArrow(rows, schema)
 
-        for batch in batches:
-            for name, page in zip(batch.column("w_host").to_pylist(), batch.column("html").to_pylist()):
-                if name != at:
-                    yield from made()
-                    at, held = name, []
-                held.append(page)
-        yield from made()
 
-    return some.mapInArrow(rows, "f_host string, fixed array<long>")
+def wrappers(known: DataFrame, group: int = PAGES, bucket: int = BUCKET) -> DataFrame:
+    """``f_host, fixed``: keys of the texts that the wrappers of a share ``HELD`` of each host's pages have fixed.
 
+    Every different page of a host is in one wrapper, or alike a page that is.  Hosts without ``LEAST_PAGES``
+    pages that are not alike have no wrapper, and lose nothing to one.
+    """
+    different = known.where("content is not null")
+    # few: hosts with two buckets at least
+    large = stored(
+        different.groupBy(F.col("w_host").alias("b_host")).agg(F.countDistinct("content").alias("n"))
+        .where(F.col("n") >= 2 * bucket)
+        .select("b_host", F.expr(f"n div {int(bucket)}").alias("buckets")),
+        "large",
+    )
+    outlines = (
+        different.select("w_host", "content", "raw", "shape", "said", F.flatten("keys").alias("own"))
+        .mapInArrow(_first_copies, _OUTLINE)
+        .join(large, F.col("w_host") == F.col("b_host"), "left")
+        .withColumn("bucket", F.coalesce(F.pmod("content", "buckets"), F.lit(0).cast("long")))
+        .withColumn("split", F.col("buckets").isNotNull())
+        .drop("b_host", "buckets")
+    )
+    first = stored(_votes(outlines, group), "votes")
+    rest = first.where("fixed is null").drop("pages", "fixed").withColumn("bucket", F.lit(0).cast("long")).withColumn("split", F.lit(False))
+    votes = first.unionByName(_votes(rest, group)).where("fixed is not null")
+    return _held(votes.select(F.col("w_host").alias("f_host"), F.col("pages").alias("weight"), F.col("fixed").alias("found")), HELD)
 
-def confirmed(known: DataFrame, wrapper: DataFrame, held: float = HELD) -> DataFrame:
-    """``f_host, fixed``: of the wrapper's texts those that stand on a share ``held`` of the host's different pages.
+
+def _held(pages: DataFrame, held: float) -> DataFrame:
+    """``f_host, fixed``: the texts found on a share ``held`` of the host's pages, from ``f_host, weight, found``.
 
     Pages are counted per text where they lie before anything of a host meets.
     """
-    found = (
-        known.where("content is not null").join(wrapper, F.col("w_host") == F.col("f_host"))
-        .select("f_host", "content", F.array_intersect(F.flatten("keys"), "fixed").alias("found"))
-        .groupBy("f_host", "content").agg(F.first("found").alias("found"))
-    )
     # a null stands for the page itself
     counted = (
-        found.select("f_host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "found")).alias("text"))
-        .groupBy("f_host", "text").agg(F.count("*").alias("n"))
+        pages.select("f_host", "weight", F.explode(F.concat(F.array(F.lit(None).cast("long")), "found")).alias("text"))
+        .groupBy("f_host", "text").agg(F.sum("weight").alias("n"))
     )
     by_host = counted.groupBy("f_host").agg(
         F.max(F.when(F.col("text").isNull(), F.col("n"))).alias("of"),
@@ -480,14 +568,24 @@ def confirmed(known: DataFrame, wrapper: DataFrame, held: float = HELD) -> DataF
     ).where(F.size("fixed") > 0)
 
 
-def extract(pages: DataFrame, sample: int = PAGES) -> DataFrame:
-    """``page_id, url, text, n_chars`` for each row of ``pages(page_id, url, html)``.
+def confirmed(known: DataFrame, wrapper: DataFrame, held: float = HELD) -> DataFrame:
+    """``f_host, fixed``: of the wrapper's texts those that stand on a share ``held`` of the host's different pages."""
+    found = (
+        known.where("content is not null").join(wrapper, F.col("w_host") == F.col("f_host"))
+        .select("f_host", "content", F.array_intersect(F.flatten("keys"), "fixed").alias("found"))
+        .groupBy("f_host", "content").agg(F.first("found").alias("found"))
+    )
+    return _held(found.withColumn("weight", F.lit(1)), held)
+
+
+def extract(pages: DataFrame, group: int = PAGES) -> DataFrame:
+    """``page_id, url, text, n_chars`` for each row of ``pages(page_id, url, html)``; ``group``: pages of one wrapper.
 
     Null and empty pages have empty text.  Pages without a host share one wrapper.  Rows that repeat are
     extracted one by one; an empty table gives no rows.
     """
     known = stored(parsed(pages), "blocks")
-    fixed = stored(confirmed(known, stored(wrappers(pages, known, sample), "wrappers")), "fixed")
+    fixed = stored(confirmed(known, stored(wrappers(known, group), "wrappers")), "fixed")
     block = F.arrays_zip("texts", "keys")
     varies = F.filter(block, lambda x: ~F.forall(x["keys"], lambda key: F.array_contains("fixed", key)))
     text = F.array_join(F.transform(F.when(F.col("fixed").isNull(), block).otherwise(varies), lambda x: x["texts"]), "\n")

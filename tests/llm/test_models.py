@@ -362,6 +362,65 @@ def test_fixed_texts_are_counted_on_all_pages(spark):
     assert html.confirmed(known, wrapper).collect() == [("a.example", [html._key(said[0])])]
 
 
+def odd_page(n):
+    """A page of another make whose digest is among the smallest of a thousand."""
+    body = lambda k: f"<body><section><h2>other {k}</h2><blockquote>quite other {k}</blockquote></section></body>"
+    digest = lambda k: html._key(f"other {k}\nquite other {k}")
+    return body(sorted(range(1000), key=digest)[n])
+
+
+def test_wrappers_come_from_all_pages(spark):
+    """Neither one odd page nor a few that agree by chance speak for a host, whatever their digests are."""
+    page = "<body><div>Welcome</div><p>{}<p>{}<p>{}<div>Contact us</div></body>"
+    pages = [("a.example", page.format(f"lead {i}", f"own {i}", f"more {i}")) for i in range(45)] + [("a.example", odd_page(0))]
+    got = pages_of(spark, pages)
+    assert all(got[i] == f"lead {i}\nown {i}\nmore {i}" for i in range(45))
+    assert got[45].startswith("other ")
+
+
+def outlines_of(spark, pages, partitions=3):
+    frame = spark.createDataFrame([(i, f"https://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    return common.stored(html.parsed(frame.repartition(partitions)), "t")
+
+
+def test_every_page_is_in_a_wrapper(spark):
+    """A text of more than half of the pages is fixed, one of fewer is not; buckets, partitions and copies change nothing of it."""
+    page = "<body><div>Welcome</div>{}<p>{}<p>{}<p>{}</body>"
+
+    def made(i, share):
+        return page.format("<h2>Most</h2>" if i < share else "", f"lead {i}", f"own {i}", f"more {i}")
+
+    def keys(rows):
+        return {r.f_host: set(r.fixed) for r in rows}
+
+    welcome, most = html._key("<div Welcome"), html._key("<h2 Most")
+    pages = [("a.example", made(i, 99)) for i in range(100)] + [("b.example", made(i, 30)) for i in range(100)]
+    for bucket, partitions, copies in ((1024, 3, 1), (20, 1, 1), (10, 7, 3)):
+        found = keys(html.wrappers(outlines_of(spark, pages * copies, partitions), bucket=bucket).collect())
+        assert found == {"a.example": {welcome, most}, "b.example": {welcome}}
+
+
+def test_buckets_of_near_copies_join(spark):
+    """Different pages of one host that none of its tasks holds enough of are compared all the same."""
+    article = "".join(f"<p>paragraph {k} of the article" for k in range(9))
+    pages = [("a.example", f"<body><div>Welcome</div>{article}<p>note {i}</body>") for i in range(40)]
+    pages += [("a.example", f"<body><div>Welcome</div><p>own {i}<p>words {i}</body>") for i in range(4)]
+    got = html.wrappers(outlines_of(spark, pages), bucket=2).collect()
+    assert got == [("a.example", [html._key("<div Welcome")])]
+
+
+def test_outlines_say_what_streams_say():
+    for page in [site(1), site(2, "<p>third of 2"), odd_page(0), "text<p>a<br>b</div><ul><li>c<li>d &amp; e</ul>f"]:
+        want, before = [], ""
+        for kind, value in html.stream(page):
+            before = before if kind == "t" else kind + value
+            want.append([kind, html._key(f"{before} {value}")] if kind == "t" else [kind, value])
+        assert html.outlined(*html.outline(page)) == want
+    pages = [site(i) for i in range(5)]
+    said = {html._key(x) for x in html.fixed_texts(html.infer(pages))}
+    assert set(html.fixed_keys(html.inferred(html.outlined(*html.outline(p)) for p in pages))) == said
+
+
 def test_cost_tables_are_made_one_language_at_a_time():
     """What the driver holds beside the finished tables does not grow with the number of languages."""
     rng = np.random.default_rng(5)
