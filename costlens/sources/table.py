@@ -18,10 +18,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import configure
+from ..session import configure, during
 
 #: Older versions of a dataset that stay, for readers that have begun with them.
 KEPT_VERSIONS = 1
+#: A write keeps a file open for each folder it has begun, up to this number in a task, before it sorts the rows by folder.  What it
+#: shuffled is deleted when it ends, not when the driver's memory is next collected.
+_WRITING = {
+    "spark.sql.maxConcurrentOutputFileWriters": "64",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 _MANIFEST = "dataset_id string, number int, version string, row_count long, schema string"
 
 
@@ -132,7 +138,8 @@ def stage(df: DataFrame, path: str, arranged: bool = False) -> Staged:
     rows = df.where(F.col("dataset_id").isNotNull()).withColumn("charge_month", F.date_format("charge_period_start", "yyyy-MM"))
     if not arranged:
         rows = rows.hint("rebalance", "dataset_id", "charge_month")
-    rows.write.partitionBy("dataset_id", "charge_month").parquet(root)
+    with during(spark, _WRITING):
+        rows.write.partitionBy("dataset_id", "charge_month").parquet(root, compression="zstd")
     schema = T.StructType([f for f in df.schema.fields if f.name not in ("dataset_id", "charge_month")])
     written = spark.read.schema(_stored(schema)).parquet(root)
     # from the footers of the files; one row for each dataset of this write

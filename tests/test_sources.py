@@ -1,9 +1,10 @@
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from costlens import plans, schema, sources
+from costlens import plans, schema, session, sources
 from costlens.operators import filters, quality, spend
 
 HEADER = "BilledCost,EffectiveCost,ChargePeriodStart,ChargePeriodEnd,BillingCurrency,ProviderName,BillingAccountId,ServiceName"
@@ -338,3 +339,76 @@ def test_second_writes_read_the_first_version(spark, monkeypatch):
     QUERIES["emptied_dataset"](spark, "/root/testdata/sf0.001").collect()
     assert made == [{"arranged": True}]
     assert all("/data/version=" in name for name in written[1].inputFiles())
+
+
+@pytest.fixture()
+def order_tables(spark, tmp_path):
+    """Order lines of two years, some without a date, a part or an order, a part that stands twice, one without a key; and events."""
+    day = "TIMESTAMP_NTZ '1995-01-01 00:00:00' + make_dt_interval(CAST(id * 7 % 730 AS INT))"
+    texts = {
+        "region": "SELECT CAST(id AS INT) r_regionkey, concat('R', id) r_name FROM range(2)",
+        "nation": "SELECT CAST(id AS INT) n_nationkey, concat('N', id) n_name, CAST(id % 2 AS INT) n_regionkey FROM range(5)",
+        "customer": "SELECT id c_custkey, concat('S', id % 3) c_mktsegment, sha2(string(id), 256) c_name FROM range(900)",
+        "supplier": "SELECT id s_suppkey, CAST(id % 6 AS INT) s_nationkey FROM range(9)",
+        "part": "SELECT nullif(id % 800, 7) p_partkey, concat('B', id % 4) p_brand, concat(sha2(string(id), 256), ' T') p_type FROM range(801)",
+        "orders": "SELECT id o_orderkey, id % 950 o_custkey, sha2(string(id), 256) o_comment FROM range(1200)",
+        "lineitem": f"""SELECT nullif(id % 1300, 3) l_orderkey, CAST(id % 8 AS INT) l_linenumber, nullif(id * 13 % 820, 5) l_partkey, id % 11 l_suppkey,
+            double(id % 50) l_quantity, id * 1.25D l_extendedprice, 0.05D l_discount, 0.02D l_tax, 'R' l_returnflag, 'O' l_linestatus,
+            CASE WHEN id % 97 > 0 THEN {day} END l_shipdate FROM range(4000)""",
+        "events": "SELECT TIMESTAMP_NTZ '2024-01-05 01:00:00' ts, id user_id, 'view' event_type, 1.5D value FROM range(20)",
+    }
+    for name, text in texts.items():
+        spark.sql(text).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_arranged_lines_move_for_orders_and_parts_only(spark, order_tables):
+    """The join with the parts brings the months together: no shuffle of whole lines follows it, and no row is lost or doubled."""
+    from verification import inputs
+
+    joins = {"spark.sql.autoBroadcastJoinThreshold": "6000", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    with session.during(spark, joins | inputs.MONTH_BINS):
+        lines = inputs.tpch(spark, order_tables, keep=("l_orderkey", "l_linenumber"), arranged=True)
+        plan = lines._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert sum("SortMergeJoin" in line for line in plan) == 3
+        moved = [line for line in plan if "Exchange hashpartitioning" in line]
+        assert len(moved) == 6 and sum("l_orderkey" in line for line in moved) == 2
+        assert not any("p_partkey" in line and "month(" in line for line in moved)
+        month = F.coalesce(F.month("charge_period_start"), F.lit(1))
+        held = lines.groupBy(F.spark_partition_id(), month).count().count()
+        assert held <= 12 * (24 // 12)
+        arranged = sorted(map(str, lines.collect()))
+    plain = inputs.tpch(spark, order_tables, keep=("l_orderkey", "l_linenumber"))
+    assert arranged == sorted(map(str, plain.collect())) and len(arranged) > 4000
+
+
+def _shuffled(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {name.split("/shuffle_")[1].split("_")[0] for name in files.split("\n") if "/shuffle_" in name}
+
+
+def test_a_write_leaves_no_shuffle_files(spark, make_billing, tmp_path):
+    """What a write has shuffled is gone when it ends, and the session's settings are as before."""
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "3")
+    before, changed = _shuffled(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    billing = make_billing(60).repartition(3)
+    sources.table.stage(billing, str(tmp_path / "table"))
+    end = time.monotonic() + 20
+    while (left := len(_shuffled(spark) - before)) > 1 and time.monotonic() < end:
+        time.sleep(0.2)
+    assert left <= 1  # that of the count that follows the write
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "3" and spark.conf.get(changed) == "false"
+    spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
+    assert billing.count() == 180
+
+
+def test_stored_content_counts_distinct_resources_apart(spark, make_billing):
+    """The rows are those of one aggregation, and no shuffled row has the sums beside a resource."""
+    from verification import source_queries
+
+    rows = make_billing(9).withColumn("resource", F.when(F.col("service") != "service_1", F.col("resource")))
+    billing = rows.unionByName(rows.withColumns({"dataset_id": F.lit("e"), "resource": F.lit(None).cast("string")}))
+    apart, whole = source_queries._stored_content(billing), source_queries._content(billing)
+    assert apart.schema.names == whole.schema.names
+    assert sorted(apart.collect()) == sorted(whole.collect())
+    assert not any("partial_sum" in line and "resource" in line for line in apart._jdf.queryExecution().executedPlan().toString().split("\n"))
